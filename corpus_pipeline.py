@@ -8,9 +8,14 @@ from plotweave.llm.line_dedup import dedup_lines
 from plotweave.llm.mixing import training_stream
 from plotweave.llm.near_dedup import near_dedup
 from plotweave.llm.packing import pack_documents
+from plotweave.llm.quality import THRESHOLD, score_quality, train
 from plotweave.llm.scratch import Scratch
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go; it learns from labels that are not held out."""
+    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_quality(docs, model, keep_rows=True).where(F.col("score") >= THRESHOLD).select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +43,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-STAGES = [("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("mixing", mixing), ("packing", packing)]
+STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("mixing", mixing), ("packing", packing)]
 
 ORACLE_SQL = None
 

@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fingerprints, licenses, line_dedup, mixing, near_dedup, packing, token_counts
+from . import exact_dedup, fingerprints, html_text, licenses, line_dedup, mixing, near_dedup, packing, quality, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1,
     "op2_exact_dedup": exact_dedup.op2,
     "op3_fingerprints": fingerprints.op3,
+    "op4_quality": quality.op4,
     "op5_near_dedup": near_dedup.op5,
     "op6_packing": packing.op6,
     "op7_licenses": licenses.op7,
     "op8_line_dedup": line_dedup.op8,
     "op9_token_counts": token_counts.op9,
+    "op10_html_text": html_text.op10,
 }
 
 ORACLES: dict[str, str] = {
