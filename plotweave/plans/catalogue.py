@@ -1,6 +1,636 @@
-"""The query catalogue: each query's function and its SQL twin."""
+"""The query catalogue: each query's function and, where SQL can say the same, its SQL twin."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+
+from ..functions import columns as fc
+from ..functions.words import ABBREVIATIONS, FRAME_CODES, SIMILARITY_STOP_WORDS
+from ..operators import chains as ch
+from ..operators import clusters as cl
+from ..operators import documents as doc
+from ..operators import evaluation as ev
+from ..operators import models as mo
+from ..operators import plugs
+from ..operators import quality as qu
+from ..operators import sampling as sa
+from ..operators import svo as sv
+from ..operators import terms as te
+from ..sources import corpus as co
+from ..sources.tables import numbered, staged
+from .views import CENTERS, CHARACTERS, MENTIONS, PLACED, VOTES, characters, mentions, placed, points, read
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(c, name: str | None = None):
+    out = F.round(fc.col(c).cast("double"), 6)
+    return out.alias(name or c)
+
+
+TRIM = "E' \\t\\r\\x0b\\f'"
+LINES = f"""lines AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS line_no, text FROM
+  (SELECT doc_id, generate_subscripts(ls, 1) AS i, trim(unnest(ls), {TRIM}) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE lang IS NOT NULL)) WHERE text <> '')"""
+
+
+def _sentences(spark, sf):
+    return doc.split_lines(doc.labelled(read(spark, sf, "documents"), "lang"))
+
+
+@query(f"WITH {LINES} SELECT doc_id, line_no, row_number() OVER (ORDER BY doc_id, line_no) - 1 AS sent_id, text FROM lines")
+def article_filter_sentences(spark, sf):
+    return doc.number_sentences(_sentences(spark, sf)).select("doc_id", "line_no", "sent_id", "text")
+
+
+_INNER = "|".join(a.replace(".", "[.]") for a in sorted((a for a in ABBREVIATIONS if "." in a), key=len, reverse=True))
+SPLIT = rf"""c1 AS (SELECT doc_id, trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS t FROM documents),
+c2 AS (SELECT doc_id, regexp_replace(regexp_replace(t, '[“"](.+?)[”"]', '"\1"', 'g'), '[.]{{3,}}', ' ' || chr(57344) || ' ', 'g') AS t FROM c1),
+c3 AS (SELECT doc_id, regexp_replace(t, '([0-9]+)[.]([^0-9]|$)', '\1' || chr(57345) || '\2', 'g') AS t FROM c2),
+c4 AS (SELECT doc_id, regexp_replace(t, '\b({_INNER})( )', '\1' || chr(57346) || '\2', 'g') AS t FROM c3),
+c5 AS (SELECT doc_id, string_split(regexp_replace(t, '([.!?]["'')\]]*) ([^ ])', '\1' || chr(10) || '\2', 'g'), chr(10)) AS l FROM c4),
+c6 AS (SELECT doc_id, generate_subscripts(l, 1) AS i, trim(replace(replace(replace(unnest(l), chr(57344), '...'), chr(57345), '.'), chr(57346), ''), ' ') AS text FROM c5)"""
+
+
+@query(f"WITH {SPLIT} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS line_no, text FROM c6 WHERE text <> ''")
+def doc_clean_split(spark, sf):
+    return doc.split_sentences(read(spark, sf, "documents"))
+
+
+@query(f"SELECT position, regexp_replace(verb_sense, '_-?[0-9]+$', '') AS verb, split_part(verb_sense, '_', 1) AS stem, regexp_replace('!' || verb_sense, '^!', '') AS plain FROM ({MENTIONS})")
+def verb_sense_strip(spark, sf):
+    m = mentions(spark, sf)
+    return m.select("position", fc.strip_verb_sense("verb_sense").alias("verb"), fc.verb_stem("verb_sense").alias("stem"), fc.strip_negation(F.concat(F.lit("!"), "verb_sense")).alias("plain"))
+
+
+WORDS = "(SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents)"
+STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in te.STOP_VERBS)
+SALIENCE = f"""loc AS (SELECT term, count(*) AS local FROM {WORDS} WHERE lang = 'en' GROUP BY term),
+glo AS (SELECT term, count(*) AS g FROM {WORDS} GROUP BY term),
+sal AS (SELECT term, local, g, (1 + pow(log10(local), 2)) * log10(1e8 / g) AS s FROM loc JOIN glo USING (term)),
+top AS (SELECT *, row_number() OVER (ORDER BY s DESC, term) AS rn FROM sal WHERE term NOT IN ({STOP}))"""
+
+
+def _words(spark, sf, lang=None):
+    d = read(spark, sf, "documents")
+    d = d.where(F.col("lang") == lang) if lang else d
+    return d.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w"))
+
+
+@query(f"WITH {SALIENCE} SELECT term, local, g AS global_freq, round(s, 6) AS salience FROM top WHERE rn <= (SELECT floor(count(*) * 0.8) FROM sal) AND local >= 3")
+def term_salience_top(spark, sf):
+    local = te.term_counts(_words(spark, sf, "en"), "w")
+    everywhere = te.term_counts(_words(spark, sf), "w").withColumnRenamed("local", "global_freq")
+    got = te.salient_terms(staged(te.with_salience(local, everywhere)), 0.8, 3, te.STOP_VERBS)
+    return got.select("term", "local", "global_freq", r6("salience"))
+
+
+SALIENT = f"""m AS ({MENTIONS}), v AS (SELECT verb_sense FROM m GROUP BY 1 HAVING count(*) > (SELECT count(*) / count(DISTINCT verb_sense) FROM m)),
+h AS (SELECT obj_head FROM m GROUP BY 1 HAVING count(*) > (SELECT count(*) / count(DISTINCT obj_head) FROM m))"""
+
+
+def _salient(spark, sf):
+    """Verbs and heads that are more frequent than the average one."""
+    m = mentions(spark, sf)
+    out = []
+    for c in ("verb_sense", "obj_head"):
+        n = m.groupBy(F.col(c).alias("term")).agg(F.count("*").alias("n"))
+        out.append(n.crossJoin(F.broadcast(n.agg(F.avg("n").alias("mean")))).where("n > mean").select("term"))
+    return m, *out
+
+
+@query(f"WITH {SALIENT} SELECT position, verb_sense, obj_head, verb_sense IN (SELECT verb_sense FROM v) AND obj_head IN (SELECT obj_head FROM h) AS all_salient FROM m WHERE verb_sense IN (SELECT verb_sense FROM v) OR obj_head IN (SELECT obj_head FROM h)")
+def salience_flags(spark, sf):
+    m, v, h = _salient(spark, sf)
+    out = te.salience_flags(m.withColumnRenamed("verb_sense", "verb"), v, h)
+    return out.select("position", F.col("verb").alias("verb_sense"), "obj_head", "all_salient")
+
+
+@query(f"WITH {SALIENT} SELECT verb_sense, obj_head, count(*) AS freq, row_number() OVER (ORDER BY min(position)) - 1 AS po_id FROM m WHERE verb_sense IN (SELECT verb_sense FROM v) AND obj_head IN (SELECT obj_head FROM h) GROUP BY 1, 2")
+def po_tuple_vocab(spark, sf):
+    m, v, h = _salient(spark, sf)
+    return te.tuple_vocabulary(m, "position", v, h)[0].select("verb_sense", "obj_head", "freq", "po_id")
+
+
+EVENTS = f"ev AS (SELECT doc_id, sent_id, verb_sense, obj_head, row_number() OVER (PARTITION BY doc_id ORDER BY sent_id, verb_sense, obj_head) - 1 AS event_id FROM (SELECT DISTINCT doc_id, sent_id, verb_sense, obj_head FROM ({MENTIONS})))"
+
+
+def _events(spark, sf):
+    return doc.number_events(mentions(spark, sf).select("doc_id", "sent_id", "verb_sense", "obj_head"))
+
+
+@query(f"""WITH {LINES}, {EVENTS}, e AS (SELECT doc_id, sent_id % 20 AS line_no, count(*) AS n, min(event_id) AS first_event FROM ev GROUP BY ALL)
+SELECT doc_id, line_no, coalesce(n, 0) AS n_events, first_event FROM lines LEFT JOIN e USING (doc_id, line_no)""")
+def sentence_event_join(spark, sf):
+    s = _sentences(spark, sf).withColumn("sent_id", F.col("line_no").cast("long"))
+    e = _events(spark, sf).withColumn("sent_id", F.col("sent_id") % 20)
+    out = doc.sentence_events(s, e)
+    return out.select("doc_id", "line_no", F.size("events").cast("long").alias("n_events"), F.get("events", F.lit(0))["event_id"].alias("first_event"))
+
+
+SPANS = f"""sp AS (SELECT l.doc_id, l.line_no, instr(d.text, l.text) - 1 AS a, instr(d.text, l.text) - 1 + length(l.text) AS b FROM lines l JOIN documents d USING (doc_id) WHERE instr(d.text, l.text) > 0),
+ann AS (SELECT doc_id, k * 10 AS a, k * 10 + 25 AS b, k FROM (SELECT user_id AS doc_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events))"""
+
+
+@query(f"WITH {LINES}, {SPANS} SELECT doc_id, line_no, ann.k AS k, sp.a AS span_start, sp.b AS span_end, count(*) AS n FROM ann JOIN sp USING (doc_id) WHERE ann.a <= sp.b AND ann.b >= sp.a GROUP BY ALL")
+def span_overlap(spark, sf):
+    d = read(spark, sf, "documents")
+    s = doc.with_spans(_sentences(spark, sf).withColumnRenamed("line_no", "sent_id"), d)
+    a = mentions(spark, sf).select("doc_id", (F.col("k") * 10).alias("start"), (F.col("k") * 10 + 25).alias("end"), "k")
+    out = doc.overlapping(s, a)
+    return out.groupBy("doc_id", F.col("sent_id").alias("line_no"), "k", F.col("span.start").alias("span_start"), F.col("span.end").alias("span_end")).agg(F.count("*").alias("n"))
+
+
+PAIRS = f"""m AS ({MENTIONS}), pairs AS (SELECT a.doc_id, a.position AS e1, b.position AS e2, a.sent_id AS s1, b.sent_id AS s2, a.verb_sense AS v1, b.verb_sense AS v2, a.obj_head AS o1, b.obj_head AS o2
+FROM m a JOIN m b ON a.doc_id = b.doc_id AND a.position < b.position AND b.sent_id - a.sent_id <= 2)"""
+
+
+def _pairs(spark, sf):
+    return doc.event_pairs(mentions(spark, sf), 2, "position")
+
+
+@query(f"WITH {PAIRS} SELECT doc_id, e1, e2, regexp_replace(v1, '_-?[0-9]+$', '') AS verb1, o1, o2, s2 - s1 AS apart FROM pairs")
+def event_pairs_window(spark, sf):
+    return _pairs(spark, sf).select("doc_id", F.col("e1.event_id").alias("e1"), F.col("e2.event_id").alias("e2"), F.col("e1.verb").alias("verb1"), F.col("e1.object").alias("o1"), F.col("e2.object").alias("o2"), (F.col("e2.sentence_id") - F.col("e1.sentence_id")).alias("apart"))
+
+
+@query(f"""WITH {PAIRS}, lim AS (SELECT doc_id, min(sent_id) AS f, max(sent_id) AS l FROM m GROUP BY 1),
+x AS (SELECT doc_id, e1, e2, s1, s2, s1 - f AS av, l - s2 AS bv, least(2, s1 - f) AS gb, least(2, l - s2) AS ga FROM pairs JOIN lim USING (doc_id)),
+y AS (SELECT *, s1 - gb - least(2 - ga, av - gb) AS lo, s2 + ga + least(2 - gb, bv - ga) AS hi FROM x)
+SELECT doc_id, e1, e2, lo AS first_sentence, hi AS last_sentence FROM y WHERE hi - lo + 1 <= 7""")
+def excerpt_bounds(spark, sf):
+    lim = mentions(spark, sf).groupBy("doc_id").agg(F.min("sent_id").alias("f"), F.max("sent_id").alias("l"))
+    rows = _pairs(spark, sf).join(lim, "doc_id")
+    b = doc.excerpt_bounds(F.col("e1.sentence_id"), F.col("e2.sentence_id"), F.col("f"), F.col("l"), 2)
+    return rows.withColumn("b", b).where("b IS NOT NULL").select("doc_id", F.col("e1.event_id").alias("e1"), F.col("e2.event_id").alias("e2"), F.col("b.first").alias("first_sentence"), F.col("b.last").alias("last_sentence"))
+
+
+@query(f"""WITH {PAIRS}, c AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY e1, e2) - 1 AS chain_no FROM pairs WHERE (e1 + e2) % 3 = 0)
+SELECT doc_id, chain_no, e1, e2, '((' || split_part(v1, '_', 1) || ', ' || o1 || '), CAUSAL, (' || split_part(v2, '_', 1) || ', ' || o2 || '))' AS event_chain FROM c WHERE chain_no < 30""")
+def causal_chain_format(spark, sf):
+    judged = _pairs(spark, sf).withColumn("relation", F.when((F.col("e1.event_id") + F.col("e2.event_id")) % 3 == 0, "causal").otherwise("none"))
+    events = mentions(spark, sf).select("doc_id", F.col("position").alias("event_id"), "verb_sense", "obj_head")
+    return doc.causal_chains(doc.relations(judged), events, 30)
+
+
+@query("""SELECT doc_id, min(frame) AS frame FROM (SELECT doc_id, frame, count(*) AS n, max(count(*)) OVER (PARTITION BY doc_id) AS top FROM
+  (SELECT user_id AS doc_id, CASE CAST(json_extract(props, '$.k') AS INTEGER) % 3 WHEN 0 THEN 'Economic' WHEN 1 THEN 'Morality' ELSE 'Political' END AS frame FROM events) GROUP BY 1, 2) WHERE n = top GROUP BY 1""")
+def majority_frame(spark, sf):
+    code = F.element_at(F.array(F.lit("1.0"), F.lit("3.0"), F.lit("13.0")), F.col("k") % 3 + 1)
+    rows = mentions(spark, sf).select("doc_id", F.lit(0).alias("sent_id"), fc.frame_name(code).alias("frame"))
+    return doc.majority_frame(rows).select("doc_id", "frame")
+
+
+@query(f"WITH {VOTES} SELECT chain_id, grp, role, first_pos FROM votes WHERE rn = 1")
+def role_majority(spark, sf):
+    return ch.majority_roles(characters(spark, sf))
+
+
+@query(f"WITH {VOTES} SELECT chain_id, signature, keys, strength FROM roles")
+def group_role_map(spark, sf):
+    return ch.group_roles(characters(spark, sf)).select("chain_id", "signature", "keys", F.col("strength").cast("long").alias("strength"))
+
+
+LINKS = f"{VOTES}, links AS (SELECT a.chain_id AS i, b.chain_id AS j FROM roles a JOIN roles b ON a.keys = b.keys AND a.chain_id < b.chain_id AND a.signature <> b.signature)"
+
+
+def _roles(spark, sf):
+    return ch.group_roles(characters(spark, sf))
+
+
+@query(f"WITH {LINKS} SELECT i, j FROM links")
+def cannot_link_edges(spark, sf):
+    return ch.cannot_links(_roles(spark, sf))
+
+
+@query(f"WITH {LINKS} SELECT node, count(*) AS degree, min(o) AS first, max(o) AS last FROM (SELECT i AS node, j AS o FROM links UNION ALL SELECT j, i FROM links) GROUP BY 1")
+def cannot_link_adjacency(spark, sf):
+    out = co.adjacency(ch.cannot_links(_roles(spark, sf)))
+    return out.select("node", F.size("neighbours").cast("long").alias("degree"), F.get("neighbours", F.lit(0)).alias("first"), F.element_at("neighbours", -1).alias("last"))
+
+
+@query(f"WITH {LINKS}, {PLACED} SELECT p.cluster, count(*) AS pairs, count(*) AS violations FROM links JOIN placed p ON p.chain_id = i JOIN placed q ON q.chain_id = j AND q.cluster = p.cluster GROUP BY 1")
+def constraint_violations(spark, sf):
+    """Both ways to count: pairs made and compared, and the closed form."""
+    roles, labels = _roles(spark, sf), placed(spark, sf)
+    made = ch.violated_pairs(labels, ch.cannot_links(roles)).groupBy("cluster").agg(F.count("*").alias("pairs"))
+    return made.join(ch.violations(labels, roles), "cluster")
+
+
+@query(f"WITH {LINKS}, {PLACED}, h AS (SELECT 0 AS it, i, j FROM links JOIN placed p ON p.chain_id = i JOIN placed q ON q.chain_id = j AND q.cluster = p.cluster UNION ALL SELECT 1, i, j FROM links WHERE i % 10 = j % 10) SELECT i, j, count(*) AS times, count(*) = 2 AS persistent FROM h GROUP BY 1, 2")
+def violation_history(spark, sf):
+    edges = ch.cannot_links(_roles(spark, sf))
+    first = ch.violated_pairs(placed(spark, sf), edges).select(F.lit(0).alias("iteration"), "i", "j")
+    second = edges.where("i % 10 = j % 10").select(F.lit(1).alias("iteration"), "i", "j")
+    return ch.violation_statistics(first.unionByName(second))
+
+
+@query(f"WITH {CENTERS} SELECT cluster, i - 1 AS dim, round(c, 6) AS center FROM cen")
+def cluster_centroids(spark, sf):
+    return qu.centroids(points(spark, sf)).select("cluster", F.posexplode("center").alias("dim", "center")).select("cluster", F.col("dim").cast("long").alias("dim"), r6("center"))
+
+
+def _with_centers(spark, sf):
+    p = points(spark, sf)
+    return p, qu.centroids(p)
+
+
+@query(f"""WITH {CENTERS}, m AS (SELECT cluster, avg(sqrt(d2)) AS md, count(*) AS n FROM dist GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY md, cluster) - 1 AS rk, count(*) OVER () AS k FROM m)
+SELECT cluster, round(md, 6) AS mean_distance, rk AS density_rank, CASE WHEN rk < k // 4 THEN 'high' WHEN rk >= 3 * k // 4 THEN 'low' ELSE 'medium' END AS stratum FROM r""")
+def cluster_density(spark, sf):
+    out = cl.density_strata(cl.density_ranks(*_with_centers(spark, sf)))
+    return out.select("cluster", r6("mean_distance"), F.col("density_rank").cast("long").alias("density_rank"), "stratum")
+
+
+TOPK = f"{CENTERS}, rk AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY sqrt(d2), id) AS r, count(*) OVER (PARTITION BY cluster) AS n FROM dist), top AS (SELECT * FROM rk WHERE r <= greatest(1, floor(n * 0.25)))"
+
+
+@query(f"WITH {TOPK} SELECT id, cluster, r AS rank, round(sqrt(d2), 6) AS distance FROM top")
+def centroid_topk(spark, sf):
+    out = cl.closest_share(*_with_centers(spark, sf), 25)
+    return out.select("id", "cluster", F.col("rank").cast("long").alias("rank"), r6("distance"))
+
+
+ALL_DIST = f"{CENTERS}, ad AS (SELECT p.id, p.cluster AS own, c.cluster, sum((x - c) * (x - c)) AS d2 FROM pos p JOIN cen c USING (i) GROUP BY ALL)"
+
+
+@query(f"WITH {ALL_DIST}, b AS (SELECT id, own, cluster, d2, row_number() OVER (PARTITION BY id ORDER BY d2, cluster) AS r FROM ad) SELECT id, own AS cluster, cluster AS nearest, round(d2, 6) AS d2 FROM b WHERE r = 1")
+def nearest_centroid(spark, sf):
+    return cl.nearest(*_with_centers(spark, sf)).select("id", "cluster", "nearest", r6("d2"))
+
+
+@query(f"WITH {CENTERS} SELECT cluster, count(*) AS size, round(avg(sqrt(d2)), 6) AS mean_distance, round(sum(d2), 6) AS wcss FROM dist GROUP BY 1")
+def cohesion_separation(spark, sf):
+    return qu.cohesion(*_with_centers(spark, sf)).select("cluster", "size", r6("mean_distance"), r6("wcss"))
+
+
+@query(f"""WITH {CENTERS}, g AS (SELECT i, avg(x) AS m FROM pos GROUP BY 1), s AS (SELECT cluster, count(*) AS n FROM dist GROUP BY 1),
+b AS (SELECT sum(n * (c - m) * (c - m)) AS bcss FROM cen JOIN g USING (i) JOIN s USING (cluster)), w AS (SELECT sum(d2) AS wcss, count(*) AS n, count(DISTINCT cluster) AS k FROM dist)
+SELECT n, k, round(wcss, 6) AS wcss, round(bcss, 6) AS bcss, round((bcss / (k - 1)) / (wcss / (n - k)), 6) AS calinski_harabasz,
+CASE WHEN (bcss / (k - 1)) / (wcss / (n - k)) < 10 THEN 'poor' WHEN (bcss / (k - 1)) / (wcss / (n - k)) < 100 THEN 'moderate' ELSE 'good' END AS band FROM b, w""")
+def calinski_harabasz(spark, sf):
+    out = qu.separation(*_with_centers(spark, sf))
+    return out.select("n", "k", r6("wcss"), r6("bcss"), r6("calinski_harabasz"), qu.ch_band(F.col("calinski_harabasz")).alias("band"))
+
+
+@query("""WITH e AS (SELECT vec_id AS id, label AS cluster, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT cluster, count(*) AS n FROM e GROUP BY 1),
+t AS (SELECT a.id, a.cluster, b.cluster AS other, sum(list_distance(a.v, b.v)) AS d FROM e a CROSS JOIN e b GROUP BY ALL),
+m AS (SELECT id, t.cluster, max(CASE WHEN other = t.cluster THEN CASE WHEN n > 1 THEN d / (n - 1) ELSE -1 END END) AS a, min(CASE WHEN other <> t.cluster THEN d / n END) AS b FROM t JOIN s ON s.cluster = other GROUP BY ALL)
+SELECT id, cluster, round(CASE WHEN a IS NULL OR a < 0 OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END, 6) AS silhouette FROM m""")
+def silhouette_euclid(spark, sf):
+    return qu.silhouette(points(spark, sf)).select("id", "cluster", r6("silhouette"))
+
+
+@query(f"WITH {CENTERS}, t AS (SELECT quantile_cont(sqrt(d2), 0.8) AS q FROM dist) SELECT id, cluster, round(sqrt(d2), 6) AS distance, round(q, 6) AS threshold FROM dist, t WHERE sqrt(d2) <= q")
+def dual_threshold(spark, sf):
+    return cl.eligible(*_with_centers(spark, sf), 80).select("id", "cluster", r6("distance"), r6("threshold"))
+
+
+@query(f"WITH {VOTES}, {PLACED}, c AS (SELECT cluster, signature, count(*) AS n FROM placed JOIN roles USING (chain_id) GROUP BY 1, 2), t AS (SELECT cluster, max(n) AS top, sum(n) AS n FROM c GROUP BY 1) SELECT round(sum(top) / sum(n), 6) AS purity, CAST(sum(n) AS BIGINT) AS n FROM t")
+def exact_purity(spark, sf):
+    rows = placed(spark, sf).join(_roles(spark, sf), "chain_id").select("cluster", F.col("signature").alias("class"))
+    return qu.exact_purity(rows).select(r6("purity"), "n")
+
+
+@query(f"WITH {VOTES}, {PLACED}, c AS (SELECT cluster, grp, role, count(*) AS n FROM placed JOIN votes USING (chain_id) WHERE rn = 1 GROUP BY ALL), s AS (SELECT cluster, grp, max(n) / sum(n) AS share FROM c GROUP BY 1, 2) SELECT grp AS key, round(avg(share), 6) AS purity FROM s GROUP BY 1")
+def role_purity(spark, sf):
+    rows = placed(spark, sf).join(_roles(spark, sf), "chain_id").select("cluster", F.explode("roles").alias("key", "role"))
+    return qu.role_purity(rows).select("key", r6("purity"))
+
+
+@query(f"WITH {PLACED}, d AS (SELECT DISTINCT doc_id FROM placed), k AS (SELECT DISTINCT label AS cluster FROM embeddings) SELECT doc_id, cluster, count(chain_id) AS n FROM d CROSS JOIN k LEFT JOIN placed USING (doc_id, cluster) GROUP BY 1, 2")
+def cluster_doc_pivot(spark, sf):
+    k = read(spark, sf, "embeddings").agg(F.max("label")).first()[0] + 1
+    return mo.cluster_counts(placed(spark, sf), k).select("doc_id", F.posexplode("counts").alias("cluster", "n"))
+
+
+@query(f"""WITH {VOTES}, {PLACED}, c AS (SELECT doc_id, chain_id, cluster, strength FROM placed JOIN roles USING (chain_id)),
+n AS (SELECT doc_id, cluster, count(*) AS n, min(chain_id) AS f FROM c GROUP BY 1, 2),
+t AS (SELECT doc_id, count(*) AS total, avg(strength) AS mean, max(strength) AS mx, stddev_pop(strength) AS sd FROM c GROUP BY 1),
+d AS (SELECT doc_id, cluster, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, f) AS r FROM n),
+h AS (SELECT doc_id, -sum(n / total * log2(n / total)) AS h, count(*) AS u, max(n / total) AS share FROM n JOIN t USING (doc_id) GROUP BY 1),
+k AS (SELECT max(label) + 1 AS k FROM embeddings)
+SELECT doc_id, round(d.cluster / k, 6) AS dominant_cluster, round(CASE WHEN u > 1 THEN h / log2(u) ELSE 0 END, 6) AS diversity, round(mean, 6) AS mean_strength, round(u / total, 6) AS unique_ratio,
+round(share, 6) AS concentration, CAST(mx AS DOUBLE) AS max_strength, round(u / k, 6) AS coverage, round(CASE WHEN mean <> 0 THEN sd / mean ELSE 0 END, 6) AS strength_variation FROM t JOIN h USING (doc_id) JOIN d USING (doc_id), k WHERE r = 1""")
+def structural_features(spark, sf):
+    k = read(spark, sf, "embeddings").agg(F.max("label")).first()[0] + 1
+    out = mo.structural_features(placed(spark, sf).join(_roles(spark, sf), "chain_id"), k)
+    return out.select("doc_id", *[r6(c) for c in mo.STRUCTURAL])
+
+
+@query(f"WITH {VOTES}, {PLACED} SELECT doc_id, grp || ':' || role AS name, count(*) AS n FROM placed JOIN votes USING (chain_id) WHERE rn = 1 GROUP BY 1, 2")
+def role_features(spark, sf):
+    names = [f"{g}:{r}" for g in ("click", "error", "purchase", "signup", "view") for r in ("Hero", "Threat", "Victim")]
+    out = mo.role_counts(placed(spark, sf).join(_roles(spark, sf), "chain_id"), names)
+    pairs = F.arrays_zip(F.array(*map(F.lit, names)).alias("name"), F.col("role_feats").alias("n"))
+    return out.select("doc_id", F.explode(pairs).alias("x")).select("doc_id", F.col("x.name").alias("name"), F.col("x.n").alias("n")).where("n > 0")
+
+
+RATERS = "r AS (SELECT CAST(quality AS INTEGER) AS a, CAST(toxic AS INTEGER) AS b FROM labels)"
+
+
+@query(f"""WITH {RATERS}, n AS (SELECT count(*) AS n FROM r), c AS (SELECT a, b, count(*) AS c FROM r GROUP BY 1, 2),
+ra AS (SELECT a, sum(c) / (SELECT n FROM n) AS p FROM c GROUP BY 1), rb AS (SELECT b, sum(c) / (SELECT n FROM n) AS q FROM c GROUP BY 1),
+s AS (SELECT (SELECT n FROM n) AS n, (SELECT sum(c) FROM c WHERE a = b) / (SELECT n FROM n) AS po, (SELECT sum(p * q) FROM ra JOIN rb ON a = b) AS pe,
+ (SELECT sum(c * pow(p + q, 2)) FROM c JOIN ra USING (a) JOIN rb USING (b)) / pow((SELECT n FROM n), 2) AS t),
+k AS (SELECT *, (po - pe) / (1 - pe) AS kappa, po * (1 - po) / (n * pow(1 - pe, 2)) + 2 * (1 - po) * (2 * po * pe - t) / (n * pow(1 - pe, 3)) + pow(1 - po, 2) * (t - 4 * pe * pe) / (n * pow(1 - pe, 4)) AS v FROM s)
+SELECT n, round(kappa, 6) AS kappa, CASE WHEN v >= 0 THEN round(sqrt(CASE WHEN v >= 0 THEN v ELSE 0 END), 6) END AS se, round(kappa / sqrt(pe / (n * pow(1 - pe, 2))), 6) AS z FROM k""")
+def cohens_kappa(spark, sf):
+    return qu.cohens_kappa(read(spark, sf, "labels"), "quality", "toxic").select("n", r6("kappa"), F.when(~F.isnan("se"), r6("se")).alias("se"), r6("z"))
+
+
+@query("""WITH r AS (SELECT least(quality * 2 + doc_id % 3, 4) AS x, least(toxic * 2 + doc_id % 3, 4) AS y FROM labels UNION ALL SELECT 0, 0 UNION ALL SELECT 4, 4),
+s AS (SELECT count(*) AS n, sum(x) AS x, sum(y) AS y, sum(x * x + y * y) AS q, sum((x + y) * (x + y)) AS r FROM r),
+v AS (SELECT n, (r / 2 - pow(x + y, 2) / (2 * n)) / (n - 1) AS msr, (pow(x, 2) + pow(y, 2)) / n - pow(x + y, 2) / (2 * n) AS msc, q - pow(x + y, 2) / (2 * n) AS sst, r / 2 - pow(x + y, 2) / (2 * n) AS ssr FROM s),
+w AS (SELECT *, (sst - ssr - msc) / (n - 1) AS mse FROM v)
+SELECT n, round((msr - mse) / (msr + mse + 2 * (msc - mse) / n), 6) AS icc2, round((msr - mse) / (msr + (msc - mse) / n), 6) AS icc2k, round((msr - mse) / (msr + mse), 6) AS icc3, round((msr - mse) / msr, 6) AS icc3k FROM w""")
+def icc(spark, sf):
+    rows = read(spark, sf, "labels").select(F.least(F.col("quality") * 2 + F.col("doc_id") % 3, F.lit(4)).alias("x"), F.least(F.col("toxic") * 2 + F.col("doc_id") % 3, F.lit(4)).alias("y"))
+    return qu.intraclass(rows, "x", "y").select("n", *[r6(c) for c in ("icc2", "icc2k", "icc3", "icc3k")])
+
+
+@query("""WITH c AS (SELECT quality AS a, toxic AS b, count(*) AS n FROM labels GROUP BY 1, 2), k AS (SELECT a AS class FROM c UNION SELECT b FROM c),
+f AS (SELECT class, coalesce((SELECT sum(n) FROM c WHERE a = class), 0) AS s, coalesce((SELECT sum(n) FROM c WHERE b = class), 0) AS g, coalesce((SELECT sum(n) FROM c WHERE a = class AND b = class), 0) AS h FROM k)
+SELECT CAST(class AS INTEGER) AS class, CAST(s AS BIGINT) AS support, round(CASE WHEN g > 0 THEN h / g ELSE 0 END, 6) AS precision, round(CASE WHEN s > 0 THEN h / s ELSE 0 END, 6) AS recall, round(CASE WHEN s + g > 0 THEN 2 * h / (s + g) ELSE 0 END, 6) AS f1 FROM f""")
+def confusion_f1(spark, sf):
+    return qu.class_report(read(spark, sf, "labels"), "quality", "toxic").select(F.col("class").cast("int").alias("class"), "support", r6("precision"), r6("recall"), r6("f1"))
+
+
+@query("""WITH c AS (SELECT user_id, event_type, count(*) AS n, sum(value) AS v FROM events GROUP BY 1, 2), t AS (SELECT user_id, sum(n) AS n, sum(v) AS v FROM c GROUP BY 1),
+p AS (SELECT c.n / t.n AS t, c.v / t.v AS p FROM c JOIN t USING (user_id))
+SELECT round(avg(pow(t - p, 2)), 6) AS mse, round(1 - sum(pow(t - p, 2)) / (sum(t * t) - pow(sum(t), 2) / count(*)), 6) AS r2, round(-avg(t * ln(least(greatest(p, 1e-15), 1 - 1e-15))), 6) AS cross_entropy FROM p""")
+def prob_fidelity(spark, sf):
+    c = mentions(spark, sf).select("doc_id", fc.verb_stem("verb_sense").alias("e"), "value").groupBy("doc_id", "e").agg(F.count("*").alias("n"), F.sum("value").alias("v"))
+    t = c.groupBy("doc_id").agg(F.sum("n").alias("tn"), F.sum("v").alias("tv"))
+    cells = c.join(t, "doc_id").select((F.col("n") / F.col("tn")).alias("t"), (F.col("v") / F.col("tv")).alias("p"))
+    return qu.fidelity(cells, "t", "p").select(r6("mse"), r6("r2"), r6("cross_entropy"))
+
+
+POSTS = "posts AS (SELECT user_id AS doc_id, min(ts) AS ts, count(*) AS n_events FROM events GROUP BY 1 HAVING count(*) >= 3)"
+BINS = f"{POSTS}, lim AS (SELECT min(epoch_us(ts)) AS a, max(epoch_us(ts)) AS b FROM posts), bins AS (SELECT doc_id, n_events, CAST(least(floor((epoch_us(ts) - a) / (b - a) * 24), 23) AS INTEGER) AS bin FROM posts, lim)"
+
+
+def _posts(spark, sf):
+    return sa.eligible_docs(mentions(spark, sf).groupBy("doc_id").agg(F.min("ts").alias("ts"), F.count("*").alias("n_events")), 3)
+
+
+@query(f"WITH {BINS} SELECT doc_id, n_events, bin FROM bins")
+def temporal_bins(spark, sf):
+    return sa.temporal_bins(_posts(spark, sf), 24).select("doc_id", "n_events", "bin")
+
+
+@query(f"""WITH {BINS}, s AS (SELECT bin, count(*) AS size FROM bins GROUP BY 1), q AS (SELECT *, size / (SELECT sum(size) FROM s) * 50 AS q FROM s),
+f AS (SELECT *, floor(q) AS f, row_number() OVER (ORDER BY q - floor(q) DESC, bin) AS r FROM q)
+SELECT bin, size, CAST(f + CASE WHEN r <= 50 - (SELECT sum(f) FROM f) THEN 1 ELSE 0 END AS BIGINT) AS quota FROM f""")
+def bin_quotas(spark, sf):
+    return sa.bin_quotas(sa.temporal_bins(_posts(spark, sf), 24), 50)
+
+
+@query()
+def temporal_sample(spark, sf):
+    return sa.temporal_sample(_posts(spark, sf), 50)
+
+
+@query("""WITH s AS (SELECT source AS stratum, count(*) AS size FROM documents WHERE source IS NOT NULL GROUP BY 1), m AS (SELECT min(size) AS lo, count(*) AS k, sum(size) AS total FROM s),
+q AS (SELECT stratum, size, lo + CASE WHEN 150 - lo * k > 0 AND total - lo * k > 0 THEN least(round_even((150 - lo * k) * ((size - lo) / (total - lo * k)), 0), size - lo) ELSE 0 END AS q FROM s, m),
+c AS (SELECT *, coalesce(sum(q) OVER (ORDER BY stratum ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM q)
+SELECT stratum, size, CAST(greatest(least(q, 150 - before), 0) AS BIGINT) AS quota FROM c""")
+def stratified_quota(spark, sf):
+    return sa.stratum_quotas(read(spark, sf, "documents"), "source", 150)
+
+
+@query()
+def stratified_sample(spark, sf):
+    return sa.stratified_sample(read(spark, sf, "documents"), "lang", 60).select("doc_id", "lang")
+
+
+@query()
+def balanced_sample(spark, sf):
+    return sa.balanced_sample(read(spark, sf, "documents"), "lang", 41, ("de", "fr", "es")).select("doc_id", "lang")
+
+
+@query(f"""WITH {PLACED}, k AS (SELECT *, row_number() OVER (PARTITION BY cluster, doc_id ORDER BY (chain_id * 7919) % 10007, chain_id) AS k FROM placed),
+r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY CASE WHEN k > 1 THEN 1 ELSE 0 END, (chain_id * 7919) % 10007, chain_id) AS r FROM k) SELECT cluster, doc_id, chain_id FROM r WHERE r <= 25""")
+def diverse_sample(spark, sf):
+    order = [(F.col("chain_id") * 7919) % 10007, F.col("chain_id")]
+    return sa.diverse_sample(placed(spark, sf), 25, by="cluster", order=order).select("cluster", "doc_id", "chain_id")
+
+
+@query()
+def splits(spark, sf):
+    rows = read(spark, sf, "documents").select("doc_id", "lang")
+    return sa.split(rows, {"train": 0.7, "dev": 0.15, "test": 0.15}, "lang").groupBy("lang", "split").count()
+
+
+@query()
+def cv_folds(spark, sf):
+    return sa.folds(read(spark, sf, "documents").select("doc_id", "lang"), "lang").groupBy("lang", "repeat", "fold").count()
+
+
+CONTENT = "list_distinct(list_filter(string_split_regex(lower({0}), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: length(w) > 1 AND NOT list_contains([" + ", ".join(f"'{w}'" for w in SIMILARITY_STOP_WORDS) + "], w)))"
+
+
+@query(f"""WITH d AS (SELECT doc_id, source, text, lead(doc_id) OVER w AS other, lead(text) OVER w AS t2 FROM documents WHERE lang = 'en' WINDOW w AS (PARTITION BY source ORDER BY doc_id)),
+s AS (SELECT doc_id, other, {CONTENT.format('text')} AS a, {CONTENT.format('t2')} AS b FROM d WHERE other IS NOT NULL)
+SELECT doc_id, other, round(CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END, 6) AS jaccard FROM s""")
+def word_jaccard(spark, sf):
+    """Each English document and the next of its source."""
+    w = W.partitionBy("source").orderBy("doc_id")
+    d = read(spark, sf, "documents").where("lang = 'en'").select("doc_id", F.lead("doc_id").over(w).alias("other"), "text", F.lead("text").over(w).alias("t2")).where("other IS NOT NULL")
+    return d.select("doc_id", "other", r6(fc.jaccard_words("text", "t2"), "jaccard"))
+
+
+RANKS = """t AS (SELECT user_id, event_type, count(*) AS n, sum(value) AS v FROM events GROUP BY 1, 2),
+a AS (SELECT user_id, list(event_type ORDER BY n DESC, event_type) AS a, list(event_type ORDER BY v DESC, event_type) AS b FROM t GROUP BY 1)"""
+
+
+@query(f"WITH {RANKS} SELECT user_id AS doc_id, round(list_sum(list_transform(range(1, len(a) + 1), lambda d: len(list_intersect(a[1:d], b[1:d])) / d)) / len(a), 6) AS overlap FROM a")
+def rank_overlap(spark, sf):
+    t = mentions(spark, sf).groupBy("doc_id", fc.verb_stem("verb_sense").alias("token")).agg(F.count("*").alias("n"), F.sum("value").alias("v"))
+    a = te.ranking(t.withColumn("weight", F.col("n")), "doc_id").withColumnRenamed("ranking", "a")
+    b = te.ranking(t.withColumn("weight", F.col("v")), "doc_id").withColumnRenamed("ranking", "b")
+    return a.join(b, "doc_id").select("doc_id", r6(fc.rank_overlap("a", "b"), "overlap"))
+
+
+@query("""WITH f AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS r FROM events)
+SELECT user_id AS doc_id, event_type AS token, round(sum(1 / ln(r + 2)), 6) AS mention_weight, round(1 / ln(min(r) + 2), 6) AS first_weight FROM f GROUP BY 1, 2""")
+def rank_weights(spark, sf):
+    """Tokens weighted by rank: all places, and the first only."""
+    rows = mentions(spark, sf).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "position", fc.verb_stem("verb_sense").alias("t")))), lambda x: x["t"]).alias("tokens"))
+    every = te.mention_weights(rows, "doc_id", "tokens").withColumnRenamed("weight", "mention_weight")
+    first = te.sense_weights(rows.select(F.col("doc_id").alias("lemma"), F.lit(0).alias("sense_id"), F.lit(0).alias("example_id"), "tokens")).select(F.col("lemma").alias("doc_id"), "token", F.col("weight").alias("first_weight"))
+    return every.join(first, ["doc_id", "token"]).select("doc_id", "token", r6("mention_weight"), r6("first_weight"))
+
+
+TFIDF = """w AS (SELECT user_id AS item, event_type AS term, sum(value) / 100 AS weight FROM events GROUP BY 1, 2), f AS (SELECT user_id AS item, count(*) AS freq FROM events GROUP BY 1),
+c AS (SELECT item, term, CAST(ceil(weight * freq) AS BIGINT) AS n FROM w JOIN f USING (item) WHERE ceil(weight * freq) > 0), df AS (SELECT term, count(*) AS df FROM c GROUP BY 1),
+x AS (SELECT item, term, (1 + ln(n)) * (ln((1 + (SELECT count(*) FROM f)) / (1 + df)) + 1) AS x FROM c JOIN df USING (term))"""
+
+
+def _tfidf(spark, sf):
+    m = mentions(spark, sf).select(F.col("doc_id").alias("item"), fc.verb_stem("verb_sense").alias("term"), "value")
+    return te.tfidf(m.groupBy("item", "term").agg((F.sum("value") / 100).alias("weight")), m.groupBy("item").agg(F.count("*").alias("freq")))
+
+
+@query(f"WITH {TFIDF} SELECT item, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY item)), 6) AS tfidf FROM x")
+def tfidf_weights(spark, sf):
+    return _tfidf(spark, sf).select("item", "term", r6("tfidf"))
+
+
+@query()
+def svd_embed(spark, sf):
+    t = staged(_tfidf(spark, sf))
+    names = numbered(t.select("term").distinct(), "term", name="column")
+    rows = t.join(F.broadcast(names.withColumn("column", F.col("column").cast("int"))), "term").select("item", "column", F.col("tfidf").alias("value"))
+    return te.reduced(rows, names.count(), 500).select("item", F.size("vector").alias("dims"))
+
+
+@query(f"""WITH e AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), {VOTES}, p AS (SELECT id, label, v, keys, signature FROM e JOIN roles ON chain_id = id),
+s AS (SELECT a.id AS anchor, b.id AS other, list_cosine_similarity(a.v, b.v) AS sim, a.keys = b.keys AND a.signature <> b.signature AS bad FROM p a JOIN p b ON a.label = b.label AND a.id <> b.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY anchor, bad ORDER BY sim DESC, other) AS r FROM s)
+SELECT anchor, CASE WHEN bad THEN 'same_neg' ELSE 'same_pos' END AS kind, other, round(sim, 6) AS similarity FROM r WHERE r = 1 AND sim > CASE WHEN bad THEN 0.05 ELSE 0.1 END""")
+def pair_mining(spark, sf):
+    p = points(spark, sf).join(_roles(spark, sf).select(F.col("chain_id").alias("id"), "keys", "signature"), "id")
+    return cl.mined_pairs(p, same_pos=0.1, same_neg=0.05).where("kind IN ('same_pos', 'same_neg')").select("anchor", "kind", "other", r6("similarity"))
+
+
+@query()
+def pair_mining_other(spark, sf):
+    p = points(spark, sf).join(_roles(spark, sf).select(F.col("chain_id").alias("id"), "keys", "signature"), "id")
+    return cl.mined_pairs(p).where("kind IN ('other_pos', 'other_neg')")
+
+
+@query(f"""WITH {CENTERS}, z AS (SELECT cluster FROM dist GROUP BY 1 HAVING count(*) > 1), d AS (SELECT a.cluster, b.cluster AS other, sum((a.c - b.c) * (a.c - b.c)) AS d FROM cen a JOIN cen b ON a.i = b.i AND a.cluster <> b.cluster WHERE a.cluster IN (FROM z) AND b.cluster IN (FROM z) GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY d, other) AS r, count(*) OVER (PARTITION BY cluster) AS n FROM d), m AS (SELECT *, greatest(1, floor(n * 0.25)) AS m FROM r)
+SELECT cluster, 'easy' AS difficulty, other FROM m WHERE r > n - m UNION ALL SELECT cluster, 'medium', other FROM m WHERE r <= m UNION ALL SELECT cluster, 'hard', other FROM m WHERE r = 1""")
+def intruder_pool(spark, sf):
+    return ev.intruder_pool(*_with_centers(spark, sf))
+
+
+def _texts(spark, sf):
+    d = read(spark, sf, "documents").where("lang = 'en'").select("doc_id", "text")
+    return points(spark, sf).join(d.withColumnRenamed("doc_id", "id"), "id").withColumn("doc_id", F.col("id") % 50)
+
+
+@query()
+def intrusion_examples(spark, sf):
+    p = _texts(spark, sf)
+    return ev.intrusion_examples(p, qu.centroids(p), 50).select("example_no", "cluster", "difficulty", "source_cluster", "answer", "ids")
+
+
+@query("SELECT d.doc_id, n_chars FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.doc_id IS NULL")
+def resume_antijoin(spark, sf):
+    from ..operators.enrichment import pending
+
+    return pending(read(spark, sf, "documents"), read(spark, sf, "labels"), "doc_id").select("doc_id", "n_chars")
+
+
+SAID = "c AS (SELECT conv_id, turn, role, '<think>' || text || '</think>' || chr(10) || '{\"prediction\": \"' || CASE turn % 3 WHEN 0 THEN 'causal' WHEN 1 THEN 'none' ELSE 'maybe' END || '\"}' AS said, text FROM conversations)"
+
+
+def _said(spark, sf):
+    label = F.element_at(F.array(*map(F.lit, ("causal", "none", "maybe"))), (F.col("turn") % 3 + 1).cast("int"))
+    return read(spark, sf, "conversations").withColumn("said", F.concat(F.lit("<think>"), "text", F.lit('</think>\n{"prediction": "'), label, F.lit('"}')))
+
+
+@query(f"WITH {SAID} SELECT conv_id, turn, md5(trim(text, ' ')) AS thought, substr(said, instr(said, '</think>') + 9) AS answer FROM c")
+def think_strip(spark, sf):
+    return _said(spark, sf).select("conv_id", "turn", F.md5(F.encode(fc.thinking("said"), "UTF-8")).alias("thought"), F.btrim(fc.answer("said"), F.lit(" \n")).alias("answer"))
+
+
+@query(f"WITH {SAID} SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'causal' WHEN 1 THEN 'none' END AS prediction FROM c")
+def llm_json(spark, sf):
+    x = fc.valid_json(fc.answer("said"), "prediction STRING", {"prediction": ["causal", "none"]})
+    return _said(spark, sf).select("conv_id", "turn", x["prediction"].alias("prediction"))
+
+
+def _constrained(spark, sf):
+    return points(spark, sf).join(_roles(spark, sf).select(F.col("chain_id").alias("id"), "keys", "signature"), "id", "left")
+
+
+@query()
+def kmeans(spark, sf):
+    return cl.kmeans(points(spark, sf), 10, n_init=2)[0]
+
+
+@query()
+def weighted_pckmeans(spark, sf):
+    return cl.weighted_pckmeans(_constrained(spark, sf), 10, 0.1, max_iter=5).assignment
+
+
+@query()
+def pckmeans_repair(spark, sf):
+    return cl.pckmeans_repair(_constrained(spark, sf), 10, max_iter=3).assignment
+
+
+@query()
+def cl_init(spark, sf):
+    return cl.constrained_seeds(_constrained(spark, sf), 10, 0.1).select("cluster", "id")
+
+
+SOFT = f"{ALL_DIST}, q AS (SELECT id, cluster, 1 / (1 + d2) AS r FROM ad), qq AS (SELECT id, cluster, r / sum(r) OVER (PARTITION BY id) AS q FROM q), p AS (SELECT *, q * q / sum(q) OVER (PARTITION BY cluster) AS w FROM qq)"
+
+
+@query(f"WITH {SOFT} SELECT id, CAST(cluster AS INTEGER) AS cluster, round(q, 6) AS q, round(w / sum(w) OVER (PARTITION BY id), 6) AS p FROM p")
+def soft_assignment(spark, sf):
+    out = cl.target_distribution(cl.soft_assignment(*_with_centers(spark, sf)))
+    return out.select("id", F.posexplode(F.arrays_zip("q", "p")).alias("cluster", "x")).select("id", "cluster", r6("x.q", "q"), r6("x.p", "p"))
+
+
+@query(f"WITH {CENTERS}, l AS (SELECT cluster, quantile_cont(d2, 0.5) AS t FROM dist GROUP BY 1) SELECT id, cluster, round(d2, 6) AS d2 FROM dist JOIN l USING (cluster) WHERE d2 <= t")
+def near_anchors(spark, sf):
+    return cl.near_anchors(*_with_centers(spark, sf), 0.5, -1.0).select("id", "cluster", r6("d2"))
+
+
+@query()
+def svo_extract(spark, sf):
+    lines = doc.number_sentences(_sentences(spark, sf).join(read(spark, sf, "documents").where("lang = 'en'").select("doc_id"), "doc_id", "left_semi"))
+    return sv.extract_svos(plugs.parse_sentences(lines))
+
+
+def _labelled_points(spark, sf):
+    return points(spark, sf).select(F.col("id").alias("doc_id"), "vector", F.concat(F.lit("c"), F.col("cluster").cast("string")).alias("frame"))
+
+
+@query()
+def frame_regression(spark, sf):
+    rows = sa.split(_labelled_points(spark, sf), {"train": 0.8, "test": 0.2}, "frame")
+    model = mo.fit_frames(rows.where("split = 'train'"), "frame", "vector", max_iter=100)
+    return qu.class_scores(model.predict(rows.where("split = 'test'")), "frame", "predicted")
+
+
+@query()
+def surrogates(spark, sf):
+    rows = _labelled_points(spark, sf)
+    model = mo.fit_frames(rows, "frame", "vector", max_iter=50)
+    told = model.predict(rows).select("doc_id", "vector", "probabilities").cache()
+    fitted = mo.fit_surrogate(told, "vector", "probabilities", len(model.labels)).predict(told)
+    cells = fitted.select(F.explode(F.arrays_zip("probabilities", "fitted")).alias("x")).select("x.probabilities", "x.fitted")
+    return qu.fidelity(cells, "probabilities", "fitted")
+
+
+@query()
+def frame_forest(spark, sf):
+    rows = sa.split(_labelled_points(spark, sf), {"train": 0.8, "test": 0.2}, "frame")
+    model = mo.fit_frames(rows.where("split = 'train'"), "frame", "vector", "forest", scale=False, trees=20)
+    return qu.class_scores(model.predict(rows.where("split = 'test'")), "frame", "predicted")
+
+
+CODES = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in FRAME_CODES.items())
+
+
+@query(f"SELECT position, f.name AS frame FROM (SELECT position, CAST(k % 17 AS VARCHAR) || '.' || CAST(k % 3 AS VARCHAR) AS code FROM ({MENTIONS})) m LEFT JOIN (VALUES {CODES}) f(code, name) USING (code)")
+def frame_code_lookup(spark, sf):
+    return mentions(spark, sf).select("position", fc.frame_name(F.concat((F.col("k") % 17).cast("string"), F.lit("."), (F.col("k") % 3).cast("string"))).alias("frame"))
