@@ -96,8 +96,8 @@ class Model:
         return {"E": k["x"].T @ dx, "e": dx.sum(0), "V": h.T @ dv, "U": h.T @ du, "w": (k["v"] * k["u"]).T @ ds, "c": k["z"].T @ d, "b": d.sum()}
 
 
-def fit(bags: list[np.ndarray], target: np.ndarray, *, hidden: int = 32, gate: int = 16, epochs: int = 30, batch: int = 64, rate: float = 3e-3, decay: float = 1e-4, seed: int = 7) -> Model:
-    """Adam on cross-entropy. Without rows, or of one class only, the score is the smoothed share of class 1."""
+def fit(bags: list[np.ndarray], target: np.ndarray, *, hidden: int = 32, gate: int = 16, epochs: int = 30, least_steps: int = 1500, batch: int = 64, rate: float = 3e-3, decay: float = 1e-4, seed: int = 7) -> Model:
+    """Adam on cross-entropy, for so many epochs, more if that makes too few steps. Without rows, or of one class only, the score is the smoothed share of class 1."""
     rng = np.random.default_rng(seed)
     every = np.concatenate(bags) if bags else np.zeros((1, FEATURES), np.float32)
     mean, scale = every.mean(0), every.std(0) + 1e-2
@@ -108,6 +108,7 @@ def fit(bags: list[np.ndarray], target: np.ndarray, *, hidden: int = 32, gate: i
     if len(set(target.tolist())) < 2:
         return model
     m, s, t = {k: 0 * v for k, v in p.items()}, {k: 0 * v for k, v in p.items()}, 0
+    epochs = max(epochs, -(-least_steps // -(-len(bags) // batch)))
     for epoch in range(epochs):
         order = rng.permutation(len(bags))
         step = rate * (1 - epoch / epochs)
