@@ -69,12 +69,16 @@ def valid_json(text: _Col, schema: str, enums: dict[str, list[str]] | None = Non
     for path, values in (enums or {}).items():
         if "[]." in path:
             array, name = path.split("[].")
-            ok = ok & s[array].isNotNull() & F.forall(s[array], lambda x, n=name, v=values: F.coalesce(x[n].isin(v), F.lit(False)))
+            ok = ok & s[array].isNotNull() & F.forall(s[array], _one_of(name, values))
         else:
             ok = ok & F.coalesce(s[path].isin(values), F.lit(False))
     return F.when(ok, s)
 
 
+def _one_of(name: str, values: list[str]):
+    return lambda x: F.coalesce(x[name].isin(values), F.lit(False))
+
+
 def words_of(text: _Col) -> Column:
     """Lower-cased words between white space, as Python's split gives them for ASCII white space."""
     return F.filter(F.split(F.lower(col(text)), r"[ \t\n\x0B\f\r]+", -1), lambda w: w != "")

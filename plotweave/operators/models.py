@@ -217,7 +217,9 @@ def permutation_importance(fitted: Frames, rows: DataFrame, label: str, names: l
     held = numbered(rows, F.xxhash64("doc_id"), "doc_id", name="_a").cache()
     for i, name in enumerate(names):
         other = numbered(rows.select("doc_id", F.get(fitted.column, F.lit(i)).alias("_v")), F.xxhash64("doc_id", F.lit(seed)), "doc_id", name="_a").select("_a", "_v")
-        mixed = held.join(other, "_a").withColumn(fitted.column, F.transform(F.col(fitted.column).cast("array<double>"), lambda x, k, i=i: F.when(k == i, F.col("_v").cast("double")).otherwise(x)))
+        own = F.col(fitted.column).cast("array<double>")
+        parts = [F.slice(own, 1, i), F.array(F.col("_v").cast("double")), F.slice(own, i + 2, len(names))]
+        mixed = held.join(other, "_a").withColumn(fitted.column, F.concat(*parts))
         out.append((name, base - hit(mixed)))
     return sorted(out, key=lambda x: (-x[1], x[0]))
 
