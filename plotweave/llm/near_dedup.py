@@ -146,7 +146,7 @@ class _Links:
     """Confirmed links between classes, found from candidates round by round."""
 
     def __init__(self, texts: DataFrame, near: Near, scratch: Scratch):
-        self.texts, self.near, self.scratch, self.round = texts, near, scratch, 0
+        self.texts, self.near, self.scratch, self.round, self.fresh = texts, near, scratch, 0, True
         self.tried = self.links = None
 
     def confirm(self, pairs: DataFrame) -> None:
@@ -165,6 +165,7 @@ class _Links:
         rows = members.unionByName(centres).join(self.texts, "id")
         rows = rows.repartition(parts(spark), "centre", "chunk").sortWithinPartitions("centre", "chunk", "member")
         found = scratch.write(rows.mapInArrow(_confirm(near), "x long, y long"), f"found{self.round}")
+        self.fresh = bool(found.limit(1).count())
         self.tried = pairs if self.tried is None else self.tried.unionByName(pairs)
         self.links = found if self.links is None else self.links.unionByName(found)
 
@@ -194,15 +195,17 @@ def near_classes(docs: DataFrame, near: Near, scratch: Scratch) -> tuple[DataFra
     stars = scratch.write(members.groupBy("bucket").agg(centre, F.count("*").alias("size")).select("bucket", F.col("centre.id").alias("centre"), F.col("centre.n").alias("centre_n"), "size"), "stars")
     links.confirm(hot_join(members.select("bucket", "id", "n"), stars, ["bucket"], "size").where("id <> centre").where(alike(F.col("n"), F.col("centre_n"))))
 
-    done, wave = None, 4
+    done, wave, first = None, 4, True
     while True:
         step = links.round
-        roots = components(links.links, scratch, f"components{step}")
-        placed = scratch.write(members.select("bucket", "id", "n", "size").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), f"placed{step}")
-        groups = scratch.write(placed.groupBy("bucket", "root").agg(F.count("*").alias("here")), f"groups{step}")
-        mixed = groups.groupBy("bucket").agg(F.max(F.struct("here", "root")).alias("top"), F.count("*").alias("n_groups"), F.sum("here").alias("size"))
-        mixed = scratch.write(mixed.where("n_groups > 1").select("bucket", F.col("top.root").alias("top"), (F.col("size") - F.col("top.here")).alias("outside"), "size"), f"mixed{step}")
-        open_ = scratch.write(hot_join(placed.drop("size"), mixed, ["bucket"], "size"), f"open{step}")
+        if links.fresh or first:  # else all stands as it did
+            first = False
+            roots = components(links.links, scratch, f"components{step}")
+            placed = scratch.write(members.select("bucket", "id", "n", "size").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), f"placed{step}")
+            groups = placed.groupBy("bucket", "root").agg(F.count("*").alias("here"))
+            mixed = groups.groupBy("bucket").agg(F.max(F.struct("here", "root")).alias("top"), F.count("*").alias("n_groups"), F.sum("here").alias("size"))
+            mixed = scratch.write(mixed.where("n_groups > 1").select("bucket", F.col("top.root").alias("top"), (F.col("size") - F.col("top.here")).alias("outside"), "size"), f"mixed{step}")
+            open_ = scratch.write(hot_join(placed.drop("size"), mixed, ["bucket"], "size"), f"open{step}")
         centres = open_.where("root <> top").select("bucket", "id", "n", "root", "outside")
         if done is not None:
             centres = centres.join(done, ["bucket", "id"], "left_anti")

@@ -472,3 +472,19 @@ def test_html_held_out_pages():
         nodes = html_text.parse(page.replace(" k=1", ""))
         right.append(html_text.blocks(nodes, html_text.decode(nodes, trees.log_odds(html_text.features([nodes])))) == html_text.blocks(nodes, marks))
     assert sum(right) / len(right) > 0.9
+
+
+@pytest.mark.parametrize("local", [0, 3, 10**6])
+def test_components(spark, local):
+    from plotweave.llm.components import components
+    from plotweave.llm.scratch import Scratch
+
+    r = random.Random(8)
+    links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(r.randrange(200, 260), r.randrange(200, 260)) for _ in range(40)]
+    root = {x: x for link in links for x in link if link[0] != link[1]}
+    for _ in links:
+        for a, b in links:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    got = components(spark.createDataFrame(links, "x long, y long"), Scratch(spark, "t"), "c", local)
+    assert {r.id: r.root for r in got.collect()} == root
