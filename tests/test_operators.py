@@ -396,3 +396,36 @@ def test_entry_without_the_training_data_part():
     import __spark_entry__ as e
 
     assert "centroid_topk" in e.queries() and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_mention_features(spark):
+    from plotweave.operators import features as fe
+
+    sentences = spark.createDataFrame([(1, ["dogs", "chased", "the", "cat"])], "sent_id long, tokens array<string>")
+    svos = spark.sql("SELECT 1L sent_id, 0 svo_id, named_struct('text', 'dogs', 'idx', array(0)) subj, named_struct('lemma', '!chase', 'idx', 1, 'negated', true) verb, named_struct('text', 'the cat', 'idx', array(2, 3)) obj, 'cat' obj_head, 3 obj_head_index")
+    verbs, none = spark.createDataFrame([("chase",)], "term string"), spark.createDataFrame([], "term string")
+    got = fe.mention_features(svos, sentences, verbs, none).first()
+    assert got.verb == "chase" and not got.all_salient and len(got.verb_vec) == 64
+    assert [x.tok for x in got.obj_exp] == ["chased", "dogs", "the"]
+    assert fe.mention_features(svos, sentences, none, none).count() == 0
+    parts = {r.part: [x.tok for x in r.expansion] for r in fe.phrase_features(svos, sentences).collect()}
+    assert parts == {"subj": ["cat", "chased", "the"], "verb": ["cat", "dogs", "the"], "obj": ["chased", "dogs"]}
+
+
+def test_refining_an_encoder(spark):
+    from plotweave.operators import features as fe
+
+    rows = [(i, f"word{i % 2} extra{i % 5}", "g", f"g={i % 2}") for i in range(40)]
+    chains = spark.createDataFrame(rows, "id long, text string, keys string, signature string")
+    seen = []
+    got = fe.refine(chains, 2, 0.5, lambda make, pairs: (seen.append(pairs.columns), make)[1], rounds=2, max_iter=3)
+    assert len(got.history) == len(seen) == 2 and got.purity == max(p for p, _ in got.history)
+    assert got.fit.assignment.count() == 40
+
+
+def test_classifier_plug(spark):
+    from plotweave.operators import features as fe
+
+    rows = spark.createDataFrame([(1, "aa"), (2, None)], "k long, t string")
+    got = fe.classify(rows, "k", "t", lambda: lambda ts: [[float(len(t) > 0), float(not t)] for t in ts], ["full", "empty"]).collect()
+    assert [(r.k, r.predicted) for r in got] == [(1, "full"), (2, "empty")]
