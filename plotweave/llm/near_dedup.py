@@ -27,6 +27,8 @@ _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 _CACHED_WORDS = 1_000_000
 #: Members compared with one centre in one group.
 CHUNK = 256
+#: Groups of hashes whose sizes bound from above what two sets have in common.
+GROUPS = 128
 
 
 @dataclass(frozen=True)
@@ -70,6 +72,26 @@ def shingles(text: str, k: int) -> np.ndarray:
     return np.unique(x)
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """How many hashes fall into each group, 16 bits each. No two sets share more than the sum of their smaller counts, and
+    a count that doesn't fit is as large as can be."""
+    counts = np.bincount((hashes % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS)
+    return np.minimum(counts, 65535).astype(np.uint16).tobytes()
+
+
+def _may_link(percent: int):
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs that can reach the similarity at all, by their sketches. Sets too large for a sketch always can."""
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint16).reshape(-1, GROUPS) for c in ("sa", "sb"))
+            m, n = (batch[c].to_numpy() for c in ("na", "nb"))
+            most = np.minimum(a, b).sum(1, dtype=np.int64)
+            ok = (100 * most >= percent * (m + n - most)) | (a == 65535).any(1) | (b == 65535).any(1)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in (batch["centre"], batch["id"])], ["centre", "id"])
+
+    return keep
+
+
 class Signer:
     """Band keys of a set by one-permutation hashing."""
 
@@ -104,18 +126,19 @@ def _sign(near: Near):
 
         signer = Signer(near)
         for batch in batches:
-            sizes, digests, keys = [], [], []
+            sizes, digests, keys, sketches = [], [], [], []
             for text in batch["text"]:
                 s = shingles(text.as_py(), near.words)
                 raw = s.tobytes()
                 sizes.append(len(s))
                 digests.append((np.uint64(xxhash.xxh3_64_intdigest(raw)).view(np.int64), np.uint64(xxhash.xxh64_intdigest(raw)).view(np.int64)))
+                sketches.append(sketch(s))
                 keys.append(signer.keys(s).view(np.int64) if len(s) else np.zeros(0, np.int64))
             offsets = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
             out = batch.drop_columns(["text"])
             d = [pa.array([int(x[i]) for x in digests], pa.int64()) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(sizes, pa.int64()), *d, bands], [*out.schema.names, "n", "d1", "d2", "bands"])
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(sizes, pa.int64()), *d, bands, pa.array(sketches, pa.binary())], [*out.schema.names, "n", "d1", "d2", "bands", "sketch"])
 
     return sign
 
@@ -150,10 +173,11 @@ class _Links:
         self.tried = self.links = None
 
     def confirm(self, pairs: DataFrame) -> None:
-        """pairs: centre, id."""
+        """pairs: centre, id, and of both the size and sketch (na, sa, nb, sb). Most that can't be links go by their sketches,
+        before they are shuffled and before any text moves."""
         near, scratch, spark = self.near, self.scratch, self.texts.sparkSession
         self.round += 1
-        pairs = pairs.select("centre", "id").distinct()
+        pairs = pairs.select("centre", "id", "na", "sa", "nb", "sb").mapInArrow(_may_link(near.percent), "centre long, id long").distinct()
         if self.tried is not None:
             back = self.tried.select(F.col("id").alias("centre"), F.col("centre").alias("id"))
             pairs = pairs.join(self.tried, ["centre", "id"], "left_anti").join(back, ["centre", "id"], "left_anti")
@@ -175,15 +199,16 @@ def near_classes(docs: DataFrame, near: Near, scratch: Scratch) -> tuple[DataFra
     text = text_of()
     keyed = docs.select("doc_id", F.xxhash64(text).alias("t1"), F.xxhash64(text, F.lit(1)).alias("t2"), text.alias("text"))
     kind = dict(docs.dtypes)["doc_id"]
-    rows = scratch.write(keyed.mapInArrow(_sign(near), f"doc_id {kind}, t1 long, t2 long, n long, d1 long, d2 long, bands array<long>"), "rows")
-    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "t1", "t2", "n", "bands")).alias("best")
+    rows = scratch.write(keyed.mapInArrow(_sign(near), f"doc_id {kind}, t1 long, t2 long, n long, d1 long, d2 long, bands array<long>, sketch binary"), "rows")
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "t1", "t2", "n", "bands", "sketch")).alias("best")
     classes = rows.where("n > 0").groupBy("d1", "d2").agg(best, F.count("*").alias("count"))
-    classes = scratch.write(classes.select("d1", "d2", "count", "best.doc_id", "best.t1", "best.t2", "best.n", "best.bands", F.monotonically_increasing_id().alias("id")), "classes")
+    classes = scratch.write(classes.select("d1", "d2", "count", "best.doc_id", "best.t1", "best.t2", "best.n", "best.bands", "best.sketch", F.monotonically_increasing_id().alias("id")), "classes")
+    # Sketches stay out of the tables that are shuffled by bucket until buckets of one member are gone.
     banded = classes.select("id", "n", F.posexplode("bands").alias("band", "key")).select("id", "n", F.xxhash64("band", "key").alias("bucket"))
     buckets = scratch.write(banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
     sized = scratch.write(hot_join(banded, buckets, ["bucket"], "size"), "sized")
     shared = sized.groupBy("id").agg(F.sum("size").alias("shared"))
-    members = scratch.write(sized.join(shared, "id"), "members")
+    members = scratch.write(sized.join(shared.join(classes.select("id", "sketch"), "id"), "id"), "members")
     chosen = classes.select("id", F.col("doc_id").alias("its_id"), F.col("t1").alias("its_t1"), F.col("t2").alias("its_t2")).join(shared.select("id"), "id")
     same = F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.col("t1") == F.col("its_t1")) & (F.col("t2") == F.col("its_t2"))
     texts = scratch.write(keyed.join(chosen, same).select("id", "text").dropDuplicates(["id"]), "texts")
@@ -191,9 +216,11 @@ def near_classes(docs: DataFrame, near: Near, scratch: Scratch) -> tuple[DataFra
     links, percent = _Links(texts, near, scratch), near.percent
     alike = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
-    centre = F.max_by(F.struct("id", "n"), F.struct("shared", -F.col("id"))).alias("centre")
-    stars = scratch.write(members.groupBy("bucket").agg(centre, F.count("*").alias("size")).select("bucket", F.col("centre.id").alias("centre"), F.col("centre.n").alias("centre_n"), "size"), "stars")
-    links.confirm(hot_join(members.select("bucket", "id", "n"), stars, ["bucket"], "size").where("id <> centre").where(alike(F.col("n"), F.col("centre_n"))))
+    centre = F.max_by(F.struct("id", "n", "sketch"), F.struct("shared", -F.col("id"))).alias("c")
+    stars = members.groupBy("bucket").agg(centre, F.count("*").alias("size")).select("bucket", "c", "size")
+    stars = scratch.write(stars, "stars")
+    both = lambda df: df.select(F.col("c.id").alias("centre"), "id", F.col("c.n").alias("na"), F.col("c.sketch").alias("sa"), F.col("n").alias("nb"), F.col("sketch").alias("sb")).where(alike(F.col("na"), F.col("nb")))
+    links.confirm(both(hot_join(members.select("bucket", "id", "n", "sketch"), stars, ["bucket"], "size").where("id <> c.id")))
 
     done, wave, first = None, 4, True
     while True:
@@ -201,12 +228,12 @@ def near_classes(docs: DataFrame, near: Near, scratch: Scratch) -> tuple[DataFra
         if links.fresh or first:  # else all stands as it did
             first = False
             roots = components(links.links, scratch, f"components{step}")
-            placed = scratch.write(members.select("bucket", "id", "n", "size").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), f"placed{step}")
+            placed = scratch.write(members.select("bucket", "id", "n", "sketch", "size").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), f"placed{step}")
             groups = placed.groupBy("bucket", "root").agg(F.count("*").alias("here"))
             mixed = groups.groupBy("bucket").agg(F.max(F.struct("here", "root")).alias("top"), F.count("*").alias("n_groups"), F.sum("here").alias("size"))
             mixed = scratch.write(mixed.where("n_groups > 1").select("bucket", F.col("top.root").alias("top"), (F.col("size") - F.col("top.here")).alias("outside"), "size"), f"mixed{step}")
             open_ = scratch.write(hot_join(placed.drop("size"), mixed, ["bucket"], "size"), f"open{step}")
-        centres = open_.where("root <> top").select("bucket", "id", "n", "root", "outside")
+        centres = open_.where("root <> top").select("bucket", "id", "n", "root", "sketch", "outside")
         if done is not None:
             centres = centres.join(done, ["bucket", "id"], "left_anti")
         share = F.pmod(F.xxhash64("id", "bucket"), F.lit(1 << 20)) * F.col("outside")
@@ -216,11 +243,10 @@ def near_classes(docs: DataFrame, near: Near, scratch: Scratch) -> tuple[DataFra
             break
         done = now.select("bucket", "id") if done is None else done.unionByName(now.select("bucket", "id"))
         wave *= 8
-        listed = now.groupBy("bucket").agg(F.collect_list(F.struct("id", "n", "root")).alias("centres")).join(mixed.select("bucket", "size"), "bucket")
+        listed = now.groupBy("bucket").agg(F.collect_list(F.struct("id", "n", "root", "sketch")).alias("centres")).join(mixed.select("bucket", "size"), "bucket")
         listed = scratch.write(listed, f"listed{step}")
-        pairs = hot_join(open_.select("bucket", "id", "n", "root"), listed, ["bucket"], "size").select("id", "n", "root", F.explode("centres").alias("c"))
-        pairs = pairs.where("root <> c.root").where(alike(F.col("n"), F.col("c.n"))).select(F.col("c.id").alias("centre"), "id")
-        links.confirm(pairs.select(F.greatest("centre", "id").alias("id"), F.least("centre", "id").alias("centre")))
+        pairs = hot_join(open_.select("bucket", "id", "n", "root", "sketch"), listed, ["bucket"], "size").select("id", "n", "root", "sketch", F.explode("centres").alias("c"))
+        links.confirm(both(pairs.where("root <> c.root")))
 
     grouped = scratch.write(classes.select("d1", "d2", "count", "id", "doc_id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "grouped")
     tops = scratch.write(grouped.groupBy("root").agg(F.min("doc_id").alias("component"), F.count("*").alias("size")), "tops")
