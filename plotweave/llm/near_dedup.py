@@ -92,6 +92,36 @@ def _may_link(percent: int):
     return keep
 
 
+def _compare(percent: int):
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by bucket and chunk, the centres first: pairs of centre and member, of different components, that
+        can reach the similarity by their sketches. Sets too large for a sketch always can."""
+        key, held, table = None, [], None
+        for batch in batches:
+            xs, ys = [], []
+            for bucket, chunk, member, node, n, root, raw in zip(*(batch[c].to_pylist() for c in ("bucket", "chunk", "member", "id", "n", "root", "sketch"))):
+                if key != (bucket, chunk):
+                    key, held, table = (bucket, chunk), [], None
+                if not member:
+                    held.append((node, n, root, raw))
+                    continue
+                if not held:
+                    continue
+                if table is None:
+                    ids, sizes, roots = (np.array([x[i] for x in held], np.int64) for i in range(3))
+                    table = np.frombuffer(b"".join(x[3] for x in held), np.uint16).reshape(-1, GROUPS)
+                own = np.frombuffer(raw, np.uint16)
+                most = np.minimum(table, own).sum(1, dtype=np.int64)
+                ok = (100 * most >= percent * (sizes + n - most)) | (table == 65535).any(1) | (own == 65535).any()
+                ok &= (roots != root) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n))
+                if ok.any():
+                    xs += ids[ok].tolist()
+                    ys += [node] * int(ok.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], ["centre", "id"])
+
+    return compare
+
+
 class Signer:
     """Band keys of a set by one-permutation hashing."""
 
@@ -173,11 +203,10 @@ class _Links:
         self.tried = self.links = None
 
     def confirm(self, pairs: DataFrame) -> None:
-        """pairs: centre, id, and of both the size and sketch (na, sa, nb, sb). Most that can't be links go by their sketches,
-        before they are shuffled and before any text moves."""
+        """pairs: centre, id; those that can't be links by their sketches are gone before any text moves."""
         near, scratch, spark = self.near, self.scratch, self.texts.sparkSession
         self.round += 1
-        pairs = pairs.select("centre", "id", "na", "sa", "nb", "sb").mapInArrow(_may_link(near.percent), "centre long, id long").distinct()
+        pairs = pairs.select("centre", "id").distinct()
         if self.tried is not None:
             back = self.tried.select(F.col("id").alias("centre"), F.col("centre").alias("id"))
             pairs = pairs.join(self.tried, ["centre", "id"], "left_anti").join(back, ["centre", "id"], "left_anti")
@@ -220,7 +249,7 @@ def near_classes(docs: DataFrame, near: Near, scratch: Scratch) -> tuple[DataFra
     stars = members.groupBy("bucket").agg(centre, F.count("*").alias("size")).select("bucket", "c", "size")
     stars = scratch.write(stars, "stars")
     both = lambda df: df.select(F.col("c.id").alias("centre"), "id", F.col("c.n").alias("na"), F.col("c.sketch").alias("sa"), F.col("n").alias("nb"), F.col("sketch").alias("sb")).where(alike(F.col("na"), F.col("nb")))
-    links.confirm(both(hot_join(members.select("bucket", "id", "n", "sketch"), stars, ["bucket"], "size").where("id <> c.id")))
+    links.confirm(both(hot_join(members.select("bucket", "id", "n", "sketch"), stars, ["bucket"], "size").where("id <> c.id")).mapInArrow(_may_link(percent), "centre long, id long"))
 
     done, wave, first = None, 4, True
     while True:
@@ -243,10 +272,14 @@ def near_classes(docs: DataFrame, near: Near, scratch: Scratch) -> tuple[DataFra
             break
         done = now.select("bucket", "id") if done is None else done.unionByName(now.select("bucket", "id"))
         wave *= 8
-        listed = now.groupBy("bucket").agg(F.collect_list(F.struct("id", "n", "root", "sketch")).alias("centres")).join(mixed.select("bucket", "size"), "bucket")
-        listed = scratch.write(listed, f"listed{step}")
-        pairs = hot_join(open_.select("bucket", "id", "n", "root", "sketch"), listed, ["bucket"], "size").select("id", "n", "root", "sketch", F.explode("centres").alias("c"))
-        links.confirm(both(pairs.where("root <> c.root")))
+        # A bucket's members are dealt to chunks, and its centres sent to each chunk; only pairs that may be links come out.
+        chosen = now.groupBy("bucket").agg(F.count("*").alias("_c")).join(mixed.select("bucket", "size"), "bucket")
+        chosen = scratch.write(chosen.select("bucket", "size", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks")), f"chosen{step}")
+        cols = ["bucket", "id", "n", "root", "sketch"]
+        dealt = hot_join(open_.select(*cols), chosen, ["bucket"], "size").select(*cols, F.pmod(F.xxhash64("id"), "chunks").cast("int").alias("chunk"), F.lit(True).alias("member"))
+        sent = now.join(chosen, "bucket").select(*cols, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(False).alias("member"))
+        rows_ = dealt.unionByName(sent).repartition(parts(docs.sparkSession), "bucket", "chunk").sortWithinPartitions("bucket", "chunk", "member")
+        links.confirm(rows_.mapInArrow(_compare(percent), "centre long, id long"))
 
     grouped = scratch.write(classes.select("d1", "d2", "count", "id", "doc_id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "grouped")
     tops = scratch.write(grouped.groupBy("root").agg(F.min("doc_id").alias("component"), F.count("*").alias("size")), "tops")
