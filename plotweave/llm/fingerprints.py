@@ -1,8 +1,8 @@
 """Document fingerprints by context-triggered piecewise hashing, and their likeness.
 
 A hash of the last seven bytes decides where chunks end; each chunk gives one character. The block size, a power of two,
-is chosen by length, and a fingerprint has the signatures at that size and at twice it, "size:signature:signature". Two
-fingerprints are compared by edit distance (insertions and deletions) at a block size that both have.
+is chosen by length and halved while it gives too few ends; a fingerprint has the signatures at that size and at twice it,
+"size:signature:signature". Two fingerprints are compared by edit distance (insertions and deletions) at a block size that both have.
 """
 
 from __future__ import annotations
@@ -48,6 +48,10 @@ def _rolling(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def _ends(h: np.ndarray, size: int) -> np.ndarray:
+    return np.flatnonzero((h & np.uint32(size - 1)) == size - 1) + 1
+
+
 def _signature(ends: np.ndarray, prefix: np.ndarray, down: np.ndarray, n: int) -> str:
     if not len(ends) or ends[-1] != n:
         ends = np.append(ends, n)
@@ -70,17 +74,29 @@ def fingerprint(data: bytes) -> str:
     block = LEAST_BLOCK
     while block * WANTED < n:
         block *= 2
-    at = np.flatnonzero((h & np.uint32(LEAST_BLOCK - 1)) == LEAST_BLOCK - 1) if block == LEAST_BLOCK else np.flatnonzero((h & np.uint32(block // 2 - 1)) == block // 2 - 1)
-    level = h[at]
-    ends = at + 1
-    pick = lambda size: ends[(level & np.uint32(size - 1)) == size - 1]
-    if block > LEAST_BLOCK and len(pick(block)) < WANTED // 2:
+    ends = _ends(h, max(LEAST_BLOCK, block // 2))
+    pick = lambda size: ends[(h[ends - 1] & np.uint32(size - 1)) == size - 1]
+    while block > LEAST_BLOCK and len(pick(block)) < WANTED // 2:
         block //= 2
+        if block > LEAST_BLOCK and len(ends) < WANTED // 2:
+            ends = _ends(h, block // 2)
     return f"{block}:{_signature(pick(block), prefix, down, n)}:{_signature(pick(2 * block), prefix, down, n)}"
 
 
+def _shared(a: str, b: str) -> int:
+    """Length of the common prefix, found by halving."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        at = (low + high + 1) // 2
+        low, high = (at, high) if a[low:at] == b[low:at] else (low, at - 1)
+    return low
+
+
 def _common(a: str, b: str) -> int:
-    """Length of the longest common subsequence, all of a row's cells at once in one integer."""
+    """Length of the longest common subsequence, all of a row's cells at once in one integer, without what both begin with."""
+    same = _shared(a, b)
+    if same:
+        return same + _common(a[same:], b[same:])
     masks: dict[str, int] = {}
     for i, c in enumerate(a):
         masks[c] = masks.get(c, 0) | 1 << i
@@ -92,7 +108,9 @@ def _common(a: str, b: str) -> int:
     return len(a) - v.bit_count()
 
 
-def _near(a: str, b: str) -> float:
+def _near(a: str, b: str, size: int) -> float:
+    if size > 2 * LEAST_BLOCK and min(len(a), len(b)) < GRAM:
+        return 0.0  # repetitive texts without ends at this size; their few characters agree by chance
     if a == b:
         return 1.0
     k = min(GRAM, len(a), len(b))
@@ -108,10 +126,10 @@ def likeness(a: str, b: str) -> float:
     (p, a1, a2), (q, b1, b2) = a.split(":"), b.split(":")
     p, q = int(p), int(q)
     if p == q:
-        return max(_near(a1, b1), _near(a2, b2))
+        return max(_near(a1, b1, p), _near(a2, b2, 2 * p))
     if q == 2 * p:
-        return _near(a2, b1)
-    return _near(a1, b2) if p == 2 * q else 0.0
+        return _near(a2, b1, q)
+    return _near(a1, b2, p) if p == 2 * q else 0.0
 
 
 _OUT = [("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,6 +165,31 @@ def test_fingerprint_by_bytes():
         assert fingerprints._common(a, b) == table[-1][-1]
 
 
+def test_repetitive_texts_keep_halving():
+    """Few distinct windows: the block is halved until it gives enough ends, and one character at twice it says nothing."""
+    r, halvings, marks = random.Random(11), [], []
+    for k in (2, 5, 9, 20, 40) * 6:
+        phrase = " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8))) for _ in range(k)) + ". "
+        data = (phrase * (14000 // len(phrase) + 1)).encode()
+        h = fingerprints._rolling(np.frombuffer(data, np.uint8)).tolist()
+        ends = lambda size: sum(x % size == size - 1 for x in h)
+        first = block = 4
+        while block * 64 < len(data):
+            first = block = block * 2
+        while block > 4 and ends(block) < 32:
+            block //= 2
+        size, one, two = fingerprints.fingerprint(data).split(":")
+        last = lambda s: h[-1] % s != s - 1
+        assert (int(size), len(one), len(two)) == (block, ends(block) + last(block), ends(2 * block) + last(2 * block))
+        halvings.append((first // block).bit_length() - 1)
+        marks.append((size, one, two))
+    assert max(halvings) > 2
+    for size, one, two in marks:
+        for _, other, _ in marks:
+            if int(size) > 8 and len(two) < 4 and one != other and set(one).isdisjoint(other):
+                assert fingerprints.likeness(f"{size}:{one}:{two}", f"{size}:{other}:{two}") == 0
+
+
 def test_likeness_tells_edits_from_others():
     r = random.Random(9)
     say = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n)).encode()
