@@ -562,17 +562,17 @@ def _constrained(spark, sf):
 
 @query()
 def kmeans(spark, sf):
-    return cl.kmeans(points(spark, sf), 10, n_init=2)[0]
+    return cl.kmeans(points(spark, sf), 10)[0]
 
 
 @query()
 def weighted_pckmeans(spark, sf):
-    return cl.weighted_pckmeans(_constrained(spark, sf), 10, 0.1, max_iter=5).assignment
+    return cl.weighted_pckmeans(_constrained(spark, sf), 10, 0.1).assignment
 
 
 @query()
 def pckmeans_repair(spark, sf):
-    return cl.pckmeans_repair(_constrained(spark, sf), 10, max_iter=3).assignment
+    return cl.pckmeans_repair(_constrained(spark, sf), 10).assignment
 
 
 @query()
@@ -607,14 +607,14 @@ def _labelled_points(spark, sf):
 @query()
 def frame_regression(spark, sf):
     rows = sa.split(_labelled_points(spark, sf), {"train": 0.8, "test": 0.2}, "frame")
-    model = mo.fit_frames(rows.where("split = 'train'"), "frame", "vector", max_iter=100)
+    model = mo.fit_frames(rows.where("split = 'train'"), "frame", "vector")
     return qu.class_scores(model.predict(rows.where("split = 'test'")), "frame", "predicted")
 
 
 @query()
 def surrogates(spark, sf):
     rows = _labelled_points(spark, sf)
-    model = mo.fit_frames(rows, "frame", "vector", max_iter=50)
+    model = mo.fit_frames(rows, "frame", "vector")
     told = model.predict(rows).select("doc_id", "vector", "probabilities").cache()
     fitted = mo.fit_surrogate(told, "vector", "probabilities", len(model.labels)).predict(told)
     cells = fitted.select(F.explode(F.arrays_zip("probabilities", "fitted")).alias("x")).select("x.probabilities", "x.fitted")
@@ -624,7 +624,7 @@ def surrogates(spark, sf):
 @query()
 def frame_forest(spark, sf):
     rows = sa.split(_labelled_points(spark, sf), {"train": 0.8, "test": 0.2}, "frame")
-    model = mo.fit_frames(rows.where("split = 'train'"), "frame", "vector", "forest", scale=False, trees=20)
+    model = mo.fit_frames(rows.where("split = 'train'"), "frame", "vector", "forest", scale=False)
     return qu.class_scores(model.predict(rows.where("split = 'test'")), "frame", "predicted")
 
 

@@ -1,10 +1,12 @@
 """Every query with SQL against DuckDB on the smallest tables; the others against what must hold of them."""
 
+import inspect
 import os
 
 import duckdb
 import pytest
 
+from plotweave.operators import clusters as cl, models as mo
 from plotweave.plans.catalogue import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -57,6 +59,21 @@ def test_clusterings(spark):
     assert QUERIES["cl_init"](spark, SF).select("id").distinct().count() == 10
 
 
+@pytest.mark.parametrize("operator, name", [(cl.kmeans, "kmeans"), (cl.weighted_pckmeans, "weighted_pckmeans"), (cl.pckmeans_repair, "pckmeans_repair"), (mo.fit_frames, "frame_regression"), (mo.fit_frames, "surrogates"), (mo.fit_frames, "frame_forest")])
+def test_fits_run_to_the_operators_own_limits(spark, monkeypatch, operator, name):
+    given = {}
+
+    def stop(*args, **options):
+        given.update(inspect.signature(operator).bind(*args, **options).arguments)
+        raise InterruptedError
+
+    monkeypatch.setattr(inspect.getmodule(operator), operator.__name__, stop)
+    with pytest.raises(InterruptedError):
+        QUERIES[name](spark, SF)
+    options = {**given, **given.get("options", {})}
+    assert not {"max_iter", "n_init", "trees", "patience", "tol"} & set(options)
+
+
 def test_models_run(spark):
     assert 0 <= QUERIES["frame_regression"](spark, SF).first().accuracy <= 1
     assert QUERIES["surrogates"](spark, SF).first().mse < 0.05
