@@ -17,12 +17,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .scratch import parts, ready, table, text_of
+from .scratch import Scratch, parts, ready, table, text_of
 from .token_counts import path_of
 
 TOKENIZER, WINDOW, END_ID = "word_bpe_49k.json", 2048, 1
 #: Remainders packed together, about: as many as fit in a worker's memory with their ids.
 SHARD_ROWS = 3000
+#: In order, at least so many shards that have as many rows each; more only where SHARD_ROWS asks for them.
+ORDERED_SHARDS = 64
 #: Room in a window that is left as padding instead of cutting another document.
 LEAST_GAP = 8
 #: Words whose ids a worker remembers.
@@ -157,7 +159,7 @@ def plan(lengths: list[int], window: int = WINDOW, least_gap: int = LEAST_GAP) -
     return out
 
 
-def _cut(name: str, window: int):
+def _cut(name: str, window: int, keys: list[str]):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from plotweave.llm.packing import encoder
 
@@ -177,50 +179,60 @@ def _cut(name: str, window: int):
                     pieces.append(piece.tobytes())
                     size += piece.nbytes
                 if size > 8 << 20:
-                    yield _pieces(batch, rows, starts, lengths, totals, pieces)
+                    yield _pieces(batch, keys, rows, starts, lengths, totals, pieces)
                     rows, starts, lengths, totals, pieces, size = [], [], [], [], [], 0
-            yield _pieces(batch, rows, starts, lengths, totals, pieces)
+            yield _pieces(batch, keys, rows, starts, lengths, totals, pieces)
 
     return cut
 
 
-def _pieces(batch: pa.RecordBatch, rows: list, starts: list, lengths: list, totals: list, pieces: list) -> pa.RecordBatch:
-    own = batch.select(["shard", "doc_id"]).take(pa.array(rows, pa.int64()))
-    return pa.RecordBatch.from_arrays([*own.columns, pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(totals, pa.int64()), pa.array(pieces, pa.binary())], ["shard", "doc_id", "start", "length", "doc_tokens", "ids"])
+def _pieces(batch: pa.RecordBatch, keys: list[str], rows: list, starts: list, lengths: list, totals: list, pieces: list) -> pa.RecordBatch:
+    own = batch.select(keys).take(pa.array(rows, pa.int64()))
+    return pa.RecordBatch.from_arrays([*own.columns, pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(totals, pa.int64()), pa.array(pieces, pa.binary())], [*keys, "start", "length", "doc_tokens", "ids"])
 
 
-def _pack(name: str, window: int, least_gap: int):
+def _pack(name: str, window: int, least_gap: int, ordered: bool):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by shard. Full windows go on at once; the remainders of a shard are held until it ends."""
+        """Rows come sorted by shard. Full windows go on at once; the remainders of a shard are held until it ends.
+
+        Ordered: a sequence's number within its shard begins with the rank of its document, or of its ids' mean document.
+        """
         from plotweave.llm.packing import encoder
 
         width = encoder(name)("").dtype.itemsize
         shard, n_full, held, full, kind = None, 0, [], [], None
         for batch in batches:
             kind = batch.schema.field("doc_id").type
-            for row in zip(*(batch[c].to_pylist() for c in ("shard", "doc_id", "start", "length", "doc_tokens", "ids"))):
+            for row in zip(*(batch[c].to_pylist() for c in ("shard", "doc_id", "start", "length", "doc_tokens", "ids", *(["rank"] if ordered else [])))):
                 if row[0] != shard:
-                    yield from _placed(shard, held, window, least_gap, width, kind)
+                    yield from _placed(shard, held, window, least_gap, width, kind, ordered)
                     shard, n_full, held = row[0], 0, []
                 if row[3] < window:
                     held.append(row[1:])
                     continue
                 n_full += 1
-                full.append((*row[1:], (shard << 33) + (1 << 32) + n_full, 0))
+                number = (row[6] << 21) + row[2] // window if ordered else (1 << 32) + n_full
+                full.append((*row[1:6], (shard << 33) + number, 0))
                 if len(full) == 1000:
                     yield _placed_batch(full, width, kind)
                     full = []
-        yield from _placed(shard, held, window, least_gap, width, kind)
+        yield from _placed(shard, held, window, least_gap, width, kind, ordered)
         if full:
             yield _placed_batch(full, width, kind)
 
     return pack
 
 
-def _placed(shard, held: list, window: int, least_gap: int, width: int, kind) -> Iterator[pa.RecordBatch]:
-    rows = []
-    for i, first, n, sequence, offset in plan([x[2] for x in held], window, least_gap):
-        doc_id, start, _, total, ids = held[i]
+def _placed(shard, held: list, window: int, least_gap: int, width: int, kind, ordered: bool) -> Iterator[pa.RecordBatch]:
+    rows, planned = [], plan([x[2] for x in held], window, least_gap)
+    weights: dict[int, tuple[int, int]] = {}  # by sequence: ids, ranks summed over ids
+    for i, _, n, sequence, _ in planned if ordered else []:
+        a, b = weights.get(sequence, (0, 0))
+        weights[sequence] = a + n, b + n * held[i][5]
+    for i, first, n, sequence, offset in planned:
+        doc_id, start, _, total, ids = held[i][:5]
+        if ordered:
+            sequence += (weights[sequence][1] // weights[sequence][0] << 21) + (1 << 20)
         rows.append((doc_id, start + first, n, total, ids[first * width : (first + n) * width], (shard << 33) + sequence, offset))
         if len(rows) == 1000:
             yield _placed_batch(rows, width, kind)
@@ -236,23 +248,53 @@ def _placed_batch(rows: list, width: int, kind) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.binary()), *(pa.array([x[i] for x in rows], long) for i in (5, 6))], ["doc_id", "start", "length", "doc_tokens", "ids", "sequence_id", "offset"])
 
 
-def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, window: int = WINDOW, least_gap: int = LEAST_GAP) -> DataFrame:
+def _written(docs: DataFrame) -> DataFrame:
+    """docs as Parquet files whose names and rows have its order."""
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+        return docs
+    return Scratch(docs.sparkSession, "packing").write(docs, "docs")
+
+
+def _ranked(docs: DataFrame) -> DataFrame:
+    """shard, rank (within the shard), doc_id, text of written docs, dealt by contiguous ranges."""
+    spark, file, row = docs.sparkSession, F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    counts = {r.file: r.n for r in docs.groupBy(file.alias("file")).agg(F.count("*").alias("n")).collect()}  # a row for each file
+    n, starts = 0, []
+    for name in sorted(counts):
+        starts.append((name, n))
+        n += counts[name]
+    size = min(SHARD_ROWS, max(ORDERED_SHARDS, n // ORDERED_SHARDS))
+    offsets = F.broadcast(spark.createDataFrame(starts, "file string, first long"))
+    rows = docs.select(file.alias("file"), row.alias("at"), "doc_id", text_of().alias("text")).join(offsets, "file")
+    at = F.col("first") + F.col("at")
+    return rows.select(F.floor(at / size).alias("shard"), F.pmod(at, F.lit(size)).cast("int").alias("rank"), "doc_id", "text")
+
+
+def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, window: int = WINDOW, least_gap: int = LEAST_GAP, *, in_order: bool = False) -> DataFrame:
     """doc_id, start, length, doc_tokens, ids (little-endian 32-bit), sequence_id, offset: one row for each piece.
 
     Each document's ids, the end id included, lie in exactly one piece each; the pieces of a sequence follow each other
     without gaps and have window ids together at most. Documents are dealt to shards by row, so neither long documents nor
     repeated rows or ids make a shard large; shards are packed apart.
 
+    in_order: the order of docs, in files that of file names and rows, is that of training. Shards are contiguous ranges of
+    it, and sequence_id follows it: by shard, and within a shard by the mean place of a sequence's ids.
+
     Null text counts as empty: a piece of just the end id. Null doc_id stays null. No rows: no rows. Other columns are
     ignored.
     """
     spark = ready(docs.sparkSession)
-    shards = -(-max(1, docs.select(F.lit(1)).count()) // SHARD_ROWS)
     kind = dict(docs.dtypes)["doc_id"]
-    rows = docs.select(F.pmod(F.monotonically_increasing_id(), F.lit(shards)).alias("shard"), "doc_id", text_of().alias("text"))
-    pieces = rows.mapInArrow(_cut(tokenizer, window), f"shard long, doc_id {kind}, start long, length long, doc_tokens long, ids binary")
-    dealt = pieces.repartition(parts(spark), "shard").sortWithinPartitions("shard", "doc_id", "start")
-    return dealt.mapInArrow(_pack(tokenizer, window, least_gap), f"doc_id {kind}, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long")
+    if in_order:
+        rows = _ranked(_written(docs))
+        keys, typed = ["shard", "rank", "doc_id"], f"shard long, rank int, doc_id {kind}"
+    else:
+        shards = -(-max(1, docs.select(F.lit(1)).count()) // SHARD_ROWS)
+        rows = docs.select(F.pmod(F.monotonically_increasing_id(), F.lit(shards)).alias("shard"), "doc_id", text_of().alias("text"))
+        keys, typed = ["shard", "doc_id"], f"shard long, doc_id {kind}"
+    pieces = rows.mapInArrow(_cut(tokenizer, window, keys), f"{typed}, start long, length long, doc_tokens long, ids binary")
+    dealt = pieces.repartition(parts(spark), "shard").sortWithinPartitions(*keys, "start")
+    return dealt.mapInArrow(_pack(tokenizer, window, least_gap, in_order), f"doc_id {kind}, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long")
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -55,3 +55,21 @@ def test_packing_has_all_ids(steps):
 
 def test_run(spark):
     assert cp.run(spark, SF).count() > 0
+
+
+def test_sequences_follow_the_curves(spark, tmp_path):
+    """Three sources of the same size, written and read again: early and late sequences have their curves' weights there."""
+    rows = [(i, f"{'abc'[i % 3]} " * 400 + f"{i}", "en", "abc"[i % 3], 800) for i in range(1800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    cp.mixing(spark, docs, SF).write.parquet(f"{tmp_path}/mixed")
+    mixed = spark.read.parquet(f"{tmp_path}/mixed")
+    for given in (mixed, cp.mixing(spark, docs, SF)):
+        got = cp.packing(spark, given, SF).join(docs.select("doc_id", "source"), "doc_id").select("sequence_id", "offset", "source", "length").toPandas()
+        assert got["length"].sum() == cp.packing(spark, given, SF).agg(F.sum("length")).first()[0]
+        assert not got.duplicated(["sequence_id", "offset"]).any() and got.groupby("sequence_id")["length"].sum().max() <= 2048
+        got = got.sort_values(["sequence_id", "offset"])
+        at = (got["length"].cumsum() - got["length"] / 2) / got["length"].sum()
+        share = lambda which: got[which].groupby("source")["length"].sum() / got["length"][which].sum()
+        early, late, whole = share(at < 0.2), share(at > 0.8), share(at >= 0)
+        assert early["b"] < 0.8 * whole["b"] < 0.8 * late["b"]
+        assert late["c"] < 0.8 * whole["c"] < 0.8 * early["c"]
