@@ -491,10 +491,12 @@ def tfidf_weights(spark, sf):
 
 @query()
 def svd_embed(spark, sf):
-    t = staged(_tfidf(spark, sf))
+    """Documents by the words of their whole texts."""
+    docs = read(spark, sf, "documents").select(F.col("doc_id").alias("item"), F.col("text").alias("term"), F.lit(1).alias("weight"), F.lit(1).alias("freq"))
+    t = staged(te.tfidf(docs.drop("freq"), docs.select("item", "freq")))
     names = numbered(t.select("term").distinct(), "term", name="column")
-    rows = t.join(F.broadcast(names.withColumn("column", F.col("column").cast("int"))), "term").select("item", "column", F.col("tfidf").alias("value"))
-    return te.reduced(rows, names.count(), 500).select("item", F.size("vector").alias("dims"))
+    rows = t.join(names.withColumn("column", F.col("column").cast("int")), "term").select("item", "column", F.col("tfidf").alias("value"))
+    return te.reduced(rows, names.count(), 500).select("item", "vector")
 
 
 @query(f"""WITH e AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), {VOTES}, p AS (SELECT id, label, v, keys, signature FROM e JOIN roles ON chain_id = id),

@@ -1,9 +1,13 @@
 """Every query with SQL against DuckDB on the smallest tables; the others against what must hold of them."""
 
 import inspect
+import math
 import os
+import re
+from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 
 from plotweave.operators import clusters as cl, models as mo
@@ -59,6 +63,22 @@ def test_clusterings(spark):
     assert QUERIES["cl_init"](spark, SF).select("id").distinct().count() == 10
 
 
+def test_svd_embed_has_the_words_of_documents(spark):
+    """Fewer documents than dimensions: inner products are those of the TF-IDF rows of whole texts."""
+    texts = {r.doc_id: re.findall(r"\w\w+", (r.text or "").lower(), re.ASCII) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    df = Counter(w for ws in texts.values() for w in set(ws))
+    rows = {}
+    for i, ws in texts.items():
+        x = {w: (1 + math.log(n)) * (math.log((1 + len(texts)) / (1 + df[w])) + 1) for w, n in Counter(ws).items()}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        rows[i] = {w: v / norm for w, v in x.items()}
+    got = {r["item"]: np.array(r.vector) for r in QUERIES["svd_embed"](spark, SF).collect()}
+    assert set(got) == {i for i, x in rows.items() if x}
+    for i in sorted(got):
+        for j in sorted(got):
+            assert abs(got[i] @ got[j] - sum(v * rows[j].get(w, 0.0) for w, v in rows[i].items())) < 1e-4
+
+
 @pytest.mark.parametrize("operator, name", [(cl.kmeans, "kmeans"), (cl.weighted_pckmeans, "weighted_pckmeans"), (cl.pckmeans_repair, "pckmeans_repair"), (mo.fit_frames, "frame_regression"), (mo.fit_frames, "surrogates"), (mo.fit_frames, "frame_forest")])
 def test_fits_run_to_the_operators_own_limits(spark, monkeypatch, operator, name):
     given = {}
