@@ -35,7 +35,7 @@ def components(links: DataFrame, scratch: Scratch, name: str, local_links: int =
     """links (x, y) of longs -> table (id, root): each linked id and the smallest id that it is connected with.
 
     While there are many links, each round every component hooks onto its smallest neighbour, chains of hooks are halved,
-    and links within a component go. Hubs are joined by hot_join, so a node with a third of all links doesn't fill a task.
+    and links within a component go. Every row is joined by hot_join, so a node with a third of all links doesn't fill a task.
     """
     tidy = lambda df: df.where("x <> y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
     solved = lambda df: df.coalesce(1).mapInArrow(_solve, "id long, root long")
@@ -47,11 +47,10 @@ def components(links: DataFrame, scratch: Scratch, name: str, local_links: int =
     roots = scratch.write(ids.withColumn("root", F.col("id")), f"{name}-roots0")
 
     def moved(df: DataFrame, c: str, hooks: DataFrame, step: str) -> DataFrame:
-        """df with c replaced by where it hooks."""
-        weight = df.groupBy(F.col(c).alias("_at")).agg(F.count("*").alias("_n")).join(hooks.select(F.col("node").alias("_at"), F.col("up").alias("_to")), "_at")
-        moves = scratch.write(weight.withColumnRenamed("_at", c), f"{name}-moves{step}{c}")
-        far = hot_join(df, moves, [c], "_n").drop(c, "_n").withColumnRenamed("_to", c).select(*df.columns)
-        return far.unionByName(df.join(moves.select(c), c, "left_anti").select(*df.columns))
+        """df with c replaced by where it hooks, if it does."""
+        weight = df.groupBy(F.col(c).alias("_at")).agg(F.count("*").alias("_n")).join(hooks.select(F.col("node").alias("_at"), F.col("up").alias("_to")), "_at", "left")
+        moves = scratch.write(weight.select(F.col("_at").alias(c), "_n", F.coalesce("_to", "_at").alias("_to")), f"{name}-moves{step}{c}")
+        return hot_join(df, moves, [c], "_n").drop(c, "_n").withColumnRenamed("_to", c).select(*df.columns)
 
     step = 0
     while many > local_links:

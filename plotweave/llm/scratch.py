@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: A broadcast of hot keys has fewer rows than this: a key is hot when it holds more than 1/HOT_KEYS of all rows.
 HOT_KEYS = 2000
+#: 64-bit words of a bitmap that is broadcast.
+BITMAP_WORDS = 1 << 17
 
 _own_root: list[str] = []
 
@@ -70,6 +72,18 @@ def hot_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str) ->
     return left.join(hot, keys).unionByName(cold.join(right.where(F.col(weight) <= limit), keys))
 
 
+def maybe_in(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """df and a boolean maybe: false only where no row of keys has the same value in column, a hash of 64 bits.
+
+    A bitmap of at most BITMAP_WORDS words, whatever the size of keys, is broadcast. The fuller it is the less it says, so
+    whoever asks must look up the rows with maybe in keys; those are few while keys is small.
+    """
+    word, bit = F.expr(f"pmod(shiftright({column}, 6), {BITMAP_WORDS})"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))")
+    bitmap = keys.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    out = df.withColumn("_word", word).join(F.broadcast(bitmap), "_word", "left")
+    return out.withColumn("maybe", F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))).drop("_word", "_bits")
+
+
 def parts(spark: SparkSession, least: int = 1) -> int:
     """The session's number of shuffle partitions."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
