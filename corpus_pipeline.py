@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plotweave.llm.line_dedup import dedup_lines
 from plotweave.llm.mixing import training_stream
-from plotweave.llm.near_dedup import near_dedup
+from plotweave.llm.near_dedup import keep_one
 from plotweave.llm.packing import pack_documents
 from plotweave.llm.quality import THRESHOLD, score_quality, train
 from plotweave.llm.scratch import Scratch
@@ -28,8 +28,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the one of smallest doc_id."""
-    kept = near_dedup(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id"))).select(*docs.columns)
+    return keep_one(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
