@@ -3,9 +3,9 @@
 A line's key is the line without ASCII white space at its ends, A-Z lower-cased. A store keeps, in the shared folder,
 - postings: which document holds which key (what makes deletion possible),
 - counts: for each key that enough documents hold, their number and the largest doc_id (exact),
-- filters: a cuckoo filter for each shard of those keys. Filters let most lines pass without a look at the exact table, and
-  cuckoo filters, unlike Bloom filters, forget a key again when deletions make it rare.
-Keys are stored as 128 bits of xxhash64.
+- filters: a cuckoo filter for each shard of those keys. Postings that no filter knows stay where they are; only the others
+  are shuffled to the exact table. Cuckoo filters, unlike Bloom filters, forget a key when deletions make it rare.
+Keys are stored as two hashes of 64 bits with different seeds.
 """
 
 from __future__ import annotations
@@ -17,11 +17,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .scratch import Scratch, ready, table, text_of
+from .scratch import Scratch, hot_join, ready, table, text_of
 
 SPACE, UPPER = " \t\n\x0b\x0c\r", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Rows of one task's group, about: pairs probed, or keys of a shard.
-GROUP_ROWS = 200_000
+#: Keys of a shard, about.
+SHARD_KEYS = 200_000
+#: Filters are sent to all tasks while they have fewer bytes together, some 25 million keys; beyond, all postings are shuffled.
+FILTER_BYTES = 64 << 20
 
 
 class CuckooFilter:
@@ -94,21 +96,29 @@ def line_keys(text: Column, min_chars: int) -> Column:
     """array of (a, b): the distinct keys of at least min_chars code points."""
     keys = F.transform(F.split(text, "\n", -1), lambda line: F.translate(F.btrim(line, F.lit(SPACE)), UPPER, UPPER.lower()))
     keys = F.filter(keys, lambda k: F.char_length(k) >= min_chars)
-    return F.array_distinct(F.transform(keys, lambda k: F.struct(F.xxhash64(k).alias("a"), F.xxhash64(k, F.lit("b")).alias("b"))))
+    return F.array_distinct(F.transform(keys, lambda k: F.struct(F.xxhash64(k).alias("a"), F.xxhash64(F.lit(1), k).alias("b"))))
+
+
+#: Spark hashes columns one after the other, each with the last one's hash as seed: the seed of the line after a number.
+_SEED = xxhash.xxh64_intdigest((1).to_bytes(4, "little"), 42)
 
 
 def _key_of(line: bytes) -> tuple[int, int]:
-    """What line_keys has for a stripped and lower-cased line: Spark hashes columns one after the other, each with the last hash as seed."""
-    a = xxhash.xxh64_intdigest(line, 42)
-    return a, xxhash.xxh64_intdigest(b"b", a)
+    """What line_keys has for a stripped and lower-cased line."""
+    return xxhash.xxh64_intdigest(line, 42), xxhash.xxh64_intdigest(line, _SEED)
+
+
+def _row_key() -> list[Column]:
+    """r1, r2: what tells a row's doc_id and text from others."""
+    return [F.xxhash64("doc_id", text_of()).alias("r1"), F.xxhash64(F.lit(1), "doc_id", text_of()).alias("r2")]
 
 
 def postings(docs: DataFrame, min_chars: int) -> DataFrame:
-    return docs.select("doc_id", F.explode(line_keys(text_of(), min_chars)).alias("key")).select("doc_id", "key.a", "key.b")
+    return docs.select("doc_id", *_row_key(), F.explode(line_keys(text_of(), min_chars)).alias("key")).select("doc_id", "r1", "r2", "key.a", "key.b")
 
 
 def _shards(n_keys: int) -> int:
-    return max(8, n_keys // GROUP_ROWS)
+    return max(8, n_keys // SHARD_KEYS)
 
 
 class LineStore:
@@ -148,18 +158,13 @@ class LineStore:
         return self
 
     def dropped(self) -> DataFrame:
-        """doc_id, a, b: the keys of which a document loses all lines: another document, of larger doc_id, holds them too."""
-        pairs, n_keys = self.postings, self.counts.count()
-        subs = max(32, self.postings.count() // (GROUP_ROWS * self.shards))
-        shard = F.pmod(F.col("b"), F.lit(self.shards)).cast("int").alias("shard")
-        pairs = pairs.select(shard, F.pmod(F.xxhash64("doc_id", "a"), F.lit(subs)).cast("int").alias("sub"), "doc_id", "a", "b")
-        kind = dict(pairs.dtypes)["doc_id"]
-        none = lambda t, c: F.lit(None).cast(t).alias(c)
-        exact = self.counts.select(shard, "a", "b", "top", none("binary", "filter"))
-        known = exact.unionByName(self.filters.select("shard", none("long", "a"), none("long", "b"), none(kind, "top"), "filter"))
-        known = known.withColumn("sub", F.explode(F.sequence(F.lit(0), F.lit(subs - 1)))) if n_keys else known.withColumn("sub", F.lit(0))
-        probed = pairs.groupBy("shard", "sub").cogroup(known.groupBy("shard", "sub")).applyInArrow(_probe, f"doc_id {kind}, a long, b long, top {kind}")
-        return probed.where(~F.col("doc_id").eqNullSafe(F.col("top"))).drop("top")
+        """doc_id, r1, r2, a, b: the keys of which a document loses all lines: another document, of larger doc_id, holds them too."""
+        pairs, size = self.postings, self.filters.agg(F.sum(F.octet_length("filter"))).first()[0] or 0
+        if size <= FILTER_BYTES:
+            sent = self.spark.sparkContext.broadcast({r.shard: bytes(r["filter"]) for r in self.filters.collect()})
+            pairs = self.scratch.write(pairs.mapInArrow(_passing(sent, self.shards), pairs.schema), f"passing{self.generation}")
+        probed = hot_join(pairs, self.counts, ["a", "b"], "n")
+        return probed.where(~F.col("doc_id").eqNullSafe(F.col("top"))).drop("top", "n")
 
 
 def _ints(column: pa.ChunkedArray) -> np.ndarray:
@@ -177,16 +182,20 @@ def _change_filter(rows: pa.Table, held: pa.Table) -> pa.Table:
     return pa.table({"shard": pa.array([shard], pa.int32()), "filter": pa.array([old.dump()], pa.binary())})
 
 
-def _probe(pairs: pa.Table, known: pa.Table) -> pa.Table:
-    """Pairs whose key is in the exact table; the shard's filter says which are worth looking up."""
-    exact = known.filter(known["filter"].is_null())
-    filters = known.filter(known["filter"].is_valid())
-    a, b = _ints(pairs["a"]), _ints(pairs["b"])
-    some = np.flatnonzero(CuckooFilter(data=filters["filter"][0].as_py()).contains(a, b)) if filters.num_rows and len(a) else np.zeros(0, np.int64)
-    place = {k: i for i, k in enumerate(zip(_ints(exact["a"]).tolist(), _ints(exact["b"]).tolist()))} if len(some) else {}
-    at = np.array([place.get(k, -1) for k in zip(a[some].tolist(), b[some].tolist())], np.int64)
-    rows = pairs.take(pa.array(some[at >= 0], pa.int64())).select(["doc_id", "a", "b"])
-    return rows.append_column("top", exact["top"].take(pa.array(at[at >= 0], pa.int64())))
+def _passing(sent, shards: int):
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Postings whose key may be in the exact table, by its shard's filter."""
+        filters = {shard: CuckooFilter(data=raw) for shard, raw in sent.value.items()}
+        for batch in batches:
+            a, b = (batch[c].to_numpy().astype(np.int64, copy=False) for c in "ab")
+            shard, some = b % shards, np.zeros(len(b), bool)
+            order = np.argsort(shard, kind="stable")
+            for own in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+                if len(own) and int(shard[own[0]]) in filters:
+                    some[own] = filters[int(shard[own[0]])].contains(a[own], b[own])
+            yield batch.filter(pa.array(some))
+
+    return passing
 
 
 def _cut(min_chars: int):
@@ -215,13 +224,14 @@ def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, *, keep
     Lines whose key has min_chars code points and is held by min_docs documents stay only in the one of largest doc_id.
     With keep_rows a struct column row has the input's other columns.
 
-    Null text and empty text: one empty line. Rows of equal doc_id: each counts as a document, and all of the largest
-    doc_id keep their lines. Null doc_id: smaller than any. No rows: no rows. Other columns are ignored.
+    Null text and empty text: one empty line. Very long texts: whole, one at a time. Rows of equal doc_id: each counts as a
+    document, and all of the largest doc_id keep their lines. Null doc_id: smaller than any; rows are told apart by their
+    texts, so many of them make no large group. No rows: no rows. Other columns are ignored.
     """
     store = LineStore(docs.sparkSession, min_docs, min_chars).insert(docs)
-    gone = store.dropped().groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("gone")).withColumnRenamed("doc_id", "its_id")
-    rows = docs.select("doc_id", text_of().alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")] if keep_rows else []))
-    joined = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("its_id")), "left").drop("its_id")
+    gone = store.dropped().groupBy("r1", "r2").agg(F.collect_set(F.struct("a", "b")).alias("gone"))
+    rows = docs.select("doc_id", *_row_key(), text_of().alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")] if keep_rows else []))
+    joined = rows.join(gone, ["r1", "r2"], "left").drop("r1", "r2")
     schema = joined.drop("text", "gone").schema.add("text", "string").add("n_lines", "long").add("n_dropped", "long")
     return joined.mapInArrow(_cut(min_chars), schema)
 
@@ -232,12 +242,12 @@ def op8(spark, sf_dir: str) -> DataFrame:
 
 
 OP8_SQL = r"""
-WITH l AS (SELECT doc_id, i, line, translate(trim(line, E' \t\n\x0b\f\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
-  FROM (SELECT doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS line
-        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))),
-h AS (SELECT k, max(doc_id) AS top FROM l WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
-m AS (SELECT l.*, h.k IS NOT NULL AND l.doc_id <> h.top AS gone FROM l LEFT JOIN h ON l.k = h.k)
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT r, doc_id, i, line, translate(trim(line, E' \t\n\x0b\f\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT r, doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM d)),
+h AS (SELECT k, max(doc_id) AS top FROM l WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT r) >= 5),
+m AS (SELECT l.*, h.k IS NOT NULL AND l.doc_id IS DISTINCT FROM h.top AS gone FROM l LEFT JOIN h ON l.k = h.k)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
-FROM m GROUP BY doc_id
+FROM m GROUP BY r, doc_id
 """
