@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.utils import AnalysisException
 
-from .scratch import Scratch, hot_join, ready, table, text_of
+from .scratch import Scratch, hot_join, maybe_in, ready, scratch_root, table, text_of
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Texts of only these characters are cut into words alike by both libraries; other texts go to the tokenizer's own.
@@ -89,32 +89,36 @@ def _encode(name: str):
 
 
 def count_tokens(docs: DataFrame, tokenizer: str = TOKENIZER, cache: str | None = None) -> DataFrame:
-    """doc_id, n_bytes, n_tokens: one row for each row of docs. cache: the table's path; without one, a new one.
+    """doc_id, n_bytes, n_tokens: one row for each row of docs. cache: the table's path; without one, that of all runs in
+    the shared folder. A key that several runs have appended is read once.
 
-    Null text counts as empty, with no tokens. Repeated texts are encoded once. Null doc_id stays null. No rows: no rows.
-    Other columns are ignored.
+    Null text counts as empty, with no tokens. Very long texts: whole. Repeated texts are encoded once. Null doc_id stays
+    null. No rows: no rows. Other columns are ignored.
     """
     spark = ready(docs.sparkSession)
     scratch = Scratch(spark, "tokens")
-    cache, version = cache or f"{scratch.path}/cache", digest_of(tokenizer)
+    cache, version = cache or f"{scratch_root(spark)}/token-counts", digest_of(tokenizer)
     schema = "content binary, tokenizer binary, n_tokens long"
     content = F.unhex(F.sha2(text_of(), 256)).alias("content")
     rows = scratch.write(docs.select("doc_id", F.octet_length(text_of()).cast("long").alias("n_bytes"), content), "rows")
     wanted = scratch.write(rows.groupBy("content").agg(F.count("*").alias("n")), "wanted")
-    texts = docs.select(content, text_of().alias("text"))
     try:
         known = spark.read.schema(schema).parquet(cache).where(F.col("tokenizer") == F.lit(version))
-        known = scratch.write(known.select("content", "n_tokens").join(wanted.select("content"), "content", "left_semi"), "known")
-        missing = wanted.join(known, "content", "left_anti").select("content")
-        texts = texts.join(missing, "content", "left_semi")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        known = spark.createDataFrame([], "content binary, n_tokens long")
-    misses = texts.groupBy("content").agg(F.first("text").alias("text")).mapInArrow(_encode(tokenizer), "content binary, n_tokens long")
-    fresh = scratch.write(misses, "fresh")
+        known = spark.createDataFrame([], schema)
+    known = known.select("content", "n_tokens").join(wanted.select("content"), "content", "left_semi").groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
+    known = scratch.write(known, "known")
+    missing = wanted.join(known, "content", "left_anti").select("content", F.xxhash64("content").alias("hash"))
+    missing = scratch.write(missing, "missing")
+    # Only texts that may be missing move, and copies of one text are one row before they do.
+    texts = maybe_in(docs.select(content, text_of().alias("text")).withColumn("hash", F.xxhash64("content")), missing, "hash").where("maybe")
+    misses = texts.groupBy("content").agg(F.first("text").alias("text")).join(missing.select("content"), "content", "left_semi")
+    fresh = scratch.write(misses.mapInArrow(_encode(tokenizer), "content binary, n_tokens long"), "fresh")
     fresh.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
     counts = scratch.write(wanted.join(known.unionByName(fresh), "content"), "counts")
+    scratch.drop("wanted", "known", "missing", "fresh")
     return hot_join(rows, counts, ["content"], "n").select("doc_id", "n_bytes", "n_tokens")
 
 
