@@ -25,8 +25,10 @@ TOKENIZER, WINDOW, END_ID = "word_bpe_49k.json", 2048, 1
 SHARD_ROWS = 3000
 #: In order, at least so many shards that have as many rows each; more only where SHARD_ROWS asks for them.
 ORDERED_SHARDS = 64
-#: Room in a window that is left as padding instead of cutting another document.
-LEAST_GAP = 8
+#: Room in a window that is left as padding instead of cutting another document, less one: none is left.
+LEAST_GAP = 1
+#: Shards of a partition, some 60 MB of ids.
+SHARDS_EACH = 16
 #: Words whose ids a worker remembers.
 CACHED_WORDS = 600_000
 #: Texts of only these characters have words that normalisation and white space keep apart.
@@ -123,7 +125,8 @@ class Rooms:
 
 
 def plan(lengths: list[int], window: int = WINDOW, least_gap: int = LEAST_GAP) -> list[tuple[int, int, int, int, int]]:
-    """(piece, first, length, sequence, offset) for pieces of at most window ids, longest first; pieces may be cut."""
+    """(piece, first, length, sequence, offset) for pieces of at most window ids, longest first; pieces may be cut. What is left
+    in the last window goes to sequences whose sizes are powers of two."""
     rooms, held = Rooms(window), []
     for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
         n = lengths[i]
@@ -150,15 +153,26 @@ def plan(lengths: list[int], window: int = WINDOW, least_gap: int = LEAST_GAP) -
         fill[last] -= take
         if not held[last]:
             last -= 1
-    out = []
-    for sequence, pieces in enumerate(held[: last + 1]):
-        offset = 0
+    out, sequence = [], 0
+    for pieces in held[: last + 1]:
+        room, offset = _unpadded(sum(n for *_, n in pieces), window, least_gap), 0
         for i, first, n in pieces:
-            out.append((i, first, n, sequence, offset))
-            offset += n
+            while n:
+                take = min(n, room[0] - offset)
+                out.append((i, first, take, sequence, offset))
+                first, n, offset = first + take, n - take, offset + take
+                if offset == room[0]:
+                    sequence, offset = sequence + 1, 0
+                    room.pop(0)
+        sequence += offset > 0
     return out
 
 
+def _unpadded(n: int, window: int, least_gap: int) -> list[int]:
+    """Sizes of the sequences for a window's n ids: one, if it is as good as full, else powers of two, which aren't padded."""
+    return [window] if window - n < least_gap else [1 << b for b in range(n.bit_length() - 1, -1, -1) if n >> b & 1]
+
+
 def _cut(name: str, window: int, keys: list[str]):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from plotweave.llm.packing import encoder
@@ -255,8 +269,8 @@ def _written(docs: DataFrame) -> DataFrame:
     return Scratch(docs.sparkSession, "packing").write(docs, "docs")
 
 
-def _ranked(docs: DataFrame) -> DataFrame:
-    """shard, rank (within the shard), doc_id, text of written docs, dealt by contiguous ranges."""
+def _ranked(docs: DataFrame) -> tuple[DataFrame, int]:
+    """shard, rank (within the shard), doc_id, text of written docs, dealt by contiguous ranges; and how many shards."""
     spark, file, row = docs.sparkSession, F.col("_metadata.file_path"), F.col("_metadata.row_index")
     counts = {r.file: r.n for r in docs.groupBy(file.alias("file")).agg(F.count("*").alias("n")).collect()}  # a row for each file
     n, starts = 0, []
@@ -267,15 +281,16 @@ def _ranked(docs: DataFrame) -> DataFrame:
     offsets = F.broadcast(spark.createDataFrame(starts, "file string, first long"))
     rows = docs.select(file.alias("file"), row.alias("at"), "doc_id", text_of().alias("text")).join(offsets, "file")
     at = F.col("first") + F.col("at")
-    return rows.select(F.floor(at / size).alias("shard"), F.pmod(at, F.lit(size)).cast("int").alias("rank"), "doc_id", "text")
+    return rows.select(F.floor(at / size).alias("shard"), F.pmod(at, F.lit(size)).cast("int").alias("rank"), "doc_id", "text"), -(-n // size)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, window: int = WINDOW, least_gap: int = LEAST_GAP, *, in_order: bool = False) -> DataFrame:
     """doc_id, start, length, doc_tokens, ids (little-endian 32-bit), sequence_id, offset: one row for each piece.
 
     Each document's ids, the end id included, lie in exactly one piece each; the pieces of a sequence follow each other
-    without gaps and have window ids together at most. Documents are dealt to shards by row, so neither long documents nor
-    repeated rows or ids make a shard large; shards are packed apart.
+    without gaps and have window ids together at most. With least_gap 1 every sequence is full or has a power of two of ids,
+    so that none is padded. Documents are dealt to shards by row, so neither long documents nor repeated rows or ids make a
+    shard large; shards are packed apart. Of a very long text only what is beyond its full windows waits for its shard's end.
 
     in_order: the order of docs, in files that of file names and rows, is that of training. Shards are contiguous ranges of
     it, and sequence_id follows it: by shard, and within a shard by the mean place of a sequence's ids.
@@ -286,14 +301,15 @@ def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, window: int = WI
     spark = ready(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
     if in_order:
-        rows = _ranked(_written(docs))
+        rows, shards = _ranked(_written(docs))
         keys, typed = ["shard", "rank", "doc_id"], f"shard long, rank int, doc_id {kind}"
     else:
         shards = -(-max(1, docs.select(F.lit(1)).count()) // SHARD_ROWS)
         rows = docs.select(F.pmod(F.monotonically_increasing_id(), F.lit(shards)).alias("shard"), "doc_id", text_of().alias("text"))
         keys, typed = ["shard", "doc_id"], f"shard long, doc_id {kind}"
     pieces = rows.mapInArrow(_cut(tokenizer, window, keys), f"{typed}, start long, length long, doc_tokens long, ids binary")
-    dealt = pieces.repartition(parts(spark), "shard").sortWithinPartitions(*keys, "start")
+    each = max(parts(spark), -(-shards // SHARDS_EACH))
+    dealt = pieces.repartitionById(each, F.pmod("shard", F.lit(each)).cast("int")).sortWithinPartitions(*keys, "start")
     return dealt.mapInArrow(_pack(tokenizer, window, least_gap, in_order), f"doc_id {kind}, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long")
 
 
