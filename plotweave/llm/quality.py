@@ -13,13 +13,15 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .scratch import ready, table, text_of
 
 PASSAGE = 40
-#: A model is fitted on at most so many labelled documents, those that come first by md5(doc_id).
+#: A model is fitted on at most so many labelled documents, those that come first by md5(doc_id), and of those on as many as
+#: have no more passages together than the second number says, some 80 MB of features.
 SAMPLE_DOCS = 6000
+SAMPLE_PASSAGES = 200_000
 THRESHOLD = 0.3
 
 _SPECIAL = b".,;:!?|#$%&*-_/\\()<>[]{}@\"'=+~^`"
@@ -137,13 +139,19 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["key"], batch["label"], pa.array(raw, pa.binary())], ["key", "label", "passages"])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
-    """From labels (doc_id, quality) of rows that aren't held out. Several labels of a doc_id: the largest counts."""
+def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_passages: int = SAMPLE_PASSAGES) -> Model:
+    """From labels (doc_id, quality) of rows that aren't held out. Several labels of a doc_id: the largest counts. Other
+    documents of a doc_id are learned from, too, while the sample has room; repeated rows count once."""
     ready(docs.sparkSession)
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("quality").alias("label"))
     chosen = known.withColumn("key", F.md5(F.col("doc_id").cast("string").cast("binary"))).orderBy("key").limit(sample_docs)
     rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").select("key", "label", "text")
-    got = sorted(rows.mapInArrow(_encode, f"key string, label {dict(labels.dtypes)['quality']}, passages binary").collect(), key=lambda r: (r.key, bytes(r.passages)))
+    rows = rows.withColumn("n", F.greatest(F.ceil(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")) / PASSAGE), F.lit(1)))
+    first = rows.select("key", F.xxhash64("text").alias("h"), "n").orderBy("key", "h").limit(sample_docs)
+    before = F.sum("n").over(Window.orderBy("key", "h"))  # sample_docs rows at most
+    taken = first.withColumn("upto", before).where(F.col("upto") <= sample_passages).select("key", "h").distinct()
+    rows = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(taken), ["key", "h"]).dropDuplicates(["key", "h"])
+    got = sorted(rows.select("key", "label", "text").mapInArrow(_encode, f"key string, label {dict(labels.dtypes)['quality']}, passages binary").collect(), key=lambda r: (r.key, bytes(r.passages)))
     bags = [np.frombuffer(r.passages, np.float32).reshape(-1, FEATURES) for r in got]
     return fit(bags, np.array([r.label for r in got], np.float32))
 
@@ -166,7 +174,9 @@ def _score(model: Model):
 def score_quality(docs: DataFrame, model: Model, *, keep_rows: bool = False) -> DataFrame:
     """doc_id, score; one row for each row of docs. With keep_rows a struct column row has the input's row.
 
-    Null text counts as empty, and empty text is one passage of no words. No rows: no rows. Other columns are ignored.
+    Null text counts as empty, and empty text is one passage of no words. Very long texts: whole, 64 texts at a time. Equal
+    texts have equal scores, so repeated rows do, and null doc_ids are scored like others. No rows: no rows. Other columns are
+    ignored.
     """
     ready(docs.sparkSession)
     rows = docs.select("doc_id", *([F.struct("*").alias("row")] if keep_rows else []), text_of().alias("text"))
