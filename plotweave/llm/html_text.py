@@ -21,8 +21,12 @@ from .scratch import ready, table
 
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math object select".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Up to their end tag, or the page's end, there is no markup in these; the others of which nothing is shown have some.
+RAW = frozenset("script style iframe textarea title".split())
+HIDDEN = frozenset("noscript template svg select annotation annotation-xml".split())
+#: Parts of formulas: their text is that of the element around the formula.
+MATH = frozenset("math semantics mrow mi mn mo ms mtext mspace msup msub msubsup mover munder munderover mfrac msqrt mroot mfenced mtable mtr mtd mstyle mpadded mphantom menclose".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark object q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: A start tag of the key ends an open element of these, unless one of the second set lies between.
 ENDS = {
     "li": ({"li", "p"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd", "p"}, {"dl"}), "dd": ({"dt", "dd", "p"}, {"dl"}),
@@ -80,22 +84,34 @@ def parse(page: str) -> list[Node]:
     """All elements in page order; the first is a root. Elements that are never shown as text are left out.
 
     Tolerant as browsers are: unknown end tags are ignored, missing ones follow from the elements that start or end, an
-    open tag at the page's end counts as ended.
+    open tag at the page's end counts as ended. Hidden elements without an end tag hide nothing. Time is linear in the page.
     """
     nodes = [Node("html", -1, 0, 0)]
     stack, at, size = [0], 0, len(page)
+    open_: dict[str, list[int]] = {}  # by tag, its places in the stack
+    hidden: dict[str, dict[int, int]] = {}
 
     def text(upto: int) -> None:
         if upto > at:
             nodes[stack[-1]].items.append(page[at:upto])
 
     def close(tags, stops) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if nodes[stack[k]].tag in tags:
-                del stack[k:]
-                return
-            if nodes[stack[k]].tag in stops:
-                return
+        """Ends the innermost open element of tags, and all in it, unless one of stops is nearer."""
+        last = max([open_[t][-1] for t in tags if open_.get(t)], default=0)
+        if last and (last == len(stack) - 1 or last >= max([open_[t][-1] for t in stops if open_.get(t)], default=0)):
+            for i in stack[last:]:
+                open_[nodes[i].tag].pop()
+            del stack[last:]
+
+    def pairs(tag: str) -> dict[int, int]:
+        """Where each element of this tag that has an end tag begins and ends."""
+        found, begun = {}, []
+        for m in re.finditer(rf"<(/?){re.escape(tag)}(?=[\s/>])[^>]*>", page, re.I):
+            if not m[1]:
+                begun += [] if m[0].endswith("/>") else [m.start()]
+            elif begun:
+                found[begun.pop()] = m.end()
+        return found
 
     while at < size:
         m = _TOKEN.search(page, at)
@@ -105,6 +121,8 @@ def parse(page: str) -> list[Node]:
         at = m.end()
         if m[1]:
             tag = m[1].lower()
+            if tag in MATH:
+                continue
             if tag in INLINE:
                 close({tag}, _P_ENDERS | _P_SCOPE)
             elif tag == "br":
@@ -120,6 +138,13 @@ def parse(page: str) -> list[Node]:
                         continue
                     at = end.end() if end else size
                 continue
+            if tag in MATH:
+                continue
+            if tag in HIDDEN:
+                if tag not in hidden:
+                    hidden[tag] = pairs(tag)
+                at = max(at, hidden[tag].get(m.start(), at))
+                continue
             if tag in VOID:
                 nodes[stack[-1]].items.append(" " if tag in INLINE else "\n")
                 if tag == "hr":
@@ -138,6 +163,7 @@ def parse(page: str) -> list[Node]:
             nodes[up].children.append(len(nodes) - 1)
             nodes[up].items.append(len(nodes) - 1)
             if not (m[3] or "").endswith("/") or tag not in ("path", "rect", "circle"):
+                open_.setdefault(tag, []).append(len(stack))
                 stack.append(len(nodes) - 1)
     text(size)
     return nodes
@@ -220,11 +246,13 @@ def boost(x: np.ndarray, y: np.ndarray, *, trees: int = 50, depth: int = 5, rate
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins)[1:-1])) for j in range(x.shape[1])]
     coded = np.stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(cuts)], 1)
     n, m = coded.shape
+    few = np.array([len(c) <= 1 for c in cuts])  # sums of these are matrix products
+    wide, flags = np.flatnonzero(~few), coded[:, few].astype(float)
     share = (y.sum() + 1) / (len(y) + 2)
     start = float(np.log(share / (1 - share)))
     score, inner = np.full(n, start), 2**depth - 1
     fs, ts, ls = [], [], []
-    offset = np.arange(m) * bins
+    offset = np.arange(len(wide)) * bins
     for _ in range(trees):
         p = 1 / (1 + np.exp(-score))
         g, h = p - y, p * (1 - p)
@@ -232,8 +260,17 @@ def boost(x: np.ndarray, y: np.ndarray, *, trees: int = 50, depth: int = 5, rate
         for level in range(depth):
             first = 2**level - 1
             width = 2**level
-            slot = ((at - first)[:, None] * (m * bins) + offset + coded).ravel()
-            G, H = (np.bincount(slot, np.repeat(v, m), minlength=width * m * bins).reshape(width, m, bins).cumsum(2) for v in (g, h))
+            slot = ((at - first)[:, None] * (len(wide) * bins) + offset + coded[:, wide]).ravel()
+            own = (at - first)[:, None] == np.arange(width)
+            sums = []
+            for v in (g, h):
+                total = np.bincount(at - first, v, minlength=width)[:, None]
+                all_ = np.empty((width, m, bins))
+                all_[:, wide] = np.bincount(slot, np.repeat(v, len(wide)), minlength=width * len(wide) * bins).reshape(width, len(wide), bins).cumsum(2)
+                all_[:, few, 1:] = total[:, :, None]
+                all_[:, few, 0] = total - (own * v[:, None]).T @ flags
+                sums.append(all_)
+            G, H = sums
             Gt, Ht = G[:, :, -1:], H[:, :, -1:]
             gain = G**2 / (H + ridge) + (Gt - G) ** 2 / (Ht - H + ridge) - Gt**2 / (Ht + ridge)
             gain[:, :, -1] = 0
@@ -441,7 +478,9 @@ def _extract(trees: Trees):
 def extract_pages(pages: DataFrame, trees: Trees | None = None) -> DataFrame:
     """page_id, url, text, n_chars: one row for each row of pages.
 
-    Null html and empty html: empty text. Null page_id or url stays null. No rows: no rows. Other columns are ignored.
+    Null html and empty html: empty text. Very long pages: whole, in time linear in their length; 64 pages are held at a time.
+    Null page_id or url stays null. Repeated rows: each by itself, with equal results. No rows: no rows. Other columns are
+    ignored, whatever they are called.
     """
     ready(pages.sparkSession)
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
