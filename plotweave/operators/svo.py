@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..sources.tables import ready
+
 TOKENS = "ARRAY<STRUCT<i:INT,text:STRING,lemma:STRING,pos:STRING,dep:STRING,head:INT>>"
 _PHRASE = "STRUCT<text:STRING,idx:ARRAY<INT>>"
 TRIPLES = f"ARRAY<STRUCT<subj:{_PHRASE},verb:STRUCT<lemma:STRING,idx:INT,negated:BOOLEAN>,obj:{_PHRASE}>>"
@@ -44,22 +47,24 @@ class Sentence:
     def negated(self, t: int) -> bool:
         return any(self.low[c] in NEGATION for c in self.left[t] + self.right[t])
 
-    def joined(self, heads: list[int], by_label: bool, wanted) -> list[int]:
-        """What conjunctions right of heads add, and right of that, and so on."""
+    def conjuncts(self, heads: list[int], starts, wanted) -> list[int]:
+        """Each wanted word that conjunctions lead to, once: from heads, and from what has been found, to the right of a word
+        that has a conjunction there."""
         found: list[int] = []
-        for h in heads:
-            after = self.right[h]
-            if any(self.low[r] in JOINING or by_label and self.dep[r] == "conj" for r in after):
-                found += [r for r in after if wanted(r)]
-                if found:
-                    found += self.joined(found, by_label, wanted)
+        for word in chain(heads, found):
+            if any(map(starts, self.right[word])):
+                found += [r for r in self.right[word] if wanted(r) and r not in found]
         return found
 
+    def joins(self, t: int) -> bool:
+        return self.low[t] in JOINING
+
     def subjects(self, verb: int) -> tuple[list[int], bool]:
         """Subjects, and whether the verb is negated."""
         own = [t for t in self.left[verb] if self.dep[t] in SUBJECT and self.pos[t] != "DET"]
         if own:
-            return own + self.joined(own, True, lambda r: self.dep[r] in SUBJECT or self.pos[r] == "NOUN" or self.dep[r] == "conj"), self.negated(verb)
+            more = self.conjuncts(own, lambda r: self.joins(r) or self.dep[r] == "conj", lambda r: self.dep[r] in {*SUBJECT, "conj"} or self.pos[r] == "NOUN")
+            return own + more, self.negated(verb)
         # A noun above is the subject. A verb above only leads further up.
         t = verb
         while True:
@@ -72,22 +77,24 @@ class Sentence:
                 return [], False
             t = h
 
-    def through_prepositions(self, heads: list[int], passive: bool) -> list[int]:
-        preps = [h for h in heads if self.pos[h] == "ADP" and (self.dep[h] == "prep" or passive and self.dep[h] == "agent")]
-        good = lambda t: self.dep[t] in OBJECT or self.pos[t] == "PRON" and self.low[t] == "me" or passive and self.dep[t] == "pobj"
-        return [t for p in preps for t in self.right[p] if good(t)]
+    def prepositional(self, after: list[int], passive: bool) -> list[int]:
+        """Objects of the prepositions among after; in a passive, of its agent, too."""
+        links = {"prep", "agent"} if passive else {"prep"}
+        labels = OBJECT | {"pobj"} if passive else OBJECT
+        below = chain.from_iterable(self.right[p] for p in after if self.pos[p] == "ADP" and self.dep[p] in links)
+        return [t for t in below if self.dep[t] in labels or (self.pos[t], self.low[t]) == ("PRON", "me")]
 
     def objects(self, verb: int, passive: bool) -> tuple[int, list[int]]:
         """The verb whose objects these are (an open complement may replace it), and the objects."""
         after = self.right[verb]
-        found = [t for t in after if self.dep[t] in OBJECT or passive and self.dep[t] == "pobj"] + self.through_prepositions(after, passive)
+        found = [t for t in after if self.dep[t] in OBJECT or passive and self.dep[t] == "pobj"] + self.prepositional(after, passive)
         for x in after:
             if self.pos[x] == "VERB" and self.dep[x] == "xcomp":
-                below = [t for t in self.right[x] if self.dep[t] in OBJECT] + self.through_prepositions(self.right[x], passive)
+                below = [t for t in self.right[x] if self.dep[t] in OBJECT] + self.prepositional(self.right[x], passive)
                 if below:
                     verb, found = x, found + below
                     break
-        return verb, found + self.joined(found, False, lambda r: self.dep[r] in OBJECT or self.pos[r] == "NOUN")
+        return verb, found + self.conjuncts(found, self.joins, lambda r: self.dep[r] in OBJECT or self.pos[r] == "NOUN")
 
     def phrase(self, t: int) -> list[int]:
         """A word with its neighbours in the tree."""
@@ -149,6 +156,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract_svos(parsed: DataFrame) -> DataFrame:
     """sent_id, svo_id, subj, verb, obj from (sent_id, tokens). Sentences without triples have no rows."""
+    ready(parsed.sparkSession)
     kind = dict(parsed.dtypes)["sent_id"]
     rows = parsed.select("sent_id", F.col("tokens").cast(TOKENS).alias("tokens")).mapInArrow(_extract, f"sent_id {kind}, svos {TRIPLES}")
     return rows.select("sent_id", F.posexplode("svos").alias("svo_id", "x")).select("sent_id", "svo_id", "x.subj", "x.verb", "x.obj")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+import os
+import sys
 import tempfile
 import uuid
 
@@ -11,15 +15,28 @@ _own: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of this process where that is unset, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """spark.checkpoint.dir; a folder of this process only where that is unset and all runs in this process, as in tests."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="plotweave-"))
     return _own[0]
 
 
+def ready(spark: SparkSession) -> SparkSession:
+    """Lets Python workers import this package where it lies at the same path on all nodes."""
+    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    if top not in env.get("PYTHONPATH", "").split(":") + os.environ.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(x for x in [env.get("PYTHONPATH", ""), top] if x)
+    if top not in sys.path:
+        sys.path.append(top)
+    return spark
+
+
 def staged(df: DataFrame) -> DataFrame:
     """df written once and read back. Iterations call this so that a lost executor repeats one step only."""
     path = f"{shared_folder(df.sparkSession)}/staged-{uuid.uuid4().hex}"
@@ -30,11 +47,32 @@ def staged(df: DataFrame) -> DataFrame:
 def numbered(df: DataFrame, *order: Column | str, name: str = "id") -> DataFrame:
     """Adds 0, 1, … in the given order, without a task that sees all rows: range partitions are numbered apart, and the
     rows of the partitions before, one number for each, are added."""
-    held = staged(df.orderBy(*order).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_row")))
-    held = held.withColumn("_row", F.col("_row").bitwiseAND((1 << 33) - 1))
+    held = staged(df.orderBy(*order).select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().alias("__row")))
+    held = held.withColumn("__row", F.col("__row").bitwiseAND((1 << 33) - 1))
     before, starts = 0, []
-    for part, n in sorted(tuple(r) for r in held.groupBy("_part").count().collect()):
+    for part, n in sorted(tuple(r) for r in held.groupBy("__part").count().collect()):
         starts.append((part, before))
         before += n
-    offsets = df.sparkSession.createDataFrame(starts, "_part int, _start long")
-    return held.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_row") + F.col("_start")).drop("_part", "_row", "_start")
+    offsets = df.sparkSession.createDataFrame(starts, "__part int, __start long")
+    return held.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__row") + F.col("__start")).drop("__part", "__row", "__start")
+
+
+def ranked(df: DataFrame, groups: list[str], *order: Column | str, name: str = "rank", size: str | None = None) -> DataFrame:
+    """Adds 1, 2, … within each group in the given order, and the group's size if that is named. Rows are numbered by range
+    partitions, so a group with most of the rows is many tasks; groups themselves (strata, bins, labels) are few."""
+    held = numbered(df, *[F.col(g) for g in groups], *order, name="__at")
+    starts = held.groupBy(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)]).agg(F.min("__at").alias("__first"), F.count("*").alias("__size"))
+    same = functools.reduce(operator.and_, [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(groups)], F.lit(True))
+    out = held.join(F.broadcast(starts), same).withColumn(name, F.col("__at") - F.col("__first") + 1)
+    out = out.withColumn(size, F.col("__size")) if size else out
+    return out.drop("__at", "__first", "__size", *[f"__g{i}" for i in range(len(groups))])
+
+
+def percentiles(df: DataFrame, groups: list[str], column: str, share: float) -> DataFrame:
+    """groups, limit: the value below which a share of each group's values lies, linear between two of them. Values are ranked
+    by range partitions, so that no task holds a group's values. Nulls don't count; a group without values has no row."""
+    rows = ranked(df.where(F.col(column).isNotNull()).select(*groups, F.col(column).cast("double").alias("_x")), groups, "_x", name="_r", size="_k")
+    at = F.lit(share) * (F.col("_k") - 1)
+    near = rows.where((F.col("_r") - 1 == F.floor(at)) | (F.col("_r") - 1 == F.ceil(at)))
+    limit = F.min("_x") + (F.max("_x") - F.min("_x")) * (F.max(at) - F.max(F.floor(at)))
+    return near.groupBy(*groups).agg(limit.alias("limit"))
