@@ -162,3 +162,9 @@ def event_time(text: _Col, formats: tuple[str, ...] = ("yyyy-MM-dd HH:mm:ss", "y
 def event_count(sentences: _Col) -> Column:
     """Events in an array of sentences, each a struct with an array events."""
     return F.aggregate(F.transform(col(sentences), lambda s: F.coalesce(F.size(s["events"]), F.lit(0))), F.lit(0), lambda a, n: a + n)
+
+
+def top_tokens(expansion: _Col, k: int) -> Column:
+    """The k most probable of an array of structs (tok, p), ties by token."""
+    ordered = F.array_sort(F.transform(col(expansion), lambda x: F.struct((-x["p"]).alias("q"), x["tok"].alias("tok"))))
+    return F.transform(F.slice(ordered, 1, k), lambda x: F.struct(x["tok"].alias("tok"), (-x["q"]).alias("p")))

@@ -76,6 +76,14 @@ def violated_pairs(labels: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(a, "i").join(b, "j").where("cluster = _c").select("i", "j", "cluster")
 
 
+def pairs_within(labels: DataFrame, roles: DataFrame) -> DataFrame:
+    """i, j, cluster (i < j): cannot-link pairs inside clusters, without making those between clusters."""
+    rows = labels.select("chain_id", "cluster").join(roles.select("chain_id", "keys", "signature"), "chain_id")
+    a = rows.select("cluster", "keys", F.col("chain_id").alias("i"), F.col("signature").alias("a"))
+    b = rows.select("cluster", "keys", F.col("chain_id").alias("j"), F.col("signature").alias("b"))
+    return a.join(b, ["cluster", "keys"]).where("i < j AND a <> b").select("i", "j", "cluster")
+
+
 def conflicts(rows: DataFrame, by: list[str]) -> Column:
     """For rows with keys and signature: how many others within by have equal keys and another signature."""
     return F.count("*").over(W.partitionBy(*by, "keys")) - F.count("*").over(W.partitionBy(*by, "keys", "signature"))

@@ -14,8 +14,9 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.columns import cosine, distance, squared_distance
-from ..sources.tables import staged
-from .quality import centroids, to_centroids
+from ..sources.tables import percentiles, ranked, ready, staged
+from .quality import block_pairs, centroids, matrix, to_centroids
+from .sampling import drawn
 
 # Picking by distance
 
@@ -23,9 +24,8 @@ from .quality import centroids, to_centroids
 def closest_share(points: DataFrame, centers: DataFrame, percent: float, order: str = "id") -> DataFrame:
     """The percent % of each cluster's points that lie closest to its centre, one at least; adds distance and rank."""
     d = to_centroids(points, centers).withColumn("distance", F.sqrt("d2")).drop("d2")
-    own = W.partitionBy("cluster")
-    ranked = d.withColumns({"rank": F.row_number().over(own.orderBy("distance", order)), "_n": F.count("*").over(own)})
-    return ranked.where(F.col("rank") <= F.greatest(F.lit(1), F.floor(F.col("_n") * percent / 100))).drop("_n")
+    near = ranked(d, ["cluster"], "distance", order, size="_n")
+    return near.where(F.col("rank") <= F.greatest(F.lit(1), F.floor(F.col("_n") * percent / 100))).drop("_n")
 
 
 def density_ranks(points: DataFrame, centers: DataFrame) -> DataFrame:
@@ -59,7 +59,7 @@ def nearest_clusters(centers: DataFrame) -> DataFrame:
 def eligible(points: DataFrame, centers: DataFrame, percentile: float) -> DataFrame:
     """Points whose distance to their own centre is at most the percentile of all such distances."""
     d = staged(to_centroids(points, centers).withColumn("distance", F.sqrt("d2")).drop("d2"))
-    return d.crossJoin(F.broadcast(d.agg(F.percentile("distance", F.lit(percentile / 100)).alias("threshold")))).where("distance <= threshold")
+    return d.crossJoin(F.broadcast(percentiles(d, [], "distance", percentile / 100).withColumnRenamed("limit", "threshold"))).where("distance <= threshold")  # one row
 
 
 def pairwise_threshold(points: DataFrame, percentile: float, sample: int = 1000, seed: int = 0) -> float | None:
@@ -77,8 +77,8 @@ def near_anchors(points: DataFrame, centers: DataFrame, threshold: float, least_
     and cosine at least least_cosine."""
     c = points.join(F.broadcast(centers.select("cluster", "center")), "cluster").withColumns({"d2": squared_distance("vector", "center"), "cos": cosine("vector", "center", zero=0.0)}).drop("center")
     if threshold < 1:
-        limits = c.groupBy("cluster").agg(F.percentile("d2", F.lit(threshold)).alias("_limit"))
-        c = c.join(F.broadcast(limits), "cluster").where("d2 <= _limit").drop("_limit")
+        c = staged(c)
+        c = c.join(F.broadcast(percentiles(c, ["cluster"], "d2", threshold)), "cluster").where("d2 <= limit").drop("limit")  # a row for each cluster
     else:
         c = c.where(F.col("d2") <= threshold)
     return c.where(F.col("cos") >= least_cosine)
@@ -97,29 +97,75 @@ def carried_centers(old_points: DataFrame, new_vectors: DataFrame, centers: Data
 # Mining training pairs
 
 
-def mined_pairs(points: DataFrame, *, same_pos: float = 0.75, same_neg: float = 0.5, other_pos: float = 0.675, neighbours: int = 1000, seed: int = 0) -> DataFrame:
+def mined_pairs(points: DataFrame, *, same_pos: float = 0.75, same_neg: float = 0.5, other_pos: float = 0.675, neighbours: int = 1000, seed: int = 0, block: int = 512) -> DataFrame:
     """anchor, kind, other, similarity from points (id, cluster, vector, keys, signature).
 
     same_pos: the most similar of the cluster that doesn't exclude the anchor; same_neg: the most similar that does;
     other_pos: the most similar of at most so many neighbours from other clusters that doesn't; other_neg: the least similar
-    of those. The first three must pass their thresholds. The neighbours sampled are the same for all anchors, by hash.
+    of those. The first three must pass their thresholds. Ties go to the smaller id. The neighbours sampled are the same for
+    all anchors, by hash. Within a cluster all pairs are looked at, in blocks of which each anchor's best go on.
     """
-    a = points.select(F.col("id").alias("anchor"), F.col("cluster").alias("c"), F.col("vector").alias("v"), F.col("keys").alias("k"), F.col("signature").alias("s"))
-    b = points.select(F.col("id").alias("other"), "cluster", "vector", "keys", "signature")
-    excluded = (F.col("k") == F.col("keys")) & (F.col("s") != F.col("signature"))
-    own = a.join(b, F.col("c") == F.col("cluster")).where("anchor <> other")
-    sample = F.broadcast(b.orderBy(F.xxhash64("other", F.lit(seed)), "other").limit(neighbours))
-    far = a.join(sample, F.col("c") != F.col("cluster"))
-    scored = lambda df: df.withColumns({"sim": cosine("v", "vector", zero=0.0), "bad": excluded})
+    kind = dict(points.dtypes)["id"]
+    rows = points.select("id", "cluster", F.col("vector").cast("array<double>").alias("vector"), "keys", "signature")
 
-    def best(df: DataFrame, kind: str, where: Column, least: float | None, *, lowest: bool = False) -> DataFrame:
-        pick = F.struct((F.col("sim") if lowest else -F.col("sim")).alias("s"), "other")
-        got = df.where(where).groupBy("anchor").agg(F.min(pick).alias("p")).select("anchor", F.lit(kind).alias("kind"), F.col("p.other").alias("other"), (F.col("p.s") if lowest else -F.col("p.s")).alias("similarity"))
-        return got if least is None else got.where(F.col("similarity") > least)
+    def best_of(own, others):
+        import pyarrow as pa
 
-    own, far = scored(own).select("anchor", "other", "sim", "bad"), scored(far).select("anchor", "other", "sim", "bad")
-    out = best(own, "same_pos", ~F.col("bad"), same_pos).unionByName(best(own, "same_neg", F.col("bad"), same_neg))
-    return out.unionByName(best(far, "other_pos", ~F.col("bad"), other_pos)).unionByName(best(far, "other_neg", F.lit(True), None, lowest=True))
+        x, y = matrix(own), matrix(others)
+        out = ([], [], [], [])
+        if len(x) and len(y):
+            unit = lambda m: m / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-300)
+            sim = unit(x) @ unit(y).T
+            a, b = own["id"].to_numpy(), others["id"].to_numpy()
+            keys, signs = (np.array(others[c].to_pylist(), object) for c in ("keys", "signature"))
+            order = np.argsort(b, kind="stable")
+            for i, (k, sign) in enumerate(zip(own["keys"].to_pylist(), own["signature"].to_pylist())):
+                bad = (keys == k) & (signs != sign) if k is not None else np.zeros(len(b), bool)
+                for name, some in (("same_pos", ~bad), ("same_neg", bad)):
+                    some = order[(some & (b != a[i]))[order]]
+                    if len(some):
+                        at = some[np.argmax(sim[i, some])]
+                        for column, value in zip(out, (a[i], name, b[at], float(sim[i, at]))):
+                            column.append(value)
+        ids = own["id"].type
+        return pa.table([pa.array(out[0], ids), pa.array(out[1], pa.string()), pa.array(out[2], ids), pa.array(out[3], pa.float64())], ["anchor", "kind", "other", "similarity"])
+
+    near = block_pairs(rows, block, ["cluster"], rows.columns, best_of, f"anchor {kind}, kind string, other {kind}, similarity double")
+    first = F.min(F.struct((-F.col("similarity")).alias("s"), "other")).alias("p")
+    near = near.groupBy("anchor", "kind").agg(first).select("anchor", "kind", F.col("p.other").alias("other"), (-F.col("p.s")).alias("similarity"))
+    near = near.where(F.col("similarity") > F.when(F.col("kind") == "same_pos", same_pos).otherwise(same_neg))
+
+    a = rows.select(F.col("id").alias("anchor"), F.col("cluster").alias("c"), F.col("vector").alias("v"), F.col("keys").alias("k"), F.col("signature").alias("s"))
+    sample = F.broadcast(rows.withColumnRenamed("id", "other").orderBy(*drawn("other", seed)).limit(neighbours))
+    bad = F.coalesce((F.col("k") == F.col("keys")) & (F.col("s") != F.col("signature")), F.lit(False))
+    far = a.join(sample, F.col("c") != F.col("cluster")).select("anchor", "other", cosine("v", "vector", zero=0.0).alias("sim"), bad.alias("bad"))
+    most, least = F.struct((-F.col("sim")).alias("s"), "other"), F.struct(F.col("sim").alias("s"), "other")
+    far = far.groupBy("anchor").agg(F.min(F.when(~F.col("bad"), most)).alias("p"), F.min(least).alias("n"))
+    pos = far.where("p IS NOT NULL").select("anchor", F.lit("other_pos").alias("kind"), F.col("p.other").alias("other"), (-F.col("p.s")).alias("similarity")).where(F.col("similarity") > other_pos)
+    neg = far.select("anchor", F.lit("other_neg").alias("kind"), F.col("n.other").alias("other"), F.col("n.s").alias("similarity"))
+    return near.unionByName(pos).unionByName(neg)
+
+
+def balanced_pairs(pairs: DataFrame, ratio: float = 1.0, wanted: int | None = None, seed: int = 0) -> DataFrame:
+    """mined_pairs with ratio positives for each negative; adds positive.
+
+    Of the side that has too many, one pair of each anchor with both sides is kept first, in the order of a draw, then
+    others. With wanted, at most so many pairs, both sides drawn evenly in that ratio.
+    """
+    rows = staged(pairs.withColumn("positive", F.col("kind").endswith("_pos")).withColumn("_h", F.md5(F.concat_ws(":", "anchor", "other", "kind", F.lit(seed)).cast("binary"))))
+    n = {r.positive: r["count"] for r in rows.groupBy("positive").count().collect()}  # two rows
+    pos, neg = n.get(True, 0), n.get(False, 0)
+    if wanted is not None:
+        total = min(wanted, pos + neg)
+        keep = {True: int(total * ratio / (1 + ratio))}
+        keep[False] = total - keep[True]
+    else:
+        keep = {True: min(pos, int(neg * ratio)), False: min(neg, int(pos / ratio))}
+    both = rows.groupBy("anchor").agg((F.countDistinct("positive") == 2).alias("_both"))
+    one = W.partitionBy("anchor", "positive").orderBy("_h")  # four rows at most
+    first = (F.row_number().over(one) == 1) & F.col("_both") if wanted is None else F.lit(False)
+    drawn = ranked(rows.join(both, "anchor").withColumn("_first", first), ["positive"], F.col("_first").desc(), "_h", name="_r")
+    return drawn.where(F.col("_r") <= F.when(F.col("positive"), keep[True]).otherwise(keep[False])).drop("_h", "_both", "_first", "_r")
 
 
 # Clustering
@@ -169,33 +215,65 @@ class Fit:
     iterations: int = 0
 
 
-def weighted_pckmeans(points: DataFrame, k: int, w: float, *, centers: DataFrame | None = None, centroid_percentile: float = 100.0, max_iter: int = 100, patience: int = 10, tol: float = 1e-4, seed: int = 0, mode: str = "exact", blocks: int = 64) -> Fit:
+_PAIRS = lambda n: n * (n - 1) / 2
+
+
+def _violations(assigned: DataFrame, limit: float | None) -> int:
+    """Cannot-link pairs within clusters of which both points are open. Without a limit of their distance in closed form; with
+    one, the pairs of a cluster's equal keys are compared."""
+    rows = assigned.where("open AND keys IS NOT NULL")
+    if limit is None:
+        groups = rows.groupBy("cluster", "keys", "signature").agg(F.count("*").alias("n"))
+        each = groups.groupBy("cluster", "keys").agg((_PAIRS(F.sum("n")) - F.sum(_PAIRS(F.col("n")))).alias("v"))
+        return int(each.agg(F.coalesce(F.sum("v"), F.lit(0)).cast("long")).first()[0])
+    a = rows.select("cluster", "keys", F.col("id").alias("i"), F.col("signature").alias("s"), F.col("vector").alias("v"))
+    b = rows.select("cluster", "keys", "id", "signature", "vector")
+    return a.join(b, ["cluster", "keys"]).where((F.col("i") < F.col("id")) & (F.col("s") != F.col("signature"))).where(distance("v", "vector") <= limit).count()
+
+
+def _start(points: DataFrame, centers: DataFrame | None, k: int, w: float, seed: int) -> tuple[DataFrame, np.ndarray]:
+    """(rows, centres): the points' columns in a table, and the k centres to begin with."""
+    ready(points.sparkSession)
+    rows = staged(points.select("id", F.col("vector").cast("array<double>").alias("vector"), "keys", "signature"))
+    centers = centers if centers is not None else constrained_seeds(rows, k, w, seed)
+    return rows, np.array([r.center for r in centers.orderBy("cluster").collect()], float)  # k rows
+
+
+def _moved(assigned: DataFrame, rows: DataFrame, table: np.ndarray) -> np.ndarray:
+    """Means of the clusters; an empty one keeps its centre."""
+    means = {r.cluster: r.center for r in centroids(assigned.select("id", "cluster").join(rows.select("id", "vector"), "id")).collect()}  # k rows
+    return np.array([means.get(i, table[i]) for i in range(len(table))])
+
+
+def _centers_of(spark, table: np.ndarray) -> DataFrame:
+    return spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(table)], "cluster int, center array<double>")
+
+
+def weighted_pckmeans(points: DataFrame, k: int, w: float, *, centers: DataFrame | None = None, centroid_percentile: float = 100.0, pairwise_percentile: float | None = None, max_iter: int = 100, patience: int = 10, tol: float = 1e-4, seed: int = 0, mode: str = "exact", blocks: int = 64) -> Fit:
     """Constrained k-means with a penalty of w for each cannot-link pair in a cluster. points: id, vector, keys, signature.
 
-    Each iteration assigns points by squared distance plus penalty, counts violations in closed form, and moves centres to
-    means (an empty cluster keeps its own). Cost is the squared distances to the nearest centres before the move plus w for
-    each violation; the best iteration is returned. It stops after patience iterations without a better cost, or once
-    centres move less than tol.
+    Each iteration assigns points by squared distance plus penalty, counts violations, and moves centres to means (an empty
+    cluster keeps its own). Cost is the squared distances to the nearest centres before the move plus w for each violation;
+    the best iteration is returned. It stops after patience iterations without a better cost, or once centres move less
+    than tol.
 
     mode "exact": points see the choices of all points before them by id; distances are computed in parallel, then one task
     goes through the ids with counters, which is linear in points but serial, for up to some 10⁵ chains. mode "blocks":
     points are dealt to so many blocks by hash and see only choices within their block. This is approximate.
-    Points beyond the centroid percentile of distances neither pay nor cause penalties.
+
+    Points beyond the centroid percentile of distances neither pay nor cause penalties. Pairs whose distance lies beyond the
+    pairwise percentile, that of a sample of pairs, aren't constrained either; then the vectors of a block's earlier points
+    are held beside its counters, and violations are counted pair by pair.
     """
-    spark = points.sparkSession
-    rows = staged(points.select("id", F.col("vector").cast("array<double>").alias("vector"), "keys", "signature"))
-    centers = centers.select("cluster", "center") if centers is not None else constrained_seeds(rows, k, w, seed).select("cluster", "center")
-    table = np.array([r.center for r in centers.orderBy("cluster").collect()], float)  # k rows
+    rows, table = _start(points, centers, k, w, seed)
+    apart = None if pairwise_percentile is None else pairwise_threshold(rows, pairwise_percentile, seed=seed)
     kind, best, since, history = dict(rows.dtypes)["id"], None, 0, []
     for iteration in range(max_iter):
-        assigned = staged(_assign(rows, table, w, centroid_percentile, mode, blocks, kind))
-        stats = assigned.groupBy("cluster", "keys", "signature", "open").agg(F.count("*").alias("n"))
-        pairs = lambda n: n * (n - 1) / 2
-        bad = stats.where("open AND keys IS NOT NULL").groupBy("cluster", "keys").agg((pairs(F.sum("n")) - F.sum(pairs(F.col("n")))).alias("v")).agg(F.coalesce(F.sum("v"), F.lit(0)).cast("long")).first()[0]
-        history.append(int(bad))
-        cost = (assigned.agg(F.sum("d2")).first()[0] or 0.0) + w * bad
-        moved = {r.cluster: r.center for r in centroids(assigned.join(rows.select("id", "vector"), "id")).collect()}  # k rows
-        new = np.array([moved.get(i, table[i]) for i in range(len(table))])
+        assigned = staged(_assign(rows, table, w, centroid_percentile, apart, mode, blocks, kind))
+        checked = assigned if apart is None else assigned.join(rows.select("id", "vector"), "id")
+        history.append(_violations(checked, apart))
+        cost = (assigned.agg(F.sum("d2")).first()[0] or 0.0) + w * history[-1]
+        new = _moved(assigned, rows, table)
         if best is None or cost < best[0]:
             best, since = (cost, assigned, new), 0
         else:
@@ -204,76 +282,125 @@ def weighted_pckmeans(points: DataFrame, k: int, w: float, *, centers: DataFrame
         if since >= patience or iteration and shift < tol:
             break
     cost, assigned, table = best
-    centers = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(table)], "cluster int, center array<double>")
-    return Fit(assigned.select("id", "cluster"), centers, cost, history, iteration + 1)
+    return Fit(assigned.select("id", "cluster"), _centers_of(points.sparkSession, table), cost, history, iteration + 1)
 
 
-def _assign(rows: DataFrame, table: np.ndarray, w: float, percentile: float, mode: str, blocks: int, kind: str) -> DataFrame:
-    """id, keys, signature, cluster, d2 (to the nearest centre), open (within the percentile)."""
-    spark, k = rows.sparkSession, len(table)
+def _costs(rows: DataFrame, table: np.ndarray) -> DataFrame:
+    """Adds costs, the squared distances to all centres, and d2, the least."""
     cs = F.lit([[float(x) for x in c] for c in table.tolist()])
-    costs = F.transform(cs, lambda c: squared_distance(F.col("vector"), c))
-    scored = rows.withColumn("costs", costs).withColumn("d2", F.array_min("costs"))
+    return rows.withColumn("costs", F.transform(cs, lambda c: squared_distance(F.col("vector"), c))).withColumn("d2", F.array_min("costs"))
+
+
+_ASSIGNED = ["id", "keys", "signature", "cluster", "d2", "open"]
+
+
+def _assign(rows: DataFrame, table: np.ndarray, w: float, percentile: float, apart: float | None, mode: str, blocks: int, kind: str) -> DataFrame:
+    """id, keys, signature, cluster, d2 (to the nearest centre), open (within the percentile)."""
+    k, scored = len(table), _costs(rows, table)
     if percentile < 100:
         scored = staged(scored)
-        limit = scored.agg(F.percentile("d2", F.lit(percentile / 100))).first()[0]
-        scored = scored.withColumn("open", F.col("d2") <= F.lit(limit))
+        limit = percentiles(scored.select(F.sqrt("d2").alias("d")), [], "d", percentile / 100).first()
+        scored = scored.withColumn("open", F.sqrt("d2") <= F.lit(limit[0] if limit else None))
     else:
         scored = scored.withColumn("open", F.lit(True))
     if not w:
-        return scored.select("id", "keys", "signature", (F.array_position("costs", F.col("d2")) - 1).cast("int").alias("cluster"), "d2", "open")
+        return scored.withColumn("cluster", (F.array_position("costs", F.col("d2")) - 1).cast("int")).select(*_ASSIGNED)
     block = F.lit(0) if mode == "exact" else F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
 
     def greedy(batches):
         at = None
         import pyarrow as pa
 
-        by_keys, by_both = {}, {}
+        by_keys, by_both, before = {}, {}, {}
         for batch in batches:
             out = []
-            for b, cost, keys, sig, open_ in zip(*(batch[c].to_pylist() for c in ("block", "costs", "keys", "signature", "open"))):
+            vectors = batch["vector"].to_pylist() if apart is not None else [None] * batch.num_rows
+            for b, cost, keys, sig, open_, v in zip(*(batch[c].to_pylist() for c in ("block", "costs", "keys", "signature", "open")), vectors):
                 if b != at:
-                    at, by_keys, by_both = b, {}, {}
+                    at, by_keys, by_both, before = b, {}, {}, {}
                 cost = np.array(cost)
-                if open_ and keys is not None:
+                if not open_ or keys is None:
+                    c = int(np.argmin(cost))
+                elif apart is None:
                     x, y = by_keys.setdefault(keys, np.zeros(k)), by_both.setdefault((keys, sig), np.zeros(k))
                     c = int(np.argmin(cost + w * (x - y)))
                     x[c] += 1
                     y[c] += 1
                 else:
-                    c = int(np.argmin(cost))
+                    v, held = np.array(v), before.setdefault(keys, [])
+                    near = [o for s, o, u in held if s != sig and np.sqrt(((u - v) ** 2).sum()) <= apart]
+                    c = int(np.argmin(cost + w * np.bincount(near, minlength=k)))
+                    held.append((sig, c, v))
                 out.append(c)
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["keys"], batch["signature"], pa.array(out, pa.int32()), batch["d2"], batch["open"]], ["id", "keys", "signature", "cluster", "d2", "open"])
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["keys"], batch["signature"], pa.array(out, pa.int32()), batch["d2"], batch["open"]], _ASSIGNED)
 
-    ordered = scored.select(block.alias("block"), "id", "keys", "signature", "costs", "d2", "open")
+    ordered = scored.select(block.alias("block"), "id", "keys", "signature", "costs", "d2", "open", *(["vector"] if apart is not None else []))
     ordered = ordered.repartition(1 if mode == "exact" else blocks, "block").sortWithinPartitions("block", "id")
     return ordered.mapInArrow(greedy, f"id {kind}, keys string, signature string, cluster int, d2 double, open boolean")
 
 
+def repaired(order: list[list[int]], signatures: list) -> tuple[list[int], list[int]]:
+    """(clusters, pairs found in conflict by their first point) of points of equal keys, in order of ids, from their three
+    closest clusters. Points begin in their closest cluster. Pairs are taken in order; if both are in one cluster and their
+    signatures differ, the first moves to the closest cluster that is neither its closest of all nor the second's, or, if
+    there is none, the second moves so."""
+    sign = np.unique(np.array([str(x) for x in signatures]), return_inverse=True)[1]
+    at, hits = np.array([o[0] for o in order]), [0] * len(order)
+    other = lambda i, not_this: next((c for c in order[i][1:] if c != not_this), None)
+    for i in range(len(order)):
+        j = i
+        while True:
+            rest = np.flatnonzero((at[j + 1 :] == at[i]) & (sign[j + 1 :] != sign[i]))
+            if not len(rest):
+                break
+            j += 1 + int(rest[0])
+            hits[i] += 1
+            if (c := other(i, at[j])) is not None:
+                at[i] = c
+            elif (c := other(j, at[i])) is not None:
+                at[j] = c
+    return at.tolist(), hits
+
+
+def _repair(batches):
+    """Rows come sorted by keys and id; the points of one set of keys are repaired together, as others can't conflict."""
+    import pyarrow as pa
+
+    at, held, ids = None, [], None
+
+    def flush():
+        if held:
+            clusters, hits = repaired([x[1] for x in held], [x[2] for x in held])
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], ids), pa.array(clusters, pa.int32()), pa.array([x[3] for x in held], pa.float64()), pa.array(hits, pa.int64())], ["id", "cluster", "d2", "hits"])
+
+    for batch in batches:
+        ids = batch["id"].type
+        for keys, *row in zip(*(batch[c].to_pylist() for c in ("keys", "id", "closest", "signature", "d2"))):
+            if keys != at:
+                yield from flush()
+                at, held = keys, []
+            held.append(row)
+    yield from flush()
+
+
 def pckmeans_repair(points: DataFrame, k: int, *, centers: DataFrame | None = None, max_iter: int = 100, tol: float = 1e-4, seed: int = 0) -> Fit:
-    """Nearest assignment, then repair: in order of ids, a point that conflicts with earlier ones of its cluster moves to the
-    closest cluster in which it has no conflict, if there is one. Until centres move at most tol."""
-    spark = points.sparkSession
-    rows = staged(points.select("id", F.col("vector").cast("array<double>").alias("vector"), "keys", "signature"))
-    centers = centers if centers is not None else constrained_seeds(rows, k, 0.0, seed)
-    table = np.array([r.center for r in centers.orderBy("cluster").collect()], float)
+    """Nearest assignment, then the cannot-link pairs are repaired one after the other (see repaired), until centres move at
+    most tol. Sets of keys are repaired apart from each other, each in one task, as its pairs depend on those before."""
+    rows, table = _start(points, centers, k, 0.0, seed)
     kind, history = dict(rows.dtypes)["id"], []
     for iteration in range(max_iter):
-        # A penalty beyond any distance makes the cluster with fewest conflicts win, the closest among equals.
-        big = 4.0 * float((table**2).sum(1).max() + rows.agg(F.max(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))).first()[0] + 1)
-        assigned = staged(_assign(rows, table, big, 100.0, "exact", 1, kind))
-        pairs = lambda n: n * (n - 1) / 2
-        groups = assigned.where("keys IS NOT NULL").groupBy("cluster", "keys", "signature").agg(F.count("*").alias("n"))
-        bad = groups.groupBy("cluster", "keys").agg((pairs(F.sum("n")) - F.sum(pairs(F.col("n")))).alias("v")).agg(F.coalesce(F.sum("v"), F.lit(0)).cast("long")).first()[0]
-        history.append(int(bad))
-        moved = {r.cluster: r.center for r in centroids(assigned.join(rows.select("id", "vector"), "id")).collect()}
-        new = np.array([moved.get(i, table[i]) for i in range(len(table))])
+        closest = F.transform(F.slice(F.array_sort(F.transform("costs", lambda c, i: F.struct(c.alias("c"), i.alias("i")))), 1, 3), lambda x: x["i"])
+        scored = staged(_costs(rows, table).select("id", "keys", "signature", "d2", closest.alias("closest")))
+        free = scored.where("keys IS NULL").select("id", F.col("closest")[0].cast("int").alias("cluster"), "d2", F.lit(0).cast("long").alias("hits"))
+        bound = scored.where("keys IS NOT NULL").repartition("keys").sortWithinPartitions("keys", "id")
+        assigned = staged(bound.mapInArrow(_repair, f"id {kind}, cluster int, d2 double, hits long").unionByName(free))
+        history.append(int(assigned.agg(F.coalesce(F.sum("hits"), F.lit(0))).first()[0]))
+        new = _moved(assigned, rows, table)
         shift, table = float(np.sqrt(((new - table) ** 2).sum())), new
         if shift <= tol:
             break
     cost = assigned.agg(F.sum("d2")).first()[0] or 0.0
-    centers = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(table)], "cluster int, center array<double>")
-    return Fit(assigned.select("id", "cluster"), centers, cost, history, iteration + 1)
+    return Fit(assigned.select("id", "cluster"), _centers_of(points.sparkSession, table), cost, history, iteration + 1)
 
 
 def sweep(points: DataFrame, ks: range = range(50, 501, 50), w: float = 0.5, **options) -> dict[int, Fit]:

@@ -102,6 +102,13 @@ def event_pairs(events: DataFrame, window: int = 2, order: str = "event_id") ->
     return a.join(b, ["doc_id", "block"]).where(near).select("doc_id", "e1", "e2")
 
 
+def pair_totals(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One row: documents, with_pairs, pairs, mean_pairs (of documents that have pairs)."""
+    n = pairs.groupBy("doc_id").agg(F.count("*").alias("n"))
+    found = n.agg(F.count("*").alias("with_pairs"), F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"), F.avg("n").alias("mean_pairs"))
+    return docs.agg(F.count("*").alias("documents")).crossJoin(found)  # one row each
+
+
 def relations(pairs: DataFrame) -> DataFrame:
     """Pairs that were judged causal as edges: doc_id, e1, e2, label."""
     return pairs.where("relation = 'causal'").select("doc_id", F.col("e1.event_id").cast("long").alias("e1"), F.col("e2.event_id").cast("long").alias("e2"), F.col("relation").alias("label"))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.columns import valid_json
 from ..functions.words import GROUPS, RELATIONS, ROLES, STANCES
+from ..sources.tables import ready
 from .plugs import LLMClient
 
 _THOUGHT = re.compile(r"<think>(.*?)</think>", re.S)
@@ -61,6 +62,7 @@ def ask(rows: DataFrame, key: str, prompt: str, task: Task, reason: Callable[[],
                     answers.append(answer)
                 yield pa.RecordBatch.from_arrays([part[key], pa.array(thoughts, pa.string()), pa.array(answers, pa.string())], [key, "reason", "answer"])
 
+    ready(rows.sparkSession)
     src = rows.select(key, F.col(prompt).alias("_prompt"))
     return src.mapInArrow(run, f"{key} {dict(src.dtypes)[key]}, reason string, answer string")
 
@@ -128,11 +130,15 @@ def annotate_characters(chains: DataFrame, domain: str, reason, shape) -> DataFr
     return chains.join(got.select("chain_id", checked.alias("annotation")), "chain_id")
 
 
-def cluster_themes(chains: DataFrame, reason, shape, most: int = 25, seed: int = 0) -> DataFrame:
+def cluster_themes(chains: DataFrame, reason, shape, most: int = 25, seed: int = 0, centers: DataFrame | None = None, percent: float = 50.0) -> DataFrame:
     """cluster, framing_pattern_detected, theme, framing_elements from the sample of each cluster (cluster, doc_id, chain_id,
-    chain_text), at most `most` chains, of different documents first."""
+    chain_text), at most `most` chains, of different documents first. With centers, chains have id and vector, too, and
+    samples are from the percent % of each cluster that lie closest to its centre."""
+    from .clusters import closest_share
     from .sampling import diverse_sample
 
+    if centers is not None:
+        chains = closest_share(chains, centers, percent).drop("distance", "rank")
     sample = diverse_sample(chains, most, by="cluster", seed=seed)
     order = W.partitionBy("cluster").orderBy(F.xxhash64("chain_id", F.lit(seed)), "chain_id")
     lines = sample.withColumn("_n", F.row_number().over(order)).groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("_n", "chain_text"))).alias("_l"))

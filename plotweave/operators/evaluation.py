@@ -63,10 +63,11 @@ def intruder_pool(points: DataFrame, centers: DataFrame, percent: float = 25.0)
 def intruders(points: DataFrame, centers: DataFrame, percent: float = 25.0, seed: int = 0) -> DataFrame:
     """cluster, difficulty, source_cluster, intruder: a point of the closest quarter of a drawn cluster of the pool."""
     pool = intruder_pool(points, centers, percent)
-    one = pool.groupBy("cluster", "difficulty").agg(F.min(F.struct(F.xxhash64("cluster", "difficulty", "other", F.lit(seed)).alias("h"), "other"))["other"].alias("source_cluster"))
+    draw = lambda c: F.md5(F.concat_ws(":", "cluster", "difficulty", c, F.lit(seed)).cast("binary")).alias("h")
+    one = pool.groupBy("cluster", "difficulty").agg(F.min(F.struct(draw("other"), "other"))["other"].alias("source_cluster"))
     close = closest_share(points, centers, percent).select(F.col("cluster").alias("source_cluster"), F.col("id").alias("intruder"))
     rows = one.join(close, "source_cluster")
-    pick = F.min(F.struct(F.xxhash64("cluster", "difficulty", "intruder", F.lit(seed)).alias("h"), "intruder"))["intruder"]
+    pick = F.min(F.struct(draw("intruder"), "intruder"))["intruder"]
     return rows.groupBy("cluster", "difficulty", "source_cluster").agg(pick.alias("intruder"))
 
 

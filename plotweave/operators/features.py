@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import masked, strip_negation
-from ..sources.tables import staged
-from .clusters import Fit, carried_centers, closest_share, mined_pairs, weighted_pckmeans
+from ..sources.tables import ready, staged
+from .clusters import Fit, balanced_pairs, carried_centers, closest_share, mined_pairs, weighted_pckmeans
 from .plugs import Embedder, HashEmbedder, embed, expand
 from .quality import exact_purity
 from .terms import salience_flags
@@ -84,7 +84,7 @@ class Refined:
     history: list[tuple[float, int]] = field(default_factory=list)
 
 
-def refine(chains: DataFrame, k: int, w: float, tune: Tuner, make: Callable[[], Embedder] = HashEmbedder, rounds: int = 3, share: float = 0.25, **options) -> Refined:
+def refine(chains: DataFrame, k: int, w: float, tune: Tuner, make: Callable[[], Embedder] = HashEmbedder, rounds: int = 3, share: float = 0.25, ratio: float = 1.0, **options) -> Refined:
     """Cluster, mine pairs, tune the encoder, encode again. chains: id, text, keys, signature.
 
     Returns the round of the best purity among each cluster's closest share, ties to fewer violations. Centres are carried
@@ -109,7 +109,7 @@ def refine(chains: DataFrame, k: int, w: float, tune: Tuner, make: Callable[[],
         if best is None or (purity, -fit.violations[-1]) > (best.purity, -best.history[-1][1]):
             best = Refined(fit, make, purity, list(history))
         old, centers = staged(own), fit.centers
-        make = tune(make, mined_pairs(old))
+        make = tune(make, balanced_pairs(mined_pairs(old), ratio))
     best.history = history
     return best
 
@@ -126,5 +126,6 @@ def classify(rows: DataFrame, key: str, text: str, make: Callable[[], Callable[[
                 top = [labels[int(np.argmax(x))] for x in p]
                 yield pa.RecordBatch.from_arrays([part[key], pa.array(top, pa.string()), pa.array(p, pa.list_(pa.float64()))], [key, "predicted", "probabilities"])
 
+    ready(rows.sparkSession)
     src = rows.select(key, F.col(text).alias("_text"))
     return src.mapInArrow(run, f"{key} {dict(src.dtypes)[key]}, predicted string, probabilities array<double>")

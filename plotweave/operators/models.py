@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
+import random
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, UnivariateFeatureSelector
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import finite
@@ -154,7 +155,7 @@ def cross_validate(rows: DataFrame, label: str, column: str, k: int = 5, repeats
 
 @dataclass
 class Surrogate:
-    """One elastic-net regression for each class's probability; predictions are cut at 0 and add up to 1."""
+    """One regression for each class's probability; predictions are cut at 0 and add up to 1."""
 
     models: list
     column: str
@@ -171,12 +172,39 @@ class Surrogate:
         return out.withColumn("fitted", F.when(total > 0, F.transform(raw, lambda x: x / total)).otherwise(even)).drop("_f", *names)
 
 
-def fit_surrogate(rows: DataFrame, column: str, probabilities: str, classes: int, alpha: float = 0.01, l1_ratio: float = 0.5) -> Surrogate:
+def fit_surrogate(rows: DataFrame, column: str, probabilities: str, classes: int, kind: str = "linear", *, alpha: float = 0.01, l1_ratio: float = 0.5, depth: int = 5, rounds: int = 20, step: float = 0.1, seed: int = 42) -> Surrogate:
+    """kind: linear (elastic net: alpha, l1_ratio) or trees (gradient boosting: depth, rounds, step)."""
     data = rows.withColumn("features", array_to_vector(F.col(column).cast("array<double>"))).cache()
-    models = [LinearRegression(regParam=alpha, elasticNetParam=l1_ratio, standardization=False).fit(data.withColumn("label", F.get(probabilities, F.lit(i)))) for i in range(classes)]
+    if kind == "linear":
+        learner = LinearRegression(regParam=alpha, elasticNetParam=l1_ratio, standardization=False)
+    elif kind == "trees":
+        learner = GBTRegressor(maxDepth=depth, maxIter=rounds, stepSize=step, seed=seed)
+    else:
+        raise ValueError(kind)
+    models = [learner.fit(data.withColumn("label", F.get(probabilities, F.lit(i)))) for i in range(classes)]
+    data.unpersist()
     return Surrogate(models, column)
 
 
+def search_surrogate(rows: DataFrame, column: str, probabilities: str, classes: int, kind: str = "linear", trials: int = 50, key: str = "doc_id", seed: int = 42) -> tuple[Surrogate, dict, float]:
+    """(surrogate of all rows, its parameters, its loss on held-out rows): the best of so many random draws of parameters by the
+    mean squared error on a fifth of the rows, which is kept from the fits that are compared."""
+    from .quality import fidelity
+
+    r, best = random.Random(seed), None
+    dealt = split(rows, {"train": 0.8, "test": 0.2}, key=key, seed=seed).cache()
+    for _ in range(trials):
+        drawn = {"alpha": 10 ** r.uniform(-5, 1), "l1_ratio": r.random()} if kind == "linear" else {"depth": r.randint(2, 8), "rounds": r.randint(10, 60), "step": 10 ** r.uniform(-2, -0.3)}
+        told = fit_surrogate(dealt.where("split = 'train'"), column, probabilities, classes, kind, **drawn).predict(dealt.where("split = 'test'"))
+        cells = told.select(F.explode(F.arrays_zip(F.col(probabilities).alias("p"), "fitted")).alias("x")).select("x.p", "x.fitted")
+        loss = fidelity(cells, "p", "fitted").first().mse
+        if loss is not None and (best is None or loss < best[1]):
+            best = drawn, loss
+    dealt.unpersist()
+    drawn, loss = best or ({}, math.nan)
+    return fit_surrogate(rows, column, probabilities, classes, kind, **drawn), drawn, loss
+
+
 def aligned(predictions: DataFrame, features: DataFrame) -> DataFrame:
     """Predictions beside the rows that they are of: joined by (split, doc_id), never by place."""
     return predictions.join(features, ["split", "doc_id"])
@@ -225,7 +253,8 @@ def permutation_importance(fitted: Frames, rows: DataFrame, label: str, names: l
 
 
 class EarlyStopper:
-    """Says stop after patience losses that are at least min_delta above the best; a new best starts over."""
+    """Says stop after patience values that are worse than the best by min_delta at least; a new best starts over, and values
+    between change nothing. Losses are better when they are small, scores when they are large."""
 
     def __init__(self, patience: int = 1, min_delta: float = 0.0):
         self.patience, self.min_delta, self.best, self.bad = patience, min_delta, math.inf, 0
@@ -237,4 +266,5 @@ class EarlyStopper:
             self.bad += 1
         return self.bad >= self.patience
 
-
+    def stop_score(self, score: float) -> bool:
+        return self.stop(-score)

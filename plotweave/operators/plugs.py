@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import urllib.request
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -12,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..sources.tables import ready
 from .svo import TOKENS
 
 
@@ -103,6 +105,25 @@ class HashEmbedder:
         return out
 
 
+class ChatServer:
+    """LLMClient of a server that speaks the Ollama chat protocol over HTTP. The model is pulled when a client is made, if
+    the server hasn't got it."""
+
+    def __init__(self, model: str, url: str = "http://localhost:11434", *, seed: int = 42, temperature: float = 0.0, num_ctx: int = 14336, num_predict: int = 2048, timeout: float = 600.0):
+        self.model, self.url, self.timeout = model, url.rstrip("/"), timeout
+        self.options = {"seed": seed, "temperature": temperature, "num_ctx": num_ctx, "num_predict": num_predict}
+        self._post("/api/pull", {"model": model, "stream": False})
+
+    def _post(self, path: str, body: dict) -> dict:
+        request = urllib.request.Request(self.url + path, json.dumps(body).encode(), {"Content-Type": "application/json"})
+        with urllib.request.urlopen(request, timeout=self.timeout) as answer:
+            return json.load(answer)
+
+    def chat(self, system: str, user: str, schema: dict | None = None) -> str:
+        body = {"model": self.model, "stream": False, "options": self.options, "messages": [{"role": "system", "content": system}, {"role": "user", "content": user}]}
+        return self._post("/api/chat", body | ({"format": schema} if schema else {}))["message"]["content"]
+
+
 class RuleLLM:
     """Answers from a function, for tests."""
 
@@ -124,6 +145,7 @@ def parse_sentences(sentences: DataFrame, make: Callable[[], TextParser] = RuleP
                 part = b.slice(at, batch)
                 yield part.append_column("tokens", pa.array(parser.parse([x or "" for x in part["text"].to_pylist()]), pa.list_(token)))
 
+    ready(sentences.sparkSession)
     rows = sentences.select("sent_id", "text")
     return rows.mapInArrow(run, f"sent_id {dict(rows.dtypes)['sent_id']}, text string, tokens {TOKENS}")
 
@@ -136,6 +158,7 @@ def lemmatize(sentences: DataFrame, key: str, make: Callable[[], Lemmatizer] = S
         for b in batches:
             yield pa.RecordBatch.from_arrays([b[key], pa.array(own.lemmas([x or "" for x in b["text"].to_pylist()]), pa.list_(pa.string()))], [key, "lemmas"])
 
+    ready(sentences.sparkSession)
     rows = sentences.select(key, "text")
     return rows.mapInArrow(run, f"{key} {dict(rows.dtypes)[key]}, lemmas array<string>")
 
@@ -143,6 +166,8 @@ def lemmatize(sentences: DataFrame, key: str, make: Callable[[], Lemmatizer] = S
 def embed(rows: DataFrame, key: str, text: str, make: Callable[[], Embedder] = HashEmbedder, batch: int = 32) -> DataFrame:
     """key, vector. A null text has a null vector."""
 
+    ready(rows.sparkSession)
+
     def run(batches):
         own = make()
         for b in batches:
@@ -159,6 +184,8 @@ def embed(rows: DataFrame, key: str, text: str, make: Callable[[], Embedder] = H
 def expand(rows: DataFrame, key: str, masked: str, k: int = 10, make: Callable[[], Embedder] = HashEmbedder, batch: int = 32) -> DataFrame:
     """key, expansion: the k most probable tokens for each sentence's mask."""
 
+    ready(rows.sparkSession)
+
     def run(batches):
         own = make()
         kind = pa.list_(pa.struct([("tok", pa.string()), ("p", pa.float64())]))

@@ -9,6 +9,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.columns import dot, norm, squared_distance
+from ..sources.tables import ready
 
 
 def centroids(points: DataFrame) -> DataFrame:
@@ -49,36 +50,52 @@ def silhouette_band(x: Column) -> Column:
     return F.when(x < 0.25, "none").when(x < 0.5, "weak").when(x < 0.7, "reasonable").otherwise("strong")
 
 
+def block_pairs(points: DataFrame, block: int, by: list[str], columns: list[str], compare, schema: str) -> DataFrame:
+    """compare(rows, others) -> table, for each batch and each block of the points that are equal in by. Batches and blocks
+    have about block points, so no task sees more than two of them; every ordered pair of points meets once."""
+    ready(points.sparkSession)
+    sizes = points.groupBy(*by).agg(F.ceil(F.count("*") / block).cast("int").alias("_n")) if by else points.agg(F.ceil(F.count("*") / block).cast("int").alias("_n"))
+    own = points.select(*columns)
+    own = own.join(sizes, by) if by else own.crossJoin(F.broadcast(sizes))  # one row
+    dealt = own.withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
+    rows = dealt.withColumnRenamed("_own", "_a").withColumn("_b", other).drop("_n")
+    others = dealt.select(*[F.col(c).alias(c) for c in columns], F.col("_own").alias("_b"), other.alias("_a"))
+    return rows.groupBy(*by, "_a", "_b").cogroup(others.groupBy(*by, "_a", "_b")).applyInArrow(compare, schema)
+
+
+def matrix(table) -> object:
+    """The vectors of an Arrow table, a row each."""
+    import numpy as np
+
+    return np.array(table["vector"].to_pylist(), float)
+
+
 def silhouette(points: DataFrame, block: int = 512) -> DataFrame:
     """id, cluster, silhouette: Euclidean. 0 for a point alone in its cluster, and for all if there is one cluster.
 
-    Exact distances to all points are quadratic by definition. Points are compared with blocks of at most block points, one
-    matrix product for each, so that no task sees more than a block beside its own batch.
+    Exact distances to all points are quadratic by definition: one matrix of distances for each batch and block, of which
+    the sums by cluster go on.
     """
-    import numpy as np
-    import pandas as pd
-
-    blocks = points.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(-(-max(1, points.count()) // block))))
-    packed = blocks.groupBy("_b").agg(F.collect_list(F.struct("cluster", F.col("vector").cast("array<double>").alias("v"))).alias("others"))
-    pairs = points.select("id", "cluster", F.col("vector").cast("array<double>").alias("vector"), F.lit(1).alias("_one"))
-    batches = pairs.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(-(-max(1, points.count()) // block) - 1).cast("long"))))
-
-    def sums(own: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
-        if not len(own) or not len(other):
-            return pd.DataFrame({"id": [], "cluster": [], "other": [], "total": []})
-        rows = other.others.iloc[0]
-        y, c = np.stack([np.asarray(r["v"]) for r in rows]), np.array([r["cluster"] for r in rows])
-        out = []
-        for at in range(0, len(own), 1024):
-            part = own.iloc[at : at + 1024]
-            x = np.stack(part.vector.to_numpy())
-            d = np.sqrt(np.maximum(((x[:, None, :] - y[None, :, :]) ** 2).sum(2), 0)) if x.shape[1] * len(x) * len(y) < 5e7 else np.sqrt(np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1) - 2 * x @ y.T, 0))
-            for k in np.unique(c):
-                out.append(pd.DataFrame({"id": part.id.to_numpy(), "cluster": part.cluster.to_numpy(), "other": k, "total": d[:, c == k].sum(1)}))
-        return pd.concat(out)
-
     kind = dict(points.dtypes)
-    total = batches.groupBy("_b").cogroup(packed.groupBy("_b")).applyInPandas(sums, f"id {kind['id']}, cluster {kind['cluster']}, other {kind['cluster']}, total double")
+    rows = points.select("id", "cluster", F.col("vector").cast("array<double>").alias("vector"))
+
+    def sums(own, others):
+        import numpy as np
+        import pyarrow as pa
+
+        x, y = matrix(own), matrix(others)
+        if not len(x) or not len(y):
+            return own.select(["id", "cluster"]).slice(0, 0).append_column("other", others["cluster"].slice(0, 0)).append_column("total", pa.array([], pa.float64()))
+        d = np.sqrt(np.stack([((y - v) ** 2).sum(1) for v in x]))
+        clusters, place = np.unique(others["cluster"].to_numpy(), return_inverse=True)
+        total = d @ (place[:, None] == np.arange(len(clusters)))
+        each = np.repeat(np.arange(len(x)), len(clusters))
+        out = own.select(["id", "cluster"]).take(pa.array(each))
+        out = out.append_column("other", pa.array(np.tile(clusters, len(x)), others["cluster"].type))
+        return out.append_column("total", pa.array(total.ravel(), pa.float64()))
+
+    total = block_pairs(rows, block, [], ["id", "cluster", "vector"], sums, f"id {kind['id']}, cluster {kind['cluster']}, other {kind['cluster']}, total double")
     total = total.groupBy("id", "cluster", "other").agg(F.sum("total").alias("total"))
     sizes = points.groupBy("cluster").agg(F.count("*").alias("size"))
     mean = total.join(F.broadcast(sizes.withColumnRenamed("cluster", "other")), "other").withColumn("own", F.col("other") == F.col("cluster"))
