@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import columns as fc
 from ..functions.words import ABBREVIATIONS, FRAME_CODES, SIMILARITY_STOP_WORDS
@@ -19,7 +19,7 @@ from ..operators import sampling as sa
 from ..operators import svo as sv
 from ..operators import terms as te
 from ..sources import corpus as co
-from ..sources.tables import numbered, staged
+from ..sources.tables import numbered, ranked, staged
 from .views import CENTERS, CHARACTERS, MENTIONS, PLACED, VOTES, characters, mentions, placed, points, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,17 +83,14 @@ sal AS (SELECT term, local, g, (1 + pow(log10(local), 2)) * log10(1e8 / g) AS s
 top AS (SELECT *, row_number() OVER (ORDER BY s DESC, term) AS rn FROM sal WHERE term NOT IN ({STOP}))"""
 
 
-def _words(spark, sf, lang=None):
-    d = read(spark, sf, "documents")
-    d = d.where(F.col("lang") == lang) if lang else d
-    return d.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w"))
+def _words(spark, sf):
+    return read(spark, sf, "documents").select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w"))
 
 
 @query(f"WITH {SALIENCE} SELECT term, local, g AS global_freq, round(s, 6) AS salience FROM top WHERE rn <= (SELECT floor(count(*) * 0.8) FROM sal) AND local >= 3")
 def term_salience_top(spark, sf):
-    local = te.term_counts(_words(spark, sf, "en"), "w")
-    everywhere = te.term_counts(_words(spark, sf), "w").withColumnRenamed("local", "global_freq")
-    got = te.salient_terms(staged(te.with_salience(local, everywhere)), 0.8, 3, te.STOP_VERBS)
+    counts = te.both_counts(_words(spark, sf), "w", F.col("lang").eqNullSafe("en"))
+    got = te.salient_terms(staged(te.with_salience(counts)), 0.8, 3, te.STOP_VERBS)
     return got.select("term", "local", "global_freq", r6("salience"))
 
 
@@ -221,18 +218,15 @@ def cannot_link_adjacency(spark, sf):
     return out.select("node", F.size("neighbours").cast("long").alias("degree"), F.get("neighbours", F.lit(0)).alias("first"), F.element_at("neighbours", -1).alias("last"))
 
 
-@query(f"WITH {LINKS}, {PLACED} SELECT p.cluster, count(*) AS pairs, count(*) AS violations FROM links JOIN placed p ON p.chain_id = i JOIN placed q ON q.chain_id = j AND q.cluster = p.cluster GROUP BY 1")
+@query(f"WITH {LINKS}, {PLACED} SELECT p.cluster, count(*) AS violations FROM links JOIN placed p ON p.chain_id = i JOIN placed q ON q.chain_id = j AND q.cluster = p.cluster GROUP BY 1")
 def constraint_violations(spark, sf):
-    """Both ways to count: pairs made and compared, and the closed form."""
-    roles, labels = _roles(spark, sf), placed(spark, sf)
-    made = ch.violated_pairs(labels, ch.cannot_links(roles)).groupBy("cluster").agg(F.count("*").alias("pairs"))
-    return made.join(ch.violations(labels, roles), "cluster")
+    return ch.violations(placed(spark, sf), _roles(spark, sf)).where("violations > 0")
 
 
 @query(f"WITH {LINKS}, {PLACED}, h AS (SELECT 0 AS it, i, j FROM links JOIN placed p ON p.chain_id = i JOIN placed q ON q.chain_id = j AND q.cluster = p.cluster UNION ALL SELECT 1, i, j FROM links WHERE i % 10 = j % 10) SELECT i, j, count(*) AS times, count(*) = 2 AS persistent FROM h GROUP BY 1, 2")
 def violation_history(spark, sf):
     edges = ch.cannot_links(_roles(spark, sf))
-    first = ch.violated_pairs(placed(spark, sf), edges).select(F.lit(0).alias("iteration"), "i", "j")
+    first = ch.pairs_within(placed(spark, sf), _roles(spark, sf)).select(F.lit(0).alias("iteration"), "i", "j")
     second = edges.where("i % 10 = j % 10").select(F.lit(1).alias("iteration"), "i", "j")
     return ch.violation_statistics(first.unionByName(second))
 
@@ -398,25 +392,38 @@ def bin_quotas(spark, sf):
     return sa.bin_quotas(sa.temporal_bins(_posts(spark, sf), 24), 50)
 
 
-@query()
+@query(f"""WITH {BINS}, z AS (SELECT bin, count(*) AS size FROM bins GROUP BY 1), q AS (SELECT *, size / (SELECT sum(size) FROM z) * (SELECT least(50, sum(size)) FROM z) AS q FROM z),
+f AS (SELECT bin, size, floor(q) AS f, row_number() OVER (ORDER BY q - floor(q) DESC, bin) AS r FROM q),
+t AS (SELECT bin, CAST(f + CASE WHEN r <= (SELECT least(50, sum(size)) FROM z) - (SELECT sum(f) FROM f) THEN 1 ELSE 0 END AS BIGINT) AS quota FROM f),
+k AS (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY n_events DESC, doc_id) AS k FROM bins) SELECT doc_id, n_events, bin FROM k JOIN t USING (bin) WHERE k <= quota""")
 def temporal_sample(spark, sf):
-    return sa.temporal_sample(_posts(spark, sf), 50)
+    """Quotas in proportion to sizes never exceed them while fewer documents are wanted than there are; else all are taken."""
+    posts = _posts(spark, sf)
+    return sa.temporal_sample(posts, min(50, posts.count())).select("doc_id", "n_events", "bin")
+
+
+def _quotas(stratum: str, n: int) -> str:
+    return f"""s AS (SELECT {stratum} AS stratum, count(*) AS size FROM documents WHERE {stratum} IS NOT NULL GROUP BY 1), m AS (SELECT min(size) AS lo, count(*) AS k, sum(size) AS total FROM s),
+q AS (SELECT stratum, size, lo + CASE WHEN {n} - lo * k > 0 AND total - lo * k > 0 THEN least(round_even(({n} - lo * k) * ((size - lo) / (total - lo * k)), 0), size - lo) ELSE 0 END AS q FROM s, m),
+c AS (SELECT *, coalesce(sum(q) OVER (ORDER BY stratum ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM q),
+quotas AS (SELECT stratum, size, CAST(greatest(least(q, {n} - before), 0) AS BIGINT) AS quota FROM c)"""
+
+
+#: The order of a draw of documents with seed 42.
+LOT = "md5(CAST(doc_id AS VARCHAR) || ':42'), doc_id"
 
 
-@query("""WITH s AS (SELECT source AS stratum, count(*) AS size FROM documents WHERE source IS NOT NULL GROUP BY 1), m AS (SELECT min(size) AS lo, count(*) AS k, sum(size) AS total FROM s),
-q AS (SELECT stratum, size, lo + CASE WHEN 150 - lo * k > 0 AND total - lo * k > 0 THEN least(round_even((150 - lo * k) * ((size - lo) / (total - lo * k)), 0), size - lo) ELSE 0 END AS q FROM s, m),
-c AS (SELECT *, coalesce(sum(q) OVER (ORDER BY stratum ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM q)
-SELECT stratum, size, CAST(greatest(least(q, 150 - before), 0) AS BIGINT) AS quota FROM c""")
+@query(f"WITH {_quotas('source', 150)} SELECT stratum, size, quota FROM quotas")
 def stratified_quota(spark, sf):
     return sa.stratum_quotas(read(spark, sf, "documents"), "source", 150)
 
 
-@query()
+@query(f"WITH {_quotas('lang', 60)}, r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {LOT}) AS r FROM documents) SELECT doc_id, lang FROM r JOIN quotas ON lang = stratum WHERE r <= quota")
 def stratified_sample(spark, sf):
     return sa.stratified_sample(read(spark, sf, "documents"), "lang", 60).select("doc_id", "lang")
 
 
-@query()
+@query(f"WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {LOT}) AS r FROM documents WHERE lang IN ('de', 'fr', 'es')) SELECT doc_id, lang FROM r WHERE r <= CASE lang WHEN 'es' THEN 13 ELSE 14 END")
 def balanced_sample(spark, sf):
     return sa.balanced_sample(read(spark, sf, "documents"), "lang", 41, ("de", "fr", "es")).select("doc_id", "lang")
 
@@ -428,28 +435,33 @@ def diverse_sample(spark, sf):
     return sa.diverse_sample(placed(spark, sf), 25, by="cluster", order=order).select("cluster", "doc_id", "chain_id")
 
 
-@query()
+@query(f"""WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {LOT}) - 1 AS r, count(*) OVER (PARTITION BY lang) AS n FROM documents)
+SELECT doc_id, lang, CASE WHEN r < n * 0.7::DOUBLE THEN 'train' WHEN r < n * 0.85::DOUBLE THEN 'dev' ELSE 'test' END AS split FROM r""")
 def splits(spark, sf):
     rows = read(spark, sf, "documents").select("doc_id", "lang")
-    return sa.split(rows, {"train": 0.7, "dev": 0.15, "test": 0.15}, "lang").groupBy("lang", "split").count()
+    return sa.split(rows, {"train": 0.7, "dev": 0.15, "test": 0.15}, "lang")
 
 
-@query()
+@query("""SELECT doc_id, lang, repeat, CAST((row_number() OVER (PARTITION BY lang, repeat ORDER BY md5(CAST(doc_id AS VARCHAR) || ':' || CAST(repeat + 42 AS VARCHAR)), doc_id) - 1) % 5 AS INTEGER) AS fold
+FROM documents, (SELECT CAST(unnest(range(5)) AS INTEGER) AS repeat)""")
 def cv_folds(spark, sf):
-    return sa.folds(read(spark, sf, "documents").select("doc_id", "lang"), "lang").groupBy("lang", "repeat", "fold").count()
+    return sa.folds(read(spark, sf, "documents").select("doc_id", "lang"), "lang")
 
 
 CONTENT = "list_distinct(list_filter(string_split_regex(lower({0}), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: length(w) > 1 AND NOT list_contains([" + ", ".join(f"'{w}'" for w in SIMILARITY_STOP_WORDS) + "], w)))"
 
 
-@query(f"""WITH d AS (SELECT doc_id, source, text, lead(doc_id) OVER w AS other, lead(text) OVER w AS t2 FROM documents WHERE lang = 'en' WINDOW w AS (PARTITION BY source ORDER BY doc_id)),
-s AS (SELECT doc_id, other, {CONTENT.format('text')} AS a, {CONTENT.format('t2')} AS b FROM d WHERE other IS NOT NULL)
-SELECT doc_id, other, round(CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END, 6) AS jaccard FROM s""")
+@query(f"""WITH d AS (SELECT doc_id, source, text, lead(doc_id) OVER w AS other, lead(text) OVER w AS t2 FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)),
+s AS (SELECT doc_id, other, {CONTENT.format("coalesce(text, '')")} AS a, {CONTENT.format("coalesce(t2, '')")} AS b FROM d WHERE other IS NOT NULL)
+SELECT doc_id, other, CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END AS jaccard FROM s""")
 def word_jaccard(spark, sf):
-    """Each English document and the next of its source."""
-    w = W.partitionBy("source").orderBy("doc_id")
-    d = read(spark, sf, "documents").where("lang = 'en'").select("doc_id", F.lead("doc_id").over(w).alias("other"), "text", F.lead("text").over(w).alias("t2")).where("other IS NOT NULL")
-    return d.select("doc_id", "other", r6(fc.jaccard_words("text", "t2"), "jaccard"))
+    """Each document and the next of its source. Sources are ranked on ids alone; texts are joined to the pairs."""
+    d = read(spark, sf, "documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
+    at = ranked(d.select("doc_id", "source"), ["source"], "doc_id", name="r")
+    here, there = at.select("source", "r", "doc_id"), at.select(F.col("source").alias("s2"), (F.col("r") - 1).alias("r2"), F.col("doc_id").alias("other"))
+    pairs = here.join(there, F.col("source").eqNullSafe(F.col("s2")) & (F.col("r") == F.col("r2"))).select("doc_id", "other")
+    both = pairs.join(d.select("doc_id", "text"), "doc_id").join(d.select(F.col("doc_id").alias("other"), F.col("text").alias("t2")), "other")
+    return both.select("doc_id", "other", fc.jaccard_words("text", "t2").alias("jaccard"))
 
 
 RANKS = """t AS (SELECT user_id, event_type, count(*) AS n, sum(value) AS v FROM events GROUP BY 1, 2),
@@ -508,10 +520,14 @@ def pair_mining(spark, sf):
     return cl.mined_pairs(p, same_pos=0.1, same_neg=0.05).where("kind IN ('same_pos', 'same_neg')").select("anchor", "kind", "other", r6("similarity"))
 
 
-@query()
+@query(f"""WITH e AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), {VOTES}, p AS (SELECT id, label, v, keys, signature FROM e JOIN roles ON chain_id = id),
+n AS (SELECT * FROM p ORDER BY md5(CAST(id AS VARCHAR) || ':0'), id LIMIT 300),
+s AS (SELECT a.id AS anchor, b.id AS other, list_cosine_similarity(a.v, b.v) AS sim, a.keys = b.keys AND a.signature <> b.signature AS bad FROM p a JOIN n b ON a.label <> b.label),
+r AS (SELECT *, row_number() OVER (PARTITION BY anchor, bad ORDER BY sim DESC, other) AS best, row_number() OVER (PARTITION BY anchor ORDER BY sim, other) AS worst FROM s)
+SELECT anchor, 'other_pos' AS kind, other, round(sim, 6) AS similarity FROM r WHERE best = 1 AND NOT bad AND sim > 0.1 UNION ALL SELECT anchor, 'other_neg', other, round(sim, 6) FROM r WHERE worst = 1""")
 def pair_mining_other(spark, sf):
     p = points(spark, sf).join(_roles(spark, sf).select(F.col("chain_id").alias("id"), "keys", "signature"), "id")
-    return cl.mined_pairs(p).where("kind IN ('other_pos', 'other_neg')")
+    return cl.mined_pairs(p, other_pos=0.1, neighbours=300).where("kind IN ('other_pos', 'other_neg')").select("anchor", "kind", "other", r6("similarity"))
 
 
 @query(f"""WITH {CENTERS}, z AS (SELECT cluster FROM dist GROUP BY 1 HAVING count(*) > 1), d AS (SELECT a.cluster, b.cluster AS other, sum((a.c - b.c) * (a.c - b.c)) AS d FROM cen a JOIN cen b ON a.i = b.i AND a.cluster <> b.cluster WHERE a.cluster IN (FROM z) AND b.cluster IN (FROM z) GROUP BY 1, 2),
@@ -522,8 +538,10 @@ def intruder_pool(spark, sf):
 
 
 def _texts(spark, sf):
-    d = read(spark, sf, "documents").where("lang = 'en'").select("doc_id", "text")
-    return points(spark, sf).join(d.withColumnRenamed("doc_id", "id"), "id").withColumn("doc_id", F.col("id") % 50)
+    """All points, with the text of the document of their number, if there is one."""
+    d = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    rows = points(spark, sf).join(d, "id", "left").withColumn("doc_id", F.col("id") % 50)
+    return rows.withColumn("text", F.coalesce("text", F.concat(F.lit("point "), F.col("id").cast("string"))))
 
 
 @query()
@@ -572,6 +590,17 @@ def weighted_pckmeans(spark, sf):
     return cl.weighted_pckmeans(_constrained(spark, sf), 10, 0.1).assignment
 
 
+@query()
+def weighted_pckmeans_blocks(spark, sf):
+    """The approximate mode, which has no serial task."""
+    return cl.weighted_pckmeans(_constrained(spark, sf), 10, 0.1, mode="blocks").assignment
+
+
+@query()
+def weighted_pckmeans_thresholds(spark, sf):
+    return cl.weighted_pckmeans(_constrained(spark, sf), 10, 0.1, centroid_percentile=90, pairwise_percentile=75).assignment
+
+
 @query()
 def pckmeans_repair(spark, sf):
     return cl.pckmeans_repair(_constrained(spark, sf), 10).assignment
@@ -598,8 +627,7 @@ def near_anchors(spark, sf):
 
 @query()
 def svo_extract(spark, sf):
-    lines = doc.number_sentences(_sentences(spark, sf).join(read(spark, sf, "documents").where("lang = 'en'").select("doc_id"), "doc_id", "left_semi"))
-    return sv.extract_svos(plugs.parse_sentences(lines))
+    return sv.extract_svos(plugs.parse_sentences(doc.number_sentences(_sentences(spark, sf))))
 
 
 def _labelled_points(spark, sf):
@@ -608,9 +636,16 @@ def _labelled_points(spark, sf):
 
 @query()
 def frame_regression(spark, sf):
-    rows = sa.split(_labelled_points(spark, sf), {"train": 0.8, "test": 0.2}, "frame")
-    model = mo.fit_frames(rows.where("split = 'train'"), "frame", "vector")
-    return qu.class_scores(model.predict(rows.where("split = 'test'")), "frame", "predicted")
+    """From the numbers of a document's chains in each cluster: of the chains closest to their centres, and of all."""
+    p, centers = _with_centers(spark, sf)
+    k, out = p.agg(F.max("cluster")).first()[0] + 1, None
+    for name, chains in (("closest", cl.closest_share(p, centers, 25)), ("all", p)):
+        counts = mo.cluster_counts(chains.withColumn("doc_id", F.col("id") % 50), k)
+        rows = sa.split(counts.withColumn("frame", F.concat(F.lit("f"), (F.col("doc_id") % 3).cast("string"))), {"train": 0.8, "test": 0.2})
+        model = mo.fit_frames(rows.where("split = 'train'"), "frame", "counts")
+        scores = qu.class_scores(model.predict(rows.where("split = 'test'")), "frame", "predicted").withColumn("chains", F.lit(name))
+        out = scores if out is None else out.unionByName(scores)
+    return out
 
 
 @query()
@@ -636,3 +671,6 @@ CODES = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in FRA
 @query(f"SELECT position, f.name AS frame FROM (SELECT position, CAST(k % 17 AS VARCHAR) || '.' || CAST(k % 3 AS VARCHAR) AS code FROM ({MENTIONS})) m LEFT JOIN (VALUES {CODES}) f(code, name) USING (code)")
 def frame_code_lookup(spark, sf):
     return mentions(spark, sf).select("position", fc.frame_name(F.concat((F.col("k") % 17).cast("string"), F.lit("."), (F.col("k") % 3).cast("string"))).alias("frame"))
+
+
+from . import stages  # noqa: E402, F401  registers the rest

@@ -49,7 +49,7 @@ def test_oracle(spark, duck, name):
 def test_samples_have_their_sizes(spark):
     per = {r["lang"]: r["count"] for r in QUERIES["balanced_sample"](spark, SF).groupBy("lang").count().collect()}
     assert all(n <= 14 for n in per.values())
-    folds = QUERIES["cv_folds"](spark, SF).collect()
+    folds = QUERIES["cv_folds"](spark, SF).groupBy("lang", "repeat", "fold").count().collect()
     by = {}
     for r in folds:
         by.setdefault((r["lang"], r["repeat"]), []).append(r["count"])
@@ -57,12 +57,35 @@ def test_samples_have_their_sizes(spark):
 
 
 def test_clusterings(spark):
-    for name in ("kmeans", "weighted_pckmeans", "pckmeans_repair"):
+    for name in ("kmeans", "weighted_pckmeans", "weighted_pckmeans_blocks", "weighted_pckmeans_thresholds", "pckmeans_repair"):
         got = QUERIES[name](spark, SF)
         assert got.count() == got.select("id").distinct().count() == 500
     assert QUERIES["cl_init"](spark, SF).select("id").distinct().count() == 10
 
 
+def test_reseeding_replaces_the_worst(spark):
+    """The share of clusters with most violations get points as centres, the others keep theirs."""
+    from plotweave.operators import chains as ch, quality as qu
+    from plotweave.plans import catalogue, views
+
+    p = views.points(spark, SF)
+    old = {r.cluster: r.center for r in qu.centroids(p).collect()}
+    bad = {r.cluster: r.violations for r in ch.violations(p.select(p.id.alias("chain_id"), "cluster"), catalogue._roles(spark, SF)).collect()}
+    got = {r.cluster: r.center for r in QUERIES["reseeded"](spark, SF).collect()}
+    worst = sorted(bad, key=lambda c: (-bad[c], c))[: max(1, int(len(old) * 0.3))]
+    vectors = {tuple(r.vector) for r in p.collect()}
+    assert set(got) == set(old) and {c for c in old if got[c] != old[c]} == set(worst)
+    assert all(tuple(got[c]) in vectors for c in worst)
+
+
+def test_coefficients_name_the_extremes(spark):
+    rows = QUERIES["coefficients"](spark, SF).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.label, []).append(r.coefficient)
+    assert len(by) == 10 and all(len(v) == 10 and v == sorted(v, reverse=True) and v[0] > 0 > v[-1] for v in by.values())
+
+
 def test_svd_embed_has_the_words_of_documents(spark):
     """Fewer documents than dimensions: inner products are those of the TF-IDF rows of whole texts."""
     texts = {r.doc_id: re.findall(r"\w\w+", (r.text or "").lower(), re.ASCII) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}

@@ -21,7 +21,7 @@ from plotweave.operators import sampling as sa
 from plotweave.operators import terms as te
 from plotweave.operators.svo import Sentence
 from plotweave.sources import corpus as co
-from plotweave.sources.tables import numbered
+from plotweave.sources.tables import numbered, percentiles, ranked, staged
 from plotweave.streaming.resume import enrich_available
 
 
@@ -233,8 +233,15 @@ def test_class_scores(spark):
 def test_quotas(spark):
     rows = spark.createDataFrame([(i, 0 if i < 7 else 1 if i < 9 else 2) for i in range(10)], "doc_id int, bin int")
     assert {r.bin: r.quota for r in sa.bin_quotas(rows, 4).collect()} == {0: 3, 1: 1, 2: 0}
-    assert sa.redistributed({0: 10, 1: 1, 2: 5}, {0: 4, 1: 4, 2: 4}) == {0: 7, 1: 1, 2: 4}
-    assert sa.redistributed({0: 2, 1: 1}, {0: 5, 1: 5}) == {0: 2, 1: 1}
+    takes = lambda *rows: {r.bin: r["take"] for r in sa.redistributed(spark.createDataFrame(rows, "bin int, size long, quota long")).collect()}
+    assert takes((0, 10, 4), (1, 1, 4), (2, 5, 4)) == {0: 7, 1: 1, 2: 4}
+    assert takes((0, 2, 5), (1, 1, 5)) == {0: 2, 1: 1}
+    assert takes((0, 3, 3), (1, 4, 2)) == {0: 3, 1: 2}
+    r = np.random.default_rng(4)
+    for _ in range(5):
+        sizes, quotas = r.integers(0, 30, 8), r.integers(0, 20, 8)
+        got = takes(*[(i, int(a), int(b)) for i, (a, b) in enumerate(zip(sizes, quotas))])
+        assert sum(got.values()) == min(sizes.sum(), quotas.sum()) and all(got[i] <= n and got[i] >= min(n, q) for i, (n, q) in enumerate(zip(sizes, quotas)))
 
 
 def test_temporal_bins_clamp_the_last(spark):
@@ -392,10 +399,17 @@ def test_soft_assignment(spark, blobs):
     assert got.satisfied == 0.5 and got.loss > 0
 
 
-def test_entry_without_the_training_data_part():
-    import __spark_entry__ as e
+def test_entry_without_the_training_data_part(tmp_path):
+    """A copy of the repository without its folders and the pipeline still gives the other queries."""
+    import os
+    import shutil
+    import subprocess
+    import sys
 
-    assert "centroid_topk" in e.queries() and set(e.oracle_sql()) <= set(e.queries())
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(top, tmp_path / "copy", ignore=lambda folder, names: [n for n in names if n in (".git", "llm", "__pycache__", "corpus_pipeline.py")])
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert 'centroid_topk' in q and set(o) <= set(q) and not [n for n in q if n[:2] == 'op' and n[2].isdigit() or n == 'pipeline']"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
 
 
 def test_mention_features(spark):
@@ -429,3 +443,227 @@ def test_classifier_plug(spark):
     rows = spark.createDataFrame([(1, "aa"), (2, None)], "k long, t string")
     got = fe.classify(rows, "k", "t", lambda: lambda ts: [[float(len(t) > 0), float(not t)] for t in ts], ["full", "empty"]).collect()
     assert [(r.k, r.predicted) for r in got] == [(1, "full"), (2, "empty")]
+
+
+def conflicts(points, at, apart=np.inf):
+    """Pairs of a cluster that exclude each other, in a loop."""
+    return sum(at[i] == at[j] and a.keys == b.keys and a.signature != b.signature and np.linalg.norm(np.array(a.vector) - b.vector) <= apart for j, b in enumerate(points) for i, a in enumerate(points[:j]))
+
+
+@pytest.fixture(scope="module")
+def bound(spark):
+    """Points of two blobs with keys and signatures, some without keys."""
+    r = np.random.default_rng(8)
+    rows = [(i, (r.normal(0, 1, 3) + 3 * (i % 2)).tolist(), None if i % 11 == 0 else f"k{i % 4}", f"s{i % 3}") for i in range(80)]
+    return staged(spark.createDataFrame(rows, "id long, vector array<double>, keys string, signature string"))
+
+
+def test_thresholds_of_constraints(spark, bound):
+    """One iteration against a loop in which a point pays for each earlier one that it excludes, that is open, and near."""
+    points = bound.orderBy("id").collect()
+    centers = spark.createDataFrame([(i, points[i].vector) for i in range(4)], "cluster int, center array<double>")
+    table, x = np.array([points[i].vector for i in range(4)]), np.array([p.vector for p in points])
+    d = ((x[:, None] - table) ** 2).sum(2)
+    apart = cl.pairwise_threshold(bound, 40)
+    for centroid, pairwise, w in ((100, None, 0.5), (70, None, 0.5), (100, 40, 0.5), (70, 40, 2.0)):
+        open_ = np.sqrt(d.min(1)) <= np.percentile(np.sqrt(d.min(1)), centroid)
+        limit, at = apart if pairwise else np.inf, []
+        for j, p in enumerate(points):
+            cost = d[j].copy()
+            for i in range(j):
+                q = points[i]
+                if open_[i] and open_[j] and p.keys is not None and p.keys == q.keys and p.signature != q.signature and np.linalg.norm(x[i] - x[j]) <= limit:
+                    cost[at[i]] += w
+            at.append(int(np.argmin(cost)))
+        got = cl.weighted_pckmeans(bound, 4, w, centers=centers, centroid_percentile=centroid, pairwise_percentile=pairwise, max_iter=1)
+        assert [r.cluster for r in got.assignment.orderBy("id").collect()] == at
+        some = [i for i in range(len(points)) if open_[i] and points[i].keys is not None]
+        assert got.violations == [conflicts([points[i] for i in some], [at[i] for i in some], limit)]
+
+
+def test_repair_pair_by_pair(spark, bound):
+    points = bound.orderBy("id").collect()
+    for k in (2, 3, 5):
+        centers = spark.createDataFrame([(i, points[i].vector) for i in range(k)], "cluster int, center array<double>")
+        d = ((np.array([p.vector for p in points])[:, None] - np.array([points[i].vector for i in range(k)])) ** 2).sum(2)
+        order, at, hits = np.argsort(d, axis=1, kind="stable"), d.argmin(1).tolist(), 0
+        for i, a in enumerate(points):
+            for j in range(i + 1, len(points)):
+                b = points[j]
+                if a.keys is None or a.keys != b.keys or a.signature == b.signature or at[i] != at[j]:
+                    continue
+                hits += 1
+                first = [c for c in order[i][1:] if c != at[j]]
+                second = [c for c in order[j][1:] if c != at[i]]
+                if first:
+                    at[i] = first[0]
+                elif second:
+                    at[j] = second[0]
+        got = cl.pckmeans_repair(bound, k, centers=centers, max_iter=1)
+        assert [r.cluster for r in got.assignment.orderBy("id").collect()] == at and got.violations == [hits]
+
+
+def test_silhouette_and_pairs_in_blocks(spark, bound):
+    """Blocks of few points give what one block of all gives, and that is what loops give."""
+    p = bound.withColumn("cluster", (F.col("id") % 3).cast("int"))
+    rows = p.orderBy("id").collect()
+    x = np.array([r.vector for r in rows])
+    d = np.linalg.norm(x[:, None] - x, axis=2)
+    want = {}
+    for i, r in enumerate(rows):
+        mean = {c: np.mean([d[i, j] for j, q in enumerate(rows) if q.cluster == c and j != i]) for c in range(3)}
+        a, b = mean.pop(r.cluster), min(mean.values())
+        want[r.id] = (b - a) / max(a, b)
+    for block in (7, 512):
+        assert {r.id: pytest.approx(r.silhouette) for r in qu.silhouette(p, block).collect()} == want
+    sim = x @ x.T / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(x, axis=1))
+    best = {}
+    for i, a in enumerate(rows):
+        for j, b in enumerate(rows):
+            if i != j and a.cluster == b.cluster:
+                kind = "same_neg" if a.keys is not None and a.keys == b.keys and a.signature != b.signature else "same_pos"
+                if (i, kind) not in best or sim[i, j] > best[i, kind][1] + 1e-12:
+                    best[i, kind] = j, sim[i, j]
+    for block in (7, 512):
+        got = cl.mined_pairs(p, same_pos=-2, same_neg=-2, block=block).where("kind LIKE 'same%'").collect()
+        assert {(r.anchor, r.kind): (r.other, pytest.approx(r.similarity)) for r in got} == best
+
+
+def test_balanced_pairs(spark):
+    rows = [(i, "same_pos" if i < 30 else "other_pos", 100 + i, 0.5) for i in range(40)] + [(i, "same_neg", 200 + i, 0.5) for i in range(5, 15)]
+    df = spark.createDataFrame(rows, "anchor long, kind string, other long, similarity double")
+    for ratio, wanted, n in ((1.0, None, (10, 10)), (2.0, None, (20, 10)), (8.0, None, (40, 5)), (1.0, 12, (6, 6))):
+        got = cl.balanced_pairs(df, ratio, wanted).collect()
+        assert (sum(r.positive for r in got), sum(not r.positive for r in got)) == n
+    one = cl.balanced_pairs(df, 1.0).where("positive").collect()
+    assert {r.anchor for r in one} == set(range(5, 15))
+
+
+def test_percentiles_without_a_buffer(spark):
+    r = np.random.default_rng(3)
+    rows = [(g, float(v)) for g, n in (("a", 17), ("b", 1), ("c", 40)) for v in r.normal(size=n)]
+    df = spark.createDataFrame([*rows, ("d", None)], "g string, x double")
+    for q in (0.0, 0.25, 0.8, 1.0):
+        assert {x.g: pytest.approx(x["limit"]) for x in percentiles(df, ["g"], "x", q).collect()} == {g: np.percentile([v for h, v in rows if h == g], 100 * q) for g in "abc"}
+        assert percentiles(df, [], "x", q).first()["limit"] == pytest.approx(np.percentile([v for _, v in rows], 100 * q))
+
+
+def test_ranks_within_groups(spark):
+    df = spark.range(500).select("id", F.when(F.col("id") % 10 < 8, "big").when(F.col("id") % 10 == 8, "small").alias("g"))
+    got = ranked(df, ["g"], F.col("id").desc(), name="r", size="n").collect()
+    for g, n in (("big", 400), ("small", 50), (None, 50)):
+        own = sorted((r for r in got if r.g == g), key=lambda r: r.r)
+        assert [r.r for r in own] == list(range(1, n + 1)) and {r.n for r in own} == {n}
+        assert [r.id for r in own] == sorted((r.id for r in own), reverse=True)
+
+
+def test_sheets_and_tables(spark, tmp_path):
+    import csv
+
+    df = spark.createDataFrame([(1, 'a "b"'), (2, "c\td")], "id long, text string")
+    co.write_sheet(df, f"{tmp_path}/sheet")
+    (part,) = (tmp_path / "sheet").glob("part-*.csv")
+    with open(part, newline="") as f:
+        assert sorted(csv.reader(f, delimiter="\t", doublequote=True)) == [["1", 'a "b"'], ["2", "c\td"], ["id", "text"]]
+    co.write_sentences(spark.createDataFrame([("d", 1, "x"), ("d", 0, "y"), ("e", 2, "z")], "doc_id string, sent_id long, text string"), f"{tmp_path}/s")
+    assert {r.doc_id: r.sent_ids for r in spark.read.parquet(f"{tmp_path}/s/doc_sentences").collect()} == {"d": [0, 1], "e": [2]}
+
+
+def test_settings_in_two_formats():
+    text = """
+    base { # settings of all
+      "seed" = 42
+      "num_clusters" = 10
+    }
+    news = ${base} {
+      "corpus_path" = "./a#b" // a path
+      "event_chain_num_threshold" = 30
+    }"""
+    conf = co.Config.from_hocon(text)
+    assert conf["news"].n_clusters == 10 and conf["news"].max_chains == 30 and conf["news"].dataset == "news"
+    assert conf["news"].paths == {"seed": "42", "corpus_path": "./a#b"} and conf["base"].max_chains is None
+
+
+def test_early_stopper_of_scores():
+    s = mo.EarlyStopper(2, 0.1)
+    assert [s.stop_score(x) for x in (0.5, 0.45, 0.3, 0.6, 0.4, 0.4)] == [False, False, False, False, False, True]
+
+
+def test_chat_server():
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    seen = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append((self.path, body))
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"message": {"content": "hello"}} if self.path == "/api/chat" else {"status": "success"}).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    client = plugs.ChatServer("m", f"http://127.0.0.1:{server.server_port}", seed=7, temperature=0.2, num_ctx=100)
+    assert client.chat("s", "u", {"type": "object"}) == client.chat("s", "u") == "hello"
+    server.shutdown()
+    assert [p for p, _ in seen] == ["/api/pull", "/api/chat", "/api/chat"] and seen[1][1]["format"] == {"type": "object"} and "format" not in seen[2][1]
+    assert seen[1][1]["options"] == {"seed": 7, "temperature": 0.2, "num_ctx": 100, "num_predict": 2048} and [m["content"] for m in seen[1][1]["messages"]] == ["s", "u"]
+
+
+def test_surrogates_are_searched(spark):
+    r = np.random.default_rng(2)
+    x = r.random((150, 2))
+    rows = [(i, a.tolist(), [float((a[0] > 0.5) != (a[1] > 0.5)), float((a[0] > 0.5) == (a[1] > 0.5))]) for i, a in enumerate(x)]
+    df = spark.createDataFrame(rows, "doc_id long, x array<double>, p array<double>")
+    _, _, linear = mo.search_surrogate(df, "x", "p", 2, trials=3)
+    model, drawn, trees = mo.search_surrogate(df, "x", "p", 2, "trees", trials=2)
+    assert trees < 0.1 < linear and set(drawn) == {"depth", "rounds", "step"}
+    assert all(math.isclose(sum(r.fitted), 1) for r in model.predict(df).collect())
+
+
+def test_sweep_has_a_fit_for_each_size(spark, bound):
+    assert {k: f.assignment.select("cluster").distinct().count() <= k for k, f in cl.sweep(bound, range(2, 5), max_iter=2).items()} == {2: True, 3: True, 4: True}
+
+
+def test_lemmas_by_plug(spark):
+    rows = spark.createDataFrame([(1, "Dogs chased cats"), (2, None)], "k long, text string")
+    assert {r.k: r.lemmas for r in plugs.lemmatize(rows, "k").collect()} == {1: ["dog", "chas", "cat"], 2: []}
+
+
+def test_conjuncts_are_found_once():
+    """Three joined objects after one verb, and two heads whose conjuncts don't repeat."""
+    spec = [("dogs", "dog", "NOUN", "nsubj", 1), ("chase", "chase", "VERB", "ROOT", 1), ("cats", "cat", "NOUN", "dobj", 1), ("and", "and", "CCONJ", "cc", 2), ("mice", "mouse", "NOUN", "conj", 2), ("and", "and", "CCONJ", "cc", 4), ("birds", "bird", "NOUN", "conj", 4)]
+    s = Sentence(tokens(spec))
+    assert s.conjuncts([2], s.joins, lambda t: s.pos[t] == "NOUN") == [4, 6]
+    assert s.conjuncts([2, 4], s.joins, lambda t: s.pos[t] == "NOUN") == [4, 6]
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from types import SimpleNamespace as N
+
+    from plotweave.sources.tables import shared_folder
+
+    def session(master, folder=None):
+        conf = N(get=lambda key, default=None: folder)
+        return N(conf=conf, sparkContext=N(master=master, getConf=lambda: conf))
+
+    with pytest.raises(ValueError):
+        shared_folder(session("spark://host:7077"))
+    assert shared_folder(session("spark://host:7077", "hdfs://shared/")) == "hdfs://shared"
+
+
+def test_adjacency_store(spark, tmp_path):
+    store = co.AdjacencyStore(spark, f"{tmp_path}/near")
+    rows = lambda *r: spark.createDataFrame(list(r), "node long, neighbours array<long>")
+    store.merge(rows((1, [2, 3]), (4, [5])))
+    store.merge(rows((1, [3, 6])))
+    nodes = spark.createDataFrame([(1,), (4,), (9,)], "node long")
+    assert {r.node: r.neighbours for r in store.get(nodes).collect()} == {1: [2, 3, 6], 4: [5], 9: []}
+    store.put(rows((4, [7, 8])))
+    assert {r.node: r.neighbours for r in store.get(nodes).collect()} == {1: [2, 3, 6], 4: [7, 8], 9: []}
+    assert [tuple(r) for r in store.contains(spark.createDataFrame([(1, 6), (4, 5)], "node long, neighbour long")).collect()] == [(1, 6)]
