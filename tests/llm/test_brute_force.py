@@ -74,20 +74,40 @@ def test_mixing(docs):
         assert abs(sum(r["taken"] for i, r in got.items() if source[i] == s) - target[s]) < 1
     again = rows_of(mixing.mix_sources(docs.repartition(3)))
     assert {i: r["taken"] for i, r in got.items()} == {i: r["taken"] for i, r in again.items()}
-    order = [r.position for r in mixing.mix_sources(docs).collect()]
+    order = [2 if r.position is None else r.position for r in mixing.mix_sources(docs).collect()]
     assert order == sorted(order)
-
-
-def test_mixing_positions_invert_demand():
-    """Where a curve's area up to t is a share of all its area, position gives t."""
-    for knots in mixing.Mix().curves:
-        total = sum((b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(knots, knots[1:]))
-        for t in (0.0, 0.2, 0.5, 0.7, 0.99):
-            area = 0.0
-            for (t0, w0), (t1, w1) in zip(knots, knots[1:]):
-                x = min(max(t, t0), t1)
-                area += (x - t0) * (w0 + w0 + (w1 - w0) * (x - t0) / (t1 - t0)) / 2
-            assert 0 <= area / total <= 1
+    stream = mixing.training_stream(docs).groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in stream} == {i: r["times"] for i, r in got.items() if r["times"]}
+
+
+def test_mixing_positions_invert_demand(spark):
+    """position against numeric integration: the curve's area up to it is the share of all its area; null from 1 on."""
+    shares = [i / 97 for i in range(97)] + [0.999999, 1.0, 1.5]
+    df = spark.createDataFrame([(c, s) for c in range(3) for s in shares], "curve int, share double")
+    got = {(r.curve, r.share): r.at for r in df.select("curve", "share", mixing.position(F.col("curve"), F.col("share")).alias("at")).collect()}
+    for curve, knots in enumerate(mixing.Mix().curves):
+        steps = np.linspace(0, 1, 200_001)
+        weight = np.interp(steps, *zip(*knots))
+        area = np.concatenate(([0], np.cumsum((weight[1:] + weight[:-1]) / 2)))
+        for s in shares:
+            if s >= 1:
+                assert got[curve, s] is None
+            else:
+                assert np.interp(got[curve, s], steps, area / area[-1]) == pytest.approx(s, abs=1e-7)
+
+
+def test_mixing_takes_more_where_the_curve_is_higher(spark):
+    """Of three sources of one size, one rises and one falls: the positions of their documents follow their curves."""
+    df = spark.createDataFrame([(i, "w " * 20, "abc"[i % 3]) for i in range(1500)], "doc_id long, text string, source string")
+    got = mixing.mix_sources(df).join(df.select("doc_id", "source"), "doc_id").toPandas()
+    for source, knots in zip("abc", mixing.Mix().curves):
+        own = got[(got["source"] == source) & got["position"].notna()].sort_values("position")
+        demand = got[got["source"] == source]["target"].iloc[0]
+        taken = 20 * np.arange(len(own))
+        steps = np.linspace(0, 1, 2001)
+        weight = np.interp(steps, *zip(*knots))
+        area = np.concatenate(([0], np.cumsum((weight[1:] + weight[:-1]) / 2)))
+        assert np.allclose(np.interp(own["position"], steps, demand * area / area[-1]), taken, atol=1)
 
 
 @pytest.mark.parametrize("block", [4, 64, 2048])
@@ -280,8 +300,8 @@ def test_packing(docs, gap):
             assert offset == at
             at += n
         assert at <= 2048
-        total += at
-    assert len(sequences) * 2048 - total < 2048 + gap * len(sequences)
+        total += 0 if at & (at - 1) == 0 else 2048 - at  # sequences of a power of two aren't padded
+    assert total <= (gap - 1) * len(sequences)
 
 
 def test_best_fit_takes_the_tightest_window():
@@ -369,6 +389,39 @@ def test_line_store_forgets(docs):
         assert (own.table != 0).sum() == store.counts.where(F.pmod(F.col("b"), F.lit(store.shards)) == r.shard).count()
 
 
+def test_line_keys_are_two_hashes(spark):
+    """The second hash isn't a function of the first one, and both are what the cutting of lines computes."""
+    import xxhash
+
+    lines = [f"line {i} of a text that is long enough to have a key" for i in range(50)]
+    rows = spark.createDataFrame([("\n".join(lines),)], "text string").select(F.explode(line_dedup.line_keys(F.col("text"), 40)).alias("k")).select("k.*").collect()
+    assert [(r.a % 2**64, r.b % 2**64) for r in rows] == [line_dedup._key_of(x.encode()) for x in lines]
+    assert all(r.b % 2**64 not in (xxhash.xxh64_intdigest(x, r.a % 2**64) for x in (b"b", (1).to_bytes(4, "little"))) for r in rows)
+
+
+def test_line_dedup_of_repeated_ids(spark):
+    """Each row is a document, in the operator as in its SQL; rows of one doc_id have their own texts."""
+    import duckdb
+    import pyarrow as pa
+
+    shared = "this line is in many documents and has a key"
+    lines = [shared, f"{shared}\none", f"two\n{shared}", shared, f"{shared}\n{shared}\nend"]
+    for ids, dropped in (([1, 1, 1, 1, 2], 4), ([None] * 5, 0), ([None, None, 3, 3, None], 4)):
+        df = spark.createDataFrame(list(zip(ids, lines)), "doc_id long, text string")
+        got = [(r.doc_id, r.n_lines, r.n_dropped, hashlib.sha256(r.text.encode()).hexdigest()) for r in line_dedup.dedup_lines(df).collect()]
+        con = duckdb.connect()
+        con.register("documents", pa.table({"doc_id": pa.array(ids, pa.int64()), "text": lines}))
+        want = con.sql(line_dedup.OP8_SQL).fetchall()
+        assert sorted(got, key=str) == sorted(want, key=str) and sum(r[2] for r in got) == dropped
+
+
+def test_line_dedup_without_filters(docs, monkeypatch):
+    """Where filters are too large to be sent, all postings are looked up, with the same result."""
+    want = rows_of(line_dedup.dedup_lines(docs))
+    monkeypatch.setattr(line_dedup, "FILTER_BYTES", 0)
+    assert rows_of(line_dedup.dedup_lines(docs)) == want
+
+
 def test_cuckoo_filter():
     import numpy as np
 
@@ -394,6 +447,9 @@ def test_token_counts(docs, tmp_path):
         assert {i: (r["n_bytes"], r["n_tokens"]) for i, r in got.items()} == {i: want[i] for i in got}
     stored = docs.sparkSession.read.parquet(cache)
     assert stored.count() == len({t or "" for t in texts()}) > held == stored.select("content").distinct().count() - (stored.count() - held)
+    docs.sparkSession.read.parquet(cache).write.parquet(f"{tmp_path}/copy")
+    docs.sparkSession.read.parquet(f"{tmp_path}/copy").write.mode("append").parquet(cache)  # as two runs at once leave it
+    assert token_counts.count_tokens(docs, cache=cache).count() == len(texts()) and rows_of(token_counts.count_tokens(docs, cache=cache)) == both
     other = rows_of(token_counts.count_tokens(docs, "piece_bpe_32k.model", cache))
     import sentencepiece
 
@@ -401,6 +457,22 @@ def test_token_counts(docs, tmp_path):
     assert all(other[i]["n_tokens"] == len(sp.encode(t or "")) for i, t in enumerate(texts()))
 
 
+def test_second_run_encodes_nothing(spark, docs, monkeypatch):
+    """The cache of all runs lies in the shared folder: the second run reads what the first has stored."""
+    first = rows_of(token_counts.count_tokens(docs))
+
+    def encode(name):
+        def fail(batches):
+            for batch in batches:
+                assert not batch.num_rows
+                yield from ()
+
+        return fail
+
+    monkeypatch.setattr(token_counts, "_encode", encode)
+    assert rows_of(token_counts.count_tokens(docs)) == first
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_fast_encoders_equal_the_library(name):
     """All characters that the fast ways take, alone and in words, beside strings of them drawn at random."""
