@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 _own: list[str] = []
 
@@ -37,11 +38,12 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """df written once and read back. Iterations call this so that a lost executor repeats one step only."""
+def staged(df: DataFrame, schema: StructType | None = None) -> DataFrame:
+    """df written once and read back, with its schema or another one of the same storage. Iterations call this so that a lost
+    executor repeats one step only."""
     path = f"{shared_folder(df.sparkSession)}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(schema or df.schema).parquet(path)
 
 
 def numbered(df: DataFrame, *order: Column | str, name: str = "id") -> DataFrame:
