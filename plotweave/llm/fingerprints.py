@@ -18,14 +18,16 @@ from .scratch import parts, ready, table, text_of
 
 WINDOW, LEAST_BLOCK, WANTED, GRAM = 7, 4, 64, 4
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
+#: Bytes of a long text that are hashed at a time.
+PIECE = 1 << 20
 _MIX, _BASE = np.uint32(0x9E3779B1), 0x9E3779B97F4A7C15
 _POWERS: dict[str, np.ndarray] = {}
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base modulo 2^64, and of its inverse."""
+    """Powers of the base modulo 2^64, and of its inverse; n is PIECE + 1 at most."""
     if len(_POWERS.get("up", ())) < n:
-        size = 1 << max(16, (n - 1).bit_length())
+        size = min(1 << max(16, (n - 1).bit_length()), PIECE + 1)
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             x = np.full(size, base, np.uint64)
             x[0] = 1
@@ -48,39 +50,70 @@ def _rolling(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def _ends(h: np.ndarray, size: int) -> np.ndarray:
-    return np.flatnonzero((h & np.uint32(size - 1)) == size - 1) + 1
-
-
-def _signature(ends: np.ndarray, prefix: np.ndarray, down: np.ndarray, n: int) -> str:
-    if not len(ends) or ends[-1] != n:
-        ends = np.append(ends, n)
-    starts = np.concatenate(([0], ends[:-1]))
-    chunk = (prefix[ends] - prefix[starts]) * down[starts]
-    chunk ^= chunk >> np.uint64(29)
-    chunk *= np.uint64(0xBF58476D1CE4E5B9)
-    return ALPHABET[(chunk >> np.uint64(58)).astype(np.int64)].tobytes().decode()
+def _ends(x: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of chunks at this size, and their hashes; a piece of the text at a time."""
+    if len(x) <= PIECE:
+        h = _rolling(x)
+        ends = np.flatnonzero((h & np.uint32(size - 1)) == size - 1)
+        return ends + 1, h[ends]
+    ends, hashes = [], []
+    for at in range(0, len(x), PIECE):
+        lead = min(at, WINDOW - 1)
+        h = _rolling(x[at - lead : at + PIECE])[lead:]
+        some = np.flatnonzero((h & np.uint32(size - 1)) == size - 1)
+        ends.append(some + (at + 1))
+        hashes.append(h[some])
+    return np.concatenate(ends), np.concatenate(hashes)
+
+
+def _chunks(x: np.ndarray, many: list[np.ndarray]) -> list[np.ndarray]:
+    """For each list of cuts, the first of them 0 and the last the text's length, the hashes of the chunks between: sums of
+    bytes times powers of a base by their place in the chunk."""
+    out = [np.zeros(len(cuts) - 1, np.uint64) for cuts in many]
+    for at in range(0, len(x), PIECE):
+        piece = x[at : at + PIECE]
+        up, down = _powers(len(piece) + 1)
+        prefix = np.zeros(len(piece) + 1, np.uint64)
+        np.cumsum((piece.astype(np.uint64) + np.uint64(1)) * up[: len(piece)], out=prefix[1:])
+        for cuts, sums in zip(many, out):
+            first, last, own = 0, len(sums), cuts
+            if len(piece) < len(x):
+                first, last = np.searchsorted(cuts, at, "right") - 1, np.searchsorted(cuts, at + len(piece), "left")
+                own = np.clip(cuts[first : last + 1] - at, 0, len(piece))
+            part = (prefix[own[1:]] - prefix[own[:-1]]) * down[own[:-1]]
+            if cuts[first] < at:  # a chunk that began in a piece before
+                part[:1] *= np.uint64(pow(_BASE, int(at - cuts[first]), 1 << 64))
+            sums[first:last] += part
+    return out
+
+
+def _signatures(x: np.ndarray, many: list[np.ndarray]) -> list[str]:
+    """One for each list of ends."""
+    cuts = [np.concatenate(([0], ends if len(ends) and ends[-1] == len(x) else [*ends, len(x)])).astype(np.int64) for ends in many]
+    out = []
+    for chunk in _chunks(x, cuts):
+        chunk ^= chunk >> np.uint64(29)
+        chunk *= np.uint64(0xBF58476D1CE4E5B9)
+        out.append(ALPHABET[(chunk >> np.uint64(58)).astype(np.int64)].tobytes().decode())
+    return out
 
 
 def fingerprint(data: bytes) -> str:
+    """Memory beside the bytes is that of a PIECE, some 40 MB, and of the chunk ends."""
     n = len(data)
     if not n:
         return f"{LEAST_BLOCK}::"
     x = np.frombuffer(data, np.uint8)
-    up, down = _powers(n + 1)
-    prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum((x.astype(np.uint64) + np.uint64(1)) * up[:n], out=prefix[1:])
-    h = _rolling(x)
     block = LEAST_BLOCK
     while block * WANTED < n:
         block *= 2
-    ends = _ends(h, max(LEAST_BLOCK, block // 2))
-    pick = lambda size: ends[(h[ends - 1] & np.uint32(size - 1)) == size - 1]
+    ends, h = _ends(x, max(LEAST_BLOCK, block // 2))
+    pick = lambda size: ends[(h & np.uint32(size - 1)) == size - 1]
     while block > LEAST_BLOCK and len(pick(block)) < WANTED // 2:
         block //= 2
         if block > LEAST_BLOCK and len(ends) < WANTED // 2:
-            ends = _ends(h, block // 2)
-    return f"{block}:{_signature(pick(block), prefix, down, n)}:{_signature(pick(2 * block), prefix, down, n)}"
+            ends, h = _ends(x, block // 2)
+    return ":".join([str(block), *_signatures(x, [pick(block), pick(2 * block)])])
 
 
 def _shared(a: str, b: str) -> int:
@@ -167,14 +200,18 @@ def _batch(ids: list, rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids, kind), *(pa.array(c, t) for c, (_, t) in zip(zip(*rows), _OUT))], ["doc_id", *(n for n, _ in _OUT)])
 
 
-def _with_part(rows: DataFrame, cuts: list) -> DataFrame:
-    """Adds part: the number of cuts that are not above doc_id, found by halving; 0 for null."""
+def _with_part(rows: DataFrame, cuts: list, shares: list[int]) -> DataFrame:
+    """Adds part: by the number of cuts that are not above doc_id, found by halving; 0 for null. Rows of a cut itself (for the
+    first part: of null) that shares says are many are cut further, by ranges of h, and stand before the part's others."""
     low = F.lit(0)
     for step in reversed([1 << b for b in range(len(cuts).bit_length())]):
         above = F.get(F.lit(cuts), low + (step - 1)) <= F.col("doc_id")
         rows = rows.withColumn("part", F.when((low + step <= len(cuts)) & above, low + step).otherwise(low))
         low = F.col("part")
-    return rows.withColumn("part", low)
+    rows, many = rows.withColumn("part", low), F.get(F.lit(shares), low)
+    cut = F.when(low == 0, F.col("doc_id").isNull()).otherwise(F.col("doc_id") == F.get(F.lit(cuts), low - 1)) if cuts else F.col("doc_id").isNull()
+    place = F.least(F.floor((F.col("h").cast("double") / 2.0**64 + 0.5) * many), many - 1)
+    return rows.withColumn("part", (low * (max(shares) + 1) + F.when(cut & (many > 0), place).otherwise(many)).cast("int"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -184,28 +221,30 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     the last comes the first. Documents go to parts by ranges of doc_id, so whole texts move once; a part's next document,
     the first of the part that follows, is sent to both.
 
-    Null text counts as empty. Null doc_ids come first. Rows of equal doc_id are ordered by text. A single row is its own
-    next. No rows: no rows. Other columns are ignored.
+    Null text counts as empty. Very long texts: whole; hashed in pieces. Null doc_ids come first. Rows of equal doc_id are
+    ordered by a hash of their text, and make several parts if they are many; equal rows follow each other. A single row is
+    its own next. No rows: no rows. Other columns are ignored.
     """
     spark = ready(docs.sparkSession)
     n = 4 * parts(spark, 8)
-    cuts = sorted(set(docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n)).first()[0] or []))
-    first = F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id"))["doc_id"].alias("first")
-    firsts = {r["part"]: r["first"] for r in _with_part(docs.select("doc_id"), cuts).groupBy("part").agg(first).collect()}  # n rows at most
+    some = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n), F.count("*"), F.count("doc_id")).first()
+    quantiles = some[0] or []
+    cuts, nulls = sorted(set(quantiles)), n * (some[1] - some[2]) // max(1, some[1])
+    shares = [nulls if nulls > 1 else 0, *(k if (k := quantiles.count(c)) > 1 else 0 for c in cuts)]
+    rows = _with_part(docs.select("doc_id", F.xxhash64(text_of()).alias("h"), text_of().alias("text")), cuts, shares)
+    first = F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id", "h")).alias("first")
+    firsts = {r["part"]: (r["first"]["doc_id"], r["first"]["h"]) for r in rows.groupBy("part").agg(first).collect()}  # a row for each part
     order = sorted(firsts)
-    heads = [(order[i - 1], firsts[p]) for i, p in enumerate(order)]  # the part that it is sent to, doc_id
-    rows = _with_part(docs.select("doc_id", text_of().alias("text")), cuts)
-    part = F.col("part")
-    own = rows.select(part, F.lit(False).alias("guest"), "doc_id", "text")
-    guests = spark.createDataFrame(heads, f"part int, first {dict(docs.dtypes)['doc_id']}") if heads else None
-    if guests is None:
-        return own.limit(0).mapInArrow(_successors, _schema(docs))
-    send = F.broadcast(guests.groupBy("first").agg(F.collect_list("part").alias("to")))  # as many rows as parts
-    joined = rows.join(send, rows.doc_id.eqNullSafe(send["first"]), "left")
+    heads = [(order[i - 1], *firsts[p]) for i, p in enumerate(order)]  # the part that it is sent to, doc_id, h
+    if not heads:
+        return rows.select("part", F.lit(False).alias("guest"), "doc_id", "text").limit(0).mapInArrow(_successors, _schema(docs))
+    guests = spark.createDataFrame(heads, f"part int, its_id {dict(docs.dtypes)['doc_id']}, its_h long")
+    send = F.broadcast(guests.groupBy("its_id", "its_h").agg(F.collect_list("part").alias("to")))  # as many rows as parts
+    joined = rows.join(send, F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.col("h") == F.col("its_h")), "left")
     none = F.array().cast("array<struct<part:int,guest:boolean>>")
-    dealt = F.concat(F.array(F.struct(part, F.lit(False).alias("guest"))), F.coalesce(F.transform("to", lambda p: F.struct(p.alias("part"), F.lit(True).alias("guest"))), none))
-    dealt = joined.select(F.explode(dealt).alias("x"), "doc_id", "text").select("x.part", "x.guest", "doc_id", "text")
-    return dealt.repartition(parts(spark), "part").sortWithinPartitions("part", "guest", "doc_id", "text").mapInArrow(_successors, _schema(docs))
+    dealt = F.concat(F.array(F.struct("part", F.lit(False).alias("guest"))), F.coalesce(F.transform("to", lambda p: F.struct(p.alias("part"), F.lit(True).alias("guest"))), none))
+    dealt = joined.select(F.explode(dealt).alias("x"), "doc_id", "h", "text").select("x.part", "x.guest", "doc_id", "h", "text")
+    return dealt.repartition(parts(spark), "part").sortWithinPartitions("part", "guest", "doc_id", "h", "text").mapInArrow(_successors, _schema(docs))
 
 
 def _schema(docs: DataFrame) -> str:
