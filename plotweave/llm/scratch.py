@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -42,10 +44,28 @@ def ready(spark: SparkSession) -> SparkSession:
 
 
 class Scratch:
-    """Parquet tables in the shared folder. They cut lineage, so a lost executor costs only tasks of the running stage."""
+    """Parquet tables in the shared folder. They cut lineage, so a lost executor costs only tasks of the running stage.
+
+    What an operator returns may still read them. Whoever writes the result within passing() has them deleted then.
+    """
+
+    _passing: list[list[Scratch]] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = ready(spark), f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+        if Scratch._passing:
+            Scratch._passing[-1].append(self)
+
+    @classmethod
+    @contextlib.contextmanager
+    def passing(cls) -> Iterator[None]:
+        """Deletes, at its end, the tables of operators that were called within it."""
+        cls._passing.append([])
+        try:
+            yield
+        finally:
+            for own in cls._passing.pop():
+                own.drop()
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """df, written once and read back."""
