@@ -53,10 +53,6 @@ def test_packing_has_all_ids(steps):
     assert got.join(copies, "doc_id").where(F.col("n") != F.col("t") * F.col("count")).count() == 0
 
 
-def test_run(spark):
-    assert cp.run(spark, SF).count() > 0
-
-
 def test_sequences_follow_the_curves(spark, tmp_path):
     """Three sources of the same size, written and read again: early and late sequences have their curves' weights there."""
     rows = [(i, f"{'abc'[i % 3]} " * 400 + f"{i}", "en", "abc"[i % 3], 800) for i in range(1800)]
@@ -73,3 +69,55 @@ def test_sequences_follow_the_curves(spark, tmp_path):
         early, late, whole = share(at < 0.2), share(at > 0.8), share(at >= 0)
         assert early["b"] < 0.8 * whole["b"] < 0.8 * late["b"]
         assert late["c"] < 0.8 * whole["c"] < 0.8 * early["c"]
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+ROWS = [(None, None, None, None, None), (None, "x y z", "en", "s", 5), (3, "x y z", "en", None, 5), (3, "x y z", "en", None, 5), (3, "another text of this id", "de", "s", 23), (4, "", "en", "s", 0), (5, "word " * 3000, "en", "s", 15000), (6, "word " * 3000, "fr", "t", 15000), (7, "a line that many documents have, and that is long enough", "en", "t", 57)]
+
+
+@pytest.fixture(scope="module")
+def labels_only(tmp_path_factory, spark):
+    """A folder with just the labels, for the stage that learns from them."""
+    path = tmp_path_factory.mktemp("tables")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return str(path)
+
+
+@pytest.mark.parametrize("name, stage", cp.STAGES)
+def test_stages_without_rows(spark, labels_only, name, stage):
+    docs = spark.createDataFrame([], DOCS)
+    out = stage(spark, docs, labels_only)
+    assert out.count() == 0 and (name == "packing" or out.columns == docs.columns)
+
+
+@pytest.mark.parametrize("name, stage", cp.STAGES)
+def test_stages_with_nulls_repeats_and_clashing_columns(spark, labels_only, name, stage):
+    docs = spark.createDataFrame(ROWS, DOCS)
+    more = docs.select(*[F.lit(c).alias(c) for c in ("row", "n", "id", "size", "t1", "k", "maybe", "gone", "pass", "position", "key", "score", "a", "b", "shard", "component", "h")], "*")
+    got, wide = (stage(spark, d, labels_only) for d in (docs, more))
+    own = [c for c in got.columns if c not in ("sequence_id", "offset", "start", "length", "ids_crc32")]
+    show = lambda df: sorted(map(str, df.select(*own).distinct().collect()))
+    assert show(got) == show(wide) and got.count() > 0
+    if name != "packing":
+        assert wide.columns == more.columns
+
+
+def test_line_dedup_stage_cuts_lines_and_counts_characters(spark, labels_only):
+    line = "a line that many documents have, and that is long enough"
+    docs = spark.createDataFrame([(i, f"own {i}\n{line}", "en", "s", 99) for i in range(6)], DOCS)
+    got = {r.doc_id: (r.text, r.n_chars) for r in cp.line_dedup(spark, docs, labels_only).collect()}
+    assert got == {**{i: (f"own {i}", 5) for i in range(5)}, 5: (f"own 5\n{line}", 99)}
+
+
+def test_near_duplicates_of_repeated_ids(spark, labels_only):
+    """Of ids 3 and 7 with equal texts one goes, and so does no row of id 7 with another text."""
+    docs = spark.createDataFrame([(3, "one text that is here twice", "en", "s", 1), (7, "one text that is here twice", "en", "s", 2), (7, "quite another text of the same id", "en", "s", 3)], DOCS)
+    got = cp.near_duplicates(spark, docs, labels_only).collect()
+    assert sorted((r.doc_id, r.n_chars) for r in got) == [(3, 1), (7, 3)]
+
+
+def test_run_equals_the_stages(spark, steps):
+    """run writes each stage and reads it again; its pieces are those of the stages."""
+    got = cp.run(spark, SF).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    want = steps[5].groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
