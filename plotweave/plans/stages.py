@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -19,7 +20,8 @@ from ..operators import sampling as sa
 from ..operators import svo as sv
 from ..operators import terms as te
 from ..sources import corpus as co
-from .catalogue import BINS, CONTENT, EVENTS, LINES, LINKS, PAIRS, _events, _pairs, _posts, _roles, _sentences, _texts, _with_centers, query, r6
+from ..sources.tables import shared_folder
+from .catalogue import BINS, CONTENT, EVENTS, LINES, LINKS, ORACLES, PAIRS, _events, _pairs, _posts, _roles, _sentences, _texts, _with_centers, query, r6
 from .views import CENTERS, MENTIONS, PLACED, VOTES, mentions, placed, points, read
 
 
@@ -83,6 +85,64 @@ def sample_totals(spark, sf):
     return sa.sample_totals(_posts(spark, sf))
 
 
+# Stores and files: written to the shared folder and read again
+
+
+def _path(spark, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {LINKS} SELECT i, j FROM links")
+def edge_store(spark, sf):
+    """Edges added in both directions, in two batches."""
+    store, edges = co.EdgeStore(spark, _path(spark, "edges")), ch.cannot_links(_roles(spark, sf))
+    store.add(edges.select(F.col("j").alias("i"), F.col("i").alias("j")))
+    store.add(edges.where("i % 3 = 0"))
+    return store.edges()
+
+
+@query(f"WITH {LINKS}, b AS (SELECT i AS node, j AS o FROM links UNION ALL SELECT j, i FROM links) SELECT node, CAST(count(*) AS INTEGER) AS degree, min(o) AS first FROM b WHERE node % 2 = 0 GROUP BY 1")
+def neighbour_store(spark, sf):
+    """Neighbours merged from two halves of each node's edges, for the even nodes."""
+    store = co.AdjacencyStore(spark, _path(spark, "neighbours"))
+    edges = ch.cannot_links(_roles(spark, sf))
+    both = edges.unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j")))
+    for half in (0, 1):
+        store.merge(both.where(F.col("j") % 2 == half).groupBy(F.col("i").alias("node")).agg(F.collect_list("j").alias("neighbours")))
+    got = store.get(both.where("i % 2 = 0").select(F.col("i").alias("node")))
+    return got.select("node", F.size("neighbours").alias("degree"), F.get("neighbours", F.lit(0)).alias("first"))
+
+
+@query("SELECT CAST(quality AS INTEGER) AS annotator1, CAST(toxic AS INTEGER) AS annotator2, count(*) AS n FROM labels GROUP BY 1, 2")
+def ratings_sheet(spark, sf):
+    path = _path(spark, "ratings")
+    co.write_sheet(read(spark, sf, "labels").select("quality", "toxic"), path, header=False)
+    return co.read_ratings(spark, path, "INT").groupBy("annotator1", "annotator2").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'line ' || CAST(doc_id AS VARCHAR) AS text, count(*) OVER () AS lines FROM documents")
+def line_file(spark, sf):
+    """Lines with white space round them and blank ones between, read and numbered without gaps."""
+    path, text = _path(spark, "lines"), F.concat(F.lit("  line "), F.col("doc_id").cast("string"), F.lit(" \n\n "))
+    read(spark, sf, "documents").select(text.alias("value")).write.text(path)
+    lines = co.read_lines(spark, path)
+    last = lines.agg((F.max("sent_id") + 1).alias("lines"))
+    return lines.crossJoin(F.broadcast(last)).select("text", "lines")  # one row
+
+
+@query(f"WITH {LINES}, s AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id, line_no) - 1 AS sent_id FROM lines) SELECT doc_id, CAST(count(*) AS INTEGER) AS n, min(sent_id) AS first, max(sent_id) AS last FROM s GROUP BY 1")
+def sentence_sink(spark, sf):
+    path = _path(spark, "sentences")
+    co.write_sentences(doc.number_sentences(_sentences(spark, sf)), path)
+    ids = spark.read.parquet(f"{path}/doc_sentences")
+    return ids.select("doc_id", F.size("sent_ids").alias("n"), F.get("sent_ids", F.lit(0)).alias("first"), F.element_at("sent_ids", -1).alias("last"))
+
+
+@query(f"SELECT n, CASE WHEN abs(z) > 3.290527 THEN 'p<.001' WHEN abs(z) > 2.575829 THEN 'p<.01' WHEN abs(z) > 1.959964 THEN 'p<.05' ELSE 'n.s.' END AS band FROM ({ORACLES['cohens_kappa']})")
+def kappa_band(spark, sf):
+    return qu.cohens_kappa(read(spark, sf, "labels"), "quality", "toxic").select("n", "band")
+
+
 # Events, phrases, terms
 
 
