@@ -25,7 +25,7 @@ from .components import components
 from .scratch import Scratch, hot_join, maybe_in, parts, table, text_of
 
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
-_CACHED_WORDS = 1_000_000
+_CACHED_WORDS = 250_000
 #: Centres, and members, of one block.
 CHUNK = 256
 #: Groups of hashes whose sizes bound from above what two sets have in common.
@@ -72,7 +72,8 @@ def shingles(text: str, k: int) -> np.ndarray:
     x = np.full(n - size + 1, size * 0x9E3779B97F4A7C15 % 2**64, np.uint64)
     for j in range(size):
         x = _mix(x + h[j : n - size + 1 + j])
-    return np.unique(x)
+    x.sort()
+    return x[np.concatenate(([True], x[1:] != x[:-1]))]
 
 
 def sketch(hashes: np.ndarray) -> bytes:
@@ -162,24 +163,26 @@ class Signer:
         self.bin_ids = np.arange(self.bins, dtype=np.uint64)
         self.factors = _mix(np.arange(1, near.rows + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
 
-    def keys(self, hashes: np.ndarray) -> np.ndarray:
-        mixed = _mix(hashes + np.uint64(0x632BE59BD9B4E019))
-        where = ((mixed >> np.uint64(32)) * np.uint64(self.bins)) >> np.uint64(32)
-        both = np.sort((where << np.uint64(32)) | (mixed & np.uint64(0xFFFFFFFF)))
+    def keys(self, sets: list[np.ndarray]) -> np.ndarray:
+        """Of each set, none of them empty, a row of band keys. All sets are in one sort; at most 2**31 bins."""
+        mixed, bins = _mix(np.concatenate(sets) + np.uint64(0x632BE59BD9B4E019)), np.uint64(self.bins)
+        first_bin = np.repeat(np.arange(len(sets), dtype=np.uint64) * bins, [len(s) for s in sets])
+        both = np.sort((first_bin + ((mixed >> np.uint64(32)) * bins >> np.uint64(32)) << np.uint64(32)) | (mixed & np.uint64(0xFFFFFFFF)))
         where = (both >> np.uint64(32)).astype(np.int64)
         first = np.concatenate(([True], where[1:] != where[:-1]))
-        values, filled = np.zeros(self.bins, np.uint64), np.zeros(self.bins, bool)
+        values, filled = np.zeros(len(sets) * self.bins, np.uint64), np.zeros(len(sets) * self.bins, bool)
         values[where[first]] = both[first] & np.uint64(0xFFFFFFFF)
         filled[where[first]] = True
         empty, attempt = np.flatnonzero(~filled), 0
         while len(empty):
             attempt += 1
-            tried = (_mix(self.bin_ids[empty] + np.uint64(attempt * 0x9E3779B97F4A7C15 % 2**64)) % np.uint64(self.bins)).astype(np.int64)
+            own = empty % self.bins
+            tried = (_mix(self.bin_ids + np.uint64(attempt * 0x9E3779B97F4A7C15 % 2**64)) % bins).astype(np.int64)[own] + (empty - own)
             hit = filled[tried]
             values[empty[hit]] = values[tried[hit]]
             empty = empty[~hit]
-        rows = values.reshape(self.near.bands, self.near.rows)
-        return _mix((_mix(rows + np.uint64(1)) * self.factors).sum(1, dtype=np.uint64) + np.arange(self.near.bands, dtype=np.uint64))
+        rows = values.reshape(len(sets), self.near.bands, self.near.rows)
+        return _mix((_mix(rows + np.uint64(1)) * self.factors).sum(2, dtype=np.uint64) + np.arange(self.near.bands, dtype=np.uint64))
 
 
 def _sign(near: Near):
@@ -189,14 +192,29 @@ def _sign(near: Near):
         signer = Signer(near)
         for batch in batches:
             sizes, digests, keys, sketches = [], [], [], []
+            waiting: list[np.ndarray] = []
+
+            def flush() -> None:
+                if waiting:
+                    keys.append(signer.keys(waiting).view(np.int64).ravel())
+                    waiting.clear()
+
+            held = 0
             for text in batch["text"]:
                 s = shingles(text.as_py(), near.words)
                 raw = s.tobytes()
                 sizes.append(len(s))
                 digests.append((np.uint64(xxhash.xxh3_64_intdigest(raw)).view(np.int64), np.uint64(xxhash.xxh64_intdigest(raw)).view(np.int64)))
                 sketches.append(sketch(s))
-                keys.append(signer.keys(s).view(np.int64) if len(s) else np.zeros(0, np.int64))
-            offsets = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
+                if len(s):
+                    waiting.append(s)
+                    held += len(s)
+                    if len(waiting) == 256 or held > 200_000:
+                        flush()
+                        held = 0
+            flush()
+            counts = np.where(np.array(sizes, np.int64) > 0, near.bands, 0)
+            offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
             out = batch.drop_columns(["text"])
             d = [pa.array([int(x[i]) for x in digests], pa.int64()) for i in (0, 1)]
