@@ -30,7 +30,7 @@ LEAST_GAP = 1
 #: Shards of a partition, some 60 MB of ids.
 SHARDS_EACH = 16
 #: Words whose ids a worker remembers.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 250_000
 #: Texts of only these characters have words that normalisation and white space keep apart.
 PLAIN = regex.compile(r"[^\t\n\r\x20-\x7e¡-¬®-ÿŒœŠšŽžŸ]")
 

@@ -156,17 +156,19 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sa
     return fit(bags, np.array([r.label for r in got], np.float32))
 
 
-def _score(model: Model):
+def _score(model: Model, within: int | None):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The text is a column, or the field of that number within row."""
         from plotweave.llm.quality import passages
 
         for batch in batches:
             out: list[float] = []
+            texts = batch["text"] if within is None else batch["row"].field(within)
             for at in range(0, batch.num_rows, 64):
-                bags = [passages(x.as_py()) for x in batch["text"][at : at + 64]]
+                bags = [passages(x.as_py() or "") for x in texts[at : at + 64]]
                 starts = np.concatenate(([0], np.cumsum([len(b) for b in bags])[:-1])).astype(np.int64)
                 out += model.forward(np.concatenate(bags), starts)[0].tolist()
-            yield batch.drop_columns(["text"]).append_column("score", pa.array(out, pa.float64()))
+            yield (batch.drop_columns(["text"]) if within is None else batch).append_column("score", pa.array(out, pa.float64()))
 
     return score
 
@@ -179,8 +181,9 @@ def score_quality(docs: DataFrame, model: Model, *, keep_rows: bool = False) ->
     ignored.
     """
     ready(docs.sparkSession)
-    rows = docs.select("doc_id", *([F.struct("*").alias("row")] if keep_rows else []), text_of().alias("text"))
-    return rows.mapInArrow(_score(model), rows.drop("text").schema.add("score", "double"))
+    rows = docs.select("doc_id", F.struct("*").alias("row") if keep_rows else F.col("text"))
+    within = docs.columns.index("text") if keep_rows else None
+    return rows.mapInArrow(_score(model, within), rows.drop("text").schema.add("score", "double"))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: A broadcast of hot keys has fewer rows than this: a key is hot when it holds more than 1/HOT_KEYS of all rows.
 HOT_KEYS = 2000
+#: Bytes of a batch of rows that a worker gets. Spark's own bound is eight times as large.
+BATCH_BYTES = 8 << 20
 #: 64-bit words of a bitmap that is broadcast.
 BITMAP_WORDS = 1 << 17
 
@@ -32,7 +34,10 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Lets Python workers find this package where it lies at the same path on all nodes."""
+    """Lets Python workers find this package where it lies at the same path on all nodes, and bounds the batches that are sent
+    to them, unless the session has its own bound."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in ("64MB", "67108864", "67108864b"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", "").split(":") + os.environ.get("PYTHONPATH", "").split(":")
