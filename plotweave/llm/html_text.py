@@ -253,24 +253,32 @@ def boost(x: np.ndarray, y: np.ndarray, *, trees: int = 50, depth: int = 5, rate
     score, inner = np.full(n, start), 2**depth - 1
     fs, ts, ls = [], [], []
     offset = np.arange(len(wide)) * bins
+    slots = (coded[:, wide] + offset).astype(np.int32)
+
+    def sums(rows: np.ndarray, node: np.ndarray, width: int, v: np.ndarray) -> np.ndarray:
+        """By node and feature, the sum of v over rows up to each bin."""
+        v, size = v[rows], len(wide) * bins
+        out = np.empty((width, m, bins))
+        slot = (slots[rows] + (node * size).astype(np.int32)[:, None]).ravel()
+        out[:, wide] = np.bincount(slot, np.repeat(v, len(wide)), minlength=width * size).reshape(width, len(wide), bins).cumsum(2)
+        total = np.bincount(node, v, minlength=width)[:, None]
+        out[:, few, 1:] = total[:, :, None]
+        out[:, few, 0] = total - ((node[:, None] == np.arange(width)) * v[:, None]).T @ flags[rows]
+        return out
+
     for _ in range(trees):
         p = 1 / (1 + np.exp(-score))
         g, h = p - y, p * (1 - p)
         feature, threshold, at = np.zeros(inner, np.int64), np.full(inner, np.inf), np.zeros(n, np.int64)
+        before = None
         for level in range(depth):
             first = 2**level - 1
             width = 2**level
-            slot = ((at - first)[:, None] * (len(wide) * bins) + offset + coded[:, wide]).ravel()
-            own = (at - first)[:, None] == np.arange(width)
-            sums = []
-            for v in (g, h):
-                total = np.bincount(at - first, v, minlength=width)[:, None]
-                all_ = np.empty((width, m, bins))
-                all_[:, wide] = np.bincount(slot, np.repeat(v, len(wide)), minlength=width * len(wide) * bins).reshape(width, len(wide), bins).cumsum(2)
-                all_[:, few, 1:] = total[:, :, None]
-                all_[:, few, 0] = total - (own * v[:, None]).T @ flags
-                sums.append(all_)
-            G, H = sums
+            # A right child's sums are its parent's less the left child's.
+            rows = np.flatnonzero((at - first) % 2 == 0)
+            left = [sums(rows, (at[rows] - first) // 2, max(1, width // 2), v) for v in (g, h)]
+            before = [np.stack([a, b - a], 1).reshape(width, m, bins) for a, b in zip(left, before)] if level else left
+            G, H = before
             Gt, Ht = G[:, :, -1:], H[:, :, -1:]
             gain = G**2 / (H + ridge) + (Gt - G) ** 2 / (Ht - H + ridge) - Gt**2 / (Ht + ridge)
             gain[:, :, -1] = 0
