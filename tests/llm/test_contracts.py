@@ -61,7 +61,7 @@ def test_blocks_leave_no_pair_out():
     near = Near(3, 85, 32, 5)
     signer, base = near_dedup.Signer(near), r.integers(0, 2**63, 300).astype(np.uint64)
     sets = [np.unique(np.where(r.random(300) < 0.05, r.integers(0, 2**63, 300).astype(np.uint64), base)) for _ in range(40)]
-    rows = [(i, len(s), i, near_dedup.sketch(s), signer.keys(s).view(np.int64).tolist()) for i, s in enumerate(sets)]
+    rows = [(i, len(s), i, near_dedup.sketch(s), keys) for i, (s, keys) in enumerate(zip(sets, signer.keys(sets).view(np.int64).tolist()))]
     side, found = near_dedup._Side.of(rows), {}
     for b in {k for row in rows for k in row[4]}:
         held = near_dedup._Side.of(own := [x for x in rows if b in x[4]])
@@ -233,3 +233,13 @@ def test_very_long_texts(spark):
     assert all(x.n == x.t for x in pieces)
     assert {x.doc_id: x.n_bytes for x in token_counts.count_tokens(df).collect()}[2] == len(long) + 4
     assert all(0 <= x.score <= 1 for x in quality.score_quality(df, quality.fit([], np.zeros(0, "f4"))).collect())
+
+
+def test_each_part_of_a_licence_gives_its_label_only():
+    """A file that holds any one of the templates, with other words round it, has that template's label and no other."""
+    own, r = licenses.Scanner(), random.Random(2)
+    words = lambda n: " ".join(f"v{r.randrange(500)}" for _ in range(n))
+    for label, text in licenses.TEMPLATES:
+        n, places, spans = own.scan(f"{words(30)} {text} {words(30)}")
+        assert {x[0] for x in spans} | {x for _, x in places} == {label}, text
+    assert own.scan("a notice of no warranty, provided as is, for any purpose and without any fee " + words(50))[2] == []
