@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .scratch import Scratch, hot_join, ready, table, text_of
+from .scratch import Scratch, hot_join, ready, table, text_of, trimmed
 
 SPACE, UPPER = " \t\n\x0b\x0c\r", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Keys of a shard, about.
@@ -195,7 +195,7 @@ def _passing(sent, shards: int):
                     some[own] = filters[int(shard[own[0]])].contains(a[own], b[own])
             yield batch.filter(pa.array(some))
 
-    return passing
+    return trimmed(passing)
 
 
 def _cut(min_chars: int):
@@ -215,7 +215,7 @@ def _cut(min_chars: int):
             out = batch.drop_columns(["text", "gone"])
             yield out.append_column("text", pa.array(texts, pa.string())).append_column("n_lines", pa.array(total, pa.int64())).append_column("n_dropped", pa.array(lost, pa.int64()))
 
-    return cut
+    return trimmed(cut)
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, *, keep_rows: bool = False) -> DataFrame:

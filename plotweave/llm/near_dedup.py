@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .components import components
-from .scratch import Scratch, hot_join, maybe_in, parts, table, text_of
+from .scratch import Scratch, hot_join, maybe_in, parts, table, text_of, trimmed
 
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 _CACHED_WORDS = 250_000
@@ -152,7 +152,7 @@ def _compare(percent: int):
                     sides.append(side)
         yield from flush()
 
-    return compare
+    return trimmed(compare)
 
 
 class Signer:
@@ -220,7 +220,7 @@ def _sign(near: Near):
             d = [pa.array([int(x[i]) for x in digests], pa.int64()) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([*out.columns, pa.array(sizes, pa.int64()), *d, bands, pa.array(sketches, pa.binary())], [*out.schema.names, "n", "d1", "d2", "bands", "sketch"])
 
-    return sign
+    return trimmed(sign)
 
 
 def similar(own: np.ndarray, other: np.ndarray, percent: int) -> bool:
@@ -256,7 +256,7 @@ def _confirm(near: Near):
                         ys.append(node)
             yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], ["x", "y"])
 
-    return confirm
+    return trimmed(confirm)
 
 
 def _confirmed(picked: DataFrame, texts: DataFrame, near: Near) -> DataFrame:

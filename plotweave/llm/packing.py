@@ -17,7 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .scratch import Scratch, parts, ready, table, text_of
+from .scratch import Scratch, parts, ready, table, text_of, trimmed
 from .token_counts import path_of
 
 TOKENIZER, WINDOW, END_ID = "word_bpe_49k.json", 2048, 1
@@ -197,7 +197,7 @@ def _cut(name: str, window: int, keys: list[str]):
                     rows, starts, lengths, totals, pieces, size = [], [], [], [], [], 0
             yield _pieces(batch, keys, rows, starts, lengths, totals, pieces)
 
-    return cut
+    return trimmed(cut)
 
 
 def _pieces(batch: pa.RecordBatch, keys: list[str], rows: list, starts: list, lengths: list, totals: list, pieces: list) -> pa.RecordBatch:
@@ -234,7 +234,7 @@ def _pack(name: str, window: int, least_gap: int, ordered: bool):
         if full:
             yield _placed_batch(full, width, kind)
 
-    return pack
+    return trimmed(pack)
 
 
 def _placed(shard, held: list, window: int, least_gap: int, width: int, kind, ordered: bool) -> Iterator[pa.RecordBatch]:

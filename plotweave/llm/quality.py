@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .scratch import ready, table, text_of
+from .scratch import ready, table, text_of, trimmed
 
 PASSAGE = 40
 #: A model is fitted on at most so many labelled documents, those that come first by md5(doc_id), and of those on as many as
@@ -170,7 +170,7 @@ def _score(model: Model, within: int | None):
                 out += model.forward(np.concatenate(bags), starts)[0].tolist()
             yield (batch.drop_columns(["text"]) if within is None else batch).append_column("score", pa.array(out, pa.float64()))
 
-    return score
+    return trimmed(score)
 
 
 def score_quality(docs: DataFrame, model: Model, *, keep_rows: bool = False) -> DataFrame:

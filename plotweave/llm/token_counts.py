@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.utils import AnalysisException
 
-from .scratch import Scratch, hot_join, maybe_in, ready, scratch_root, table, text_of
+from .scratch import Scratch, hot_join, maybe_in, ready, scratch_root, table, text_of, trimmed
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Texts of only these characters are cut into words alike by both libraries; other texts go to the tokenizer's own.
@@ -85,7 +85,7 @@ def _encode(name: str):
             counts = pa.array([count(x.as_py()) for x in batch["text"]], pa.int64())
             yield pa.RecordBatch.from_arrays([batch["content"], counts], ["content", "n_tokens"])
 
-    return encode
+    return trimmed(encode)
 
 
 def count_tokens(docs: DataFrame, tokenizer: str = TOKENIZER, cache: str | None = None) -> DataFrame:
