@@ -71,19 +71,21 @@ def _entropy(text: Column) -> Column:
     return F.when(n > 0, F.log2(F.greatest(n, F.lit(1.0))) - F.aggregate(chars, start, step, lambda a: (a["s"] + term(a["n"])) / F.greatest(n, F.lit(1.0)))).otherwise(0.0)
 
 
-#: Features that a URL has by itself, from columns u (the URL, '' for null), h (host), p (path).
-LEXICAL = {
-    "length": F.log1p(F.length("u")), "host_length": F.log1p(F.length("h")), "path_length": F.log1p(F.length("p")),
-    "labels": F.regexp_count("h", F.lit(r"\.")) + F.when(F.length("h") > 0, 1).otherwise(0), "depth": F.regexp_count("p", F.lit("/[^/]")),
-    "digits": _share(F.col("u"), "[0-9]"), "host_digits": _share(F.col("h"), "[0-9]"), "hyphens": F.regexp_count("h", F.lit("-")),
-    "vowels": _share(F.col("h"), "[aeiou]"), "capitals": _share(F.col("u"), "[A-Z]"), "longest_label": F.array_max(F.transform(F.split("h", r"\."), lambda x: F.length(x))),
-    "host_entropy": _entropy(F.col("h")), "entropy": _entropy(F.col("u")),
-    "parameters": F.regexp_count(F.regexp_extract("u", r"\?([^#]*)", 1), F.lit("[^&]+")), "fragment": F.instr("u", F.lit("#")) > 0, "ends_in_slash": F.endswith("p", F.lit("/")),
-    "extension": F.length(F.regexp_extract("p", r"\.([A-Za-z0-9]{1,5})$", 1)), "top_length": F.length("s1"),
-}
+def _lexical() -> dict[str, Column]:
+    """What a URL has by itself, from columns u (the URL, '' for null), h (host), p (path), s1 (the host's last label)."""
+    return {
+        "length": F.log1p(F.length("u")), "host_length": F.log1p(F.length("h")), "path_length": F.log1p(F.length("p")),
+        "labels": F.regexp_count("h", F.lit(r"\.")) + F.when(F.length("h") > 0, 1).otherwise(0), "depth": F.regexp_count("p", F.lit("/[^/]")),
+        "digits": _share(F.col("u"), "[0-9]"), "host_digits": _share(F.col("h"), "[0-9]"), "hyphens": F.regexp_count("h", F.lit("-")),
+        "vowels": _share(F.col("h"), "[aeiou]"), "capitals": _share(F.col("u"), "[A-Z]"), "longest_label": F.array_max(F.transform(F.split("h", r"\."), lambda x: F.length(x))),
+        "host_entropy": _entropy(F.col("h")), "entropy": _entropy(F.col("u")),
+        "parameters": F.regexp_count(F.regexp_extract("u", r"\?([^#]*)", 1), F.lit("[^&]+")), "fragment": F.instr("u", F.lit("#")) > 0, "ends_in_slash": F.endswith("p", F.lit("/")),
+        "extension": F.length(F.regexp_extract("p", r"\.([A-Za-z0-9]{1,5})$", 1)), "top_length": F.length("s1"),
+    }
+
+
 #: Suffixes of a host, its last label and its last two, and in the same way the path's first part, which rules look at, too.
 _SUFFIX = {"s1": ("h", r"[^.]*$"), "s2": ("h", r"[^.]*(\.[^.]*)?$"), "p1": ("p", "^/?[^/]*/?")}
-COLUMNS = [*LEXICAL, *(f"{s}_{x}" for s in _SUFFIX for x in ("share", "blocked"))]
 
 
 def _parts(urls: DataFrame) -> DataFrame:
@@ -110,8 +112,9 @@ def _with_suffixes(rows: DataFrame, suffixes: dict[str, DataFrame]) -> DataFrame
 
 
 def _vectors(rows: DataFrame) -> DataFrame:
-    held = rows.withColumns({c: x.cast("double") for c, x in LEXICAL.items()})
-    return VectorAssembler(inputCols=COLUMNS, outputCol="features", handleInvalid="error").transform(held)
+    own = {c: x.cast("double") for c, x in _lexical().items()}
+    names = [*own, *(f"{s}_{x}" for s in _SUFFIX for x in ("share", "blocked"))]
+    return VectorAssembler(inputCols=names, outputCol="features", handleInvalid="error").transform(rows.withColumns(own))
 
 
 def train(urls: DataFrame, rules: Sequence[tuple[str, str]] = RULES, sample_urls: int = SAMPLE_URLS, seed: int = 7) -> Model:
