@@ -14,7 +14,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.columns import cosine, distance, squared_distance
-from ..sources.tables import percentiles, ranked, ready, staged
+from ..sources.tables import passing, percentiles, ranked, ready, staged, unstaged
+from .assign import distances, in_chunks, penalised, repaired, vectors, with_closest
 from .quality import block_pairs, centroids, matrix, to_centroids
 from .sampling import drawn
 
@@ -43,10 +44,10 @@ def density_strata(ranks: DataFrame) -> DataFrame:
 
 
 def nearest(points: DataFrame, centers: DataFrame) -> DataFrame:
-    """Adds nearest and d2: the closest centre, ties to the smaller cluster. Centres (k rows) are one broadcast array."""
-    listed = centers.agg(F.sort_array(F.collect_list(F.struct("cluster", "center"))).alias("_c"))
-    best = F.array_min(F.transform("_c", lambda c: F.struct(squared_distance(F.col("vector"), c["center"]).alias("d2"), c["cluster"].alias("c"))))
-    return points.crossJoin(F.broadcast(listed)).withColumn("_b", best).withColumns({"nearest": F.col("_b.c"), "d2": F.col("_b.d2")}).drop("_b", "_c")
+    """Adds nearest and d2: the closest centre, ties to the smaller cluster. Centres (k rows) go to the workers as a matrix."""
+    ready(points.sparkSession)
+    rows = centers.select("cluster", "center").orderBy("cluster").collect()  # k rows
+    return with_closest(points, np.array([r.center for r in rows], float), [r.cluster for r in rows], "nearest", centers.schema["cluster"].dataType)
 
 
 def nearest_clusters(centers: DataFrame) -> DataFrame:
@@ -87,10 +88,8 @@ def near_anchors(points: DataFrame, centers: DataFrame, threshold: float, least_
 def carried_centers(old_points: DataFrame, new_vectors: DataFrame, centers: DataFrame, share: float) -> DataFrame:
     """cluster, center: the mean, among new_vectors (id, vector), of the old points nearest to each old centre: share of all
     points of the cluster, 3 to 100 of them."""
-    own = W.partitionBy("cluster")
-    d = to_centroids(old_points, centers)
-    ranked = d.withColumns({"_r": F.row_number().over(own.orderBy("d2", "id")), "_n": F.count("*").over(own)})
-    near = ranked.where(F.col("_r") <= F.greatest(F.lit(3), F.least(F.lit(100), F.floor(F.col("_n") * share)))).select("id", "cluster")
+    d = ranked(to_centroids(old_points, centers).select("id", "cluster", "d2"), ["cluster"], "d2", "id", name="_r", size="_n")
+    near = d.where(F.col("_r") <= F.greatest(F.lit(3), F.least(F.lit(100), F.floor(F.col("_n") * share)))).select("id", "cluster")
     return centroids(near.join(new_vectors.select("id", "vector"), "id")).select("cluster", "center")
 
 
@@ -257,109 +256,65 @@ def weighted_pckmeans(points: DataFrame, k: int, w: float, *, centers: DataFrame
     the best iteration is returned. It stops after patience iterations without a better cost, or once centres move less
     than tol.
 
-    mode "exact": points see the choices of all points before them by id; distances are computed in parallel, then one task
-    goes through the ids with counters, which is linear in points but serial, for up to some 10⁵ chains. mode "blocks":
-    points are dealt to so many blocks by hash and see only choices within their block. This is approximate.
+    mode "exact": points see the choices of all points before them by id. As only those with equal keys matter, sets of keys
+    are assigned apart from each other, and large ones in chunks of CHUNK points, by rounds (see assign.penalised). mode
+    "blocks": points are dealt to so many blocks by hash and see only choices within their block. This is approximate.
 
     Points beyond the centroid percentile of distances neither pay nor cause penalties. Pairs whose distance lies beyond the
-    pairwise percentile, that of a sample of pairs, aren't constrained either; then the vectors of a block's earlier points
-    are held beside its counters, and violations are counted pair by pair.
+    pairwise percentile, that of a sample of pairs, aren't constrained either; then the vectors of the
+    earlier points of a set of keys are held, in one task for each set, and violations are counted pair by pair.
     """
     rows, table = _start(points, centers, k, w, seed)
     apart = None if pairwise_percentile is None else pairwise_threshold(rows, pairwise_percentile, seed=seed)
-    kind, best, since, history = dict(rows.dtypes)["id"], None, 0, []
+    rows, whole_rows = staged(_chunked(rows, mode, blocks, apart)), rows
+    unstaged(whole_rows)
+    best, since, history = None, 0, []
     for iteration in range(max_iter):
-        assigned = staged(_assign(rows, table, w, centroid_percentile, apart, mode, blocks, kind))
-        checked = assigned if apart is None else assigned.join(rows.select("id", "vector"), "id")
-        history.append(_violations(checked, apart))
-        cost = (assigned.agg(F.sum("d2")).first()[0] or 0.0) + w * history[-1]
-        new = _moved(assigned, rows, table)
+        with passing() as kept:
+            assigned = kept(staged(_assign(rows, table, w, centroid_percentile, apart)))
+            checked = assigned if apart is None else assigned.join(rows.select("id", "vector"), "id")
+            history.append(_violations(checked, apart))
+            cost = (assigned.agg(F.sum("d2")).first()[0] or 0.0) + w * history[-1]
+            new = _moved(assigned, rows, table)
         if best is None or cost < best[0]:
+            if best:
+                unstaged(best[1])
             best, since = (cost, assigned, new), 0
         else:
+            unstaged(assigned)
             since += 1
         shift, table = float(((new - table) ** 2).sum()), new
         if since >= patience or iteration and shift < tol:
             break
+    unstaged(rows)
     cost, assigned, table = best
     return Fit(assigned.select("id", "cluster"), _centers_of(points.sparkSession, table), cost, history, iteration + 1)
 
 
-def _costs(rows: DataFrame, table: np.ndarray) -> DataFrame:
-    """Adds costs, the squared distances to all centres, and d2, the least."""
-    cs = F.lit([[float(x) for x in c] for c in table.tolist()])
-    return rows.withColumn("costs", F.transform(cs, lambda c: squared_distance(F.col("vector"), c))).withColumn("d2", F.array_min("costs"))
-
-
-_ASSIGNED = ["id", "keys", "signature", "cluster", "d2", "open"]
+def _chunked(rows: DataFrame, mode: str, blocks: int, apart: float | None) -> DataFrame:
+    """Adds chunk and scope: points choose after those of equal keys, and in mode "blocks" of their block."""
+    out = rows.withColumn("chunk", F.lit(0)) if apart is not None or mode == "blocks" else in_chunks(rows)
+    block = F.pmod(F.xxhash64("id"), F.lit(blocks)) if mode == "blocks" else F.lit(0)
+    return out.withColumn("scope", F.concat(block.cast("string"), F.lit(":"), F.col("keys")))
 
 
-def _assign(rows: DataFrame, table: np.ndarray, w: float, percentile: float, apart: float | None, mode: str, blocks: int, kind: str) -> DataFrame:
+def _assign(rows: DataFrame, table: np.ndarray, w: float, percentile: float, apart: float | None) -> DataFrame:
     """id, keys, signature, cluster, d2 (to the nearest centre), open (within the percentile)."""
-    k, scored = len(table), _costs(rows, table)
-    if percentile < 100:
-        scored = staged(scored)
-        limit = percentiles(scored.select(F.sqrt("d2").alias("d")), [], "d", percentile / 100).first()
-        scored = scored.withColumn("open", F.sqrt("d2") <= F.lit(limit[0] if limit else None))
-    else:
-        scored = scored.withColumn("open", F.lit(True))
-    if not w:
-        return scored.withColumn("cluster", (F.array_position("costs", F.col("d2")) - 1).cast("int")).select(*_ASSIGNED)
-    block = F.lit(0) if mode == "exact" else F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-
-    def greedy(batches):
-        at = None
-        import pyarrow as pa
-
-        by_keys, by_both, before = {}, {}, {}
-        for batch in batches:
-            out = []
-            vectors = batch["vector"].to_pylist() if apart is not None else [None] * batch.num_rows
-            for b, cost, keys, sig, open_, v in zip(*(batch[c].to_pylist() for c in ("block", "costs", "keys", "signature", "open")), vectors):
-                if b != at:
-                    at, by_keys, by_both, before = b, {}, {}, {}
-                cost = np.array(cost)
-                if not open_ or keys is None:
-                    c = int(np.argmin(cost))
-                elif apart is None:
-                    x, y = by_keys.setdefault(keys, np.zeros(k)), by_both.setdefault((keys, sig), np.zeros(k))
-                    c = int(np.argmin(cost + w * (x - y)))
-                    x[c] += 1
-                    y[c] += 1
-                else:
-                    v, held = np.array(v), before.setdefault(keys, [])
-                    near = [o for s, o, u in held if s != sig and np.sqrt(((u - v) ** 2).sum()) <= apart]
-                    c = int(np.argmin(cost + w * np.bincount(near, minlength=k)))
-                    held.append((sig, c, v))
-                out.append(c)
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["keys"], batch["signature"], pa.array(out, pa.int32()), batch["d2"], batch["open"]], _ASSIGNED)
-
-    ordered = scored.select(block.alias("block"), "id", "keys", "signature", "costs", "d2", "open", *(["vector"] if apart is not None else []))
-    ordered = ordered.repartition(1 if mode == "exact" else blocks, "block").sortWithinPartitions("block", "id")
-    return ordered.mapInArrow(greedy, f"id {kind}, keys string, signature string, cluster int, d2 double, open boolean")
-
-
-def repaired(order: list[list[int]], signatures: list) -> tuple[list[int], list[int]]:
-    """(clusters, pairs found in conflict by their first point) of points of equal keys, in order of ids, from their three
-    closest clusters. Points begin in their closest cluster. Pairs are taken in order; if both are in one cluster and their
-    signatures differ, the first moves to the closest cluster that is neither its closest of all nor the second's, or, if
-    there is none, the second moves so."""
-    sign = np.unique(np.array([str(x) for x in signatures]), return_inverse=True)[1]
-    at, hits = np.array([o[0] for o in order]), [0] * len(order)
-    other = lambda i, not_this: next((c for c in order[i][1:] if c != not_this), None)
-    for i in range(len(order)):
-        j = i
-        while True:
-            rest = np.flatnonzero((at[j + 1 :] == at[i]) & (sign[j + 1 :] != sign[i]))
-            if not len(rest):
-                break
-            j += 1 + int(rest[0])
-            hits[i] += 1
-            if (c := other(i, at[j])) is not None:
-                at[i] = c
-            elif (c := other(j, at[i])) is not None:
-                at[j] = c
-    return at.tolist(), hits
+    k, columns = len(table), ["id", "keys", "signature", "cluster", "d2", "open"]
+    scored = rows.withColumn("open", F.lit(True))
+    if percentile < 100 or not w:
+        near = with_closest(rows, table, list(range(k)), "cluster", "integer")
+        if percentile < 100:
+            near = staged(near)
+            limit = percentiles(near.select(F.sqrt("d2").alias("d")), [], "d", percentile / 100).first()
+            near = near.withColumn("open", F.sqrt("d2") <= F.lit(limit[0] if limit else None))
+        else:
+            near = near.withColumn("open", F.lit(True))
+        if not w:
+            return near.select(*columns)
+        scored = near.drop("cluster", "d2")
+    told = scored.select("id", "vector", "signature", "open", "chunk", F.col("scope").alias("keys"))
+    return penalised(told, table, w, apart).withColumn("keys", F.expr("substring(keys, instr(keys, ':') + 1)")).select(*columns)
 
 
 def _repair(batches):
@@ -383,22 +338,40 @@ def _repair(batches):
     yield from flush()
 
 
+def _three_closest(rows: DataFrame, table: np.ndarray) -> DataFrame:
+    """id, keys, signature, d2, closest: the three closest centres, or all if there are fewer, ties to the first."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            d = distances(vectors(batch["vector"]), table)
+            order = np.argsort(d, 1, kind="stable")[:, :3]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(d) + 1) * order.shape[1], pa.int32()), pa.array(order.ravel(), pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["keys"], batch["signature"], pa.array(d.min(1)), lists], ["id", "keys", "signature", "d2", "closest"])
+
+    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, keys string, signature string, d2 double, closest array<int>")
+
+
 def pckmeans_repair(points: DataFrame, k: int, *, centers: DataFrame | None = None, max_iter: int = 100, tol: float = 1e-4, seed: int = 0) -> Fit:
-    """Nearest assignment, then the cannot-link pairs are repaired one after the other (see repaired), until centres move at
-    most tol. Sets of keys are repaired apart from each other, each in one task, as its pairs depend on those before."""
+    """Nearest assignment, then the cannot-link pairs are repaired one after the other (see assign.repaired), until centres move
+    at most tol. Sets of keys are repaired apart from each other, each in one task, in time linear in its points but for
+    sorting and in memory of some numbers for each."""
     rows, table = _start(points, centers, k, 0.0, seed)
-    kind, history = dict(rows.dtypes)["id"], []
+    kind, history, assigned = dict(rows.dtypes)["id"], [], None
     for iteration in range(max_iter):
-        closest = F.transform(F.slice(F.array_sort(F.transform("costs", lambda c, i: F.struct(c.alias("c"), i.alias("i")))), 1, 3), lambda x: x["i"])
-        scored = staged(_costs(rows, table).select("id", "keys", "signature", "d2", closest.alias("closest")))
+        scored = staged(_three_closest(rows, table))
         free = scored.where("keys IS NULL").select("id", F.col("closest")[0].cast("int").alias("cluster"), "d2", F.lit(0).cast("long").alias("hits"))
         bound = scored.where("keys IS NOT NULL").repartition("keys").sortWithinPartitions("keys", "id")
+        unstaged(assigned)
         assigned = staged(bound.mapInArrow(_repair, f"id {kind}, cluster int, d2 double, hits long").unionByName(free))
+        unstaged(scored)
         history.append(int(assigned.agg(F.coalesce(F.sum("hits"), F.lit(0))).first()[0]))
         new = _moved(assigned, rows, table)
         shift, table = float(np.sqrt(((new - table) ** 2).sum())), new
         if shift <= tol:
             break
+    unstaged(rows)
     cost = assigned.agg(F.sum("d2")).first()[0] or 0.0
     return Fit(assigned.select("id", "cluster"), _centers_of(points.sparkSession, table), cost, history, iteration + 1)
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import operator
 import os
 import sys
 import tempfile
 import uuid
+import weakref
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
@@ -38,12 +41,54 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_where: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_scopes: list[list[tuple[SparkSession, str]]] = []
+
+
 def staged(df: DataFrame, schema: StructType | None = None) -> DataFrame:
     """df written once and read back, with its schema or another one of the same storage. Iterations call this so that a lost
-    executor repeats one step only."""
-    path = f"{shared_folder(df.sparkSession)}/staged-{uuid.uuid4().hex}"
+    executor repeats one step only. The table goes with unstaged(), or when the scope of passing() ends in which it was made."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(schema or df.schema).parquet(path)
+    out = spark.read.schema(schema or df.schema).parquet(path)
+    _where[out] = path
+    if _scopes:
+        _scopes[-1].append((spark, path))
+    return out
+
+
+def unstaged(*tables: DataFrame | None) -> None:
+    """Deletes the tables of staged() that nothing will read again; other DataFrames and None are left alone."""
+    for t in tables:
+        if t is not None and (path := _where.pop(t, None)):
+            removed(t.sparkSession, path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def passing() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes, at its end, the tables that were staged within it, but for those given to what it yields: these belong to the
+    scope outside. For steps of an iteration, and for whoever writes a result of these operators elsewhere."""
+    _scopes.append([])
+    kept: set[str] = set()
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.add(_where[table])
+        return table
+
+    try:
+        yield keep
+    finally:
+        for spark, path in _scopes.pop():
+            if path not in kept:
+                removed(spark, path)
+            elif _scopes:
+                _scopes[-1].append((spark, path))
 
 
 def numbered(df: DataFrame, *order: Column | str, name: str = "id") -> DataFrame:

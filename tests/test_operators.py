@@ -130,6 +130,43 @@ def test_svd_keeps_inner_products(spark):
     assert np.allclose(got @ got.T, want @ want.T, atol=1e-6)
 
 
+def test_svd_spans_the_leading_space(spark, monkeypatch):
+    """Fewer dimensions than items, several blocks, columns that one item has alone: the leading space and what is in it are numpy's."""
+    from plotweave.operators import lowrank
+
+    monkeypatch.setattr(lowrank, "BLOCK", 16)
+    r = np.random.default_rng(2)
+    a = (r.standard_normal((90, 8)) * 3.0 ** -np.arange(8)) @ r.standard_normal((8, 60)) * (r.random((90, 60)) < 0.5)
+    a = np.concatenate([a, np.diag(r.random(90) * 0.01)], 1)
+    a[17] = 0
+    rows = [(1000 + int(i), int(j), float(a[i, j])) for i, j in zip(*np.nonzero(a))]
+    got = {x["item"]: x.vector for x in lowrank.truncated_svd(spark.createDataFrame(rows, "item long, column int, value double").repartition(5), 6).collect()}
+    assert set(got) == {1000 + i for i in range(90) if i != 17}
+    u, s, _ = np.linalg.svd(a, full_matrices=False)
+    x = np.array([got.get(1000 + i, [0.0] * 6) for i in range(90)])
+    assert np.allclose(np.linalg.norm(x, axis=0), s[:6], rtol=1e-6)
+    assert np.allclose(np.linalg.svd(u[:, :6].T @ (x / s[:6]))[1], 1, atol=1e-6)
+    assert np.allclose(x @ x.T, (u[:, :6] * s[:6] ** 2) @ u[:, :6].T, atol=1e-5 * s[0] ** 2)
+    assert lowrank.truncated_svd(spark.createDataFrame([], "item long, column int, value double")).count() == 0
+
+
+def test_staged_tables_go(spark):
+    import glob
+
+    from plotweave.sources.tables import passing, shared_folder, staged, unstaged
+
+    count = lambda: len(glob.glob(shared_folder(spark).removeprefix("file://") + "/staged-*"))
+    before = count()
+    with passing():
+        staged(spark.range(3))
+        kept = staged(spark.range(4))
+        assert count() == before + 2 and kept.count() == 4
+    assert count() == before
+    t = staged(spark.range(3))
+    unstaged(t, None, spark.range(2))
+    assert count() == before
+
+
 def characters(spark, rows):
     return spark.createDataFrame([(c, g, r, i) for i, (c, g, r) in enumerate(rows)], "chain_id long, grp string, role string, pos int")
 
@@ -458,6 +495,63 @@ def bound(spark):
     return staged(spark.createDataFrame(rows, "id long, vector array<double>, keys string, signature string"))
 
 
+@pytest.mark.parametrize("chunk,w", [(7, 0.5), (5, 4.0), (9, 0.01), (1000, 2.0)])
+def test_large_sets_of_keys_in_chunks(spark, monkeypatch, chunk, w):
+    """Chunks that begin from guessed counts end with what one pass over all ids gives; one set of keys holds most points."""
+    from plotweave.operators import assign
+
+    monkeypatch.setattr(assign, "CHUNK", chunk)
+    r = np.random.default_rng(int(w * 100) + chunk)
+    rows = [(i, r.normal(0, 1, 3).tolist(), None if i % 13 == 0 else "hot" if i % 3 else f"k{i % 2}", f"s{int(r.integers(4))}") for i in range(120)]
+    points = spark.createDataFrame(rows, "id long, vector array<double>, keys string, signature string").repartition(3)
+    centers = spark.createDataFrame([(i, rows[i][1]) for i in range(5)], "cluster int, center array<double>")
+    got = cl.weighted_pckmeans(points, 5, w, centers=centers, max_iter=1)
+    table, counts, at = np.array([x[1] for x in rows[:5]]), {}, []
+    for _, v, keys, sign in rows:
+        cost = ((np.array(v) - table) ** 2).sum(1)
+        if keys is not None:
+            cost = cost + w * (counts.setdefault(keys, np.zeros(5)) - counts.setdefault((keys, sign), np.zeros(5)))
+        at.append(int(np.argmin(cost)))
+        if keys is not None:
+            counts[keys][at[-1]] += 1
+            counts[keys, sign][at[-1]] += 1
+    assert [x.cluster for x in got.assignment.orderBy("id").collect()] == at
+
+
+def test_repair_in_closed_form():
+    """Against the pairs taken one after the other, and a large set of keys in seconds."""
+    import time
+
+    from plotweave.operators.assign import _in_turn, repaired
+
+    r = np.random.default_rng(6)
+    for k in (1, 2, 3, 4, 9):
+        for n in (1, 2, 30, 200):
+            for signs in (1, 2, 5):
+                order = np.array([r.permutation(k)[:3] for _ in range(n)])
+                sign = r.integers(0, signs, n)
+                at, hits = _in_turn(order, sign)
+                assert repaired(order.tolist(), sign.tolist()) == (at.tolist(), hits.tolist()), (k, n, signs)
+    order, began = np.array([r.permutation(10)[:3] for _ in range(100_000)]).tolist(), time.time()
+    at, hits = repaired(order, r.integers(0, 6, 100_000).tolist())
+    assert time.time() - began < 20 and len(at) == 100_000 and sum(hits) > 10**8
+
+
+def test_closest_centre_is_exact(spark):
+    from plotweave.operators.assign import closest, distances
+
+    r = np.random.default_rng(3)
+    table = r.normal(0, 1, (50, 8)) + 1000
+    table[9] = table[4]
+    x = np.concatenate([r.normal(0, 1, (300, 8)) + 1000, table, (table[:25] + table[25:]) / 2])
+    d = distances(x, table)
+    best, d2 = closest(x, table)
+    assert best.tolist() == d.argmin(1).tolist() and np.array_equal(d2, d.min(1))
+    points = spark.createDataFrame([(1, [0.0, 1.0], "a"), (2, None, "b")], "id long, vector array<double>, note string")
+    centers = spark.createDataFrame([(7, [0.0, 0.0]), (3, [0.0, 2.0])], "cluster int, center array<double>")
+    assert [(x.id, x.note, x.nearest, x.d2) for x in cl.nearest(points, centers).orderBy("id").collect()] == [(1, "a", 3, 1.0), (2, "b", None, None)]
+
+
 def test_thresholds_of_constraints(spark, bound):
     """One iteration against a loop in which a point pays for each earlier one that it excludes, that is open, and near."""
     points = bound.orderBy("id").collect()
