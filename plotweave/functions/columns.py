@@ -87,14 +87,14 @@ def words_of(text: _Col) -> Column:
 def content_words(text: _Col) -> Column:
     """Distinct words without stop words and single characters."""
     stop = F.array(*map(F.lit, SIMILARITY_STOP_WORDS))
-    return F.array_distinct(F.filter(words_of(text), lambda w: ~F.array_contains(stop, w) & (F.char_length(w) > 1)))
+    return F.filter(F.array_except(words_of(text), stop), lambda w: F.char_length(w) > 1)  # array_except drops repeats, too
 
 
 def set_jaccard(a: _Col, b: _Col) -> Column:
     """Of two arrays without repeats; 0 if both are empty."""
     a, b = col(a), col(b)
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / union)
+    common = F.size(F.array_intersect(a, b))
+    return F.when(F.size(a) + F.size(b) == 0, 0.0).otherwise(common / (F.size(a) + F.size(b) - common))
 
 
 def jaccard_words(a: _Col, b: _Col) -> Column:

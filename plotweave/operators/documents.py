@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import ArrayType, StructType
 
-from ..functions.columns import causal_event, span_of, strip_verb_sense
+from ..functions.columns import causal_event, strip_verb_sense
 from ..functions.words import ABBREVIATIONS
-from ..sources.tables import numbered
+from ..sources.tables import numbered, ready
+from .spans import first_places
 
 
 def labelled(articles: DataFrame, label: str = "primary_frame") -> DataFrame:
@@ -55,8 +60,24 @@ def split_sentences(articles: DataFrame, text: str = "text") -> DataFrame:
 
 
 def with_spans(sentences: DataFrame, articles: DataFrame) -> DataFrame:
-    """Adds span, the first place of each sentence in its article, null where there is none."""
-    return sentences.join(articles.select("doc_id", F.col("text").alias("_article")), "doc_id").withColumn("span", span_of("_article", "text")).drop("_article")
+    """Adds span, the first place of each sentence in its article, null where there is none. An article moves once, and all its
+    sentences are found in one pass over it."""
+    ready(sentences.sparkSession)
+    listed = sentences.groupBy("doc_id").agg(F.collect_list(F.struct(*sentences.columns)).alias("_s"))
+    met = listed.join(articles.select("doc_id", F.col("text").alias("_article")), "doc_id").select("_s", "_article")
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                texts, article = batch["_s"][i].values.field("text").to_pylist(), batch["_article"][i].as_py()
+                places = first_places(article, texts) if article is not None else [None] * len(texts)
+                spans = [None if p is None else {"start": p, "end": p + len(t)} for p, t in zip(places, texts)]
+                yield pa.RecordBatch.from_arrays([batch["_s"].slice(i, 1), pa.array([spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], ["_s", "_spans"])
+
+    span = StructType().add("start", "integer").add("end", "integer")
+    found = met.mapInArrow(find, StructType([met.schema["_s"]]).add("_spans", ArrayType(span)))
+    both = found.select(F.explode(F.arrays_zip("_s", "_spans")).alias("_x"))
+    return both.select(*[F.col("_x._s")[c].alias(c) for c in sentences.columns], F.col("_x._spans").alias("span"))
 
 
 def number_events(po: DataFrame, doc: str = "doc_id") -> DataFrame:
@@ -76,16 +97,37 @@ def sentence_events(sentences: DataFrame, events: DataFrame) -> DataFrame:
     return sentences.join(listed, ["doc_id", "sent_id"], "left").withColumn("events", kept)
 
 
-def overlapping(sentences: DataFrame, annotations: DataFrame) -> DataFrame:
-    """Annotations (doc_id, start, end, …) and the sentences that they touch, ends included."""
+def overlapping(sentences: DataFrame, annotations: DataFrame, width: int = 1024) -> DataFrame:
+    """Annotations (doc_id, start, end, …) and the sentences that they touch, ends included.
+
+    Both are dealt to bins of so many characters, and meet in the first bin that they share: an equi-join in which a long
+    document is many keys.
+    """
+    bins = lambda a, b: (F.floor(F.least(a, b) / width), F.floor(F.greatest(a, b) / width))
     s = sentences.where("span IS NOT NULL").select("doc_id", "sent_id", "span")
-    return annotations.join(s, "doc_id").where("start <= span.end AND end >= span.start")
+    first, last = bins(F.col("span.start"), F.col("span.end"))
+    s = s.withColumns({"_s": first, "_bin": F.explode(F.sequence(first, last))})
+    first, last = bins(F.col("start"), F.col("end"))
+    a = annotations.withColumns({"_a": first, "_bin": F.explode(F.sequence(first, last))})
+    met = a.join(s, ["doc_id", "_bin"]).where((F.col("_bin") == F.greatest("_a", "_s")) & F.expr("start <= span.end AND end >= span.start"))
+    return met.drop("_bin", "_a", "_s")
 
 
 def phrase_events(phrases: DataFrame, events: DataFrame) -> DataFrame:
-    """Events whose verb and object both occur among a phrase's lemmas (doc_id, lemmas)."""
+    """Events whose verb and object both occur among a phrase's lemmas (doc_id, lemmas).
+
+    Phrases are listed under each of their lemmas. An event looks under its verb or its object, whichever fewer phrases of its
+    document have, and only there; the other one is checked.
+    """
     verb = F.split_part("verb_sense", F.lit("_"), F.lit(1))
-    return phrases.join(events, "doc_id").where(F.array_contains("lemmas", verb) & F.array_contains("lemmas", F.col("obj_head")))
+    listed = phrases.withColumn("_lemma", F.explode(F.array_distinct("lemmas")))
+    counts = listed.groupBy("doc_id", "_lemma").agg(F.count("*").alias("_n"))
+    of = lambda name, n: counts.select("doc_id", F.col("_lemma").alias(name), F.col("_n").alias(n))
+    asked = events.withColumns({"_verb": verb, "_object": F.col("obj_head")}).join(of("_verb", "_nv"), ["doc_id", "_verb"]).join(of("_object", "_no"), ["doc_id", "_object"])
+    rarer = F.col("_nv") <= F.col("_no")
+    asked = asked.withColumns({"_lemma": F.when(rarer, F.col("_verb")).otherwise(F.col("_object")), "_other": F.when(rarer, F.col("_object")).otherwise(F.col("_verb"))})
+    met = listed.join(asked, ["doc_id", "_lemma"]).where(F.array_contains("lemmas", F.col("_other")))
+    return met.drop("_lemma", "_other", "_verb", "_object", "_nv", "_no")
 
 
 def event_pairs(events: DataFrame, window: int = 2, order: str = "event_id") -> DataFrame:

@@ -455,13 +455,14 @@ CONTENT = "list_distinct(list_filter(string_split_regex(lower({0}), '[ \\t\\n\\x
 s AS (SELECT doc_id, other, {CONTENT.format("coalesce(text, '')")} AS a, {CONTENT.format("coalesce(t2, '')")} AS b FROM d WHERE other IS NOT NULL)
 SELECT doc_id, other, CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END AS jaccard FROM s""")
 def word_jaccard(spark, sf):
-    """Each document and the next of its source. Sources are ranked on ids alone; texts are joined to the pairs."""
+    """Each document and the next of its source. Sources are ranked on ids alone; word sets, made once, are joined to the pairs."""
     d = read(spark, sf, "documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
+    sets = staged(d.select("doc_id", fc.content_words("text").alias("words")))
     at = ranked(d.select("doc_id", "source"), ["source"], "doc_id", name="r")
     here, there = at.select("source", "r", "doc_id"), at.select(F.col("source").alias("s2"), (F.col("r") - 1).alias("r2"), F.col("doc_id").alias("other"))
     pairs = here.join(there, F.col("source").eqNullSafe(F.col("s2")) & (F.col("r") == F.col("r2"))).select("doc_id", "other")
-    both = pairs.join(d.select("doc_id", "text"), "doc_id").join(d.select(F.col("doc_id").alias("other"), F.col("text").alias("t2")), "other")
-    return both.select("doc_id", "other", fc.jaccard_words("text", "t2").alias("jaccard"))
+    both = pairs.join(sets, "doc_id").join(sets.select(F.col("doc_id").alias("other"), F.col("words").alias("others")), "other")
+    return both.select("doc_id", "other", fc.set_jaccard("words", "others").alias("jaccard"))
 
 
 RANKS = """t AS (SELECT user_id, event_type, count(*) AS n, sum(value) AS v FROM events GROUP BY 1, 2),

@@ -518,6 +518,50 @@ def test_large_sets_of_keys_in_chunks(spark, monkeypatch, chunk, w):
     assert [x.cluster for x in got.assignment.orderBy("id").collect()] == at
 
 
+def test_first_places_of_sentences(spark):
+    import random
+
+    from plotweave.operators.spans import first_places
+
+    r = random.Random(4)
+    for n, letters in ((0, "a"), (1, "ab"), (40, "ab"), (300, "abc d\u00e9\U0001f389"), (2000, "a"), (3000, "ab")):
+        text = "".join(r.choice(letters) for _ in range(n))
+        wanted = ["", None, "x", text, text + "a", *(text[(a := r.randrange(n + 1)) : a + r.choice([1, 2, 3, 7, 8, 9, 31, 64, 200])] for _ in range(80)), *("".join(r.choice(letters) for _ in range(k)) for k in (1, 2, 3, 5))]
+        assert first_places(text, wanted) == [None if w is None or text.find(w) < 0 else text.find(w) for w in wanted]
+    s = spark.createDataFrame([(1, 0, "b c"), (1, 1, "zz"), (1, 2, None), (1, 3, "b c"), (2, 0, "a"), (3, 0, "a")], "doc_id long, sent_id long, text string")
+    a = spark.createDataFrame([(1, "a b c b c"), (2, None)], "doc_id long, text string")
+    got = {(x.doc_id, x.sent_id): x.span and tuple(x.span) for x in doc.with_spans(s, a).collect()}
+    assert got == {(1, 0): (2, 5), (1, 1): None, (1, 2): None, (1, 3): (2, 5), (2, 0): None}
+
+
+def test_a_document_of_many_sentences(spark):
+    """100,000 sentences in one document: spans in one pass, annotations meet only the sentences near them."""
+    n = 100_000
+    texts = [f"sentence {i} of {i % 7}." for i in range(n)]
+    s = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "doc_id long, sent_id long, text string")
+    spans = staged(doc.with_spans(s, spark.createDataFrame([(1, " ".join(texts))], "doc_id long, text string")))
+    starts = np.cumsum([0] + [len(t) + 1 for t in texts])
+    assert spans.where("span IS NULL").count() == 0
+    assert spans.agg(F.sum("span.start")).first()[0] == int(starts[:-1].sum())
+    marks = [(1, int(starts[i]) + 3, int(starts[i + 2]) - 1, i) for i in range(0, n - 2, 50)] + [(1, 500, 400, -1), (1, None, 7, -2), (1, 0, int(starts[-1]), -3), (2, 0, 9, -4)]
+    got = doc.overlapping(spans, spark.createDataFrame(marks, "doc_id long, start int, end int, k int"))
+    by = {x.k: x["count"] for x in got.groupBy("k").count().collect()}
+    inside = sum(1 for a, t in zip(starts, texts) if 500 <= a + len(t) and 400 >= a)
+    want = {i: sum(1 for j in range(max(0, i - 2), min(n, i + 5)) if b <= starts[j] + len(texts[j]) and e >= starts[j]) for _, b, e, i in marks[:-4]}
+    assert by == want | {-3: n} | ({-1: inside} if inside else {})
+
+
+def test_phrases_and_events_meet_on_the_rarer_lemma(spark):
+    import random
+
+    r = random.Random(2)
+    phrases = [(r.randrange(3), i, [r.choice("abcdefg") for _ in range(r.randrange(5))]) for i in range(60)] + [(0, 99, None)]
+    events = [(r.randrange(3), j, r.choice("abcdefg") + "_1", r.choice("abcdefgh")) for j in range(60)] + [(0, 77, None, "a")]
+    got = doc.phrase_events(spark.createDataFrame(phrases, "doc_id long, phrase int, lemmas array<string>"), spark.createDataFrame(events, "doc_id long, event int, verb_sense string, obj_head string"))
+    want = sorted((p, e) for d, p, ls in phrases for d2, e, v, o in events if d == d2 and ls and v and v[0] in ls and o in ls)
+    assert sorted((x.phrase, x.event) for x in got.collect()) == want and want
+
+
 def test_repair_in_closed_form():
     """Against the pairs taken one after the other, and a large set of keys in seconds."""
     import time
