@@ -13,12 +13,15 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.columns import cosine, distance, squared_distance
+from ..functions.columns import cosine, distance, norm, squared_distance
 from ..sources.tables import passing, percentiles, ranked, ready, staged, unstaged
 from .assign import distances, in_chunks, penalised, repaired, vectors, with_closest
-from .quality import block_pairs, centroids, matrix, to_centroids
+from .quality import centroids, matrix, near_blocks, to_centroids
 from .sampling import drawn
 
+#: Points of a block of pairs.
+BLOCK = 512
+
 # Picking by distance
 
 
@@ -96,13 +99,14 @@ def carried_centers(old_points: DataFrame, new_vectors: DataFrame, centers: Data
 # Mining training pairs
 
 
-def mined_pairs(points: DataFrame, *, same_pos: float = 0.75, same_neg: float = 0.5, other_pos: float = 0.675, neighbours: int = 1000, seed: int = 0, block: int = 512) -> DataFrame:
+def mined_pairs(points: DataFrame, *, same_pos: float = 0.75, same_neg: float = 0.5, other_pos: float = 0.675, neighbours: int = 1000, seed: int = 0, block: int = BLOCK) -> DataFrame:
     """anchor, kind, other, similarity from points (id, cluster, vector, keys, signature).
 
     same_pos: the most similar of the cluster that doesn't exclude the anchor; same_neg: the most similar that does;
     other_pos: the most similar of at most so many neighbours from other clusters that doesn't; other_neg: the least similar
     of those. The first three must pass their thresholds. Ties go to the smaller id. The neighbours sampled are the same for
-    all anchors, by hash. Within a cluster all pairs are looked at, in blocks of which each anchor's best go on.
+    all anchors, by hash. Within a cluster only pairs above the lower of the two thresholds matter: as unit vectors they lie
+    within a radius, and blocks that lie farther apart are skipped (see quality.near_blocks). Each block's best go on.
     """
     kind = dict(points.dtypes)["id"]
     rows = points.select("id", "cluster", F.col("vector").cast("array<double>").alias("vector"), "keys", "signature")
@@ -129,7 +133,12 @@ def mined_pairs(points: DataFrame, *, same_pos: float = 0.75, same_neg: float =
         ids = own["id"].type
         return pa.table([pa.array(out[0], ids), pa.array(out[1], pa.string()), pa.array(out[2], ids), pa.array(out[3], pa.float64())], ["anchor", "kind", "other", "similarity"])
 
-    near = block_pairs(rows, block, ["cluster"], rows.columns, best_of, f"anchor {kind}, kind string, other {kind}, similarity double")
+    least = min(same_pos, same_neg)
+    length = norm(F.col("vector"))
+    unit = rows.withColumn("vector", F.when(length > 0, F.transform("vector", lambda x: x / length)).otherwise(F.col("vector")))
+    # A vector of zeros has similarity 0 with all others, so it must meet them if that passes a threshold.
+    radius = float(np.sqrt(max(0.0, 2 - 2 * least))) if least >= 0 else np.inf
+    near, _ = near_blocks(unit, radius, block, ["cluster"], rows.columns, best_of, f"anchor {kind}, kind string, other {kind}, similarity double")
     first = F.min(F.struct((-F.col("similarity")).alias("s"), "other")).alias("p")
     near = near.groupBy("anchor", "kind").agg(first).select("anchor", "kind", F.col("p.other").alias("other"), (-F.col("p.s")).alias("similarity"))
     near = near.where(F.col("similarity") > F.when(F.col("kind") == "same_pos", same_pos).otherwise(same_neg))
@@ -219,15 +228,25 @@ _PAIRS = lambda n: n * (n - 1) / 2
 
 def _violations(assigned: DataFrame, limit: float | None) -> int:
     """Cannot-link pairs within clusters of which both points are open. Without a limit of their distance in closed form; with
-    one, the pairs of a cluster's equal keys are compared."""
+    one, pairs of a cluster's equal keys are compared, in blocks that the index doesn't rule out."""
     rows = assigned.where("open AND keys IS NOT NULL")
     if limit is None:
         groups = rows.groupBy("cluster", "keys", "signature").agg(F.count("*").alias("n"))
         each = groups.groupBy("cluster", "keys").agg((_PAIRS(F.sum("n")) - F.sum(_PAIRS(F.col("n")))).alias("v"))
         return int(each.agg(F.coalesce(F.sum("v"), F.lit(0)).cast("long")).first()[0])
-    a = rows.select("cluster", "keys", F.col("id").alias("i"), F.col("signature").alias("s"), F.col("vector").alias("v"))
-    b = rows.select("cluster", "keys", "id", "signature", "vector")
-    return a.join(b, ["cluster", "keys"]).where((F.col("i") < F.col("id")) & (F.col("s") != F.col("signature"))).where(distance("v", "vector") <= limit).count()
+
+    def count(own, others):
+        import pyarrow as pa
+
+        n = 0
+        if len(own) and len(others):
+            y, ids, signs = matrix(others), others["id"].to_numpy(), np.array(others["signature"].to_pylist(), object)
+            for x, i, sign in zip(matrix(own), own["id"].to_pylist(), own["signature"].to_pylist()):
+                n += int(((np.sqrt(((y - x) ** 2).sum(1)) <= limit) & (ids > i) & (signs != sign)).sum())
+        return pa.table({"n": pa.array([n], pa.int64())})
+
+    pairs, _ = near_blocks(rows, limit, BLOCK, ["cluster", "keys"], ["id", "vector", "signature"], count, "n long")
+    return int(pairs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
 
 
 def _start(points: DataFrame, centers: DataFrame | None, k: int, w: float, seed: int) -> tuple[DataFrame, np.ndarray]:

@@ -9,7 +9,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.columns import dot, norm, squared_distance
-from ..sources.tables import ready
+from ..sources.tables import ready, staged
 
 
 def centroids(points: DataFrame) -> DataFrame:
@@ -64,6 +64,38 @@ def block_pairs(points: DataFrame, block: int, by: list[str], columns: list[str]
     return rows.groupBy(*by, "_a", "_b").cogroup(others.groupBy(*by, "_a", "_b")).applyInArrow(compare, schema)
 
 
+def near_blocks(points: DataFrame, radius: float, block: int, by: list[str], columns: list[str], compare, schema: str, most_pivots: int = 32) -> tuple[DataFrame, DataFrame]:
+    """(what block_pairs gives, without the block pairs in which no two points lie within radius; blocks: by, _a, _b, near).
+
+    points have id, vector and no nulls in by. A large group gets some of its points as pivots, as many as it has blocks;
+    each point goes to the cell of its nearest pivot, and cells are cut into blocks. By the triangle inequality two points
+    are at least as far apart as their distances to any pivot differ, so the ranges of a block's distances to the pivots rule
+    other blocks out. Points that lie within radius always meet; near says which pairs of blocks did.
+    """
+    ready(points.sparkSession)
+    own = points.select(*dict.fromkeys([*by, *columns, "id", "vector"]))
+    drawn = W.partitionBy(*by).orderBy(F.xxhash64("id"), "id")
+    sizes = own.groupBy(*by).agg(F.least(F.ceil(F.count("*") / block), F.lit(most_pivots)).cast("int").alias("_p"))
+    first = own.withColumn("_r", F.row_number().over(drawn)).where(F.col("_r") <= most_pivots).join(sizes, by).where(F.col("_r") <= F.col("_p"))
+    pivots = first.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("_r", "vector"))), lambda x: x["vector"]).alias("_pivots"))  # most_pivots at most
+    rows = own.join(pivots, by).withColumn("_d", F.transform("_pivots", lambda p: F.sqrt(squared_distance(F.col("vector"), p)))).drop("_pivots")
+    rows = staged(rows.withColumn("_cell", (F.array_position("_d", F.array_min("_d")) - 1).cast("int")))
+    cells = rows.groupBy(*by, "_cell").agg(F.ceil(F.count("*") / block).cast("int").alias("_n"))
+    rows = rows.join(cells, [*by, "_cell"]).withColumn("_block", F.struct("_cell", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int").alias("part")))
+    ranges = rows.select(*by, "_block", F.posexplode("_d").alias("_i", "_x")).groupBy(*by, "_block", "_i").agg(F.min("_x").alias("lo"), F.max("_x").alias("hi"))
+    listed = staged(ranges.groupBy(*by, "_block").agg(F.sort_array(F.collect_list(F.struct("_i", "lo", "hi"))).alias("_range")))
+    a, b = (listed.select(*by, F.col("_block").alias(n), F.col("_range").alias(f"_r{n}")) for n in ("_a", "_b"))
+    apart = F.array_max(F.zip_with("_r_a", "_r_b", lambda x, y: F.greatest(x["lo"] - y["hi"], y["lo"] - x["hi"])))
+    slack = 1e-9 * (1 + F.array_max(F.transform("_r_a", lambda x: x["hi"])))
+    met = staged(a.join(b, by).select(*by, "_a", "_b", (apart <= radius + slack).alias("near")))
+    near = met.where("near").drop("near")
+    rows = rows.select(*dict.fromkeys([*by, *columns]), "_block")
+    left = rows.withColumnRenamed("_block", "_a").join(near, [*by, "_a"])
+    again = lambda df, *names: df.select(*[F.col(c).alias(c) for c in df.columns if c not in names[::2]], *[F.col(c).alias(n) for c, n in zip(names[::2], names[1::2])])  # noqa: E731  as columns of its own
+    right = again(rows, "_block", "_b").join(again(near), [*by, "_b"])
+    return left.groupBy(*by, "_a", "_b").cogroup(right.groupBy(*by, "_a", "_b")).applyInArrow(compare, schema), met
+
+
 def matrix(table) -> object:
     """The vectors of an Arrow table, a row each."""
     import numpy as np

@@ -562,6 +562,26 @@ def test_phrases_and_events_meet_on_the_rarer_lemma(spark):
     assert sorted((x.phrase, x.event) for x in got.collect()) == want and want
 
 
+def test_near_blocks_skip_what_lies_apart(spark):
+    """All pairs within the radius meet, once in each order, and most blocks of far blobs don't."""
+    r = np.random.default_rng(7)
+    x = np.concatenate([r.normal(0, 0.3, (60, 3)) + 20 * r.normal(0, 1, 3) for _ in range(6)] + [np.ones((30, 3))])
+    points = spark.createDataFrame([(i, "abc"[i % 2], v.tolist()) for i, v in enumerate(x)], "id long, g string, vector array<double>").repartition(4)
+
+    def pairs(own, others):
+        import pyarrow as pa
+
+        d = np.sqrt(((qu.matrix(own)[:, None] - qu.matrix(others)) ** 2).sum(2)) if len(own) and len(others) else np.zeros((0, 0))
+        a, b = np.nonzero(d <= 1.0)
+        return pa.table({"i": own["id"].take(pa.array(a)), "j": others["id"].take(pa.array(b))})
+
+    got, met = qu.near_blocks(points, 1.0, 16, ["g"], ["id", "vector"], pairs, "i long, j long")
+    want = sorted((i, j) for i in range(len(x)) for j in range(len(x)) if i % 2 == j % 2 and np.linalg.norm(x[i] - x[j]) <= 1.0)
+    assert sorted((p.i, p.j) for p in got.collect()) == want
+    near = {p.near: p["count"] for p in met.groupBy("near").count().collect()}
+    assert near[False] > near[True]
+
+
 def test_repair_in_closed_form():
     """Against the pairs taken one after the other, and a large set of keys in seconds."""
     import time
