@@ -19,7 +19,7 @@ from .scratch import ready, table, text_of, trimmed
 
 PASSAGE = 40
 #: A model is fitted on at most so many labelled documents, those that come first by md5(doc_id), and of those on as many as
-#: have no more passages together than the second number says, some 80 MB of features.
+#: have no more passages together than the second number says, some 80 MB of features (see train).
 SAMPLE_DOCS = 6000
 SAMPLE_PASSAGES = 200_000
 THRESHOLD = 0.3
@@ -140,17 +140,26 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_passages: int = SAMPLE_PASSAGES) -> Model:
-    """From labels (doc_id, quality) of rows that aren't held out. Several labels of a doc_id: the largest counts. Other
-    documents of a doc_id are learned from, too, while the sample has room; repeated rows count once."""
-    ready(docs.sparkSession)
+    """From labels (doc_id, quality) of rows that aren't held out. Several labels of a doc_id: the largest counts.
+
+    Equal rows count once. The first text of every doc_id comes before the second of any, so that a doc_id with many texts has
+    a share of the sample only while there is room. A document that doesn't fit among the passages that are left is left
+    out, and others are taken; documents with more than a twentieth of all passages come last.
+    """
+    spark = ready(docs.sparkSession)
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("quality").alias("label"))
     chosen = known.withColumn("key", F.md5(F.col("doc_id").cast("string").cast("binary"))).orderBy("key").limit(sample_docs)
-    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").select("key", "label", "text")
-    rows = rows.withColumn("n", F.greatest(F.ceil(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")) / PASSAGE), F.lit(1)))
-    first = rows.select("key", F.xxhash64("text").alias("h"), "n").orderBy("key", "h").limit(sample_docs)
-    before = F.sum("n").over(Window.orderBy("key", "h"))  # sample_docs rows at most
-    taken = first.withColumn("upto", before).where(F.col("upto") <= sample_passages).select("key", "h").distinct()
-    rows = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(taken), ["key", "h"]).dropDuplicates(["key", "h"])
+    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").select("key", "label", "text").withColumn("h", F.xxhash64("text"))
+    size = F.greatest(F.ceil(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")) / PASSAGE), F.lit(1))
+    texts = rows.select("key", "h", size.alias("n")).distinct().withColumn("long", F.col("n") > sample_passages // 20)
+    turn = F.row_number().over(Window.partitionBy("key").orderBy("long", "h"))
+    first = texts.withColumn("turn", turn).where(F.col("turn") <= sample_docs).orderBy("long", "turn", "key", "h").limit(sample_docs)
+    taken, left = [], sample_passages
+    for r in first.select("key", "h", "n").collect():  # sample_docs rows of two hashes and a number
+        if r.n <= left:
+            taken.append((r.key, r.h))
+            left -= r.n
+    rows = rows.join(F.broadcast(spark.createDataFrame(taken, "key string, h long")), ["key", "h"]).dropDuplicates(["key", "h"])
     got = sorted(rows.select("key", "label", "text").mapInArrow(_encode, f"key string, label {dict(labels.dtypes)['quality']}, passages binary").collect(), key=lambda r: (r.key, bytes(r.passages)))
     bags = [np.frombuffer(r.passages, np.float32).reshape(-1, FEATURES) for r in got]
     return fit(bags, np.array([r.label for r in got], np.float32))

@@ -86,6 +86,42 @@ def test_quality_on_held_out_documents(spark):
     assert (good[:, None] > bad).mean() > 0.98
 
 
+@pytest.fixture(scope="module")
+def labelled(spark):
+    sf = "/root/testdata/sf0.001"
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet")
+
+
+@pytest.mark.parametrize("case", ["equal rows", "other texts", "long document", "nulls"])
+def test_quality_sample_survives(spark, labelled, case):
+    """With a bound that the labelled documents reach: many rows of the first doc_id, or a document beyond the bound, leave a
+    model that tells documents apart nearly as it did without them."""
+    docs, labels = labelled
+    plain = quality.train(docs, labels, sample_docs=60, sample_passages=600)
+    usable = labels.where(~quality.held_out()).withColumn("k", F.md5(F.col("doc_id").cast("string").cast("binary"))).orderBy("k")
+    first = usable.first().doc_id
+    if case == "equal rows":
+        more = docs.where(F.col("doc_id") == first).crossJoin(spark.range(100)).select("doc_id", "text")
+    elif case == "other texts":
+        more = spark.range(100).select(F.lit(first).alias("doc_id"), F.concat(F.lit("some other text "), F.col("id").cast("string")).alias("text"))
+    elif case == "long document":
+        more = spark.createDataFrame([(first, "word " * (40 * 700)), (first, "word " * (40 * 100))], "doc_id long, text string")
+    else:
+        more = spark.createDataFrame([(None, None), (first, None), (None, "x")], "doc_id long, text string")
+        labels = labels.unionByName(spark.createDataFrame([(None, 1, 0), (first, None, 0), (first, 7, 0)], "doc_id long, quality int, toxic int").select(*[F.col(c).cast(t) for c, t in labels.dtypes]))
+    model = quality.train(docs.unionByName(more), labels, sample_docs=60, sample_passages=600)
+    score = lambda m: {r.doc_id: r.score for r in quality.score_quality(docs, m).collect()}
+    a, b = score(plain), score(model)
+    assert max(b.values()) - min(b.values()) > 0.8
+    assert sum((a[i] >= 0.5) == (b[i] >= 0.5) for i in a) > 0.9 * len(a)
+
+
+def test_quality_without_a_sample(spark, labelled):
+    docs, labels = labelled
+    for d, l, room in ((docs.limit(0), labels, 600), (docs, labels.limit(0), 600), (docs, labels, 0)):
+        assert {round(r.score, 6) for r in quality.score_quality(docs.limit(5), quality.train(d, l, 60, room)).collect()} == {0.5}
+
+
 def test_quality_sample_is_bounded(spark):
     """A few very long documents don't take more passages than the bound, and the model is one of the rest."""
     rows = [(i, "word " * (40 * 50 if i < 3 else 40)) for i in range(60)]
