@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import json
+import queue
 import re
+import time
+import uuid
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -12,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.columns import valid_json
 from ..functions.words import GROUPS, RELATIONS, ROLES, STANCES
-from ..sources.tables import ready
+from ..sources.tables import ready, shared_folder
+from .answers import AnswerLog
 from .plugs import LLMClient
 
 _THOUGHT = re.compile(r"<think>(.*?)</think>", re.S)
@@ -35,35 +40,73 @@ class Task:
     tries: int = 5
 
 
-def ask(rows: DataFrame, key: str, prompt: str, task: Task, reason: Callable[[], LLMClient], shape: Callable[[], LLMClient]) -> DataFrame:
-    """key, reason, answer (JSON; null after all tries failed). Clients are made once for each task.
+#: Calls that a task has open at a time, and the seconds that it waits after an error, doubled from try to try.
+CONCURRENCY, BACKOFF, LONGEST_WAIT = 4, 0.5, 30.0
 
-    An error in one row is one failed try of that row. Rows are spread over the cluster first, as each takes long.
+
+def ask(rows: DataFrame, key: str, prompt: str, task: Task, reason: Callable[[], LLMClient], shape: Callable[[], LLMClient], *, concurrency: int = CONCURRENCY, backoff: float = BACKOFF, log: str | None = None) -> DataFrame:
+    """key, reason, answer (JSON; null after all tries failed).
+
+    Rows are spread over as many tasks as there are shuffle partitions. A task has some calls open at a time, each with
+    clients of its own, made once. An error in one row is one failed try of that row, after which the call waits.
+
+    Valid answers go to a log in the shared folder as they come, by a digest of the key and all that is asked. A task that
+    runs again, or a later action on the same result, reads them there and asks only for what is missing. With log, a folder
+    that all tasks can open, answers serve later runs, too; it should be one for each pair of models. In a folder that
+    workers can't open themselves nothing is kept.
     """
+    spark = ready(rows.sparkSession)
+    kept = log or f"{shared_folder(spark)}/answers-{uuid.uuid4().hex}"
+    asked = json.dumps([task.system, task.format_system, task.schema])
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def once(clients: queue.SimpleQueue, text: str | None) -> tuple[str | None, str | None]:
+        thought = answer = None
+        if text is not None:
+            thinker, shaper = clients.get()
+            try:
+                for i in range(task.tries):
+                    try:
+                        thought, draft = split_thinking(thinker.chat(task.system, text))
+                        parsed = json.loads(split_thinking(shaper.chat(task.format_system, draft, task.schema))[1])
+                        if task.check(parsed):
+                            answer = json.dumps(parsed, ensure_ascii=False)
+                            break
+                    except ValueError:
+                        continue  # not JSON: asked again at once
+                    except Exception:  # noqa: BLE001  a plug may fail in any way
+                        if i + 1 < task.tries:
+                            time.sleep(min(LONGEST_WAIT, backoff * 2**i))
+            finally:
+                clients.put((thinker, shaper))
+        return thought, answer
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        thinker, shaper = reason(), shape()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 32):
-                part = batch.slice(at, 32)
-                thoughts, answers = [], []
-                for text in part["_prompt"].to_pylist():
-                    thought = answer = None
-                    for _ in range(task.tries if text is not None else 0):
-                        try:
-                            thought, draft = split_thinking(thinker.chat(task.system, text))
-                            parsed = json.loads(split_thinking(shaper.chat(task.format_system, draft, task.schema))[1])
-                            if task.check(parsed):
-                                answer = json.dumps(parsed, ensure_ascii=False)
-                                break
-                        except Exception:  # noqa: BLE001, S112  a plug may fail in any way
-                            continue
-                    thoughts.append(thought)
-                    answers.append(answer)
-                yield pa.RecordBatch.from_arrays([part[key], pa.array(thoughts, pa.string()), pa.array(answers, pa.string())], [key, "reason", "answer"])
-
-    ready(rows.sparkSession)
-    src = rows.select(key, F.col(prompt).alias("_prompt"))
+        answers, clients = AnswerLog(kept), None
+        with ThreadPoolExecutor(concurrency) as pool:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 4 * concurrency):
+                    part = batch.slice(at, 4 * concurrency)
+                    digests = part["_digest"].to_pylist()
+                    got = [answers.get(b, d) for b, d in zip(part["_bucket"].to_pylist(), digests)]
+                    open_ = [i for i, x in enumerate(got) if x is None]
+                    if open_ and clients is None:
+                        clients = queue.SimpleQueue()
+                        for _ in range(concurrency):
+                            clients.put((reason(), shape()))
+                    texts = part["_prompt"].to_pylist()
+                    fresh: dict[int, list[dict]] = {}
+                    for i, (thought, answer) in zip(open_, pool.map(lambda i: once(clients, texts[i]), open_)):
+                        got[i] = {"key": digests[i], "reason": thought, "answer": answer}
+                        if answer is not None:
+                            fresh.setdefault(part["_bucket"][i].as_py(), []).append(got[i])
+                    for bucket, records in fresh.items():
+                        answers.add(bucket, records)
+                    yield pa.RecordBatch.from_arrays([part[key], pa.array([x["reason"] for x in got], pa.string()), pa.array([x["answer"] for x in got], pa.string())], [key, "reason", "answer"])
+
+    digest = F.sha2(F.concat_ws("\x00", F.lit(asked), F.col(key).cast("string"), "_prompt"), 256)
+    src = rows.select(key, F.col(prompt).alias("_prompt")).withColumn("_digest", digest)
+    src = src.withColumn("_bucket", F.pmod(F.xxhash64("_digest"), F.lit(buckets)).cast("int")).repartition(buckets, "_bucket")
     return src.mapInArrow(run, f"{key} {dict(src.dtypes)[key]}, reason string, answer string")
 
 

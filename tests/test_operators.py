@@ -1,6 +1,7 @@
 """Rules of single operators on fixtures whose results are known by hand."""
 
 import json
+import os
 import math
 
 import numpy as np
@@ -349,6 +350,50 @@ def test_two_calls_with_retries(spark):
     assert got == {1: ("hm", '{"prediction": "causal"}'), 2: ("hm", None), 3: (None, None)}
 
 
+class Counting:
+    """Notes each call in a folder; ends its process the first time that it is asked about the row to die on."""
+
+    def __init__(self, folder, die=None):
+        self.folder, self.die = folder, die
+
+    def chat(self, system, user, schema=None):
+        import time
+        import uuid as ids
+        from pathlib import Path
+
+        if schema is None:
+            if self.die and user == self.die and not Path(self.folder, "died").exists():
+                time.sleep(2)
+                Path(self.folder, "died").touch()
+                os._exit(1)
+            Path(self.folder, f"{user}-{ids.uuid4().hex}").touch()
+        return json.dumps({"prediction": "causal"})
+
+
+def test_answers_are_kept(spark, tmp_path):
+    """Two actions ask once; a task that died with its worker asks for what is missing; other prompts are asked anew."""
+    calls = lambda d: sorted(p.name.split("-")[0] for p in (tmp_path / d).iterdir() if p.name != "died")
+    rows = spark.createDataFrame([(i, f"p{i}") for i in range(40)], "id long, p string").coalesce(1)
+    for d, die in (("a", None), ("b", "p39")):
+        (tmp_path / d).mkdir()
+        folder = str(tmp_path / d)
+        ask = lambda: en.ask(rows, "id", "p", en.CAUSAL, lambda: Counting(folder, die), lambda: Counting(folder), concurrency=2, log=f"{tmp_path}/log-{d}")  # noqa: B023
+        if die:
+            with pytest.raises(Exception, match="worker|Worker|crash|EOF"):
+                ask().collect()
+            assert (tmp_path / d / "died").exists()
+            before = len(calls(d))
+            assert before > 8
+        got = ask()
+        assert sum(r.answer is not None for r in got.collect()) == 40
+        assert got.where("answer IS NULL").count() == 0 and got.count() == 40
+        assert set(calls(d)) == {f"p{i}" for i in range(40)} and len(calls(d)) <= 40 + (8 * 4 if die else 0)
+    more = rows.withColumn("p", F.concat("p", F.lit("!")))
+    assert en.ask(more, "id", "p", en.CAUSAL, lambda: Counting(str(tmp_path / "a")), lambda: Counting(str(tmp_path / "a")), log=f"{tmp_path}/log-a").count() == 40
+    assert len(calls("a")) == 80
+    assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_resume_works_on_what_is_missing(spark, tmp_path):
     rows, seen = spark.range(10).withColumnRenamed("id", "k"), []
     work = lambda df: (seen.append(df.count()), df.withColumn("v", F.col("k") * 2))[1]
@@ -562,6 +607,42 @@ def test_phrases_and_events_meet_on_the_rarer_lemma(spark):
     assert sorted((x.phrase, x.event) for x in got.collect()) == want and want
 
 
+def test_a_store_of_runs(spark, tmp_path, monkeypatch):
+    """Versions, lookups that read the asked buckets, merged runs, and changes that fail."""
+    from plotweave.sources import runs
+
+    store = runs.Runs(spark, f"{tmp_path}/s", 8)
+    assert store.pairs().count() == 0 and store.lookup(spark.range(3).withColumnRenamed("id", "k")).count() == 0
+    want = set()
+    for n in range(4):
+        new = [(k, v) for k in range(n, 60, 3) for v in (k % 7, n)]
+        store.add(spark.createDataFrame(new, "k long, v long"))
+        want |= set(new)
+    assert {tuple(r) for r in store.pairs().collect()} == want and store.pairs().count() == len(want)
+    asked = spark.createDataFrame([(5,), (999,), (None,)], "k long")
+    found = store.lookup(asked)
+    assert {tuple(r) for r in found.collect()} == {p for p in want if p[0] == 5}
+    assert len({f.split("bucket=")[1].split("/")[0] for f in found.inputFiles()}) <= 2 and "Exchange hashpartitioning(k" not in found._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+    store.replace(spark.createDataFrame([(5,), (6,)], "k long"), spark.createDataFrame([(5, 100)], "k long, v long"))
+    want = {p for p in want if p[0] not in (5, 6)} | {(5, 100)}
+    assert {tuple(r) for r in store.pairs().collect()} == want
+    held = store.version()
+    with monkeypatch.context() as m:
+        m.setattr(store, "_commit", lambda *a: (_ for _ in ()).throw(OSError("no")))
+        for change in (lambda: store.add(spark.createDataFrame([(1, 1)], "k long, v long")), lambda: store.replace(spark.createDataFrame([(1,)], "k long"), spark.createDataFrame([], "k long, v long"))):
+            with pytest.raises(OSError):
+                change()
+    assert store.version() == held and {tuple(r) for r in store.pairs().collect()} == want
+    store.compact()
+    assert all(len(r) == 1 for r in store.runs().values())
+    store.vacuum()
+    assert {tuple(r) for r in runs.Runs(spark, f"{tmp_path}/s").pairs().collect()} == want
+    assert len(list((tmp_path / "s" / "versions").glob("*.json"))) == 1
+    near = co.AdjacencyStore(spark, f"{tmp_path}/first")
+    near.put(spark.createDataFrame([(1, [2]), (3, [])], "node long, neighbours array<long>"))
+    assert [tuple(r) for r in near.pairs().collect()] == [(1, 2)]
+
+
 def test_near_blocks_skip_what_lies_apart(spark):
     """All pairs within the radius meet, once in each order, and most blocks of far blobs don't."""
     r = np.random.default_rng(7)
