@@ -120,6 +120,17 @@ def ratings_sheet(spark, sf):
     return co.read_ratings(spark, path, "INT").groupBy("annotator1", "annotator2").agg(F.count("*").alias("n"))
 
 
+@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, length(text) AS n_chars, md5(text) AS digest, source AS label FROM documents WHERE text IS NOT NULL")
+def json_corpus(spark, sf):
+    """Documents written as JSON objects of some 500 members each and read again, by splits of the files."""
+    path, d = _path(spark, "json"), read(spark, sf, "documents").where("text IS NOT NULL")
+    article = F.to_json(F.struct("text", F.col("source").alias("label")))
+    member = F.concat(F.lit('"'), F.col("doc_id").cast("string"), F.lit('": '), article)
+    objects = d.groupBy(F.floor(F.col("doc_id") / 500)).agg(F.concat(F.lit("{"), F.array_join(F.collect_list(member), ", "), F.lit("}")).alias("value"))
+    objects.select("value").write.text(path)
+    return co.read_json_corpus(spark, path).select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("digest"), "label")
+
+
 @query("SELECT 'line ' || CAST(doc_id AS VARCHAR) AS text, count(*) OVER () AS lines FROM documents")
 def line_file(spark, sf):
     """Lines with white space round them and blank ones between, read and numbered without gaps."""

@@ -643,6 +643,38 @@ def test_a_store_of_runs(spark, tmp_path, monkeypatch):
     assert [tuple(r) for r in near.pairs().collect()] == [(1, 2)]
 
 
+def test_large_json_objects_are_split(spark, tmp_path):
+    """Braces, quotes and backslashes in strings, nested values, any layout: splits of a few bytes give what one task gives."""
+    import random
+
+    from plotweave.sources.members import read_members
+
+    r = random.Random(3)
+    nasty = ['}', '{', '"', '\\', '\\"', '}}{{', '"}', '\n', '[', ']', 'é🎉', ',', ': {"x": 1}', '']
+    value = lambda n: "".join(r.choice(nasty) for _ in range(n))
+    big = {f"k{i}{value(2)}": {"text": value(r.randrange(30)), "headline": None, "annotations": {"framing": {value(1): [{"start": 1, "end": 2, "code": "3"}]}}} for i in range(120)}
+    (tmp_path / "one.json").write_text(json.dumps(big, indent=1, ensure_ascii=False) + "\n\n")
+    small = {"a": {"text": "x"}, "b": {}}
+    (tmp_path / "two.json").write_text(json.dumps(small) + json.dumps({"c": {"text": "}"}}))
+    (tmp_path / "none.json").write_text("{}")
+    (tmp_path / "empty.json").write_text("")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        for size in ("128m", "700b", "64b"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+            got = {}
+            for row in read_members(spark, str(tmp_path)).collect():
+                got |= json.loads(row.member)
+            assert got == big | small | {"c": {"text": "}"}}, size
+        assert spark.read.option("lineSep", "}").text(str(tmp_path / "one.json")).rdd.getNumPartitions() > 50
+        texts = {x.doc_id: x.text for x in co.read_json_corpus(spark, str(tmp_path / "one.json")).collect()}
+        assert texts == {k: v["text"] for k, v in big.items()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+
+
 def test_near_blocks_skip_what_lies_apart(spark):
     """All pairs within the radius meet, once in each order, and most blocks of far blobs don't."""
     r = np.random.default_rng(7)
