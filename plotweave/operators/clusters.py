@@ -416,7 +416,7 @@ def example_memory(old: DataFrame, new: DataFrame, most: int) -> DataFrame:
     return first.orderBy("_age", *old.columns).limit(most // 2).drop("_age")
 
 
-# Deep constrained clustering: forward formulas
+# Deep constrained clustering: forward formulas (deep.py trains)
 
 
 def soft_assignment(points: DataFrame, centers: DataFrame, alpha: float = 1.0) -> DataFrame:

@@ -10,6 +10,7 @@ from ..functions import columns as fc
 from ..functions.words import ABBREVIATIONS, FRAME_CODES, SIMILARITY_STOP_WORDS
 from ..operators import chains as ch
 from ..operators import clusters as cl
+from ..operators import deep as dp
 from ..operators import documents as doc
 from ..operators import evaluation as ev
 from ..operators import models as mo
@@ -607,6 +608,13 @@ def pckmeans_repair(spark, sf):
     return cl.pckmeans_repair(_constrained(spark, sf), 10).assignment
 
 
+@query()
+def deep_clusters(spark, sf):
+    p = _constrained(spark, sf)
+    own = p.where("keys IS NOT NULL").select(F.col("id").alias("chain_id"), "keys", "signature")
+    return dp.deep_clusters(p, ch.cannot_links(own), 10)[0].assignment
+
+
 @query()
 def cl_init(spark, sf):
     return cl.constrained_seeds(_constrained(spark, sf), 10, 0.1).select("cluster", "id")

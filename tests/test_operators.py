@@ -675,6 +675,53 @@ def test_large_json_objects_are_split(spark, tmp_path):
         spark.conf.set("spark.sql.files.openCostInBytes", before[1])
 
 
+def test_gradients_of_the_deep_net():
+    from plotweave.operators.deep import Net
+
+    r = np.random.default_rng(1)
+    net = Net.drawn(5, 7, 3, 4, 2, alpha=1.5)
+    net.w["mu"] = r.normal(0, 1, (4, 3))
+    for b in ("b1", "b2", "b3", "b4"):
+        net.w[b] = r.normal(0, 0.3, net.w[b].shape)
+    x, y, totals = r.normal(0, 1, (6, 5)), r.normal(0, 1, (6, 5)), np.array([1.0, 2.0, 1.5, 0.7])
+    target = net.soft(net.encode(x)[1])[0] ** 2 / totals
+    target /= target.sum(1, keepdims=True)
+
+    def points():  # the target is held fixed, as in the gradient
+        h, z = net.encode(x)
+        off = np.maximum(z @ net.w["W3"] + net.w["b3"], 0) @ net.w["W4"] + net.w["b4"] - x
+        return (off**2).mean(1).sum() + 0.3 * (target * np.log(target / net.soft(z)[0])).sum()
+
+    for got, loss in ((net.of_points(x, totals, 0.3)[0], points), (net.of_pairs(x, y, 0.6)[0], lambda: net.of_pairs(x, y, 0.6)[1])):
+        for name, g in got.items():
+            for at in list(np.ndindex(g.shape))[:: max(1, g.size // 6)]:
+                keep = net.w[name][at]
+                net.w[name][at] = keep + 1e-6
+                up = loss()
+                net.w[name][at] = keep - 1e-6
+                down = loss()
+                net.w[name][at] = keep
+                assert g[at] == pytest.approx((up - down) / 2e-6, abs=1e-5), (name, at)
+
+
+def test_deep_clusters(spark):
+    """The loss falls, fewer pairs share a cluster than after k-means, and a second run gives the same."""
+    from plotweave.operators.deep import deep_clusters
+
+    r = np.random.default_rng(5)
+    blob = r.normal(0, 1, (4, 6)) * 2
+    x = [(i, (blob[i % 4] + r.normal(0, 0.9, 6)).tolist()) for i in range(120)]
+    points = spark.createDataFrame(x, "id long, vector array<double>").repartition(2)
+    pairs = [(i, j) for i in range(120) for j in range(i + 1, min(120, i + 12)) if i % 4 != j % 4]
+    edges = spark.createDataFrame(pairs, "i long, j long").repartition(2)
+    shared = lambda rows: (lambda at: sum(at[i] == at[j] for i, j in pairs))({q.id: q.cluster for q in rows.collect()})
+    options = {"hidden": 16, "dims": 4, "w": 2.0, "warm_up": 20, "rate": 0.02, "seed": 1, "tol": 0.0}
+    fit, net, losses = deep_clusters(points, edges, 4, steps=50, **options)
+    assert losses[-1] < losses[0] / 1.5 and fit.assignment.count() == 120 and fit.centers.count() == 4
+    assert shared(fit.assignment) <= shared(cl.kmeans(points, 4, n_init=3)[0])
+    assert np.allclose(deep_clusters(points, edges, 4, steps=4, **options)[2], losses[:4], rtol=1e-9)
+
+
 def test_near_blocks_skip_what_lies_apart(spark):
     """All pairs within the radius meet, once in each order, and most blocks of far blobs don't."""
     r = np.random.default_rng(7)
