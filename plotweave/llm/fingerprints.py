@@ -214,6 +214,52 @@ def _with_part(rows: DataFrame, cuts: list, shares: list[int]) -> DataFrame:
     return rows.withColumn("part", (low * (max(shares) + 1) + F.when(cut & (many > 0), place).otherwise(many)).cast("int"))
 
 
+def _hot_rows(texts: DataFrame, n: int) -> list:
+    """doc_id and h of the groups of equal rows that have more than 1/n of all rows, hence fewer than n."""
+    counts = texts.groupBy("doc_id", "h").count()
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    return counts.where((F.col("count") > 1) & (F.col("count") > total // n)).select("doc_id", "h").collect()
+
+
+#: Copies of a row that a task writes at a time.
+COPIES = 10_000
+
+
+def _copies_apart(texts: DataFrame, hot: list) -> tuple[DataFrame, DataFrame]:
+    """Rows with one row only of each hot group, the last one; and doc_id, text, copies: how many more the group has. All of
+    these are followed by their like, so they are computed once and needn't go to their group's part."""
+    spark, kind = texts.sparkSession, dict(texts.dtypes)["doc_id"]
+    keys = F.broadcast(spark.createDataFrame(hot, f"hot_id {kind}, hot_h long"))  # fewer than n rows
+    same = F.col("doc_id").eqNullSafe(F.col("hot_id")) & (F.col("h") == F.col("hot_h"))
+    groups = texts.join(keys, same, "left_semi").groupBy("doc_id", "h", "text").count()
+    rows = texts.join(keys, same, "left_anti").unionByName(groups.drop("count"))
+    return rows, groups.select("doc_id", "text", (F.col("count") - 1).alias("copies")).where("copies > 0")
+
+
+def _own_successors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What documents give that are followed by an equal one; with copies."""
+    from plotweave.llm.fingerprints import fingerprint, likeness
+
+    for batch in batches:
+        rows = []
+        for text in batch["text"].to_pylist():
+            n = len(text)
+            edited = (text[: n - n // 2] + text[: n // 2]).encode("utf-8", "surrogatepass")
+            mark, changed = fingerprint(text.encode("utf-8", "surrogatepass")), fingerprint(edited)
+            rows.append((n, hashlib.sha256(edited).hexdigest(), mark, changed, likeness(mark, changed), 1.0))
+        if rows:
+            yield _batch(batch["doc_id"].to_pylist(), rows, batch.schema.field("doc_id").type).append_column("copies", batch["copies"])
+
+
+def _repeated(copies: DataFrame, schema: str) -> DataFrame:
+    """The results of copies, as many rows as they say, written by many tasks."""
+    once = copies.mapInArrow(_own_successors, f"{schema}, copies long")
+    lots = F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / COPIES))).alias("lot")
+    spread = once.select("*", lots).repartition(parts(copies.sparkSession), F.xxhash64("fingerprint", "lot"))
+    mine = F.least(F.lit(COPIES), F.col("copies") - F.col("lot") * COPIES).cast("int")
+    return spread.withColumn("mine", F.explode(F.sequence(F.lit(1), mine))).drop("copies", "lot", "mine")
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next: one row for each row of docs.
 
@@ -222,8 +268,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     the first of the part that follows, is sent to both.
 
     Null text counts as empty. Very long texts: whole; hashed in pieces. Null doc_ids come first. Rows of equal doc_id are
-    ordered by a hash of their text, and make several parts if they are many; equal rows follow each other. A single row is
-    its own next. No rows: no rows. Other columns are ignored.
+    ordered by a hash of their text, and make several parts if they are many; equal rows follow each other, and groups of them
+    that have more rows than a part are computed once and never gathered. A single row is its own next. No rows: no rows. Other columns are ignored.
     """
     spark = ready(docs.sparkSession)
     n = 4 * parts(spark, 8)
@@ -231,20 +277,31 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     quantiles = some[0] or []
     cuts, nulls = sorted(set(quantiles)), n * (some[1] - some[2]) // max(1, some[1])
     shares = [nulls if nulls > 1 else 0, *(k if (k := quantiles.count(c)) > 1 else 0 for c in cuts)]
-    rows = _with_part(docs.select("doc_id", F.xxhash64(text_of()).alias("h"), text_of().alias("text")), cuts, shares)
+    texts = docs.select("doc_id", F.xxhash64(text_of()).alias("h"), text_of().alias("text"))
+    hot = _hot_rows(texts, n)
+    if hot:
+        texts, copies = _copies_apart(texts, hot)
+        return _in_parts(texts, cuts, shares).unionByName(_repeated(copies, _schema(docs)))
+    return _in_parts(texts, cuts, shares)
+
+
+def _in_parts(texts: DataFrame, cuts: list, shares: list[int]) -> DataFrame:
+    """Each row with the one that follows it: parts are sorted, and what comes after a part's last row is sent to it, too."""
+    spark, schema = texts.sparkSession, _schema(texts)
+    rows = _with_part(texts, cuts, shares)
     first = F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id", "h")).alias("first")
     firsts = {r["part"]: (r["first"]["doc_id"], r["first"]["h"]) for r in rows.groupBy("part").agg(first).collect()}  # a row for each part
     order = sorted(firsts)
     heads = [(order[i - 1], *firsts[p]) for i, p in enumerate(order)]  # the part that it is sent to, doc_id, h
     if not heads:
-        return rows.select("part", F.lit(False).alias("guest"), "doc_id", "text").limit(0).mapInArrow(_successors, _schema(docs))
-    guests = spark.createDataFrame(heads, f"part int, its_id {dict(docs.dtypes)['doc_id']}, its_h long")
+        return rows.select("part", F.lit(False).alias("guest"), "doc_id", "text").limit(0).mapInArrow(_successors, schema)
+    guests = spark.createDataFrame(heads, f"part int, its_id {dict(texts.dtypes)['doc_id']}, its_h long")
     send = F.broadcast(guests.groupBy("its_id", "its_h").agg(F.collect_list("part").alias("to")))  # as many rows as parts
     joined = rows.join(send, F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.col("h") == F.col("its_h")), "left")
     none = F.array().cast("array<struct<part:int,guest:boolean>>")
     dealt = F.concat(F.array(F.struct("part", F.lit(False).alias("guest"))), F.coalesce(F.transform("to", lambda p: F.struct(p.alias("part"), F.lit(True).alias("guest"))), none))
     dealt = joined.select(F.explode(dealt).alias("x"), "doc_id", "h", "text").select("x.part", "x.guest", "doc_id", "h", "text")
-    return dealt.repartition(parts(spark), "part").sortWithinPartitions("part", "guest", "doc_id", "h", "text").mapInArrow(_successors, _schema(docs))
+    return dealt.repartition(parts(spark), "part").sortWithinPartitions("part", "guest", "doc_id", "h", "text").mapInArrow(_successors, schema)
 
 
 def _schema(docs: DataFrame) -> str:

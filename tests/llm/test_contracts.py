@@ -1,5 +1,6 @@
 """What the contracts ask beyond the small fixtures: large groups, long texts, hot ids, held-out rows and pages marked by hand."""
 
+import hashlib
 import random
 import time
 
@@ -172,6 +173,33 @@ def test_fingerprints_of_hot_ids(spark):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
+@pytest.mark.parametrize("hot", [7, None])
+def test_fingerprints_of_equal_rows(spark, monkeypatch, hot):
+    """Thousands of equal rows, of one doc_id or of none: each has a result, their texts don't meet in a part."""
+    monkeypatch.setattr(fingerprints, "COPIES", 100)
+    same = "the same words again and again, " * 20
+    rows = [(hot, same)] * 2500 + [(hot, "another text of that id")] * 3 + [(i, f"text {i} " * (i % 9)) for i in range(60) if i != hot] + [(8, None), (8, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    order = [(r.doc_id, r.text) for r in df.selectExpr("doc_id", "coalesce(text, '') text").selectExpr("*", "xxhash64(text) h").orderBy("doc_id", "h", "text").collect()]
+    marks = {}
+    mark = lambda t: marks.get(t) or marks.setdefault(t, fingerprints.fingerprint(t.encode()))
+    want = []
+    for (i, x), (_, y) in zip(order, [*order[1:], order[0]]):
+        edited = x[: len(x) - len(x) // 2] + y[: len(x) // 2]
+        want.append((i, len(x), hashlib.sha256(edited.encode()).hexdigest(), mark(x), mark(edited), fingerprints.likeness(mark(x), mark(edited)), fingerprints.likeness(mark(x), mark(y))))
+    seen = []
+    keep = fingerprints._in_parts
+    monkeypatch.setattr(fingerprints, "_in_parts", lambda t, *a: seen.append(t.where("doc_id <=> %s" % ("null" if hot is None else hot)).count()) or keep(t, *a))
+    got = fingerprints.fingerprints(df)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    assert seen[0] < 10
+
+
+def test_fingerprints_of_equal_rows_only(spark):
+    got = fingerprints.fingerprints(spark.createDataFrame([(3, "one text")] * 500, "doc_id long, text string")).collect()
+    assert len(got) == 500 and len(set(got)) == 1 and got[0].near_next == 1.0
+
+
 def test_sequences_are_not_padded():
     r = random.Random(5)
     for n, window in ((0, 2048), (1, 2048), (3, 2048), (40, 256), (500, 2048)):
