@@ -2,8 +2,8 @@
 
 A line's key is the line without ASCII white space at its ends, A-Z lower-cased. A store keeps, in the shared folder,
 - postings: which document holds which key (what makes deletion possible),
-- counts: for each key that enough documents hold, their number and the largest doc_id (exact),
-- filters: a cuckoo filter for each shard of those keys. Postings that no filter knows stay where they are; only the others
+- counts: for each key how many documents hold it, and the largest doc_id of these (exact),
+- filters: a cuckoo filter for each shard of the keys that enough documents hold. Postings that no filter knows stay where they are; only the others
   are shuffled to the exact table. Cuckoo filters, unlike Bloom filters, forget a key when deletions make it rare.
 Keys are stored as two hashes of 64 bits with different seeds.
 """
@@ -17,13 +17,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .scratch import Scratch, hot_join, ready, table, text_of, trimmed
+from .scratch import HOT_KEYS, Scratch, hot_join, maybe_in, ready, table, text_of, trimmed
 
 SPACE, UPPER = " \t\n\x0b\x0c\r", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Keys of a shard, about.
-SHARD_KEYS = 200_000
-#: Filters are sent to all tasks while they have fewer bytes together, some 25 million keys; beyond, all postings are shuffled.
+#: Keys of a shard, at most about twice as many.
+SHARD_KEYS = 1 << 20
+#: Filters that a task has at a time, some 25 million keys.
 FILTER_BYTES = 64 << 20
+#: Shards lie in the tables of as many changes; then all are written together.
+GENERATIONS = 16
 
 
 class CuckooFilter:
@@ -117,53 +119,154 @@ def postings(docs: DataFrame, min_chars: int) -> DataFrame:
     return docs.select("doc_id", *_row_key(), F.explode(line_keys(text_of(), min_chars)).alias("key")).select("doc_id", "r1", "r2", "key.a", "key.b")
 
 
-def _shards(n_keys: int) -> int:
-    return max(8, n_keys // SHARD_KEYS)
+def _shard(bits: int) -> Column:
+    """The first bits of b, as a number from 0: shards are ranges of b."""
+    return (F.shiftright("b", 64 - bits) + (1 << (bits - 1))).cast("int").alias("shard")
 
 
 class LineStore:
-    """State of the line dedup over all documents inserted and not deleted. Each change writes new tables beside the old."""
+    """State of the line dedup over all documents inserted and not deleted.
+
+    Postings are runs, one for each insertion, sorted by key within their files; a deletion adds the doc_ids that it takes out
+    of the runs before it. Counts have all keys, by shard, and a change aggregates its own postings and writes the shards that
+    it touches; held says in which generation's tables a shard lies. Old tables stay as they are, so a change that fails leaves
+    the store as it was. Filters have the keys that enough documents hold.
+    """
 
     def __init__(self, spark: SparkSession, min_docs: int = 5, min_chars: int = 40):
-        self.spark, self.min_docs, self.min_chars, self.generation, self.shards = ready(spark), min_docs, min_chars, 0, 0
+        self.spark, self.min_docs, self.min_chars, self.generation, self.bits = ready(spark), min_docs, min_chars, 0, 0
         self.scratch = Scratch(spark, "lines")
-        self.postings = self.counts = self.filters = None
+        self.held: dict[int, int] = {}
+        self.runs: list[tuple[int, DataFrame]] = []
+        self.deleted: list[tuple[int, DataFrame]] = []
+
+    @property
+    def postings(self) -> DataFrame:
+        """doc_id, r1, r2, a, b: which row, of those that are there now, holds which key."""
+        out = None
+        for made, run in self.runs:
+            for when, ids in self.deleted:
+                if when > made:
+                    run = run.join(ids, run.doc_id.eqNullSafe(ids.doc_id), "left_anti")
+            out = run if out is None else out.unionByName(run)
+        return out
+
+    @property
+    def counts(self) -> DataFrame:
+        """a, b, n, top: the keys that enough documents hold, the number of these and their largest doc_id."""
+        return self._tables("counts").where(F.col("n") >= self.min_docs).select("a", "b", "n", "top")
+
+    @property
+    def filters(self) -> DataFrame:
+        return self._tables("filters")
 
     def insert(self, docs: DataFrame) -> LineStore:
-        new = postings(docs, self.min_chars)
-        return self._became(new if self.postings is None else self.postings.unionByName(new))
+        g = self.generation + 1
+        run = self.scratch.write(postings(docs, self.min_chars).sortWithinPartitions("b"), f"postings{g}")
+        change = run.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("doc_id").alias("top"))
+        self._schemas(run)
+        self._became(g, change if not self.held else self.scratch.write(change, f"change{g}"))
+        self.runs.append((g, run))
+        return self
 
     def delete(self, doc_ids: DataFrame) -> LineStore:
-        """Forgets all documents whose doc_id is in doc_ids; keys that become rare leave filters and counts."""
-        gone = doc_ids.select("doc_id").distinct()
-        return self._became(self.postings.join(gone, self.postings.doc_id.eqNullSafe(gone.doc_id), "left_anti"))
-
-    def _became(self, rows: DataFrame) -> LineStore:
-        self.generation += 1
-        old, g = self.counts, self.generation
-        self.postings = self.scratch.write(rows, f"postings{g}")
-        counts = self.postings.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("doc_id").alias("top")).where(F.col("n") >= self.min_docs)
-        self.counts = self.scratch.write(counts, f"counts{g}")
-        n_keys = self.counts.count()
-        if old is None or _shards(n_keys) > 2 * self.shards:
-            self.shards, old, self.filters = _shards(n_keys), self.counts.limit(0), None
-        now, before = self.counts.select("a", "b"), old.select("a", "b")
-        new = now.join(before, ["a", "b"], "left_anti").withColumn("change", F.lit(1))
-        changes = new.unionByName(before.join(now, ["a", "b"], "left_anti").withColumn("change", F.lit(-1)))
-        shard = F.pmod(F.col("b"), F.lit(self.shards)).cast("int").alias("shard")
-        rows = changes.select(shard, "a", "b", "change").unionByName(now.select(shard, "a", "b", F.lit(0).alias("change")))
-        schema = "shard int, filter binary"
-        filters = self.filters if self.filters is not None else self.spark.createDataFrame([], schema)
-        self.filters = self.scratch.write(rows.groupBy("shard").cogroup(filters.groupBy("shard")).applyInArrow(_change_filter, schema), f"filters{g}")
+        """Forgets all documents whose doc_id is in doc_ids; keys that become rare leave the filters. The largest doc_id is looked
+        for anew for keys that have lost it, among the postings of these keys."""
+        if not self.runs:
+            return self
+        g, now = self.generation + 1, self.postings
+        ids = self.scratch.write(doc_ids.select("doc_id").distinct(), f"deleted{g}")
+        gone = now.join(ids, now.doc_id.eqNullSafe(ids.doc_id), "left_semi").groupBy("a", "b").agg(F.count("*").alias("n"), F.max("doc_id").alias("top"))
+        gone = self.scratch.write(gone, f"gone{g}")
+        self.deleted.append((g, ids))
+        try:
+            left = maybe_in(self.postings, gone, "b").where("maybe").join(gone.select("a", "b"), ["a", "b"], "left_semi")
+            tops = left.groupBy("a", "b").agg(F.max("doc_id").alias("top"))
+            change = gone.drop("top").join(tops, ["a", "b"], "left").select("a", "b", (-F.col("n")).alias("n"), "top")
+            self._became(g, self.scratch.write(change, f"change{g}"), anew=True)
+        except BaseException:
+            self.deleted.pop()
+            raise
         return self
 
+    def _schemas(self, run: DataFrame) -> None:
+        kind = dict(run.dtypes)["doc_id"]
+        self.schemas = {"counts": f"a long, b long, n long, was long, top {kind}, shard int", "filters": "filter binary, shard int"}
+
+    def _tables(self, name: str, shards: set[int] | None = None) -> DataFrame:
+        """The rows of these shards, or of all, each from the generation that it was written in last."""
+        out = self.spark.createDataFrame([], self.schemas[name])
+        for g in sorted(set(self.held.values())):
+            own = [s for s, at in self.held.items() if at == g and (shards is None or s in shards)]
+            if own:
+                read = self.spark.read.schema(self.schemas[name]).parquet(f"{self.scratch.path}/{name}{g}")
+                out = out.unionByName(read.where(F.col("shard").isin(own)))
+        return out
+
+    def _write(self, df: DataFrame, name: str) -> None:
+        df.write.mode("overwrite").partitionBy("shard").option("compression", "zstd").parquet(f"{self.scratch.path}/{name}")
+
+    def _became(self, g: int, change: DataFrame, anew: bool = False) -> None:
+        """Merges a change of counts (with anew, tops that stand for the old ones) into the shards that it touches."""
+        keys = change.agg(F.approx_count_distinct("b")).first()[0] + (self._tables("counts").count() if self.held else 0)
+        wanted = max(3, (keys // SHARD_KEYS).bit_length())
+        grown = wanted > self.bits
+        bits = wanted if grown else self.bits
+        old, sieves = self._tables("counts").limit(0), self._tables("filters").limit(0)
+        if grown or len(set(self.held.values())) >= GENERATIONS:
+            touched = None  # all shards, each of which is then in one generation
+            old = self._tables("counts")
+        else:
+            touched = {r.shard for r in change.select(_shard(bits)).distinct().collect()}
+            old = self._tables("counts", touched)
+        if not grown:
+            sieves = self._tables("filters", touched)
+        rows = change.select(_shard(bits), "a", "b", "n", F.lit(0).cast("long").alias("was"), "top", F.lit(True).alias("new"))
+        rows = rows.unionByName(old.select(_shard(bits), "a", "b", "n", F.col("n").alias("was"), "top", F.lit(False).alias("new")))
+        top = F.max(F.struct("new", "top"))["top"] if anew else F.max("top")
+        merged = rows.repartition("shard").groupBy("shard", "a", "b").agg(F.sum("n").alias("n"), F.sum("was").alias("was"), top.alias("top"))
+        self._write(merged.where("n > 0 or was > 0").sortWithinPartitions("shard", "b"), f"counts{g}")
+        now = self.spark.read.schema(self.schemas["counts"]).parquet(f"{self.scratch.path}/counts{g}")
+        is_in, was_in = F.col("n") >= self.min_docs, (F.col("was") >= self.min_docs) & F.lit(not grown)
+        change = F.when(is_in & ~was_in, 1).when(was_in & ~is_in, -1).otherwise(0)
+        often = now.where(is_in | was_in).select("shard", "a", "b", change.alias("change"))
+        changed = often.groupBy("shard").cogroup(sieves.groupBy("shard")).applyInArrow(_change_filter, "shard int, filter binary")
+        self._write(changed, f"filters{g}")
+        live = {r.shard for r in now.select("shard").distinct().collect()}  # shards are few: each has SHARD_KEYS keys
+        self.held = {**(self.held if touched is not None else {}), **dict.fromkeys(live, g)}
+        self.bits, self.generation = bits, g
+
+    def _waves(self) -> Iterator[list[int]]:
+        """Neighbouring shards, as many as have FILTER_BYTES together."""
+        wave, size = [], 0
+        for r in self.filters.select("shard", F.octet_length("filter").alias("size")).orderBy("shard").collect():
+            if wave and size + r["size"] > FILTER_BYTES:
+                yield wave
+                wave, size = [], 0
+            wave.append(r.shard)
+            size += r["size"]
+        if wave:
+            yield wave
+
     def dropped(self) -> DataFrame:
-        """doc_id, r1, r2, a, b: the keys of which a document loses all lines: another document, of larger doc_id, holds them too."""
-        pairs, size = self.postings, self.filters.agg(F.sum(F.octet_length("filter"))).first()[0] or 0
-        if size <= FILTER_BYTES:
-            sent = self.spark.sparkContext.broadcast({r.shard: bytes(r["filter"]) for r in self.filters.collect()})
-            pairs = self.scratch.write(pairs.mapInArrow(_passing(sent, self.shards), pairs.schema), f"passing{self.generation}")
-        probed = hot_join(pairs, self.counts, ["a", "b"], "n")
+        """doc_id, r1, r2, a, b: the keys of which a document loses all lines: another document, of larger doc_id, holds them too.
+
+        Filters go to all tasks in waves of FILTER_BYTES. A wave's shards are a range of b, by which the postings' files are
+        sorted, so it reads their row groups of that range only.
+        """
+        pairs, names, step = self.postings, [], 64 - self.bits
+        for i, wave in enumerate(self._waves()):
+            raw = {r.shard: bytes(r["filter"]) for r in self._tables("filters", set(wave)).collect()}
+            sent = self.spark.sparkContext.broadcast(raw)
+            least, most = ((s - (1 << (self.bits - 1))) << step for s in (wave[0], wave[-1] + 1))
+            own = pairs.where((F.col("b") >= least) & (F.col("b") <= most - 1))
+            names.append(f"passing{self.generation}-{i}")
+            self.scratch.write(own.mapInArrow(_passing(sent, self.bits), pairs.schema), names[-1])
+            sent.unpersist()
+        if not names:
+            return pairs.limit(0)
+        passing = self.spark.read.schema(pairs.schema).parquet(*[f"{self.scratch.path}/{n}" for n in names])
+        probed = hot_join(passing, self.counts, ["a", "b"], "n")
         return probed.where(~F.col("doc_id").eqNullSafe(F.col("top"))).drop("top", "n")
 
 
@@ -178,17 +281,17 @@ def _change_filter(rows: pa.Table, held: pa.Table) -> pa.Table:
     if old is not None:
         old.delete(a[change < 0], b[change < 0])
     if old is None or not old.insert(a[change > 0], b[change > 0]):
-        old = CuckooFilter.of(a[change == 0], b[change == 0])
+        old = CuckooFilter.of(a[change >= 0], b[change >= 0])
     return pa.table({"shard": pa.array([shard], pa.int32()), "filter": pa.array([old.dump()], pa.binary())})
 
 
-def _passing(sent, shards: int):
+def _passing(sent, bits: int):
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Postings whose key may be in the exact table, by its shard's filter."""
         filters = {shard: CuckooFilter(data=raw) for shard, raw in sent.value.items()}
         for batch in batches:
             a, b = (batch[c].to_numpy().astype(np.int64, copy=False) for c in "ab")
-            shard, some = b % shards, np.zeros(len(b), bool)
+            shard, some = (b >> (64 - bits)) + (1 << (bits - 1)), np.zeros(len(b), bool)
             order = np.argsort(shard, kind="stable")
             for own in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
                 if len(own) and int(shard[own[0]]) in filters:
@@ -218,6 +321,20 @@ def _cut(min_chars: int):
     return trimmed(cut)
 
 
+def _with_gone(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """Adds gone to rows. Rows that certainly lose no line stay where they are; of others, many equal ones are dealt to copies
+    of what they look for."""
+    marked = maybe_in(rows, gone.select("r1"), "r1")
+    stay = marked.where(~F.col("maybe")).drop("maybe").withColumn("gone", F.lit(None).cast(gone.schema["gone"].dataType))
+    limit = max(1, (gone.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS)
+    hot = gone.where(F.col("n") > limit).select("r1", "r2", F.expr(f"n div {limit} + 1").alias("copies"))  # fewer than HOT_KEYS
+    found = gone.drop("n").join(F.broadcast(hot), ["r1", "r2"], "left")
+    found = found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("copies", F.lit(1).cast("long"))))).drop("copies")
+    asked = marked.where("maybe").drop("maybe").join(F.broadcast(hot), ["r1", "r2"], "left")
+    asked = asked.withColumn("copy", F.pmod(F.monotonically_increasing_id(), F.coalesce("copies", F.lit(1).cast("long"))) + 1).drop("copies")
+    return stay.unionByName(asked.join(found, ["r1", "r2", "copy"], "left").drop("copy"))
+
+
 def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, *, keep_rows: bool = False) -> DataFrame:
     """doc_id, text (the lines that stay), n_lines, n_dropped: one row for each row of docs.
 
@@ -229,9 +346,10 @@ def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, *, keep
     texts, so many of them make no large group. No rows: no rows. Other columns are ignored.
     """
     store = LineStore(docs.sparkSession, min_docs, min_chars).insert(docs)
-    gone = store.dropped().groupBy("r1", "r2").agg(F.collect_set(F.struct("a", "b")).alias("gone"))
+    gone = store.dropped().groupBy("r1", "r2").agg(F.collect_set(F.struct("a", "b")).alias("gone"), F.count("*").alias("n"))
+    gone = store.scratch.write(gone.withColumn("n", F.expr("n div size(gone)")), "gone")  # n: equal rows
     rows = docs.select("doc_id", *_row_key(), text_of().alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")] if keep_rows else []))
-    joined = rows.join(gone, ["r1", "r2"], "left").drop("r1", "r2")
+    joined = _with_gone(rows, gone).drop("r1", "r2")
     schema = joined.drop("text", "gone").schema.add("text", "string").add("n_lines", "long").add("n_dropped", "long")
     return joined.mapInArrow(_cut(min_chars), schema)
 

@@ -386,7 +386,7 @@ def test_line_store_forgets(docs):
     assert store.postings.count() == held.count()
     for r in store.filters.collect():
         own = line_dedup.CuckooFilter(data=r.filter)
-        assert (own.table != 0).sum() == store.counts.where(F.pmod(F.col("b"), F.lit(store.shards)) == r.shard).count()
+        assert (own.table != 0).sum() == store.counts.where(line_dedup._shard(store.bits) == r.shard).count()
 
 
 def test_line_keys_are_two_hashes(spark):
@@ -415,13 +415,81 @@ def test_line_dedup_of_repeated_ids(spark):
         assert sorted(got, key=str) == sorted(want, key=str) and sum(r[2] for r in got) == dropped
 
 
-def test_line_dedup_without_filters(docs, monkeypatch):
-    """Where filters are too large to be sent, all postings are looked up, with the same result."""
+def test_line_dedup_in_waves(docs, monkeypatch):
+    """Where not all filters may be sent at once, they are in several waves, with the same result."""
     want = rows_of(line_dedup.dedup_lines(docs))
-    monkeypatch.setattr(line_dedup, "FILTER_BYTES", 0)
+    monkeypatch.setattr(line_dedup, "FILTER_BYTES", 1)
+    assert len(list(line_dedup.LineStore(docs.sparkSession).insert(docs)._waves())) > 1
     assert rows_of(line_dedup.dedup_lines(docs)) == want
 
 
+@pytest.fixture
+def line_store(spark):
+    line = lambda k: f"line {k} of many that are long enough for a key"
+    rows = [(i, "\n".join(line(k) for k in range(60) if (i * k) % 7 < 3)) for i in range(40)]
+    return line_dedup.LineStore(spark).insert(spark.createDataFrame(rows, "doc_id long, text string")), rows, line
+
+
+def _state(store):
+    return sorted(map(tuple, store.counts.collect())), sorted(map(tuple, store.dropped().collect()))
+
+
+def _shards_written(store, g):
+    import os
+
+    return {int(x.split("=")[1]) for x in os.listdir(f"{store.scratch.path}/counts{g}") if x.startswith("shard=")}
+
+
+def test_line_store_writes_touched_shards_only(spark, line_store):
+    """An insertion and a deletion of one line write its shard only, and give what one insertion of all would have given."""
+    store, rows, line = line_store
+    more = [(1000, line(3))]
+    before = dict(store.held)
+    store.insert(spark.createDataFrame(more, "doc_id long, text string"))
+    assert len(_shards_written(store, 2)) == 1 < len(before)
+    assert sum(g == 2 for g in store.held.values()) == 1
+    assert _state(store) == _state(line_dedup.LineStore(spark).insert(spark.createDataFrame(rows + more, "doc_id long, text string")))
+    store.delete(spark.createDataFrame([(1000,), (4711,)], "doc_id long"))
+    assert len(_shards_written(store, 3)) == 1
+    assert _state(store) == _state(line_dedup.LineStore(spark).insert(spark.createDataFrame(rows, "doc_id long, text string")))
+    store.insert(spark.createDataFrame(more, "doc_id long, text string"))  # a doc_id that was deleted may come again
+    assert _state(store) == _state(line_dedup.LineStore(spark).insert(spark.createDataFrame(rows + more, "doc_id long, text string")))
+
+
+def test_line_store_grows_and_compacts(spark, line_store, monkeypatch):
+    """More keys make more shards, and many changes end in one generation, with the same state."""
+    store, rows, line = line_store
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 4)
+    monkeypatch.setattr(line_dedup, "GENERATIONS", 3)
+    for i in range(5):
+        more = [(2000 + i, line(3 + i)), (3000 + i, line(100 + i))]
+        store.insert(spark.createDataFrame(more, "doc_id long, text string"))
+        rows = rows + more
+    assert store.bits > 3 and len(set(store.held.values())) <= 4
+    assert _state(store) == _state(line_dedup.LineStore(spark).insert(spark.createDataFrame(rows, "doc_id long, text string")))
+
+
+def test_failed_change_leaves_the_store(spark, line_store, monkeypatch):
+    store, rows, line = line_store
+    want = _state(store)
+    with monkeypatch.context() as m:
+        m.setattr(line_dedup.LineStore, "_write", lambda *a: 1 / 0)
+        for change in (lambda: store.insert(spark.createDataFrame([(7000, line(1))], "doc_id long, text string")), lambda: store.delete(spark.createDataFrame([(3,)], "doc_id long"))):
+            with pytest.raises(ZeroDivisionError):
+                change()
+    assert _state(store) == want
+    store.delete(spark.createDataFrame([(3,)], "doc_id long"))
+    assert _state(store) == _state(line_dedup.LineStore(spark).insert(spark.createDataFrame([r for r in rows if r[0] != 3], "doc_id long, text string")))
+
+
+def test_line_dedup_of_equal_rows(spark):
+    """Hundreds of equal rows lose their lines, rows that lose none stay as they are."""
+    shared = "this line is in many documents and has a key"
+    rows = [(1, f"{shared}\nx")] * 300 + [(2, shared)] + [(10 + i, f"line {i}") for i in range(40)]
+    got = sorted((r.doc_id, r.text, r.n_dropped) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect())
+    assert got == sorted([(1, "x", 1)] * 300 + [(2, shared, 0)] + [(10 + i, f"line {i}", 0) for i in range(40)])
+
+
 def test_cuckoo_filter():
     import numpy as np
 
