@@ -7,9 +7,13 @@ import random
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.columns import content_words, set_jaccard
+from ..sources.tables import ranked
 from .clusters import closest_share, density_ranks, density_strata, nearest_clusters
 from .sampling import drawn
 
+#: Partners that a point of a pool is tried with.
+TRIES = 50
+
 
 def annotation_sample(chains: DataFrame, n: int = 50, seed: int = 42) -> DataFrame:
     """One annotated chain of each of n documents."""
@@ -34,14 +38,15 @@ def positives(points: DataFrame, centers: DataFrame, threshold: float = 0.6, per
     """cluster, a, b: two of each cluster's closest points, of different documents and with a word overlap below the threshold.
 
     Where no pair passes, the closest pair of different documents; else the closest two. points: id, cluster, doc_id, text,
-    vector. In a pool each point is tried with the 50 that follow it by hash, as many tries as a random search has.
+    vector. In a pool each point is tried with the TRIES that follow it by hash, as many tries as a random search has.
     """
     pool = closest_share(points, centers, percent).withColumn("w", content_words("text"))
-    own = W.partitionBy("cluster")
-    pool = pool.withColumn("h", F.row_number().over(own.orderBy(*drawn("id", 0))))
-    a = pool.select("cluster", F.col("id").alias("a"), F.col("doc_id").alias("da"), F.col("w").alias("wa"), F.col("rank").alias("ra"), F.explode(F.sequence(F.col("h") + 1, F.col("h") + 50)).alias("h"))
-    b = pool.select("cluster", "h", F.col("id").alias("b"), F.col("doc_id").alias("db"), F.col("w").alias("wb"), F.col("rank").alias("rb"))
-    pairs = a.join(b, ["cluster", "h"])
+    pool = ranked(pool, ["cluster"], *drawn("id", 0), name="h")
+    # those that follow a point within TRIES places are in its block or the next one, so texts move three times, not TRIES times
+    block = F.floor(F.col("h") / TRIES)
+    a = pool.select("cluster", block.alias("block"), F.col("h").alias("ha"), F.col("id").alias("a"), F.col("doc_id").alias("da"), F.col("w").alias("wa"), F.col("rank").alias("ra"))
+    b = pool.select("cluster", F.explode(F.array(block, block - 1)).alias("block"), F.col("h").alias("hb"), F.col("id").alias("b"), F.col("doc_id").alias("db"), F.col("w").alias("wb"), F.col("rank").alias("rb"))
+    pairs = a.join(b, ["cluster", "block"]).where(F.col("hb").between(F.col("ha") + 1, F.col("ha") + TRIES))
     other = F.col("da") != F.col("db")
     level = F.when(other & (set_jaccard("wa", "wb") < threshold), 0).when(other, 1).otherwise(2)
     order = F.struct(level.alias("level"), F.greatest("ra", "rb").alias("far"), F.least("ra", "rb").alias("near"), F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))

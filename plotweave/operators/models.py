@@ -143,14 +143,17 @@ def cross_validate(rows: DataFrame, label: str, column: str, k: int = 5, repeats
     """repeat, fold, accuracy, macro_f1, weighted_f1 of repeated stratified cross-validation."""
     from .quality import class_scores
 
-    dealt, out = folds(rows, label, k, repeats, key).cache(), None
-    for r in range(repeats):
-        for f in range(k):
+    dealt, out = folds(rows, label, k, repeats, key).cache(), []
+    try:
+        for r in range(repeats):
             own = dealt.where(F.col("repeat") == r)
-            model = fit_frames(own.where(F.col("fold") != f), label, column, **options)
-            got = class_scores(model.predict(own.where(F.col("fold") == f)), label, "predicted").withColumns({"repeat": F.lit(r), "fold": F.lit(f)})
-            out = got if out is None else out.unionByName(got)
-    return out.select("repeat", "fold", "accuracy", "macro_f1", "weighted_f1")
+            for f in range(k):
+                model = fit_frames(own.where(F.col("fold") != f), label, column, **options)
+                got = class_scores(model.predict(own.where(F.col("fold") == f)), label, "predicted").first()
+                out.append((r, f, got.accuracy, got.macro_f1, got.weighted_f1))
+    finally:
+        dealt.unpersist()
+    return rows.sparkSession.createDataFrame(out, "repeat int, fold int, accuracy double, macro_f1 double, weighted_f1 double")
 
 
 @dataclass
@@ -249,6 +252,7 @@ def permutation_importance(fitted: Frames, rows: DataFrame, label: str, names: l
         parts = [F.slice(own, 1, i), F.array(F.col("_v").cast("double")), F.slice(own, i + 2, len(names))]
         mixed = held.join(other, "_a").withColumn(fitted.column, F.concat(*parts))
         out.append((name, base - hit(mixed)))
+    held.unpersist()
     return sorted(out, key=lambda x: (-x[1], x[0]))
 
 

@@ -467,6 +467,38 @@ def test_scaler_and_models(spark):
     assert mo.agreements(fit.predict(rows), net.predict(rows)).count() > 90
 
 
+def test_cross_validation_and_importances(spark):
+    r = np.random.default_rng(1)
+    rows = spark.createDataFrame([(i, (r.normal(0, 1, 2) + [4 * (i % 2), 0]).tolist(), "ab"[i % 2]) for i in range(60)], "doc_id long, x array<double>, y string")
+    got = mo.cross_validate(rows, "y", "x", k=3, repeats=2).collect()
+    assert sorted((g.repeat, g.fold) for g in got) == [(i, j) for i in range(2) for j in range(3)]
+    assert min(g.accuracy for g in got) > 0.8 and all(0 <= g.macro_f1 <= 1 and 0 <= g.weighted_f1 <= 1 for g in got)
+    told = mo.importances(mo.fit_frames(rows, "y", "x", "forest", trees=5, depth=3), ["a", "b"])
+    assert [n for n, _ in told] == ["a", "b"] and abs(sum(v for _, v in told) - 1) < 1e-9
+
+
+def test_positives_like_a_loop_over_followers(spark):
+    """Pools of more than two blocks, so that pairs cross their borders, with one document that has most of the points."""
+    r, words = np.random.default_rng(2), [f"word{i}" for i in range(12)]
+    made = [(i, int(i % 40 == 0), f"d{0 if i % 3 else i % 7}", " ".join(r.choice(words, 4)), r.normal(0, 1, 2).tolist()) for i in range(170)]
+    p = spark.createDataFrame(made, "id long, cluster int, doc_id string, text string, vector array<double>")
+    centers = qu.centroids(p)
+    pool = cl.closest_share(p, centers, 100.0).withColumn("w", fc.content_words("text"))
+    held = pool.select("*", *[c.alias(f"_o{i}") for i, c in enumerate(sa.drawn("id", 0))]).collect()
+    expected = {}
+    for cluster in (0, 1):
+        own = sorted((q for q in held if q.cluster == cluster), key=lambda q: tuple(q[c] for c in q.__fields__ if c.startswith("_o")))
+        best = []
+        for i, x in enumerate(own):
+            for y in own[i + 1 : i + 51]:
+                a, b = set(x.w), set(y.w)
+                alike = len(a & b) / len(a | b) if a | b else 0.0
+                level = 2 if x.doc_id == y.doc_id else 0 if alike < 0.6 else 1
+                best.append((level, max(x.rank, y.rank), min(x.rank, y.rank), min(x.id, y.id), max(x.id, y.id)))
+        expected[cluster] = min(best)[3:]
+    assert {q.cluster: (q.a, q.b) for q in ev.positives(p, centers, percent=100.0).collect()} == expected
+
+
 def test_early_stopper():
     s = mo.EarlyStopper(2, 0.1)
     assert [s.stop(x) for x in (1.0, 1.05, 1.2, 1.2)] == [False, False, False, True]
