@@ -1017,3 +1017,22 @@ def test_adjacency_store(spark, tmp_path):
     store.put(rows((4, [7, 8])))
     assert {r.node: r.neighbours for r in store.get(nodes).collect()} == {1: [2, 3, 6], 4: [7, 8], 9: []}
     assert [tuple(r) for r in store.contains(spark.createDataFrame([(1, 6), (4, 5)], "node long, neighbour long")).collect()] == [(1, 6)]
+def some_roles(spark, n=400, seed=5):
+    r = np.random.default_rng(seed)
+    rows = [(int(i), k := "ab"[int(r.integers(2))], f"{k}={r.integers(3)}") for i in r.permutation(n)] + [(n, "c", "c=0"), (n + 1, "d", "d=0"), (n + 2, "d", "d=0")]
+    return rows, spark.createDataFrame(rows, "chain_id long, keys string, signature string").cache()
+
+
+def plain_links(rows):
+    return {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and a[2] != b[2]}
+
+
+def test_link_summary_makes_no_pairs(spark):
+    rows, roles = some_roles(spark)
+    ends = {}
+    for i, j in plain_links(rows):
+        ends.setdefault(i, []).append(j)
+        ends.setdefault(j, []).append(i)
+    assert {tuple(r) for r in ch.link_summary(roles).collect()} == {(i, len(o), min(o), max(o)) for i, o in ends.items()}
+
+
