@@ -1036,3 +1036,18 @@ def test_link_summary_makes_no_pairs(spark):
     assert {tuple(r) for r in ch.link_summary(roles).collect()} == {(i, len(o), min(o), max(o)) for i, o in ends.items()}
 
 
+@pytest.mark.parametrize("clusters", [(3, 4), (200, 150), (390, 1, 400)])
+def test_violations_of_iterations(spark, clusters):
+    rows, roles = some_roles(spark)
+    r = np.random.default_rng(1)
+    at = [{x[0]: int(r.integers(k)) for x in rows if x[0] % 17} for k in clusters]
+    labels = [spark.createDataFrame(list(a.items()), "chain_id long, cluster int") for a in at]
+    times = {(i, j): sum(i in a and a[i] == a.get(j) for a in at) for i, j in plain_links(rows)}
+    some = sum(any(i in a and a[i] == a.get(j) for i, j in times) for a in at)
+    got = [tuple(x) for x in ch.violation_history(roles, labels).collect()]
+    assert len(got) == len({x[:2] for x in got}) and set(got) == {(i, j, n, n == some) for (i, j), n in times.items() if n}
+    for n in (1, 10, 60):
+        want = sorted(((i, j, t) for (i, j), t in times.items() if t), key=lambda x: (-x[2], x[0], x[1]))[:n]
+        assert [tuple(x) for x in ch.most_violated_within(roles, labels, n).collect()] == want
+
+
