@@ -1027,6 +1027,13 @@ def plain_links(rows):
     return {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and a[2] != b[2]}
 
 
+@pytest.mark.parametrize("block", [1000, 37])
+def test_links_by_blocks(spark, block):
+    rows, roles = some_roles(spark)
+    got = [tuple(r) for r in ch.cannot_links(roles, block).collect()]
+    assert len(got) == len(set(got)) and set(got) == plain_links(rows)
+
+
 def test_link_summary_makes_no_pairs(spark):
     rows, roles = some_roles(spark)
     ends = {}
