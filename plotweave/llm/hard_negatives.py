@@ -207,7 +207,8 @@ class _Grid:
         r = own(rows, "r").withColumn("r_group", F.pmod(F.xxhash64("r_panel"), F.lit(self.groups)).cast("int"))
         meet = (F.col("a_low") <= F.col("r_high")) & (F.col("r_low") <= F.col("a_high"))
         one_label = (F.col("a_low") == F.col("a_high")) & (F.col("r_low") == F.col("r_high")) & (F.col("a_low") == F.col("r_low"))
-        pairs = a.join(r, ["r_group", "chunk"]).where(~one_label if second else meet).select("a_panel", "r_group", "r_panel", "chunk", "a_data", "r_data", "windows")
+        # An anchor panel has a copy for each group, which Spark's estimate of its size leaves out: never a broadcast.
+        pairs = a.hint("merge").join(r.hint("merge"), ["r_group", "chunk"]).where(~one_label if second else meet).select("a_panel", "r_group", "r_panel", "chunk", "a_data", "r_data", "windows")
         tiles = pairs.mapInArrow(_partial(self.chunk, self.width), "a_panel long, r_group int, r_panel long, chunk int, data binary")
         placed = tiles.repartition(self.partitions, "a_panel", "r_group").sortWithinPartitions("a_panel", "r_panel", "chunk")
         order = W.partitionBy("anchor", "positive").orderBy(F.col("score").desc(), "vec_id", "place")

@@ -200,3 +200,10 @@ def test_entropy(spark):
     want = [-sum(t.count(c) / len(t) * math.log2(t.count(c) / len(t)) for c in set(t)) + 0.0 for t in texts]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(url_filter._entropy(F.col("t"))).collect()
     assert [r[0] for r in got] == pytest.approx(want, abs=1e-12)
+
+
+def test_no_panel_is_broadcast(spark):
+    """An anchor panel has a copy for each group of row panels; Spark's estimate of its size has one."""
+    rows = spark.createDataFrame([(i, i % 3, [float(i % 7), 1.0]) for i in range(300)], "vec_id long, label long, embedding array<double>")
+    joins = [line for line in hard_negatives.hard_negatives(rows, F.col("vec_id") % 10 == 0, side=4, chunk=1)._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line and "r_group" in line]
+    assert joins and not any("Broadcast" in line for line in joins)
