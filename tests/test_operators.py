@@ -1058,3 +1058,13 @@ def test_violations_of_iterations(spark, clusters):
         assert [tuple(x) for x in ch.most_violated_within(roles, labels, n).collect()] == want
 
 
+def test_a_run_is_written_by_one_shuffle(spark, tmp_path, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+    from plotweave.sources.runs import Runs
+
+    plans, sort = [], DataFrame.sortWithinPartitions
+    monkeypatch.setattr(DataFrame, "sortWithinPartitions", lambda df, *c, **k: plans.append(df._jdf.queryExecution().executedPlan().toString()) or sort(df, *c, **k))
+    runs = Runs(spark, str(tmp_path / "r"))
+    runs.add(spark.range(40).selectExpr("id % 5 AS k", "id % 10 AS v"))
+    assert plans[0].count("Exchange") == 1
+    assert sorted(tuple(r) for r in runs.pairs().collect()) == sorted({(i % 5, i % 10) for i in range(40)})
