@@ -1068,3 +1068,11 @@ def test_a_run_is_written_by_one_shuffle(spark, tmp_path, monkeypatch):
     runs.add(spark.range(40).selectExpr("id % 5 AS k", "id % 10 AS v"))
     assert plans[0].count("Exchange") == 1
     assert sorted(tuple(r) for r in runs.pairs().collect()) == sorted({(i % 5, i % 10) for i in range(40)})
+def test_distance_matrix_of_copies():
+    r = np.random.default_rng(2)
+    x = r.normal(1000, 1, (60, 16))
+    y = np.concatenate([x[:20], x[:20] + 1e-7, r.normal(0, 1, (20, 16))])
+    want = np.sqrt(((x[:, None] - y) ** 2).sum(2))
+    assert np.allclose(qu.distance_matrix(x, y), want, rtol=1e-9, atol=0) and (qu.distance_matrix(x, y)[np.arange(20), np.arange(20)] == 0).all()
+
+
