@@ -301,7 +301,7 @@ r AS (SELECT anchor, bad, max(sim) AS sim FROM s GROUP BY 1, 2), k AS (SELECT co
 SELECT positive, CASE WHEN positive THEN least(pos, CAST(floor(neg * 0.5) AS BIGINT)) ELSE least(neg, CAST(floor(pos / 0.5) AS BIGINT)) END AS n FROM k, (VALUES (true), (false)) t(positive) WHERE n > 0""")
 def pair_balance(spark, sf):
     p = points(spark, sf).join(_roles(spark, sf).select(F.col("chain_id").alias("id"), "keys", "signature"), "id")
-    mined = cl.mined_pairs(p, same_pos=0.1, same_neg=0.05).where("kind IN ('same_pos', 'same_neg')")
+    mined = cl.near_pairs(p, same_pos=0.1, same_neg=0.05)
     return cl.balanced_pairs(mined, 0.5).groupBy("positive").agg(F.count("*").alias("n"))
 
 
