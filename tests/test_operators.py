@@ -1017,6 +1017,8 @@ def test_adjacency_store(spark, tmp_path):
     store.put(rows((4, [7, 8])))
     assert {r.node: r.neighbours for r in store.get(nodes).collect()} == {1: [2, 3, 6], 4: [7, 8], 9: []}
     assert [tuple(r) for r in store.contains(spark.createDataFrame([(1, 6), (4, 5)], "node long, neighbour long")).collect()] == [(1, 6)]
+
+
 def some_roles(spark, n=400, seed=5):
     r = np.random.default_rng(seed)
     rows = [(int(i), k := "ab"[int(r.integers(2))], f"{k}={r.integers(3)}") for i in r.permutation(n)] + [(n, "c", "c=0"), (n + 1, "d", "d=0"), (n + 2, "d", "d=0")]
@@ -1068,6 +1070,8 @@ def test_a_run_is_written_by_one_shuffle(spark, tmp_path, monkeypatch):
     runs.add(spark.range(40).selectExpr("id % 5 AS k", "id % 10 AS v"))
     assert plans[0].count("Exchange") == 1
     assert sorted(tuple(r) for r in runs.pairs().collect()) == sorted({(i % 5, i % 10) for i in range(40)})
+
+
 def test_distance_matrix_of_copies():
     r = np.random.default_rng(2)
     x = r.normal(1000, 1, (60, 16))
@@ -1076,3 +1080,11 @@ def test_distance_matrix_of_copies():
     assert np.allclose(qu.distance_matrix(x, y), want, rtol=1e-9, atol=0) and (qu.distance_matrix(x, y)[np.arange(20), np.arange(20)] == 0).all()
 
 
+def test_parts_of_mined_pairs(spark):
+    """Either part comes without the work of the other."""
+    r = np.random.default_rng(4)
+    p = spark.createDataFrame([(i, i % 3, r.normal(size=4).tolist(), ["a", None][i % 5 == 0], f"s{i % 2}") for i in range(60)], "id long, cluster int, vector array<double>, keys string, signature string")
+    near, far = cl.near_pairs(p, same_pos=0.1, same_neg=0.05), cl.far_pairs(p, other_pos=0.1, neighbours=20)
+    assert "CoGroup" not in far._jdf.queryExecution().executedPlan().toString()
+    got = {tuple(x) for x in near.unionByName(far).collect()}
+    assert got == {tuple(x) for x in cl.mined_pairs(p, same_pos=0.1, same_neg=0.05, other_pos=0.1, neighbours=20).collect()} and len({x[1] for x in got}) == 4
