@@ -14,13 +14,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..sources.tables import ready, staged, unstaged
+from ..sources.tables import numbered, ready, staged, unstaged
 from .assign import vectors
 from .clusters import Fit, kmeans
 from .lowrank import _PANEL, _summed
 
-#: Parameters in a part of the sum; rows that a task goes through at a time.
-PART, ROWS = 1 << 14, 1024
+#: Parameters in a part of the sum; rows that a task goes through at a time; points of a block whose pairs are made in tiles.
+PART, ROWS, TILE = 1 << 14, 1024, 4096
 _CLIP = 1e-10
 
 
@@ -92,12 +92,70 @@ class Net:
         return {n: a[n] + b[n] for n in a} | {"mu": m1 + m2}, float(-w * np.log(apart).sum())
 
 
+    def of_tile(self, x: np.ndarray, y: np.ndarray | None, signs: np.ndarray, others: np.ndarray | None, w: float) -> tuple[dict[str, np.ndarray], float]:
+        """What of_pairs() gives for all pairs of a row of x and one of y with different signs, or of two rows of x if y is None.
+        A row is encoded once, whatever the number of its pairs, which are entries of a matrix of some rows at a time."""
+        h1, z1 = self.encode(x)
+        q1, s1, t1 = self.soft(z1)
+        h2, z2 = (h1, z1) if y is None else self.encode(y)
+        q2, s2, t2 = (q1, s1, t1) if y is None else self.soft(z2)
+        others = signs if y is None else others
+        g1, g2, logs = np.zeros_like(q1), np.zeros_like(q2), 0.0
+        for at in range(0, len(x), ROWS // 4):
+            some = slice(at, at + ROWS // 4)
+            bad = signs[some, None] != others
+            apart = np.maximum(1 - q1[some] @ q2.T, _CLIP)
+            by = bad / apart
+            g1[some] = by @ q2
+            if y is not None:
+                g2 += by.T @ q1[some]
+            apart[~bad] = 1
+            logs += _logs(apart)
+        by_z, by_mu = self._from_soft(z1, w * g1, q1, s1, t1)
+        out = self._from_z(x, h1, by_z)
+        if y is None:
+            return out | {"mu": by_mu}, -w * logs / 2
+        by_z, more = self._from_soft(z2, w * g2, q2, s2, t2)
+        back = self._from_z(y, h2, by_z)
+        return {n: out[n] + back[n] for n in out} | {"mu": by_mu + more}, -w * logs
+
+
+def _logs(m: np.ndarray) -> float:
+    """The sum of logarithms of numbers from _CLIP to 1, sixteen at a time by their product."""
+    n = m.shape[1] // 16
+    product = m[:, :n].copy()
+    for i in range(1, 16):
+        product *= m[:, i * n : (i + 1) * n]
+    return float(np.log(product).sum() + np.log(m[:, 16 * n :]).sum())
+
+
+def _tiles(points: DataFrame, block: int) -> tuple[DataFrame, int]:
+    """(rows of two blocks of points with equal keys, or of one with itself; the number of cannot-link pairs). Each pair of points
+    is in one of them, which has the vectors of its blocks one after the other, and numbers for their signatures."""
+    bound = points.where("keys IS NOT NULL AND signature IS NOT NULL")
+    signs = staged(numbered(bound.groupBy("keys", "signature").agg(F.count("*").alias("n")), "keys", "signature", name="sign"))
+    pairs = lambda n: n * (n - 1) / 2
+    each = signs.groupBy("keys").agg(F.sum("n").alias("_all"), (pairs(F.sum("n")) - F.sum(pairs(F.col("n")))).cast("long").alias("_pairs")).where("_pairs > 0")
+    sizes = staged(each.select("keys", "_pairs", F.ceil(F.col("_all") / block).cast("int").alias("_n")))
+    dealt = bound.join(signs, ["keys", "signature"]).join(sizes, "keys").withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))
+    listed = dealt.groupBy("keys", "_n", "_b").agg(F.sort_array(F.collect_list(F.struct("id", "sign", "vector"))).alias("_x"))  # about block points
+    blocks = staged(listed.select("keys", "_n", "_b", F.flatten("_x.vector").alias("vector"), F.col("_x.sign").alias("signs")))
+    a = blocks.select("keys", F.col("_b").alias("_p"), F.explode(F.sequence("_b", F.col("_n") - 1)).alias("_q"), "vector", "signs")
+    b = blocks.where("_b > 0").select("keys", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)).alias("_p"), F.col("_b").alias("_q"), F.col("vector").alias("other"), F.col("signs").alias("others"))
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = a.hint("merge").join(b, ["keys", "_p", "_q"], "left").repartition(parts, "keys", "_p", "_q").sortWithinPartitions("keys", "_p", "_q")
+    out = staged(met.select("vector", "other", "signs", "others"))
+    n = int(sizes.agg(F.coalesce(F.sum("_pairs"), F.lit(0))).first()[0])
+    unstaged(signs, sizes, blocks)
+    return out, n
+
+
 def _flat(parts: dict[str, np.ndarray], like: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([np.ravel(parts.get(n, np.zeros_like(v))) for n, v in like.items()])
 
 
 def _step(rows: DataFrame, net: Net, totals: np.ndarray | None, gamma: float, w: float, n: int, n_pairs: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """(mean gradient, sums of the assignment, mean loss) over points and pairs, pairs being rows with two vectors."""
+    """(mean gradient, sums of the assignment, mean loss) over points and pairs: rows with one vector, with two, or tiles of many."""
     size, k = sum(v.size for v in net.w.values()), len(net.w["mu"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,8 +163,13 @@ def _step(rows: DataFrame, net: Net, totals: np.ndarray | None, gamma: float, w:
 
         sums = np.zeros(size + k + 1)
         for batch in batches:
-            pair = batch["other"].is_valid().to_numpy(zero_copy_only=False)
-            for chosen in (np.flatnonzero(~pair), np.flatnonzero(pair)):
+            tile, pair = (batch[c].is_valid().to_numpy(zero_copy_only=False) for c in ("signs", "other"))
+            for i in np.flatnonzero(tile):
+                signs, others = (batch[c][int(i)].values for c in ("signs", "others"))
+                x, y = (None if v is None else v.to_numpy().reshape(len(s), -1) for v, s in ((batch["vector"][int(i)].values, signs), (batch["other"][int(i)].values, others)))
+                g, loss = net.of_tile(x, y, signs.to_numpy(), None if y is None else others.to_numpy(), w)
+                sums += np.concatenate([_flat(g, net.w) / n_pairs, np.zeros(k), [loss / n_pairs]])
+            for chosen in (np.flatnonzero(~tile & ~pair), np.flatnonzero(~tile & pair)):
                 for at in range(0, len(chosen), ROWS):
                     some = pa.array(chosen[at : at + ROWS])
                     x = vectors(batch["vector"].take(some))
@@ -140,20 +203,28 @@ def encoded(points: DataFrame, net: Net) -> DataFrame:
     return rows.mapInArrow(run, f"id {dict(points.dtypes)['id']}, vector array<double>, cluster int, q array<double>")
 
 
-def deep_clusters(points: DataFrame, edges: DataFrame, k: int, *, hidden: int = 64, dims: int = 10, gamma: float = 0.1, w: float = 0.5, alpha: float = 1.0, warm_up: int = 50, steps: int = 100, rate: float = 0.01, tol: float = 1e-3, seed: int = 0) -> tuple[Fit, Net, list[float]]:
+def deep_clusters(points: DataFrame, edges: DataFrame | None, k: int, *, hidden: int = 64, dims: int = 10, gamma: float = 0.1, w: float = 0.5, alpha: float = 1.0, warm_up: int = 50, steps: int = 100, rate: float = 0.01, tol: float = 1e-3, seed: int = 0) -> tuple[Fit, Net, list[float]]:
     """(assignment and centres in the encoding, the trained net, losses by step) of points (id, vector) and cannot-link pairs (i, j).
 
+    Without edges the pairs are those of points (with keys, signature, too) that have equal keys and different signatures; these are
+    never made: two blocks of points are a tile (see of_tile), so that a step encodes a point once for each of its blocks.
+
     The autoencoder is trained alone for warm_up steps; k-means over the encodings gives the centres; then all is trained
     together. A step uses the gradient over all points and all pairs (Adam); targets are made with the clusters' sums of the
     step before. It ends early when less than tol of the points change their cluster, looked at every ten steps. Sums are
     made in one order, so the same rows in the same partitions give the same result.
     """
     spark = ready(points.sparkSession)
-    own = staged(points.select("id", F.col("vector").cast("array<double>").alias("vector")))
-    a, b = own.select(F.col("id").alias("i"), "vector"), own.select(F.col("id").alias("j"), F.col("vector").alias("other"))
-    both = staged(edges.select("i", "j").join(a, "i").join(b, "j").select("vector", "other"))
-    plain = own.select("vector", F.lit(None).cast("array<double>").alias("other"))
-    n, n_pairs = own.count(), both.count()
+    own = staged(points.select("id", F.col("vector").cast("array<double>").alias("vector"), *(["keys", "signature"] if edges is None else [])))
+    none = [F.lit(None).cast("array<long>").alias(c) for c in ("signs", "others")]
+    if edges is None:
+        both, n_pairs = _tiles(own, TILE)
+    else:
+        a, b = own.select(F.col("id").alias("i"), "vector"), own.select(F.col("id").alias("j"), F.col("vector").alias("other"))
+        both = staged(edges.select("i", "j").join(a, "i").join(b, "j").select("vector", "other", *none))
+        n_pairs = both.count()
+    plain = own.select("vector", F.lit(None).cast("array<double>").alias("other"), *none)
+    n = own.count()
     net = Net.drawn(len(own.first().vector), hidden, dims, k, seed, alpha)
     first, second, losses, taken = 0.0, 0.0, [], 0
 

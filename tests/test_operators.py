@@ -754,6 +754,34 @@ def test_deep_clusters(spark):
     assert np.allclose(deep_clusters(points, edges, 4, steps=4, **options)[2], losses[:4], rtol=1e-9)
 
 
+def test_tiles_of_the_deep_net():
+    """A tile's gradients and loss are those of its pairs."""
+    from plotweave.operators.deep import Net
+
+    r = np.random.default_rng(1)
+    net = Net.drawn(5, 7, 3, 4, 2)
+    net.w["mu"] = r.normal(0, 1, (4, 3))
+    for n, m in ((18, 18), (40, 3), (300, 70)):
+        x, y, signs, others = r.normal(0, 1, (n, 5)), r.normal(0, 1, (m, 5)), r.integers(0, 3, n), r.integers(0, 3, m)
+        for tile, (i, j), ends in ((net.of_tile(x, y, signs, others, 0.6), np.nonzero(signs[:, None] != others), y), (net.of_tile(x, None, signs, None, 0.6), np.nonzero(np.triu(signs[:, None] != signs)), x)):
+            want, loss = net.of_pairs(x[i], ends[j], 0.6)
+            assert tile[1] == pytest.approx(loss) and all(np.allclose(tile[0][name], want[name], atol=1e-9) for name in want)
+
+
+def test_deep_clusters_without_pairs(spark, monkeypatch, bound):
+    """Points with keys and signatures give what the list of their pairs gives; no pair is made, but rows of two blocks are."""
+    from plotweave.operators import chains, deep
+
+    monkeypatch.setattr(deep, "TILE", 7)
+    points = bound.coalesce(1)
+    edges = chains.cannot_links(bound.where("keys IS NOT NULL").select(F.col("id").alias("chain_id"), "keys", "signature"))
+    tiles, n = deep._tiles(bound, 7)
+    assert n == edges.count() and 4 < tiles.count() < 60
+    options = {"hidden": 8, "dims": 3, "w": 2.0, "warm_up": 1, "steps": 2, "seed": 1, "tol": 0.0}
+    want, got = deep.deep_clusters(points, edges, 4, **options), deep.deep_clusters(points, None, 4, **options)
+    assert np.allclose(got[2], want[2], rtol=1e-9) and sorted(got[0].assignment.collect()) == sorted(want[0].assignment.collect())
+
+
 def test_near_blocks_skip_what_lies_apart(spark):
     """All pairs within the radius meet, once in each order, and most blocks of far blobs don't."""
     r = np.random.default_rng(7)
