@@ -9,6 +9,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from plotweave.operators import clusters as cl, models as mo
 from plotweave.plans.catalogue import ORACLES, QUERIES
@@ -120,3 +121,17 @@ def test_fits_run_to_the_operators_own_limits(spark, monkeypatch, operator, name
 def test_models_run(spark):
     assert 0 <= QUERIES["frame_regression"](spark, SF).first().accuracy <= 1
     assert QUERIES["surrogates"](spark, SF).first().mse < 0.05
+
+
+def test_top_tokens_are_added_in_the_order_of_events(spark, tmp_path):
+    """Equal exact sums that differ as doubles: files cut between the events of a word give what SQL gives in one pass."""
+    rows = [(0, 2, 0.1), (1, 2, 0.2), (2, 2, 0.3), (3, 1, 0.6)]
+    folder = tmp_path / "events.parquet"
+    for part in (rows[:1], rows[1:]):
+        table = spark.createDataFrame([(i, 7, "view", v, f'{{"k": {k}}}') for i, k, v in part], "event_id long, user_id long, event_type string, value double, props string")
+        table.withColumn("ts", F.timestamp_seconds("event_id")).coalesce(1).write.mode("append").parquet(str(folder))
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/*.parquet' ORDER BY event_id")
+    want = con.execute(ORACLES["top_tokens"]).fetchall()
+    assert want == [(7, "o2 o1")] and [tuple(r) for r in QUERIES["top_tokens"](spark, str(tmp_path)).collect()] == want
