@@ -1116,3 +1116,30 @@ def test_parts_of_mined_pairs(spark):
     assert "CoGroup" not in far._jdf.queryExecution().executedPlan().toString()
     got = {tuple(x) for x in near.unionByName(far).collect()}
     assert got == {tuple(x) for x in cl.mined_pairs(p, same_pos=0.1, same_neg=0.05, other_pos=0.1, neighbours=20).collect()} and len({x[1] for x in got}) == 4
+
+
+@pytest.mark.parametrize("step", [3, 512])
+def test_near_points_in_order(monkeypatch, step):
+    """Blocks against a loop over earlier points, with copies and a limit that is the distance of many pairs; 6,000 points of one
+    set of keys in seconds."""
+    import time
+
+    from plotweave.operators import assign
+
+    monkeypatch.setattr(assign, "STEP", step)
+    r = np.random.default_rng(4)
+    x = np.repeat(r.integers(-2, 3, (40, 3)), 3, 0)[r.permutation(120)] / 10 + 100
+    signs, table = r.integers(0, 3, 120), x[:4] + 0.01
+    costs, limit, before = assign.distances(x, table), float(np.sqrt(((x[1] - x[0]) ** 2).sum())), []
+    got = [np.concatenate(p) for p in zip(*(assign._near_in_order(x[i], signs[i], costs[i], 0.02, limit, before) for i in (slice(0, 50), slice(50, 120))))]
+    at, hits = [], []
+    for j in range(120):
+        near = [at[i] for i in range(j) if signs[i] != signs[j] and np.sqrt(((x[i] - x[j]) ** 2).sum()) <= limit]
+        n = np.bincount(near, minlength=4)
+        at.append(int(np.argmin(costs[j] + 0.02 * n)))
+        hits.append(n[at[-1]])
+    assert got[0].tolist() == at and got[1].tolist() == hits and sum(hits)
+    if step > 3:
+        x, began = r.normal(0, 1, (6000, 64)), time.time()
+        hits = assign._near_in_order(x, r.integers(0, 3, 6000), assign.distances(x, x[:10]), 0.1, 12.0, [])[1]
+        assert time.time() - began < 20 and hits.sum() > 10**5
