@@ -1143,3 +1143,24 @@ def test_near_points_in_order(monkeypatch, step):
         x, began = r.normal(0, 1, (6000, 64)), time.time()
         hits = assign._near_in_order(x, r.integers(0, 3, 6000), assign.distances(x, x[:10]), 0.1, 12.0, [])[1]
         assert time.time() - began < 20 and hits.sum() > 10**5
+
+
+def test_starts_of_kmeans_run_side_by_side(spark, blobs, monkeypatch):
+    """Four starts wait for each other, and the best one is that of starts one after the other."""
+    import threading
+
+    at_once, real = threading.Barrier(4), cl.KMeans
+
+    class Waiting:
+        def __init__(self, **options):
+            self.inner = real(**options)
+
+        def fit(self, rows):
+            at_once.wait(30)
+            return self.inner.fit(rows)
+
+    monkeypatch.setattr(cl, "STARTS", 1)
+    want = sorted(cl.kmeans(blobs.coalesce(1), 3, n_init=4)[0].collect())
+    monkeypatch.undo()
+    monkeypatch.setattr(cl, "KMeans", Waiting)
+    assert sorted(cl.kmeans(blobs.coalesce(1), 3, n_init=4)[0].collect()) == want
