@@ -1164,3 +1164,24 @@ def test_starts_of_kmeans_run_side_by_side(spark, blobs, monkeypatch):
     monkeypatch.undo()
     monkeypatch.setattr(cl, "KMeans", Waiting)
     assert sorted(cl.kmeans(blobs.coalesce(1), 3, n_init=4)[0].collect()) == want
+
+
+def test_distances_move_where_they_are_fewer(spark, monkeypatch):
+    """Fewer centres than dimensions give what as many do of which the added ones lie far away; held rows don't move to be joined."""
+    from plotweave.operators import assign
+
+    monkeypatch.setattr(assign, "CHUNK", 20)
+    r = np.random.default_rng(3)
+    data = [(i, r.normal(0, 1, 6).tolist(), None if i % 9 == 0 else f"k{i % 2}", f"s{i % 3}", i % 7 != 0) for i in range(120)]
+    rows = assign.in_chunks(spark.createDataFrame(data, "id long, vector array<double>, keys string, signature string, open boolean").repartition(3))
+    few = np.array([x[1] for x in data[:3]])
+    taken = []
+    monkeypatch.setattr(assign, "_priced", lambda *a, f=assign._priced: taken.append(1) or f(*a))
+    got = sorted(assign.penalised(rows, few, 0.5, None).drop("open").collect(), key=lambda x: x.id)
+    assert len(taken) == 1 and got == sorted(assign.penalised(rows, np.concatenate([few, np.full((4, 6), 1e3)]), 0.5, None).drop("open").collect(), key=lambda x: x.id) and len(taken) == 1
+    held = cl._held(rows)
+    assert held.count() == 120
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+    assigned = spark.createDataFrame([(i, i % 3) for i in range(120)], "id long, cluster int")
+    assert plan(assigned.hint("merge").join(held.select("id", "vector"), "id")).count("Exchange hashpartitioning") == 1
+    held.unpersist()
