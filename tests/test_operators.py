@@ -3,6 +3,7 @@
 import json
 import os
 import math
+import pathlib
 
 import numpy as np
 import pytest
@@ -151,6 +152,40 @@ def test_svd_spans_the_leading_space(spark, monkeypatch):
     assert lowrank.truncated_svd(spark.createDataFrame([], "item long, column int, value double")).count() == 0
 
 
+def test_svd_in_single_precision_by_stripes_and_parts(spark, monkeypatch):
+    """As for many items: panels of 32-bit numbers, dimensions by stripes, columns in several parts, values divided by their norm."""
+    from plotweave.operators import lowrank
+
+    for name, value in (("BLOCK", 16), ("PRECISE", 0), ("COLUMNS", 16)):
+        monkeypatch.setattr(lowrank, name, value)
+    r = np.random.default_rng(3)
+    a = (r.standard_normal((90, 8)) * 1.5 ** -np.arange(8)) @ r.standard_normal((8, 60))
+    a = np.concatenate([a, np.diag(r.random(90) * 0.01)], 1)
+    rows = [(int(i), f"w{j}", float(a[i, j])) for i, j in zip(*np.nonzero(a))]
+    got = {x["item"]: x.vector for x in lowrank.truncated_svd(spark.createDataFrame(rows, "item long, column string, value double"), 6, unit=True).collect()}
+    x, (u, s, _) = np.array([got[i] for i in range(90)]), np.linalg.svd(a / np.linalg.norm(a, axis=1, keepdims=True), full_matrices=False)
+    assert np.allclose(np.linalg.norm(x, axis=0), s[:6], rtol=1e-4)
+    assert np.allclose(x @ x.T, (u[:, :6] * s[:6] ** 2) @ u[:, :6].T, atol=1e-4)
+
+
+def test_svd_writes_nothing_with_a_row_for_each_column(spark, monkeypatch):
+    """Many columns, few items: no table has numbers for each column and dimension."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    from plotweave.operators import lowrank
+
+    sizes, write = [], DataFrameWriter.parquet
+
+    def parquet(self, path, *args, **options):
+        write(self, path, *args, **options)
+        sizes.append(sum(f.stat().st_size for f in pathlib.Path(path.removeprefix("file://")).glob("*.parquet")))
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    rows = [(i, j, 1.0 + (i * j) % 7) for j in range(3000) for i in (j % 40, (j + 1 + j // 40 % 39) % 40)]
+    assert lowrank.truncated_svd(spark.createDataFrame(rows, "item long, column int, value double"), 20).count() == 40
+    assert max(sizes) < 300_000  # 3,000 columns by 30 dimensions are 720,000 bytes
+
+
 def test_staged_tables_go(spark):
     import glob
 
