@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..sources.tables import ready
-from .svo import TOKENS
+from .svo import TOKENS, TRIPLES, each_triple, listed_triples
 
 
 class TextParser(Protocol):
@@ -47,25 +47,48 @@ class RuleParser:
     VERB = re.compile(r"(ed|ing|es|ize|ise)$")
     SMALL = {"the": "DET", "a": "DET", "an": "DET", "and": "CCONJ", "or": "CCONJ", "of": "ADP", "to": "ADP", "in": "ADP", "for": "ADP", "not": "PART"}
 
+    KNOWN = 1 << 17
+
+    def __init__(self):
+        self.known: dict[str, tuple] = {}
+
     def parse(self, sentences: list[str]) -> list[list[dict]]:
         return [self._one(s) for s in sentences]
 
+    def _word(self, w: str) -> tuple[str, str, str]:
+        """(part of speech, that of a first word, lemma); of the words seen, KNOWN are remembered."""
+        low = w.lower()
+        first = self.SMALL.get(low) or ("PUNCT" if not w[0].isalnum() else "NOUN")
+        pos = "VERB" if first == "NOUN" and self.VERB.search(low) else first
+        if len(self.known) >= self.KNOWN:
+            self.known.clear()
+        out = self.known[w] = pos, first, re.sub(r"(ing|ed|es|s)$", "", low) or low
+        return out
+
     def _one(self, sentence: str) -> list[dict]:
         words = re.findall(r"\w+|[^\w\s]", sentence)
-        pos = [self.SMALL.get(w.lower()) or ("PUNCT" if not w[0].isalnum() else "VERB" if i and self.VERB.search(w.lower()) else "NOUN") for i, w in enumerate(words)]
-        root = next((i for i, p in enumerate(pos) if p == "VERB"), 0)
-        out, had_object = [], False
-        for i, (w, p) in enumerate(zip(words, pos)):
-            head, dep = root, "ROOT" if i == root else "dep"
-            if p == "NOUN" and i < root:
-                dep = "nsubj" if not any(q == "NOUN" for q in pos[i + 1 : root]) else "compound"
-            elif p == "NOUN" and i > root and not had_object:
-                dep, had_object = "dobj", True
+        if not words:
+            return []
+        known = self.known
+        of = [known.get(w) or self._word(w) for w in words]
+        pos = [x[0] for x in of]
+        pos[0] = of[0][1]
+        root = pos.index("VERB") if "VERB" in pos else 0
+        out = [{"i": i, "text": w, "lemma": x[2], "pos": p, "dep": "dep", "head": root} for i, (w, x, p) in enumerate(zip(words, of, pos))]
+        out[root]["dep"] = "ROOT"
+        subject, had_object = None, False
+        for i, p in enumerate(pos):
+            if p == "NOUN":
+                if i < root:
+                    subject, out[i]["dep"] = i, "compound"
+                elif i > root and not had_object:
+                    out[i]["dep"], had_object = "dobj", True
             elif p == "DET" and i + 1 < len(words):
-                head, dep = i + 1, "det"
-            elif w.lower() == "not":
-                dep = "neg"
-            out.append({"i": i, "text": w, "lemma": re.sub(r"(ing|ed|es|s)$", "", w.lower()) or w.lower(), "pos": p, "dep": dep, "head": head})
+                out[i]["head"], out[i]["dep"] = i + 1, "det"
+            elif p == "PART":  # not
+                out[i]["dep"] = "neg"
+        if subject is not None:
+            out[subject]["dep"] = "nsubj"
         return out
 
 
@@ -150,6 +173,21 @@ def parse_sentences(sentences: DataFrame, make: Callable[[], TextParser] = RuleP
     return rows.mapInArrow(run, f"sent_id {dict(rows.dtypes)['sent_id']}, text string, tokens {TOKENS}")
 
 
+def sentence_svos(sentences: DataFrame, make: Callable[[], TextParser] = RuleParser, batch: int = 256) -> DataFrame:
+    """extract_svos of parse_sentences, for whoever needs triples only: tokens never leave the task that parses."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parser = make()
+        for b in batches:
+            for at in range(0, b.num_rows, batch):
+                part = b.slice(at, batch)
+                yield listed_triples(part["sent_id"], parser.parse([x or "" for x in part["text"].to_pylist()]))
+
+    ready(sentences.sparkSession)
+    rows = sentences.select("sent_id", "text")
+    return each_triple(rows.mapInArrow(run, f"sent_id {dict(rows.dtypes)['sent_id']}, svos {TRIPLES}"))
+
+
 def lemmatize(sentences: DataFrame, key: str, make: Callable[[], Lemmatizer] = SuffixLemmatizer) -> DataFrame:
     """key, lemmas."""
 

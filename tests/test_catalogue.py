@@ -103,6 +103,17 @@ def test_svd_embed_has_the_words_of_documents(spark):
             assert abs(got[i] @ got[j] - sum(v * rows[j].get(w, 0.0) for w, v in rows[i].items())) < 1e-4
 
 
+def test_svo_extract_parses_and_extracts_in_one_task(spark):
+    """Tokens don't leave Python, and the triples are those of the two steps apart."""
+    from plotweave.operators import documents as doc, plugs, svo
+    from plotweave.plans import catalogue
+
+    got = QUERIES["svo_extract"](spark, SF)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    want = svo.extract_svos(plugs.parse_sentences(doc.number_sentences(catalogue._sentences(spark, SF))))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) != []
+
+
 @pytest.mark.parametrize("operator, name", [(cl.kmeans, "kmeans"), (cl.weighted_pckmeans, "weighted_pckmeans"), (cl.pckmeans_repair, "pckmeans_repair"), (mo.fit_frames, "frame_regression"), (mo.fit_frames, "surrogates"), (mo.fit_frames, "frame_forest")])
 def test_fits_run_to_the_operators_own_limits(spark, monkeypatch, operator, name):
     given = {}
