@@ -103,6 +103,23 @@ def test_svd_embed_has_the_words_of_documents(spark):
             assert abs(got[i] @ got[j] - sum(v * rows[j].get(w, 0.0) for w, v in rows[i].items())) < 1e-4
 
 
+def test_span_overlap_looks_for_lines_of_annotated_documents_only(spark, tmp_path, monkeypatch):
+    from plotweave.operators import documents as doc
+
+    docs = [(1, "one line\nanother line", "en"), (2, "no annotation\nhere", "en"), (3, "no language", None), (4, None, "en")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    events = spark.createDataFrame([(0, 1, 0), (1, 1, 0), (2, 1, 1), (3, 3, 0), (4, 4, 0), (5, 9, 0)], "event_id long, user_id long, k int")
+    events.selectExpr("event_id", "user_id", "'view' AS event_type", "1.0D AS value", "concat('{\"k\": ', k, '}') AS props", "timestamp_seconds(event_id) AS ts").write.parquet(str(tmp_path / "events.parquet"))
+    seen, find = [], doc.with_spans
+    monkeypatch.setattr(doc, "with_spans", lambda s, d: seen.append(sorted(r.doc_id for r in d.select("doc_id").collect())) or find(s, d))
+    got = sorted(tuple(r) for r in QUERIES["span_overlap"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    for t in ("documents", "events"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert got == sorted(con.execute(ORACLES["span_overlap"]).fetchall()) and len(got) == 3
+    assert seen == [[1, 3, 4]]
+
+
 def test_svo_extract_parses_and_extracts_in_one_task(spark):
     """Tokens don't leave Python, and the triples are those of the two steps apart."""
     from plotweave.operators import documents as doc, plugs, svo
