@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import Window as W, functions as F
+from pyspark.sql import functions as F
 
 from ..functions import columns as fc
 from ..operators import chains as ch
@@ -193,8 +193,7 @@ def top_tokens(spark, sf):
     """Values are doubles, and where two exact sums are equal the order of additions decides. They are added in the order of events,
     as SQL does that reads the table once from its start; so sums don't depend on partitions."""
     m = mentions(spark, sf).select("doc_id", F.col("obj_head").alias("tok"), "position", "value")
-    sofar = F.sum("value").over(W.partitionBy("doc_id", "tok").orderBy("position").rowsBetween(W.unboundedPreceding, W.currentRow))
-    w = m.withColumn("s", sofar).groupBy("doc_id", "tok").agg((F.max_by("s", "position") / 1000).alias("p"))
+    w = te.summed(m, ["doc_id", "tok"], "value", "position").withColumn("p", F.col("total") / 1000)
     rows = w.groupBy("doc_id").agg(F.collect_list(F.struct("tok", "p")).alias("x"))
     return rows.select("doc_id", F.array_join(F.transform(fc.top_tokens("x", 5), lambda t: t["tok"]), " ").alias("tokens"))
 
