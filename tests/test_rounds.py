@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from plotweave.operators import clusters as cl
 from plotweave.plans.catalogue import ORACLES, QUERIES
 
 
@@ -39,3 +40,33 @@ def test_top_tokens_of_rows_that_share_an_event_id(spark, tmp_path):
     for name, rows in (("up", same), ("down", same[::-1])):
         events(spark, tmp_path / name, [(0, 1, "view", 0.6, 1), *rows])
         assert [tuple(r) for r in QUERIES["top_tokens"](spark, str(tmp_path / name)).collect()] == [(1, "o2 o1")], name
+
+
+@pytest.mark.parametrize("block", [7, 4096])
+def test_far_pairs_meets_all_points(spark, block):
+    """Against a loop over all pairs; copies and multiples of vectors are ties that go to the smaller id."""
+    r = np.random.default_rng(6)
+    base = r.integers(-3, 4, (20, 5)).astype(float)
+    base[3] = 0
+    data = [(i, i % 3, (base[i % 20] * (1 + i % 2)).tolist(), ["a", None, "b"][i % 5 % 3], f"s{i % 2}") for i in range(60)]
+    want = {}
+    for i, c, x, k, s in data:
+        met = []
+        for j, d, y, l, t in data:
+            if c != d:
+                n = np.sqrt(np.dot(x, x) * np.dot(y, y))
+                met.append((np.dot(x, y) / n if n else 0.0, j, k is not None and k == l and s != t))
+        top = min((-v, j) for v, j, bad in met if not bad)
+        if -top[0] > 0.1:
+            want[i, "other_pos"] = (top[1], round(-top[0], 9))
+        worst = min((v, j) for v, j, _ in met)
+        want[i, "other_neg"] = (worst[1], round(worst[0], 9))
+    p = spark.createDataFrame(data, "id long, cluster int, vector array<double>, keys string, signature string").repartition(3)
+    got = cl.far_pairs(p, other_pos=0.1, block=block).collect()
+    assert {(x.anchor, x.kind): (x.other, round(x.similarity, 9)) for x in got} == want and len(got) == len(want)
+
+
+def test_far_pairs_without_vectors(spark):
+    p = spark.createDataFrame([(1, 0, [1.0, 0.0]), (2, 1, None), (3, 1, [0.0, 1.0]), (4, None, [1.0, 1.0])], "id long, cluster int, vector array<double>")
+    got = cl.far_pairs(p.withColumns({"keys": F.lit("k"), "signature": F.lit("s")}), other_pos=0.1).collect()
+    assert sorted(tuple(x) for x in got) == [(1, "other_neg", 3, 0.0), (2, "other_neg", 1, None), (3, "other_neg", 1, 0.0)]
