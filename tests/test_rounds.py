@@ -70,3 +70,13 @@ def test_far_pairs_without_vectors(spark):
     p = spark.createDataFrame([(1, 0, [1.0, 0.0]), (2, 1, None), (3, 1, [0.0, 1.0]), (4, None, [1.0, 1.0])], "id long, cluster int, vector array<double>")
     got = cl.far_pairs(p.withColumns({"keys": F.lit("k"), "signature": F.lit("s")}), other_pos=0.1).collect()
     assert sorted(tuple(x) for x in got) == [(1, "other_neg", 3, 0.0), (2, "other_neg", 1, None), (3, "other_neg", 1, 0.0)]
+
+
+@pytest.mark.parametrize("copies", [1, 40])
+def test_pairwise_threshold_of_all_pairs(spark, monkeypatch, copies):
+    monkeypatch.setattr(cl, "FEW_PAIRS", 50)
+    x = np.repeat(np.random.default_rng(7).normal(5, 1, (1200 // copies, 3)), copies, 0)
+    p = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id long, vector array<double>").repartition(3)
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(2))[np.triu_indices(len(x), 1)]
+    for q in (0, 2.5, 40, 75.3, 100):
+        assert cl.pairwise_threshold(p, q, block=500) == pytest.approx(np.percentile(d, q), rel=1e-12, abs=1e-300), q
