@@ -80,3 +80,13 @@ def test_pairwise_threshold_of_all_pairs(spark, monkeypatch, copies):
     d = np.sqrt(((x[:, None] - x) ** 2).sum(2))[np.triu_indices(len(x), 1)]
     for q in (0, 2.5, 40, 75.3, 100):
         assert cl.pairwise_threshold(p, q, block=500) == pytest.approx(np.percentile(d, q), rel=1e-12, abs=1e-300), q
+
+
+def test_repair_iterations_write_no_tables(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    p = spark.createDataFrame([(i, r.normal(size=3).tolist(), ["a", "b", None][i % 3], f"s{i % 2}") for i in range(60)], "id long, vector array<double>, keys string, signature string")
+    centers = spark.createDataFrame([(i, [float(i), 0.0, 0.0]) for i in range(3)], "cluster int, center array<double>")
+    made = []
+    monkeypatch.setattr(cl, "staged", lambda df, f=cl.staged: made.append(1) or f(df))
+    fit = cl.pckmeans_repair(p, 3, centers=centers, max_iter=4)
+    assert fit.iterations == 4 and len(made) == 2 and fit.assignment.count() == 60
