@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plotweave.operators import clusters as cl
+from plotweave.operators import chains as ch, clusters as cl
 from plotweave.plans.catalogue import ORACLES, QUERIES
 
 
@@ -90,3 +90,10 @@ def test_repair_iterations_write_no_tables(spark, monkeypatch):
     monkeypatch.setattr(cl, "staged", lambda df, f=cl.staged: made.append(1) or f(df))
     fit = cl.pckmeans_repair(p, 3, centers=centers, max_iter=4)
     assert fit.iterations == 4 and len(made) == 2 and fit.assignment.count() == 60
+
+
+def test_chains_go_to_few_places(spark, monkeypatch):
+    roles = spark.createDataFrame([(i, "k", f"s{i % 3}") for i in range(40)], "chain_id long, keys string, signature string")
+    monkeypatch.setattr(ch, "MOST_BLOCKS", 3)
+    pairs = [tuple(r) for r in ch.cannot_links(roles, 2).collect()]
+    assert sorted(pairs) == [(i, j) for i in range(40) for j in range(i + 1, 40) if i % 3 != j % 3]
